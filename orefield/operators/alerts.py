@@ -55,14 +55,15 @@ def parse_fields(alerts: DataFrame, column: str = "fields") -> DataFrame:
         hit = F.filter("_named", lambda f, key=key: f["key"] == key)
         out = out.withColumn(name, F.try_element_at(hit, F.lit(-1))["value"])
     # A title that occurs twice keeps its last value.
-    last_only = F.aggregate(
-        rest,
-        F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")),
-        lambda m, f: F.map_concat(
-            F.map_filter(m, lambda k, v: k != f["key"]), F.create_map(f["key"], f["value"])
-        ),
-    )
-    return out.withColumn("metadata", last_only).drop("_named")
+    keys = F.array_distinct(F.transform("_rest", lambda f: f["key"]))
+    last_value = F.transform(
+        keys, lambda k: F.element_at(F.filter("_rest", lambda f: f["key"] == k), -1)["value"]
+    )
+    return (
+        out.withColumn("_rest", rest)
+        .withColumn("metadata", F.map_from_arrays(keys, last_value))
+        .drop("_named", "_rest")
+    )
 
 
 def alert_rows(alerts: DataFrame) -> DataFrame:

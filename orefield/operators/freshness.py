@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orefield.functions import freshness_color, freshness_status, hours_between, layer_of_suite
-from orefield.operators.latest import latest_per_source
+from orefield.operators.latest import first_per_key, latest_per_source
 
 # Hours within which each layer counts as fresh.
 SWEEP_HOURS = {"raw": 24, "staging": 12, "marts": 6}
@@ -104,23 +104,30 @@ def sweep(
 
 
 def layer_summary(swept: DataFrame, hours: dict[str, int] | None = None, shown: int = 5) -> DataFrame:
-    """Totals per layer, layers without any source included, with the names of the stalest few."""
+    """Totals per layer, layers without any source included, and the stalest few by name."""
     table = hours or SWEEP_HOURS
-    spark = swept.sparkSession
-    layers = spark.createDataFrame(list(table.items()), "layer string, threshold_hours int")
-    stale_names = F.array_join(
-        F.slice(F.sort_array(F.collect_set(F.when(~F.col("is_fresh"), F.col("source_name")))), 1, shown), ","
+    layers = swept.sparkSession.createDataFrame(
+        list(table.items()), "layer string, threshold_hours int"
     )
+    hours_total = F.sum(F.col("staleness_hours").cast("decimal(18,2)")).cast("double")
     counted = swept.groupBy("layer").agg(
         F.count("*").alias("total"),
         F.count_if("is_fresh").alias("fresh"),
         F.count_if(~F.col("is_fresh")).alias("stale"),
-        (F.sum(F.col("staleness_hours").cast("decimal(18,2)")).cast("double") / F.count("staleness_hours"))
-        .alias("avg_staleness_hours"),
-        stale_names.alias("stale_sources"),
+        (hours_total / F.count("staleness_hours")).alias("avg_staleness_hours"),
+    )
+    # Cut to the few shown before they are gathered into one value.
+    stalest = first_per_key(
+        swept.where(~F.col("is_fresh")),
+        ["layer"],
+        [F.desc("staleness_hours"), F.asc("source_name")],
+        shown,
+    )
+    named = stalest.groupBy("layer").agg(
+        F.array_join(F.sort_array(F.collect_list("source_name")), ",").alias("stale_sources")
     )
     zero = {"total": 0, "fresh": 0, "stale": 0, "stale_sources": ""}
-    return layers.join(counted, "layer", "left").fillna(zero)
+    return layers.join(counted, "layer", "left").join(named, "layer", "left").fillna(zero)
 
 
 def heatmap(status: DataFrame, layers=("raw", "staging", "marts")) -> DataFrame:
