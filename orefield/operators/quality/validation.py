@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orefield.functions import percent
-from orefield.operators.quality.rules import Rule, evaluate
+from orefield.operators.quality.rules import FAILS, Rule, evaluate
 from orefield.operators.quality.suites import (
     ASSETS,
     MODEL_TO_SUITE_NAMES,
@@ -99,20 +99,16 @@ def require_checks(outcome: DataFrame) -> None:
         raise ValidationError(f"checks failed ({len(failed)}/{len(rows)}): {', '.join(failed)}")
 
 
-def split_by_rules(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
-    """Rows that pass every row-level rule, and the others with the names of what they broke."""
-    from orefield.operators.quality.rules import FAILS
-
+def mark_rows(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Add broken_rules: the row-level rules each row does not meet."""
     broken = []
     for r in rules:
+        c = F.col(r.column)
         if r.kind == "not_null":
-            fails = F.col(r.column).isNull()
+            fails = c.isNull()
         elif r.kind in FAILS:
-            c = F.col(r.column)
             fails = c.isNotNull() & F.coalesce(FAILS[r.kind](c, r.args), F.lit(False))
         else:
             raise ValueError(f"{r.kind} does not judge single rows")
         broken.append(F.when(fails, F.lit(f"{r.kind}:{r.column}")))
-    marked = df.withColumn("broken_rules", F.array_compact(F.array(*broken)))
-    good = marked.where(F.size("broken_rules") == 0).drop("broken_rules")
-    return good, marked.where(F.size("broken_rules") > 0)
+    return df.withColumn("broken_rules", F.array_compact(F.array(*broken)))

@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from orefield.operators.alerts import DEDUP_MINUTES, MAX_ALERTS_PER_WINDOW, WINDOW_MINUTES
 from orefield.operators.quality.rules import Rule
-from orefield.operators.quality.validation import split_by_rules
+from orefield.operators.quality.validation import mark_rows
 from orefield.plans.incremental import write_date_partitions
 from orefield.plans.transactions import daily_summary, daily_transactions
 
@@ -130,14 +130,18 @@ def upsert_daily_mart(staged_path: str, target: str):
     return write
 
 
-def quality_gate(rules: list[Rule], good_path: str, bad_path: str):
-    """Batch writer that parts passing rows from quarantined ones."""
+def quality_gate(rules: list[Rule], target: str):
+    """Batch writer that parts passing rows (passed=true) from quarantined ones in one write."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        number = F.lit(batch_id).cast("bigint")
-        for rows, path in zip(split_by_rules(batch, rules), (good_path, bad_path), strict=True):
-            rows.withColumn("batch_id", number).write.mode("overwrite").option(
-                "partitionOverwriteMode", "dynamic"
-            ).partitionBy("batch_id").parquet(path)
+        marked = mark_rows(batch, rules).withColumns(
+            {
+                "passed": F.size("broken_rules") == 0,
+                "batch_id": F.lit(batch_id).cast("bigint"),
+            }
+        )
+        marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "passed", "batch_id"
+        ).parquet(target)
 
     return write
