@@ -13,7 +13,7 @@ from orefield.functions.labels import (
     severity_rank,
 )
 from orefield.functions.masking import mask_column
-from orefield.functions.numeric import average, percent, ratio
+from orefield.functions.numeric import average, percent, ratio, rounded_average
 from orefield.functions.scoring import health_score, register_health_score
 from orefield.functions.times import convert_timestamp, hours_between, seconds_between
 
@@ -35,6 +35,7 @@ __all__ = [
     "percent",
     "ratio",
     "register_health_score",
+    "rounded_average",
     "row_digest",
     "seconds_between",
     "severity_rank",

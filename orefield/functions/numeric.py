@@ -11,6 +11,13 @@ def average(column, decimals: int = 2) -> Column:
     return total.cast("double") / F.count(c)
 
 
+def rounded_average(column, digits: int = 2, decimals: int = 2) -> Column:
+    """Mean rounded half up on the exact decimal quotient, so ties never hang on binary digits."""
+    c = F.col(column) if isinstance(column, str) else column
+    total = F.sum(c.cast(f"decimal(18,{decimals})"))
+    return F.round(total / F.nullif(F.count(c), F.lit(0)).cast("decimal(20,0)"), digits).cast("double")
+
+
 def ratio(part, whole) -> Column:
     """part / whole as double; null where whole is zero."""
     return F.try_divide(part.cast("double"), F.nullif(whole.cast("double"), F.lit(0.0)))

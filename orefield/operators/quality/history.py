@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orefield.functions import layer_mentioned, layer_of_suite, percent
+from orefield.functions import layer_mentioned, layer_of_suite, percent, rounded_average
 from orefield.functions.labels import first_match
 
 # Fixed values: (success percent below, severity).
@@ -78,7 +78,7 @@ def daily_metrics(ledger: DataFrame) -> DataFrame:
         F.count_if("success").alias("successful_validations"),
         F.sum("total_expectations").alias("total_expectations"),
         F.sum("successful_expectations").alias("successful_expectations"),
-        F.round(mean_percent(), 2).alias("avg_success_percent"),
+        rounded_average("success_percent").alias("avg_success_percent"),
         F.min("success_percent").alias("min_success_percent"),
         F.max("success_percent").alias("max_success_percent"),
     )
@@ -117,7 +117,7 @@ def status_view(ledger: DataFrame, as_of: str) -> DataFrame:
         .agg(
             F.count("*").alias("total_runs_7d"),
             F.count_if("success").alias("successful_runs_7d"),
-            F.round(mean_percent(), 2).alias("avg_success_percent_7d"),
+            rounded_average("success_percent").alias("avg_success_percent_7d"),
             F.max("validation_time").alias("last_validation"),
             F.bool_and(F.when(last_day, F.col("success"))).alias("healthy_last_24h"),
         )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orefield.functions import percent
+from orefield.functions import percent, rounded_average
 
 
 def _successes_since(ledger: DataFrame, as_of: str, days: int) -> DataFrame:
@@ -26,7 +26,7 @@ def volume_sweep(ledger: DataFrame, as_of: str, days: int = 7) -> DataFrame:
         .groupBy("source_name")
         .agg(
             F.sum("row_count").alias("total_rows_7d"),
-            F.round(_mean("row_count"), 2).alias("avg_rows"),
+            rounded_average("row_count", decimals=0).alias("avg_rows"),
             F.max("row_count").alias("max_rows"),
             F.min("row_count").alias("min_rows"),
             F.count("*").alias("ingestion_count"),
@@ -44,6 +44,7 @@ def volume_anomaly(
         .groupBy("source_name")
         .agg(
             _mean("row_count").alias("mean"),
+            rounded_average("row_count", decimals=0).alias("historical_avg"),
             F.round(F.stddev("row_count"), 2).alias("historical_stddev"),
             F.min("row_count").alias("historical_min"),
             F.max("row_count").alias("historical_max"),
@@ -58,7 +59,7 @@ def volume_anomaly(
     return current.join(history, "source_name", "left").select(
         "source_name",
         "current_count",
-        F.round("mean", 2).alias("historical_avg"),
+        "historical_avg",
         "historical_stddev",
         "historical_min",
         "historical_max",

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orefield.functions import average, band
+from orefield.functions import average, band, rounded_average
 from orefield.operators.latest import first_per_key
 
 # Fixed values
@@ -32,7 +32,7 @@ def user_summary(silver: DataFrame) -> DataFrame:
     return silver.groupBy(F.to_date("created_at").cast("string").alias("created_date")).agg(
         F.count("id").alias("user_count"),
         total.cast("double").alias("total_amount"),
-        F.round(average("amount"), 2).alias("avg_amount"),
+        rounded_average("amount").alias("avg_amount"),
     )
 
 

@@ -118,15 +118,19 @@ def batch_manifest(
             rows.select(
                 F.col("_metadata.file_name").alias("file"),
                 F.lit(kind).alias("file_type"),
-                F.struct(*[F.col(f.name) for f in schema.fields]).alias("row"),
+                F.xxhash64(*[F.col(f.name) for f in schema.fields]).alias("row_hash"),
                 F.col(CORRUPT).alias("corrupt"),
             )
         )
     rows = parts[0].unionByName(parts[1])
-    bad = F.count_if(F.col("corrupt").isNotNull())
+    parsed = F.col("corrupt").isNull()
     return (
         rows.groupBy("file", "file_type")
-        .agg(F.count_if(F.col("corrupt").isNull()).alias("row_count"), bad.alias("bad_rows"))
+        .agg(
+            F.count_if(parsed).alias("row_count"),
+            F.count_if(~parsed).alias("bad_rows"),
+            F.bit_xor(F.when(parsed, F.col("row_hash"))).alias("content_hash"),
+        )
         .withColumn("status", F.when(F.col("bad_rows") > 0, "failed").otherwise("success"))
         .withColumn(
             "error",

@@ -41,8 +41,9 @@ def list_objects(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
         .load(root)
         .select("path", "length", "modificationTime")
     )
-    base = F.lit(root.rstrip("/") + "/")
-    key = F.substring_index(F.col("path"), base, -1)
+    # Paths come back with their scheme in front; the key is what follows the root.
+    base = root.split("://", 1)[-1].rstrip("/") + "/"
+    key = F.element_at(F.split("path", rf"\Q{base}\E", 2), -1)
     keyed = files.select(
         key.alias("object_key"),
         F.col("length").alias("size_bytes"),

@@ -147,12 +147,17 @@ def load_new_objects(
 
 
 def write_daily_partitions(df: DataFrame, day, path: str, codec: str = "zstd") -> None:
-    """Hive-style year= / month= / day= folders."""
+    """Hive-style year= / month= / day= folders.
+
+    Rows are gathered by day so that a day is a few large files; the rebalance hint lets AQE split
+    a day too big for one task and merge the small ones.
+    """
     parts = df.withColumns(
         {"year": F.year(day), "month": F.month(day), "day": F.dayofmonth(day)}
     )
     (
-        parts.write.mode("overwrite")
+        parts.hint("rebalance", "year", "month", "day")
+        .write.mode("overwrite")
         .option("compression", codec)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("year", "month", "day")

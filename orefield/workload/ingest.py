@@ -1 +1,566 @@
-"""Queries."""
+"""Queries: file and table ingestion, loads, layers, schemas, ledgers, watermarks.
+
+The writing queries land their data in a fresh folder below the session's shared directory and
+report on what they wrote, so their work grows with the given tables.
+"""
+
+from pyspark.sql import functions as F
+
+from orefield.functions import dataset_fingerprint
+from orefield.operators import ledger, watermarks
+from orefield.plans import customers, sales
+from orefield.session import new_workspace
+from orefield.sources import files, layers, schemas, tables
+from orefield.workload.registry import query
+from orefield.workload.tables import EVENTS_NOW
+
+ALL = "SELECT * FROM "
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+def sql_fingerprint(columns):
+    text = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '_null_')" for c in columns)
+    digest = f"CAST(concat('0x', substr(md5(concat_ws('|', {text})), 1, 8)) AS BIGINT)"
+    return f"CAST(SUM({digest}) AS DECIMAL(38,0))"
+
+
+def sql_manifest(source, condition="true"):
+    return f"""SELECT '{source}' AS source_name, COUNT(*) AS row_count,
+        {sql_fingerprint(ORDER_COLUMNS)} AS fingerprint FROM orders WHERE {condition}"""
+
+
+def manifest(source, df, row_count=None):
+    counted = F.count("*") if row_count is None else F.lit(row_count).cast("bigint")
+    return df.agg(
+        counted.alias("row_count"), dataset_fingerprint(*ORDER_COLUMNS).alias("fingerprint")
+    ).select(F.lit(source).alias("source_name"), "row_count", "fingerprint")
+
+
+def _orders(lake):
+    return lake.orders.select(*ORDER_COLUMNS)
+
+
+# -- files ---------------------------------------------------------------------------------------
+
+
+@query("src_csv_ingest", sql_manifest("orders.csv"))
+def _(lake):
+    """CSV part files -> bronze Parquet; the row count is the one observed by the load."""
+    root = new_workspace(lake.spark, "csv")
+    _orders(lake).write.option("header", True).csv(f"{root}/in")
+    done = files.ingest_file(lake.spark, f"{root}/in", root, "orders/orders.csv", kind="csv")
+    return manifest("orders.csv", lake.spark.read.parquet(done.uri), done.row_count)
+
+
+@query("src_json_ingest", sql_manifest("orders.json"))
+def _(lake):
+    root = new_workspace(lake.spark, "json")
+    _orders(lake).write.json(f"{root}/in")
+    done = files.ingest_file(lake.spark, f"{root}/in", root, "orders/orders.json", kind="json")
+    return manifest("orders.json", lake.spark.read.parquet(done.uri), done.row_count)
+
+
+@query("src_json_pages", sql_manifest("orders_api"))
+def _(lake):
+    """Landed API responses: pages of records in one JSON document each."""
+    root = new_workspace(lake.spark, "pages")
+    orders = _orders(lake)
+    pages = orders.groupBy(F.floor(F.col("o_orderkey") / 100).alias("page")).agg(
+        F.collect_list(F.struct(*ORDER_COLUMNS)).alias("items")
+    )
+    pages.write.json(f"{root}/in")
+    rows = files.landed_json_pages(lake.spark, f"{root}/in", "items", pages.schema)
+    rows.write.parquet(layers.layer_path(root, "bronze", "orders_api.parquet"))
+    return manifest(
+        "orders_api", lake.spark.read.parquet(layers.layer_path(root, "bronze", "orders_api.parquet"))
+    )
+
+
+@query(
+    "src_batch_glob",
+    """SELECT file_type, CAST(COUNT(*) AS BIGINT) AS row_count, 'success' AS status FROM (
+        SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'csv' ELSE 'json' END AS file_type FROM orders)
+        GROUP BY 1""",
+)
+def _(lake):
+    """A folder of CSV, JSON and other files, routed by extension, summed up per type."""
+    root = new_workspace(lake.spark, "batch")
+    orders, even = _orders(lake), F.col("o_orderkey") % 2 == 0
+    orders.where(even).write.option("header", True).csv(f"{root}/a")
+    orders.where(~even).write.json(f"{root}/b")
+    orders.select(F.col("o_orderkey").cast("string")).write.text(f"{root}/c")
+    found = files.batch_manifest(lake.spark, root, orders.schema)
+    return found.groupBy("file_type").agg(
+        F.sum("row_count").alias("row_count"), F.max("status").alias("status")
+    )
+
+
+# -- tables ----------------------------------------------------------------------------------------
+
+
+@query("src_full_snapshot", sql_manifest("orders"))
+def _(lake):
+    root = new_workspace(lake.spark, "full")
+    uri, rows = tables.extract_full(_orders(lake), root, "orders.parquet")
+    return manifest("orders", lake.spark.read.parquet(uri), rows)
+
+
+@query(
+    "incremental_extract",
+    "SELECT id, source_name, status, row_count, updated_at FROM x_ing "
+    "WHERE updated_at > TIMESTAMP '1999-06-30 12:00:00'",
+)
+def _(lake):
+    delta = tables.incremental_rows(lake.ingestion, "updated_at", "1999-06-30 12:00:00")
+    return delta.select("id", "source_name", "status", "row_count", "updated_at")
+
+
+@query(
+    "incremental_extract_int",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey > 9999",
+)
+def _(lake):
+    return tables.incremental_rows(_orders(lake), "o_orderkey", "9999")
+
+
+@query(
+    "incremental_extract_runs",
+    """SELECT 'first' AS run, COUNT(*) AS row_count, strftime(MAX(ts), '%Y-%m-%d') AS watermark_day
+            FROM events WHERE ts < TIMESTAMP '2024-01-16'
+        UNION ALL SELECT 'second', COUNT(*), strftime(MAX(ts), '%Y-%m-%d') FROM events
+            WHERE ts >= TIMESTAMP '2024-01-16'
+        UNION ALL SELECT 'third', 0, (SELECT strftime(MAX(ts), '%Y-%m-%d') FROM events)""",
+)
+def _(lake):
+    """Three runs over a growing table: everything so far, the delta, then an empty delta."""
+    root = new_workspace(lake.spark, "delta")
+    source = lake.table("events").select("event_id", "ts")
+    early = source.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"))
+    rows, mark = [], None
+    for i, (run, df) in enumerate([("first", early), ("second", source), ("third", source)]):
+        done = tables.extract_incremental(df, root, f"events/run={i}", "ts", mark)
+        mark = done["watermark"]
+        rows.append((run, done["row_count"], mark[:10]))
+    return lake.spark.createDataFrame(rows, "run string, row_count bigint, watermark_day string")
+
+
+@query(
+    "param_sql",
+    """SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice FROM orders
+        WHERE o_orderstatus = 'F' AND o_totalprice > 400000""",
+)
+def _(lake):
+    return lake.spark.sql(
+        "SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice "
+        "FROM {orders} WHERE o_orderstatus = :status AND o_totalprice > :floor",
+        args={"status": "F", "floor": 400000},
+        orders=lake.orders,
+    )
+
+
+@query(
+    "custom_query_extract",
+    """SELECT 'custom_query:' || substr('SELECT * FROM recent_orders', 1, 80) AS source_name,
+        COUNT(*) AS row_count FROM x_orders o JOIN x_customers c ON o.customer_id = c.customer_id
+        WHERE order_date >= DATE '1998-01-01'""",
+)
+def _(lake):
+    """A query's result written to bronze, under its default source name."""
+    root = new_workspace(lake.spark, "query")
+    customers.orders_with_customers(
+        lake.stg_orders, lake.stg_customers, "1998-01-01"
+    ).createOrReplaceTempView("recent_orders")
+    done = tables.extract_query(lake.spark, "SELECT * FROM recent_orders", root, "recent.parquet")
+    out = lake.spark.read.parquet(done["uri"]).agg(F.count("*").alias("row_count"))
+    return out.select(F.lit(done["source_name"]).alias("source_name"), "row_count")
+
+
+@query("load_replace", sql_manifest("orders"))
+def _(lake):
+    root = new_workspace(lake.spark, "load")
+    uri, _rows = tables.extract_full(_orders(lake), root, "orders.parquet")
+    target = f"{root}/warehouse/orders"
+    for _ in range(2):
+        tables.load_parquet(lake.spark, uri, target, "replace")
+    return manifest("orders", lake.spark.read.parquet(target))
+
+
+@query(
+    "load_append",
+    f"""SELECT 'orders' AS source_name, 2 * COUNT(*) AS row_count,
+        CAST(2 * {sql_fingerprint(ORDER_COLUMNS)} AS DECIMAL(38,0)) AS fingerprint FROM orders""",
+)
+def _(lake):
+    root = new_workspace(lake.spark, "load")
+    uri, _rows = tables.extract_full(_orders(lake), root, "orders.parquet")
+    target = f"{root}/warehouse/orders"
+    for _ in range(2):
+        tables.load_parquet(lake.spark, uri, target, "append")
+    return manifest("orders", lake.spark.read.parquet(target))
+
+
+@query("load_incremental_skip", sql_manifest("orders"))
+def _(lake):
+    """The second load offers all objects again; those in the ledger are skipped."""
+    root = new_workspace(lake.spark, "skip")
+    objects = _orders(lake).withColumn(
+        "object_key", F.concat(F.lit("part_"), (F.col("o_orderkey") % 8).cast("string"))
+    )
+    first = objects.where(F.col("o_orderkey") % 8 < 5)
+    tables.load_new_objects(lake.spark, first, f"{root}/ledger", f"{root}/orders")
+    tables.load_new_objects(lake.spark, objects, f"{root}/ledger", f"{root}/orders")
+    return manifest("orders", lake.spark.read.parquet(f"{root}/orders"))
+
+
+@query(
+    "dataset_fingerprint",
+    f"""SELECT 'customer' AS dataset, COUNT(*) AS row_count,
+            {sql_fingerprint(["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])} AS fingerprint FROM customer
+        UNION ALL SELECT 'orders', COUNT(*), {sql_fingerprint(ORDER_COLUMNS)} FROM orders
+        UNION ALL SELECT 'events', COUNT(*),
+            {sql_fingerprint(["event_id", "user_id", "event_type", "props"])} FROM events""",
+)
+def _(lake):
+    wanted = {
+        "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
+        "orders": ORDER_COLUMNS,
+        "events": ["event_id", "user_id", "event_type", "props"],
+    }
+    out = None
+    for name, columns in wanted.items():
+        one = lake.table(name).agg(
+            F.count("*").alias("row_count"), dataset_fingerprint(*columns).alias("fingerprint")
+        )
+        one = one.select(F.lit(name).alias("dataset"), "row_count", "fingerprint")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("file_checksums")
+def _(lake):
+    """md5 and sha256 of the part files of a written dataset."""
+    root = new_workspace(lake.spark, "sums")
+    uri, _rows = tables.extract_full(_orders(lake), root, "orders.parquet")
+    return files.file_checksums(lake.spark, uri)
+
+
+@query(
+    "partitioned_daily",
+    """SELECT CAST(year(transaction_timestamp) AS INTEGER) AS year,
+        CAST(month(transaction_timestamp) AS INTEGER) AS month,
+        CAST(day(transaction_timestamp) AS INTEGER) AS day, COUNT(*) AS transactions,
+        CAST(SUM(amount) AS DECIMAL(28,2)) AS total_amount FROM x_stg GROUP BY 1, 2, 3""",
+)
+def _(lake):
+    """Staged transactions in a year= / month= / day= layout, read back by partition."""
+    root = new_workspace(lake.spark, "daily")
+    target = layers.layer_path(root, "gold", "transactions")
+    tables.write_daily_partitions(lake.stg, "transaction_timestamp", target)
+    total = F.sum("amount").cast("decimal(28,2)")
+    return (
+        lake.spark.read.parquet(target)
+        .groupBy("year", "month", "day")
+        .agg(F.count("*").alias("transactions"), total.alias("total_amount"))
+    )
+
+
+@query("export_csv", sql_manifest("orders", "o_orderstatus = 'F'"))
+def _(lake):
+    root = new_workspace(lake.spark, "export")
+    tables.export_csv(_orders(lake).where("o_orderstatus = 'F'"), f"{root}/csv")
+    back = files.read_csv(lake.spark, f"{root}/csv", _orders(lake).schema)
+    return manifest("orders", back)
+
+
+@query(
+    "seed_currency_ref",
+    """SELECT currency, CASE currency WHEN 'USD' THEN 'US Dollar' WHEN 'EUR' THEN 'Euro' ELSE 'Pound Sterling'
+        END AS currency_name, COUNT(*) AS transactions, CAST(SUM(amount) AS DECIMAL(28,2)) AS total_amount
+        FROM x_stg GROUP BY 1, 2""",
+)
+def _(lake):
+    """A seed table joined to the facts after they are reduced to one row per currency."""
+    seed = lake.spark.createDataFrame(
+        [("USD", "US Dollar"), ("EUR", "Euro"), ("GBP", "Pound Sterling")],
+        "currency string, currency_name string",
+    )
+    used = lake.stg.groupBy("currency").agg(
+        F.count("*").alias("transactions"), F.sum("amount").cast("decimal(28,2)").alias("total_amount")
+    )
+    return used.join(seed, "currency", "left").select(
+        "currency", "currency_name", "transactions", "total_amount"
+    )
+
+
+@query(
+    "scd2_snapshot",
+    """WITH v AS (SELECT o_custkey AS customer_id, CAST(o_orderdate AS DATE) AS day,
+            arg_max(o_orderpriority, o_orderkey) AS tier FROM orders GROUP BY 1, 2),
+        c AS (SELECT *, lag(tier) OVER (PARTITION BY customer_id ORDER BY day) AS before FROM v),
+        s AS (SELECT customer_id, tier, day AS valid_from FROM c WHERE tier IS DISTINCT FROM before)
+        SELECT customer_id, tier, valid_from,
+            lead(valid_from) OVER (PARTITION BY customer_id ORDER BY valid_from) AS valid_to,
+            lead(valid_from) OVER (PARTITION BY customer_id ORDER BY valid_from) IS NULL AS is_current
+        FROM s""",
+)
+def _(lake):
+    from orefield.plans.snapshots import slowly_changing
+
+    versions = lake.orders.select(
+        F.col("o_custkey").alias("customer_id"),
+        F.col("o_orderpriority").alias("tier"),
+        F.to_date("o_orderdate").alias("day"),
+        "o_orderkey",
+    )
+    return slowly_changing(versions, ["customer_id"], ["tier"], "day", ["o_orderkey"])
+
+
+# -- layers ----------------------------------------------------------------------------------------
+
+
+def _three_layers(lake, label):
+    root = new_workspace(lake.spark, label)
+    tables.extract_full(_orders(lake), root, "sales/orders")
+    layers.promote(lake.spark, root, "sales/orders", "bronze", "silver")
+    daily = sales.daily_orders(lake.stg_orders)
+    daily.write.parquet(layers.layer_path(root, "gold", "reports/daily_orders"))
+    return root
+
+
+@query("layer_listing")
+def _(lake):
+    root = _three_layers(lake, "listing")
+    return layers.list_layer(lake.spark, root, "bronze", "sales/").select("object_key", "size_bytes")
+
+
+@query("promote_layer", sql_manifest("orders"))
+def _(lake):
+    root = _three_layers(lake, "promote")
+    path = layers.promote(lake.spark, root, "sales/orders", "silver", "gold", "copies/orders")
+    return manifest("orders", lake.spark.read.parquet(path))
+
+
+@query("layer_size_summary")
+def _(lake):
+    root = _three_layers(lake, "sizes")
+    return layers.layer_sizes(layers.list_objects(lake.spark, root))
+
+
+@query("layer_prefix_summary")
+def _(lake):
+    root = _three_layers(lake, "prefixes")
+    return layers.layer_prefixes(layers.list_objects(lake.spark, root))
+
+
+@query("verify_layers")
+def _(lake):
+    root = _three_layers(lake, "verify")
+    keys = {"bronze": "sales/orders", "silver": "sales/orders", "gold": "reports/daily_orders"}
+    return layers.verify_layers(lake.spark, root, keys)
+
+
+@query("table_ready", "SELECT 'orders' AS table_name, COUNT(*) >= 100 AS ready FROM orders")
+def _(lake):
+    ready = layers.table_ready(lake.orders, 100)
+    return lake.spark.createDataFrame([("orders", ready)], "table_name string, ready boolean")
+
+
+# -- schemas ---------------------------------------------------------------------------------------
+
+
+def _schema_sql(source, columns, sample):
+    rows = "UNION ALL ".join(
+        f"SELECT {i + 1} AS position, '{c}' AS column_name, '{t}' AS portable_type, "
+        f"(SELECT bool_or({c} IS NULL) FROM {source}) AS nullable "
+        for i, (c, t) in enumerate(columns)
+    )
+    size = f"(SELECT COUNT(*) FROM {source})"
+    shown = size if sample is None else f"least({sample}, {size})"
+    return f"SELECT *, {shown} AS sample_rows, {size} AS row_count FROM ({rows})"
+
+
+CUSTOMER_TYPES = [
+    ("customer_id", "string"), ("name", "string"), ("email", "string"), ("country", "string"),
+]
+SCHEMA_EVENTS = [
+    ("event_id", "integer"), ("event_type", "string"), ("user_id", "integer"), ("value", "float"),
+]
+
+
+@query("detect_schema_csv", _schema_sql("x_rawcust", CUSTOMER_TYPES, schemas.CSV_SAMPLE_ROWS))
+def _(lake):
+    root = new_workspace(lake.spark, "schema-csv")
+    lake.raw_customers.select(*[c for c, _ in CUSTOMER_TYPES]).write.option("header", True).csv(root)
+    return schemas.detect_schema(files.read_csv(lake.spark, root), schemas.CSV_SAMPLE_ROWS)
+
+
+@query("detect_schema_json", _schema_sql("events", SCHEMA_EVENTS, schemas.JSON_SAMPLE_ROWS))
+def _(lake):
+    root = new_workspace(lake.spark, "schema-json")
+    lake.table("events").select(*[c for c, _ in SCHEMA_EVENTS]).write.json(root)
+    return schemas.detect_schema(files.read_json(lake.spark, root), schemas.JSON_SAMPLE_ROWS)
+
+
+@query("detect_schema_table", _schema_sql("events", SCHEMA_EVENTS, None))
+def _(lake):
+    return schemas.detect_schema(lake.table("events").select(*[c for c, _ in SCHEMA_EVENTS]))
+
+
+@query("log_schema")
+def _(lake):
+    """Schemas of the given tables appended to the history, read back."""
+    path = new_workspace(lake.spark, "schema-log")
+    for name in ("orders", "lineitem", "events"):
+        df = lake.table(name)
+        columns = schemas.describe_schema(df.schema)
+        row = schemas.schema_change_row(lake.spark, name, columns, "2024-01-31", None)
+        counted = row.withColumn("row_count", df.agg(F.count("*")).scalar())
+        counted.write.mode("append").parquet(path)
+    return ledger.column_counts(lake.spark.read.parquet(path)).select(
+        "source_name", "column_count", "row_count"
+    )
+
+
+@query(
+    "schema_drift",
+    """WITH d AS (SELECT source_name, execution_date,
+            CAST(arg_max(k, (created_at, id)) % 7 + 1 AS INTEGER) AS column_count, COUNT(*) AS detections
+            FROM x_hist GROUP BY 1, 2),
+        l AS (SELECT *, lag(column_count) OVER (PARTITION BY source_name ORDER BY execution_date)
+            AS previous_count FROM d)
+        SELECT *, coalesce(column_count <> previous_count, false) AS drifted FROM l""",
+)
+def _(lake):
+    return ledger.schema_drift(lake.schema_history)
+
+
+@query(
+    "schema_column_counts",
+    """SELECT source_name, execution_date, id, CAST(k % 7 + 1 AS INTEGER) AS column_count FROM x_hist""",
+)
+def _(lake):
+    return ledger.column_counts(lake.schema_history).select(
+        "source_name", "execution_date", "id", "column_count"
+    )
+
+
+@query(
+    "schema_history_source",
+    """SELECT id, source_name, schema_metadata, execution_date, created_at FROM x_hist
+        WHERE source_name = 'feed_3'""",
+)
+def _(lake):
+    return ledger.schema_history_of(lake.schema_history, "feed_3")
+
+
+# -- ledgers and watermarks --------------------------------------------------------------------------
+
+
+@query(
+    "run_ledger_current",
+    """SELECT id AS run_id, source_name, status, CASE WHEN status = 'success' THEN row_count END AS row_count,
+        error_message, CASE WHEN status = 'running' THEN created_at ELSE updated_at END AS updated_at
+        FROM x_ing""",
+)
+def _(lake):
+    return ledger.current_runs(lake.run_events)
+
+
+@query(
+    "last_successful_run",
+    """SELECT source_name, id, execution_date, row_count, created_at FROM (SELECT *, row_number() OVER
+        (PARTITION BY source_name ORDER BY created_at DESC, id DESC) AS rn FROM x_ing
+        WHERE status = 'success') WHERE rn = 1""",
+)
+def _(lake):
+    return ledger.last_successful_runs(lake.ingestion)
+
+
+@query(
+    "stg_ingestion_metadata",
+    """SELECT id AS ingestion_id, source_name, source_type, execution_date, row_count, file_size_bytes,
+        checksum, status, error_message, created_at, updated_at FROM x_ing""",
+)
+def _(lake):
+    return ledger.stage_ledger(lake.ingestion)
+
+
+@query(
+    "recent_successes",
+    """SELECT id, source_name, execution_date, row_count, created_at FROM x_ing WHERE status = 'success'
+        ORDER BY created_at DESC, id DESC LIMIT 20""",
+)
+def _(lake):
+    return ledger.recent_successes(lake.ingestion)
+
+
+@query(
+    "failed_ingestions",
+    """SELECT id, source_name, execution_date, error_message, created_at FROM x_ing
+        WHERE status = 'failed'""",
+)
+def _(lake):
+    return ledger.failed_runs(lake.ingestion)
+
+
+@query(
+    "daily_ingestion_summary",
+    """SELECT execution_date, COUNT(*) AS total_runs, COUNT(*) FILTER (WHERE status = 'success') AS successful,
+        COUNT(*) FILTER (WHERE status = 'failed') AS failed, CAST(SUM(row_count) AS BIGINT) AS total_rows
+        FROM x_ing GROUP BY 1""",
+)
+def _(lake):
+    return ledger.daily_ingestion(lake.ingestion)
+
+
+@query(
+    "recent_runs",
+    """SELECT id, source_name, status, execution_date, updated_at FROM x_ing
+        ORDER BY updated_at DESC, id DESC LIMIT 20""",
+)
+def _(lake):
+    return ledger.recent_runs(lake.ingestion)
+
+
+@query("watermark_lookup", ALL + "x_wm_now WHERE source_name = 'src_7'")
+def _(lake):
+    marks = lake.watermark_ledger.where(F.col("source_name") == "src_7")
+    return watermarks.current_watermarks(marks)
+
+
+@query("watermark_upsert", ALL + "x_wm_now")
+def _(lake):
+    """Marks up to 1998 as the stored state, the later ones as upserts on top."""
+    cut = F.lit("1998-06-01").cast("timestamp_ntz")
+    old = lake.watermark_ledger.where(F.col("updated_at") < cut)
+    new = lake.watermark_ledger.where(F.col("updated_at") >= cut)
+    return watermarks.upsert_watermarks(watermarks.current_watermarks(old), new)
+
+
+@query("stg_watermarks", ALL + "x_wm")
+def _(lake):
+    return watermarks.stage_watermarks(lake.watermark_ledger)
+
+
+@query("watermarks_current", ALL + "x_wm_now ORDER BY updated_at DESC, source_name, watermark_column")
+def _(lake):
+    return watermarks.newest_watermarks(watermarks.current_watermarks(lake.watermark_ledger))
+
+
+@query(
+    "watermark_reset",
+    """SELECT source_name, watermark_column, watermark_value, watermark_type, updated_at FROM x_wm_now
+        WHERE source_name <> 'src_3' AND source_name <> 'src_4'
+        UNION ALL SELECT 'src_4', 'updated_at', '1995-01-01 00:00:00', 'timestamp',
+            TIMESTAMP '2024-01-31 00:00:00'""",
+)
+def _(lake):
+    """One mark deleted, one moved back; the others stay."""
+    gone = watermarks.reset_row(lake.spark, "src_3", "updated_at", None)
+    at = F.lit(EVENTS_NOW).cast("timestamp_ntz")
+    gone = gone.withColumn("updated_at", at)
+    back = watermarks.reset_row(lake.spark, "src_4", "updated_at", None, "1995-01-01 00:00:00")
+    back = back.withColumn("updated_at", at)
+    return watermarks.current_watermarks(
+        lake.watermark_ledger.unionByName(gone).unionByName(back)
+    )

@@ -6,7 +6,7 @@ from orefield.functions import convert_timestamp, surrogate_key
 from orefield.operators import bi
 from orefield.plans import customers, incremental, sales, transactions, users
 from orefield.session import new_workspace
-from orefield.workload.oracle_tables import mean
+from orefield.workload.oracle_tables import mean, rounded_mean
 from orefield.workload.registry import query
 from orefield.workload.tables import EVENTS_NOW
 
@@ -154,7 +154,7 @@ def _(lake):
     "gold_user_summary",
     f"""SELECT strftime(created_at, '%Y-%m-%d') AS created_date, COUNT(id) AS user_count,
         CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_amount,
-        round({mean("amount")}, 2) AS avg_amount FROM x_silver GROUP BY 1""",
+        {rounded_mean("amount")} AS avg_amount FROM x_silver GROUP BY 1""",
 )
 def _(lake):
     silver = users.clean_to_silver(lake.raw_users, ["created_at", "amount", "name"])
