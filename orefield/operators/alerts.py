@@ -45,6 +45,10 @@ def _field_key(field: Column) -> Column:
     return F.replace(F.lower(field["title"]), F.lit(" "), F.lit("_"))
 
 
+def _entries_of(column: str, key) -> Column:
+    return F.filter(column, lambda f: f["key"] == key)
+
+
 def parse_fields(alerts: DataFrame, column: str = "fields") -> DataFrame:
     """Known fields become columns, the others a map under snake_case keys."""
     entries = F.from_json(column, FIELDS_TYPE)
@@ -52,12 +56,11 @@ def parse_fields(alerts: DataFrame, column: str = "fields") -> DataFrame:
     rest = F.filter("_named", lambda f: ~f["key"].isin(list(FIELD_TITLES)))
     out = alerts.withColumn("_named", named)
     for key, name in FIELD_TITLES.items():
-        hit = F.filter("_named", lambda f, key=key: f["key"] == key)
-        out = out.withColumn(name, F.try_element_at(hit, F.lit(-1))["value"])
+        out = out.withColumn(name, F.try_element_at(_entries_of("_named", key), F.lit(-1))["value"])
     # A title that occurs twice keeps its last value.
     keys = F.array_distinct(F.transform("_rest", lambda f: f["key"]))
     last_value = F.transform(
-        keys, lambda k: F.element_at(F.filter("_rest", lambda f: f["key"] == k), -1)["value"]
+        keys, lambda k: F.element_at(_entries_of("_rest", k), -1)["value"]
     )
     return (
         out.withColumn("_rest", rest)

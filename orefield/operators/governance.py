@@ -112,7 +112,7 @@ def completeness(df: DataFrame, columns: list[str], layer: str) -> DataFrame:
     rows = F.array(
         *[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("present")) for c in columns]
     )
-    share = F.try_divide(F.lit(100.0) * F.col("present").cast("double"), F.col("n").cast("double"))
+    share = F.try_divide(F.lit(100.0) * F.col("r.present").cast("double"), F.col("n").cast("double"))
     return (
         counted.select("n", F.explode(rows).alias("r"))
         .select(F.lit(layer).alias("layer"), "r.column_name", share.alias("completeness_percent"))

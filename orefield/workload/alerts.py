@@ -1 +1,171 @@
-"""Queries."""
+"""Queries: alerts as data."""
+
+from pyspark.sql import functions as F
+
+from orefield.functions import alert_type_of_title
+from orefield.operators import alerts
+from orefield.workload.oracle_tables import ALERT_TYPE, hours, layer_case, mean, severity_case
+from orefield.workload.oracle_tables import EVENTS_NOW as SQL_NOW
+from orefield.workload.registry import query
+from orefield.workload.tables import EVENTS_NOW
+
+
+@query("alert_type_classify", f"SELECT id, title, {ALERT_TYPE} AS alert_type FROM x_al0")
+def _(lake):
+    return lake.alerts_of(lake.events).select(
+        "id", "title", alert_type_of_title(F.col("title")).alias("alert_type")
+    )
+
+
+@query(
+    "alert_metadata_map",
+    """SELECT id, alert_type, severity, substr(title, 1, 500) AS subject, dag_id, task_id,
+        strftime(created_at, '%Y-%m-%d') AS execution_date,
+        '{"try_number":"' || k || '","log_url":"http://log/' || user_id || '"}' AS metadata,
+        created_at FROM x_al""",
+)
+def _(lake):
+    """Field lists to columns plus a map, shown as JSON in field order."""
+    rows = alerts.alert_rows(lake.alerts_of(lake.events))
+    pair = F.from_json("metadata", "map<string,string>")
+    in_order = F.to_json(
+        F.struct(pair["try_number"].alias("try_number"), pair["log_url"].alias("log_url"))
+    )
+    return rows.withColumn("metadata", in_order)
+
+
+@query(
+    "alert_suppression",
+    f"""SELECT id, severity, {severity_case("severity")} > 2 AS suppressed,
+        CASE WHEN {severity_case("severity")} > 2 THEN 'Below severity threshold' END AS suppression_reason
+        FROM x_al""",
+)
+def _(lake):
+    kept = alerts.suppress_below(lake.alerts, "HIGH")
+    return kept.select("id", "severity", "suppressed", "suppression_reason")
+
+
+@query(
+    "dq_alert_severity",
+    f"""SELECT run_id, {layer_case("expectation_suite_name")} AS layer,
+        CASE WHEN {layer_case("expectation_suite_name")} = 'marts'
+                OR (22 - successful_expectations)::DOUBLE / 22 > 0.5 THEN 'CRITICAL'
+            WHEN (22 - successful_expectations)::DOUBLE / 22 > 0.2 THEN 'HIGH' ELSE 'MEDIUM' END AS severity
+        FROM x_vr WHERE NOT success""",
+)
+def _(lake):
+    from orefield.functions import layer_of_suite
+
+    layer = layer_of_suite(F.col("expectation_suite_name"))
+    return lake.validations.where(~F.col("success")).select(
+        "run_id",
+        layer.alias("layer"),
+        alerts.quality_alert_severity(
+            layer, F.col("unsuccessful_expectations"),
+            F.col("total_expectations"),
+        ).alias("severity"),
+    )
+
+
+@query(
+    "task_failure_alerts",
+    """SELECT run_id, 'Task Failure: ' || dag_id || '.' || task_id AS title,
+        'Task `' || task_id || '` in DAG `' || dag_id || '` has failed.' AS message,
+        CASE WHEN priority_weight > 10 THEN 'CRITICAL' ELSE 'HIGH' END AS severity
+        FROM x_ti WHERE state = 'failed'""",
+)
+def _(lake):
+    return alerts.task_failure_alerts(lake.tasks)
+
+
+@query(
+    "unacknowledged_alerts",
+    f"""SELECT id, alert_type, severity, subject, dag_id, task_id, created_at,
+        {hours(SQL_NOW, "created_at")} AS hours_since_alert FROM x_al WHERE NOT acknowledged""",
+)
+def _(lake):
+    return alerts.unacknowledged(lake.alerts, EVENTS_NOW)
+
+
+@query(
+    "alert_routing",
+    """SELECT id, dag_id, severity,
+        CASE WHEN dag_id IN ('sample_batch_ingestion', 'dbt_transform', 'data_quality_checks')
+            OR severity IN ('critical', 'high') THEN 'slack,email' ELSE 'slack' END AS channels,
+        CASE WHEN dag_id IN ('sample_batch_ingestion', 'dbt_transform') THEN 'HIGH'
+            WHEN dag_id = 'data_quality_checks' THEN 'CRITICAL' ELSE upper(severity) END AS routed_severity
+        FROM x_al""",
+)
+def _(lake):
+    return alerts.route(lake.alerts.select("id", "dag_id", "severity"))
+
+
+@query(
+    "alert_dedup",
+    """SELECT dag_id, alert_type, id, created_at FROM (SELECT *, lag(created_at) OVER
+            (PARTITION BY dag_id, alert_type ORDER BY created_at, id) AS before FROM x_al
+            WHERE dag_id NOT IN ('example_hello_world', 'example_monitoring') AND NOT is_retry)
+        WHERE before IS NULL OR created_at - before > INTERVAL 15 MINUTE""",
+)
+def _(lake):
+    return alerts.deduplicate(lake.alerts, ["dag_id", "alert_type"])
+
+
+def severity_count(name):
+    return f"COUNT(*) FILTER (WHERE severity = '{name}') AS {name}_count"
+
+
+@query(
+    "alert_window_summary",
+    f"""SELECT time_bucket(INTERVAL 5 MINUTE, created_at) AS window_start, COUNT(*) AS total_alerts,
+        {", ".join(severity_count(s) for s in ("critical", "high", "medium", "low"))},
+        COUNT(DISTINCT alert_type) AS alert_types, COUNT(*) > 2 AS send_summary FROM x_al GROUP BY 1""",
+)
+def _(lake):
+    return alerts.window_summary(lake.alerts, limit=2)
+
+
+@query(
+    "alert_escalation",
+    f"""SELECT id, severity, created_at, escalate_after_minutes FROM (SELECT *, CASE severity
+            WHEN 'critical' THEN 15 WHEN 'high' THEN 30 WHEN 'medium' THEN 60 END AS escalate_after_minutes
+            FROM x_al WHERE NOT acknowledged)
+        WHERE (epoch_us({SQL_NOW}) - epoch_us(created_at)) / 6e7 > escalate_after_minutes""",
+)
+def _(lake):
+    return alerts.to_escalate(lake.alerts, EVENTS_NOW)
+
+
+@query(
+    "alert_thresholds",
+    f"""WITH m AS (SELECT 'quality_min_success_percent' AS metric, expectation_suite_name AS subject,
+                {mean("success_percent")} AS value, 'min' AS direction FROM x_vr GROUP BY 2
+            UNION ALL SELECT 'health_min_score', CAST(metric_date AS VARCHAR), MIN(health_score)::DOUBLE, 'min'
+                FROM x_health GROUP BY 2
+            UNION ALL SELECT 'max_queued_tasks', CAST(metric_date AS VARCHAR), SUM(queued_tasks)::DOUBLE, 'max'
+                FROM x_health GROUP BY 2),
+        t AS (SELECT *, CASE metric WHEN 'quality_min_success_percent' THEN 90.0::DOUBLE
+            WHEN 'health_min_score' THEN 70.0::DOUBLE ELSE 100.0::DOUBLE END AS threshold FROM m)
+        SELECT *, CASE direction WHEN 'min' THEN value < threshold ELSE value > threshold END AS breached
+        FROM t""",
+)
+def _(lake):
+    mean_percent = F.sum("success_percent").cast("double") / F.count("success_percent")
+    quality = lake.validations.groupBy(F.col("expectation_suite_name").alias("subject")).agg(
+        mean_percent.alias("value")
+    )
+    day = F.col("metric_date").cast("string").alias("subject")
+    scores = lake.health.groupBy(day).agg(F.min("health_score").cast("double").alias("value"))
+    queued = lake.health.groupBy(day).agg(F.sum("queued_tasks").cast("double").alias("value"))
+
+    def metric(df, name, direction):
+        return df.select(
+            F.lit(name).alias("metric"), "subject", "value", F.lit(direction).alias("direction")
+        )
+
+    rows = (
+        metric(quality, "quality_min_success_percent", "min")
+        .unionByName(metric(scores, "health_min_score", "min"))
+        .unionByName(metric(queued, "max_queued_tasks", "max"))
+    )
+    return alerts.breaches(rows)

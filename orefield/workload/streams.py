@@ -1 +1,112 @@
-"""Queries."""
+"""Queries: the incremental shapes run as streams over the given events.
+
+Each starts with fresh checkpoint and output folders below the shared directory, runs until the
+input is used up and returns what was written.
+"""
+
+from pyspark.sql import functions as F
+
+from orefield.operators.quality import suites
+from orefield.operators.quality.rules import rule
+from orefield.plans import transactions
+from orefield.session import new_workspace
+from orefield.streaming import jobs
+from orefield.workload.registry import query
+from orefield.workload.tables import EVENTS_NOW
+
+
+def _events(lake):
+    """The events as a stream, with the adapters' k column."""
+    schema = lake.table("events").schema
+    stream = jobs.file_stream(lake.spark, lake.dir, schema, "events.parquet")
+    return stream.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+
+
+def _staged(lake):
+    return transactions.stage_transactions(lake.transactions_of(_events(lake)), EVENTS_NOW)
+
+
+@query(
+    "stream_file_ingest",
+    "SELECT event_id, ts, user_id, event_type, value, props FROM events",
+)
+def _(lake):
+    root = new_workspace(lake.spark, "stream-ingest")
+    for _ in range(2):  # the second run finds nothing new
+        jobs.run_to_parquet(_events(lake).drop("k"), f"{root}/out", f"{root}/checkpoint")
+    return lake.spark.read.parquet(f"{root}/out")
+
+
+@query("stream_daily_revenue")
+def _(lake):
+    root = new_workspace(lake.spark, "stream-revenue")
+    staged = _staged(lake).withColumn(
+        "transaction_timestamp", F.col("transaction_timestamp").cast("timestamp")
+    )
+    jobs.run_to_parquet(jobs.daily_revenue(staged), f"{root}/out", f"{root}/checkpoint")
+    return lake.spark.read.parquet(f"{root}/out")
+
+
+@query("stream_alert_dedup")
+def _(lake):
+    root = new_workspace(lake.spark, "stream-dedup")
+    alerts = lake.alerts_of(_events(lake)).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    kept = jobs.deduplicated_alerts(alerts, ["dag_id", "title"])
+    jobs.run_to_parquet(kept, f"{root}/out", f"{root}/checkpoint")
+    return lake.spark.read.parquet(f"{root}/out").select("dag_id", "title", "created_at")
+
+
+@query(
+    "stream_alert_summary",
+    """SELECT time_bucket(INTERVAL 5 MINUTE, created_at) AS window_start, COUNT(*) AS total_alerts,
+        COUNT(*) > 2 AS send_summary FROM x_al GROUP BY 1""",
+)
+def _(lake):
+    """Update mode: each batch writes the windows it changed, the last write of a window counts."""
+    root = new_workspace(lake.spark, "stream-windows")
+    alerts = lake.alerts_of(_events(lake)).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    windows = jobs.alert_windows(alerts, limit=2)
+    jobs.run_batches(windows, jobs.append_batches(f"{root}/out"), f"{root}/checkpoint", "update")
+    newest = F.max_by(F.struct("total_alerts", "send_summary"), F.col("batch_id"))
+    return (
+        lake.spark.read.parquet(f"{root}/out")
+        .groupBy(F.col("window_start").cast("timestamp_ntz").alias("window_start"))
+        .agg(newest.alias("w"))
+        .select("window_start", "w.*")
+    )
+
+
+@query("stream_mart_upsert", "SELECT * FROM x_summary")
+def _(lake):
+    root = new_workspace(lake.spark, "stream-mart")
+    write = jobs.upsert_daily_mart(f"{root}/staged", f"{root}/mart")
+    jobs.run_batches(_staged(lake), write, f"{root}/checkpoint")
+    return lake.spark.read.parquet(f"{root}/mart").select(*lake.daily_summary.columns)
+
+
+@query(
+    "stream_quality_gate",
+    """WITH r AS (SELECT *, concat_ws(',', CASE WHEN transaction_id IS NULL THEN 'not_null:transaction_id' END,
+            CASE WHEN amount < 0.01 THEN 'between:amount' END,
+            CASE WHEN quantity < 1 THEN 'between:quantity' END,
+            CASE WHEN currency NOT IN ('USD','EUR','GBP','usd','eur','gbp') THEN 'in_set:currency' END)
+            AS broken_rules FROM x_raw)
+        SELECT transaction_id, customer_id, amount, quantity, currency, broken_rules = '' AS passed, broken_rules
+        FROM r""",
+)
+def _(lake):
+    root = new_workspace(lake.spark, "stream-gate")
+    rules = [
+        rule("not_null", "transaction_id"),
+        rule("between", "amount", min=0.01),
+        rule("between", "quantity", min=1),
+        rule("in_set", "currency", values=suites.RAW_CURRENCIES),
+    ]
+    raw = lake.transactions_of(_events(lake))
+    jobs.run_batches(raw, jobs.quality_gate(rules, f"{root}/out"), f"{root}/checkpoint")
+    out = lake.spark.read.parquet(f"{root}/out")
+    return out.select(
+        "transaction_id", "customer_id", "amount", "quantity", "currency",
+        F.col("passed").cast("boolean").alias("passed"),
+        F.array_join("broken_rules", ",").alias("broken_rules"),
+    )
