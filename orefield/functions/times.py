@@ -17,15 +17,19 @@ def convert_timestamp(df: DataFrame, column: str) -> Column:
     dtype = df.schema[column].dataType
     value = F.col(column)
     if isinstance(dtype, T.NumericType):
-        return F.timestamp_seconds(value.cast("double")).cast("timestamp_ntz")
+        return _from_epoch(value.cast("double"))
     if isinstance(dtype, T.StringType):
-        epoch = F.timestamp_seconds(F.trim(value).try_cast("double")).cast("timestamp_ntz")
-        return F.when(value.rlike(EPOCH_TEXT), epoch).otherwise(
+        return F.when(value.rlike(EPOCH_TEXT), _from_epoch(F.trim(value).try_cast("double"))).otherwise(
             value.try_cast("timestamp").cast("timestamp_ntz")
         )
     return value.cast("timestamp_ntz")
 
 
+def _from_epoch(seconds: Column) -> Column:
+    micros = F.round(seconds * F.lit(1e6)).cast("bigint")
+    return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
 def seconds_between(later, earlier) -> Column:
     """Whole and fractional seconds as double, exact to the microsecond."""
     micros = F.timestamp_diff("MICROSECOND", _ts(earlier), _ts(later))

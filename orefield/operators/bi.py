@@ -72,9 +72,9 @@ def top(df: DataFrame, columns: list[str], by: str, tiebreak: str, n: int) -> Da
 
 
 def share_of_total(df: DataFrame, group: str, value: str, out: str = "share") -> DataFrame:
-    """Sum per group and its share; the total is a scalar subquery, not an all-rows window."""
+    """Sum per group and its share; the total is a scalar subquery over the group sums."""
     sums = df.groupBy(group).agg(F.sum(value).cast("decimal(38,2)").alias(value))
-    total = df.agg(F.sum(value).cast("decimal(38,2)")).scalar()
+    total = sums.agg(F.sum(value).cast("decimal(38,2)")).scalar()
     return sums.withColumn(out, ratio(F.col(value), total))
 
 

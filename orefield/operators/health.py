@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orefield.functions import health_color, health_score, health_status
+from orefield.operators.runs import FAILURE_RATE_LIMIT, QUEUE_LIMIT, SLA_TARGET
 
 # Fixed values
 ALERT_BELOW = 70
@@ -19,78 +20,62 @@ def one_row(df: DataFrame):
 
 
 def health_report(
-    as_of: str,
-    scheduler: DataFrame,
-    tasks: DataFrame,
-    freshness: DataFrame,
-    sla: DataFrame,
-    volumes: DataFrame,
-    queue: DataFrame,
-    dags: DataFrame,
+    as_of: str, tasks: DataFrame, freshness: DataFrame, volumes: DataFrame, dags: DataFrame
 ) -> DataFrame:
     """Combine the checks (one row each) into a scored snapshot with its issues.
 
-    ``scheduler``: scheduler_healthy, heartbeat_age_seconds; ``tasks``: failure_rate();
-    ``freshness``: stale_sources, avg_staleness_hours; ``sla``: sla_platform();
-    ``volumes``: anomalies; ``queue``: queue_snapshot(); ``dags``: dag_counts().
+    ``tasks``: runs.task_snapshot(); ``freshness``: stale_sources, avg_staleness_hours;
+    ``volumes``: anomalies; ``dags``: runs.dag_counts().
     """
-    parts = {
-        "sch": scheduler, "tsk": tasks, "fre": freshness, "sla": sla, "vol": volumes,
-        "que": queue, "dag": dags,
-    }
-    base = scheduler.sparkSession.range(1)
+    parts = {"tsk": tasks, "fre": freshness, "vol": volumes, "dag": dags}
+    base = tasks.sparkSession.range(1)
     side_by_side = base.select(*[one_row(df).alias(name) for name, df in parts.items()])
     issues = F.array_compact(
         F.array(
-            F.when(~F.col("sch.scheduler_healthy"), F.lit("Scheduler unhealthy")),
-            F.when(F.col("tsk.failure_issue"), F.lit("High failure rate")),
-            F.when(F.col("tsk.queue_issue"), F.lit("Task queue buildup")),
+            F.when(~F.col("tsk.scheduler_healthy"), F.lit("Scheduler unhealthy")),
+            F.when(F.col("tsk.failure_rate") > FAILURE_RATE_LIMIT, F.lit("High failure rate")),
+            F.when(F.col("tsk.queued_24h") > QUEUE_LIMIT, F.lit("Task queue buildup")),
             F.when(F.col("fre.stale_sources") > 0, F.lit("Stale sources")),
-            F.when(F.col("sla.sla_misses_24h") > 0, F.lit("SLA misses")),
-            F.when(F.col("sla.compliance_issue"), F.lit("SLA compliance below threshold")),
+            F.when(F.col("tsk.sla_misses_24h") > 0, F.lit("SLA misses")),
+            F.when(F.col("tsk.sla_compliance") < SLA_TARGET, F.lit("SLA compliance below threshold")),
             F.when(F.col("vol.anomalies") > 0, F.lit("Volume anomalies")),
-            F.when(F.col("que.queued") > 100, F.lit("High queue depth")),
+            F.when(F.col("tsk.queued_tasks") > QUEUE_LIMIT, F.lit("High queue depth")),
         )
     )
+    compliance = F.round("tsk.sla_compliance", 2)
     score = health_score(
-        F.coalesce("sch.scheduler_healthy", F.lit(True)),
+        F.coalesce("tsk.scheduler_healthy", F.lit(True)),
         F.col("tsk.failed_tasks_24h"),
-        F.col("sla.sla_compliance_percent"),
+        compliance,
         F.col("fre.stale_sources"),
-        F.col("que.queued"),
+        F.col("tsk.queued_tasks"),
     )
     moment = F.lit(as_of).cast("timestamp_ntz")
+    alert = (F.col("health_score") < ALERT_BELOW) | (F.size("issue_list") > 0)
+    severity = F.when(F.col("health_score") < CRITICAL_BELOW, "CRITICAL").otherwise("HIGH")
     return (
         side_by_side.select(
             F.to_date(moment).alias("metric_date"),
             moment.alias("metric_time"),
-            "sch.scheduler_healthy",
-            "sch.heartbeat_age_seconds",
+            "tsk.scheduler_healthy",
+            "tsk.heartbeat_age_seconds",
             F.col("dag.total").alias("total_dags"),
             F.col("dag.active").alias("active_dags"),
             F.col("dag.paused").alias("paused_dags"),
             "tsk.failed_tasks_24h",
             "tsk.successful_tasks_24h",
-            F.col("que.running").alias("running_tasks"),
-            F.col("que.queued").alias("queued_tasks"),
-            "sla.sla_compliance_percent",
-            "sla.sla_misses_24h",
+            "tsk.running_tasks",
+            "tsk.queued_tasks",
+            compliance.alias("sla_compliance_percent"),
+            "tsk.sla_misses_24h",
             F.col("fre.avg_staleness_hours").alias("avg_data_freshness_hours"),
             F.col("fre.stale_sources").alias("stale_sources_count"),
             score.alias("health_score"),
             issues.alias("issue_list"),
         )
         .withColumn("issues", F.array_join("issue_list", "; "))
-        .withColumn(
-            "alert", (F.col("health_score") < ALERT_BELOW) | (F.size("issue_list") > 0)
-        )
-        .withColumn(
-            "alert_severity",
-            F.when(
-                F.col("alert"),
-                F.when(F.col("health_score") < CRITICAL_BELOW, "CRITICAL").otherwise("HIGH"),
-            ),
-        )
+        .withColumn("alert", alert)
+        .withColumn("alert_severity", F.when(F.col("alert"), severity))
         .drop("issue_list")
     )
 

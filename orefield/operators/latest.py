@@ -28,7 +28,7 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], version: lis
 def insert_absent(current: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Candidates whose key the table does not hold yet (one row per key)."""
     fresh = candidates.dropDuplicates(keys)
-    return fresh.join(current.select(*keys), keys, "left_anti")
+    return fresh.join(current.select(*keys).distinct(), keys, "left_anti")
 
 
 def latest_per_source(df: DataFrame, keys: list[str], at: str, tiebreak: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ QUEUE_LIMIT = 100
 SLA_TARGET = 95
 RUNS_CHECKED = 10
 MISSES_SHOWN = 20
+HEARTBEAT_LIMIT_SECONDS = 300
 
 
 def since(as_of: str, hours: int) -> Column:
@@ -68,6 +69,38 @@ def failure_rate(tasks: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
     )
 
 
+def task_snapshot(tasks: DataFrame, misses: DataFrame, as_of: str) -> DataFrame:
+    """failure_rate, sla_platform, queue_snapshot and heartbeat for one moment, in a single scan."""
+    now = F.lit(as_of).cast("timestamp_ntz")
+    state, start = F.col("state"), F.col("start_date")
+    day, hour = start >= since(as_of, 24), start >= since(as_of, 1)
+    queued_or_running = state.isin("queued", "running", "scheduled")
+
+    def count(condition, name):
+        return F.count_if(condition).alias(name)
+
+    age = F.timestamp_diff("SECOND", F.max(F.when(start <= now, start)), now)
+    counted = tasks.agg(
+        count(day, "total_tasks_24h"),
+        count(day & (state == "failed"), "failed_tasks_24h"),
+        count(day & (state == "success"), "successful_tasks_24h"),
+        count(day & (state == "queued"), "queued_24h"),
+        count((hour | queued_or_running) & (state == "queued"), "queued_tasks"),
+        count((hour | queued_or_running) & (state == "running"), "running_tasks"),
+        age.alias("heartbeat_age_seconds"),
+    )
+    recent = misses.where(F.col("timestamp") >= since(as_of, 24)).limit(MISSES_SHOWN)
+    total = F.col("total_tasks_24h")
+    return counted.withColumns(
+        {
+            "scheduler_healthy": F.col("heartbeat_age_seconds") <= HEARTBEAT_LIMIT_SECONDS,
+            "failure_rate": percent(F.col("failed_tasks_24h"), total, digits=None, empty=0),
+            "sla_compliance": percent(F.col("successful_tasks_24h"), total, digits=None, empty=100),
+            "sla_misses_24h": recent.agg(F.count("*")).scalar(),
+        }
+    )
+
+
 def recent_failures(tasks: DataFrame, n: int = 10) -> DataFrame:
     return (
         tasks.where(F.col("state") == "failed")

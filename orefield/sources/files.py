@@ -30,6 +30,7 @@ class Ingested:
 
 
 def read_csv(spark: SparkSession, path, schema: StructType | None = None, **options) -> DataFrame:
+    """With a schema one pass; without one a first pass over all rows infers the types."""
     reader = spark.read.option("header", True).options(**options)
     if schema is not None:
         return reader.schema(schema).csv(path)

@@ -127,7 +127,7 @@ def objects_to_load(objects: DataFrame, load_ledger: DataFrame) -> DataFrame:
 
 def load_new_objects(
     spark: SparkSession, objects: DataFrame, ledger_path: str, target: str
-) -> DataFrame:
+) -> None:
     """Append rows of objects not loaded before and note them in the ledger.
 
     ``objects`` carries object_key and the rows; target files are partitioned by object key, so a
@@ -141,9 +141,11 @@ def load_new_objects(
         .partitionBy("object_key")
         .parquet(target)
     )
-    done = objects.groupBy("object_key").agg(F.count("*").alias("row_count"))
-    done.withColumn("status", F.lit("success")).write.mode("append").parquet(ledger_path)
-    return done
+    # Counting per partition folder reads row counts only, not the source a second time.
+    held = spark.read.parquet(target).groupBy("object_key").agg(F.count("*").alias("row_count"))
+    if path_exists(spark, ledger_path):
+        held = objects_to_load(held, spark.read.parquet(ledger_path))
+    held.withColumn("status", F.lit("success")).write.mode("append").parquet(ledger_path)
 
 
 def write_daily_partitions(df: DataFrame, day, path: str, codec: str = "zstd") -> None:

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from orefield.operators import governance, lineage
 from orefield.sources.schemas import schema_of_frames
 from orefield.workload.oracle_tables import ORDERS_NOW as SQL_ORDERS_NOW
-from orefield.workload.oracle_tables import pct
 from orefield.workload.registry import query
 from orefield.workload.tables import ORDERS_NOW
 
@@ -180,28 +179,6 @@ def _(lake):
     return governance.metadata_quality(lake.catalog_tables, lake.catalog_columns, lake.owners)
 
 
-@query(
-    "metadata_quality_by_schema",
-    f"""SELECT c.schema_name, COUNT(*) AS tables, COUNT(*) FILTER (WHERE u.table_name IS NOT NULL) AS unowned,
-        {pct("COUNT(*) FILTER (WHERE u.table_name IS NULL)", "COUNT(*)")} AS owned_percent
-        FROM x_cat c LEFT JOIN ({UNOWNED}) u ON c.schema_name = u.schema_name AND c.table_name = u.table_name
-        GROUP BY 1""",
-)
-def _(lake):
-    from orefield.functions import percent
-
-    unowned = governance.tables_without_owner(lake.catalog_tables, lake.owners)
-    missing = unowned.groupBy("schema_name").agg(F.count("*").alias("unowned"))
-    tables = lake.catalog_tables.groupBy("schema_name").agg(F.count("*").alias("tables"))
-    return (
-        tables.join(missing, "schema_name", "left")
-        .fillna(0, ["unowned"])
-        .withColumn(
-            "owned_percent", percent(F.col("tables") - F.col("unowned"), F.col("tables"), digits=None)
-        )
-    )
-
-
 @query(
     "pii_mask",
     r"""SELECT dataset_name, regexp_replace(regexp_replace(owner_name, '[A-Za-z]', 'x', 'g'), '[0-9]', 'n', 'g')

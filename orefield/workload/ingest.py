@@ -48,7 +48,8 @@ def _(lake):
     """CSV part files -> bronze Parquet; the row count is the one observed by the load."""
     root = new_workspace(lake.spark, "csv")
     _orders(lake).write.option("header", True).csv(f"{root}/in")
-    done = files.ingest_file(lake.spark, f"{root}/in", root, "orders/orders.csv", kind="csv")
+    schema = _orders(lake).schema
+    done = files.ingest_file(lake.spark, f"{root}/in", root, "orders/orders.csv", "csv", schema)
     return manifest("orders.csv", lake.spark.read.parquet(done.uri), done.row_count)
 
 
@@ -56,7 +57,8 @@ def _(lake):
 def _(lake):
     root = new_workspace(lake.spark, "json")
     _orders(lake).write.json(f"{root}/in")
-    done = files.ingest_file(lake.spark, f"{root}/in", root, "orders/orders.json", kind="json")
+    schema = _orders(lake).schema
+    done = files.ingest_file(lake.spark, f"{root}/in", root, "orders/orders.json", "json", schema)
     return manifest("orders.json", lake.spark.read.parquet(done.uri), done.row_count)
 
 

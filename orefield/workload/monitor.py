@@ -321,11 +321,6 @@ REPORT_SCORE = HEALTH_SCORE.format(
             CASE WHEN health_score < 50 THEN 'CRITICAL' ELSE 'HIGH' END END AS alert_severity FROM k""",
 )
 def _(lake):
-    now = F.lit(SLA_NOW).cast("timestamp_ntz")
-    age = F.timestamp_diff("SECOND", F.max("start_date"), now)
-    scheduler = lake.tasks.where(F.col("start_date") <= now).agg(
-        age.alias("heartbeat_age_seconds"), (age <= 300).alias("scheduler_healthy")
-    )
     swept = _sweep(lake)
     stale = F.sum(F.col("staleness_hours").cast("decimal(18,2)")).cast("double")
     fresh = swept.agg(
@@ -335,12 +330,9 @@ def _(lake):
     volumes = volume.volume_sweep(lake.ingestion, ORDERS_NOW)
     return health.health_report(
         SLA_NOW,
-        scheduler,
-        runs.failure_rate(lake.tasks, SLA_NOW),
+        runs.task_snapshot(lake.tasks, lake.sla_misses, SLA_NOW),
         fresh,
-        runs.sla_platform(lake.tasks, lake.sla_misses, SLA_NOW),
         volumes.agg(F.count_if("is_anomaly").alias("anomalies")),
-        runs.queue_snapshot(lake.tasks, SLA_NOW),
         runs.dag_counts(lake.dags),
     )
 

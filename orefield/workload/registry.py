@@ -22,6 +22,8 @@ class Entry:
     sql: str | None
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        # Dates and hours are taken in UTC whatever the machine's zone.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         return self.build(Lake(spark, sf_dir))
 
 
