@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from orefield.functions.labels import first_match
 from orefield.operators.latest import insert_absent, upsert
 from orefield.session import new_workspace
 
+REACHED = "root string, node string, hops int"
 EDGE_KEYS = ["source_name", "source_schema", "target_name", "target_schema"]
 # Service names in qualified names, entity type per stored type.
 WAREHOUSE_SERVICE = "data-warehouse-postgres.airflow"
@@ -108,27 +109,35 @@ def reachable(
     near, far = ("target", "source") if upstream else ("source", "target")
     links = edges.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct()
     links.write.parquet(f"{folder}/links")
-    links = spark.read.parquet(f"{folder}/links")
-    schema = "root string, node string, hops int"
-    roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("hops")).write.parquet(
-        f"{folder}/hop=0"
-    )
-    hop = 0
-    while max_hops is None or hop < max_hops:
-        frontier = spark.read.schema(schema).parquet(f"{folder}/hop={hop}")
-        seen = spark.read.schema(schema).parquet(*[f"{folder}/hop={i}" for i in range(hop + 1)])
-        found = (
-            frontier.join(links, "node")
+    links = spark.read.schema("node string, next string").parquet(f"{folder}/links")
+    start = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hops"))
+    rounds, found = [], _written(start, f"{folder}/hop=0")
+    while found and (max_hops is None or len(rounds) < max_hops):
+        hop = len(rounds) + 1
+        seen = [_read(spark, f"{folder}/hop={i}") for i in range(hop)]
+        reached = seen[0]
+        for earlier in seen[1:]:
+            reached = reached.unionByName(earlier)
+        ahead = (
+            seen[-1]
+            .join(links, "node")
             .select("root", F.col("next").alias("node"))
             .distinct()
-            .join(seen.select("root", "node"), ["root", "node"], "left_anti")
-            .withColumn("hops", F.lit(hop + 1))
+            .join(reached.select("root", "node"), ["root", "node"], "left_anti")
+            .withColumn("hops", F.lit(hop))
         )
-        found.write.parquet(f"{folder}/hop={hop + 1}")
-        hop += 1
-        if spark.read.schema(schema).parquet(f"{folder}/hop={hop}").isEmpty():
-            break
-    reached = [f"{folder}/hop={i}" for i in range(1, hop + 1)]
-    if not reached:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*reached)
+        path = f"{folder}/hop={hop}"
+        found = _written(ahead, path)
+        rounds.append(path)
+    return _read(spark, *rounds) if rounds else spark.createDataFrame([], REACHED)
+
+
+def _written(rows: DataFrame, path: str) -> int:
+    """Write one round; its size is observed on the way."""
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return seen.get["rows"]
+
+
+def _read(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.schema(REACHED).parquet(*paths)

@@ -13,7 +13,7 @@ LOWEST_GRADE = "C"
 
 def clean_to_silver(raw: DataFrame, order_by: list[str]) -> DataFrame:
     """Drop rows without email, keep the first row per id in ``order_by`` order."""
-    known = raw.dropna(subset=["email"])
+    known = raw.where(F.col("email").isNotNull())
     return first_per_key(known, ["id"], [F.asc(c) for c in order_by]).withColumns(
         {"id": F.col("id").cast("bigint"), "amount": F.col("amount").cast("double")}
     )

@@ -33,9 +33,12 @@ class Lake:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.dir = sf_dir.rstrip("/")
+        self._opened: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._opened:
+            self._opened[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._opened[name]
 
     # -- given tables ------------------------------------------------------------------------
 
@@ -220,6 +223,8 @@ class Lake:
             region, F.col("n_regionkey") == F.col("r_regionkey")
         )
         placed = self.orders.join(where, F.col("o_custkey") == F.col("c_custkey"))
+        # Both sides grow with the data: shuffle them, where AQE splits a hot key, never broadcast.
+        placed = placed.hint("merge")
         rows = self.lineitem.join(placed, F.col("l_orderkey") == F.col("o_orderkey")).join(
             self.part, F.col("l_partkey") == F.col("p_partkey")
         )
