@@ -86,9 +86,9 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
         )
     ).scalar()
     x = F.col(column).cast("double")
-    width = F.nullif(F.col("b.high") - F.col("b.low"), F.lit(0.0))
-    position = F.floor((x - F.col("b.low")) * bins / width)
-    number = F.coalesce(F.least(position, F.lit(bins - 1)), F.lit(0)).cast("int")
+    width = F.col("b.high") - F.col("b.low")
+    position = F.floor((x - F.col("b.low")) * bins / F.nullif(width, F.lit(0.0)))
+    number = F.when(width > 0, F.least(position, F.lit(bins - 1))).otherwise(0).cast("int")
     return (
         df.where(F.col(column).isNotNull())
         .select(column)

@@ -45,12 +45,14 @@ def freshness_state(df: DataFrame, column: str, as_of: str, warn_hours=24, error
     """pass / warn / error by the age of the newest row; an empty table is an error."""
     return (
         df.agg(F.max(column).cast("timestamp_ntz").alias("max_loaded_at"))
-        .withColumn("age_hours", hours_between(_now(as_of), "max_loaded_at"))
-        .withColumn(
-            "state",
-            F.when(F.col("age_hours") <= warn_hours, "pass")
-            .when(F.col("age_hours") <= error_hours, "warn")
-            .otherwise("error"),
+        .withColumn("exact", hours_between(_now(as_of), "max_loaded_at", digits=None))
+        .select(
+            "max_loaded_at",
+            F.round("exact", 2).alias("age_hours"),
+            F.when(F.col("exact") <= warn_hours, "pass")
+            .when(F.col("exact") <= error_hours, "warn")
+            .otherwise("error")
+            .alias("state"),
         )
     )
 

@@ -73,8 +73,8 @@ def _(lake):
     "bi_lifetime_hist",
     """WITH b AS (SELECT MIN(customer_lifetime_days)::DOUBLE AS lo, MAX(customer_lifetime_days)::DOUBLE AS hi
             FROM x_cust)
-        SELECT CAST(coalesce(least(floor((customer_lifetime_days - lo) * 20 / NULLIF(hi - lo, 0)), 19), 0)
-            AS INTEGER) AS bin, COUNT(*) AS customers FROM x_cust, b GROUP BY 1""",
+        SELECT CASE WHEN hi > lo THEN CAST(least(floor((customer_lifetime_days - lo) * 20 / (hi - lo)), 19)
+            AS INTEGER) ELSE 0 END AS bin, COUNT(*) AS customers FROM x_cust, b GROUP BY 1""",
 )
 def _(lake):
     return bi.histogram(lake.customer_mart, "customer_lifetime_days")
