@@ -140,43 +140,71 @@ def evaluate(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row per rule: kind, column, success, element, unexpected count and percent."""
     counters = [F.count("*").alias("row_count")]
     for i, r in enumerate(rules):
-        if r.kind in SCHEMA_RULES or r.kind == "row_count":
-            continue
-        if all(c in df.columns for c in _needed(r)):
+        if _counted(df, r):
             counters += _counters(df, r, i)
     totals = df.agg(*counters)
+    derived = {}
     for i, r in enumerate(rules):
         if r.kind == "unique" and r.column in df.columns:
-            totals = totals.withColumn(f"u{i}", repeated_values(df, r.column).scalar())
-    outcomes = F.array(*[_outcome(df, r, i) for i, r in enumerate(rules)])
-    return totals.select(F.explode(outcomes).alias("r")).select("r.*")
+            derived[f"u{i}"] = repeated_values(df, r.column).scalar()
+        elif r.kind == "row_count":
+            derived[f"ok{i}"] = ~_between(F.col("row_count"), r.args)
+    if derived:
+        totals = totals.withColumns(derived)
+    found = F.expr(f"explode(array({', '.join(_finding(df, r, i) for i, r in enumerate(rules))}))")
+    kept = F.try_divide(
+        (F.col("evaluated") - F.col("unexpected_count")).cast("double"),
+        F.col("evaluated").cast("double"),
+    )
+    success = (
+        F.when(F.col("settled").isNotNull(), F.col("settled"))
+        .when(F.col("mostly") >= 1, F.col("unexpected_count") == 0)
+        .otherwise(F.coalesce(kept >= F.col("mostly"), F.lit(True)))
+    )
+    return (
+        totals.select(found.alias("r"))
+        .select("r.*")
+        .select(
+            "rule_no",
+            "rule",
+            "column_name",
+            success.alias("success"),
+            "element_count",
+            "unexpected_count",
+            percent(F.col("unexpected_count"), F.col("evaluated"), digits=None).alias(
+                "unexpected_percent"
+            ),
+        )
+    )
+
 
+def _counted(df: DataFrame, r: Rule) -> bool:
+    """Whether the rule needs counters and all its columns are there."""
+    if r.kind in SCHEMA_RULES or r.kind == "row_count":
+        return False
+    return all(c in df.columns for c in _needed(r))
 
-def _outcome(df: DataFrame, r: Rule, i: int) -> Column:
-    element = unexpected = F.lit(None).cast("bigint")
-    share = F.lit(None).cast("double")
-    rows = F.col("row_count")
+
+def _finding(df: DataFrame, r: Rule, i: int) -> str:
+    """A rule's counts as one SQL struct; ``settled`` where no count decides the outcome."""
+    element = evaluated = unexpected = "CAST(NULL AS BIGINT)"
+    settled = "CAST(NULL AS BOOLEAN)"
     if r.kind in SCHEMA_RULES:
-        success = F.lit(schema_rule_holds(df, r))
+        settled = str(schema_rule_holds(df, r)).lower()
     elif r.kind == "row_count":
-        element = rows
-        success = ~_between(rows, r.args)
-    elif not all(c in df.columns for c in _needed(r)):
-        success = F.lit(False)
+        element, settled = "row_count", f"ok{i}"
+    elif _counted(df, r):
+        element, evaluated, unexpected = "row_count", f"e{i}", f"u{i}"
     else:
-        evaluated, unexpected, element = F.col(f"e{i}"), F.col(f"u{i}"), rows
-        share = percent(unexpected, evaluated, digits=None)
-        if r.mostly >= 1.0:
-            success = unexpected == 0
-        else:
-            kept = F.try_divide((evaluated - unexpected).cast("double"), evaluated.cast("double"))
-            success = F.coalesce(kept >= r.mostly, F.lit(True))
-    return F.struct(
-        F.lit(i + 1).alias("rule_no"),
-        F.lit(r.kind).alias("rule"),
-        F.lit(r.column).cast("string").alias("column_name"),
-        success.alias("success"),
-        element.cast("bigint").alias("element_count"),
-        unexpected.cast("bigint").alias("unexpected_count"),
-        share.alias("unexpected_percent"),
+        settled = "false"
+    column = "CAST(NULL AS STRING)" if r.column is None else _quoted(r.column)
+    return (
+        f"named_struct('rule_no', {i + 1}, 'rule', {_quoted(r.kind)}, 'column_name', {column}, "
+        f"'settled', {settled}, 'element_count', {element}, 'evaluated', {evaluated}, "
+        f"'unexpected_count', {unexpected}, 'mostly', {float(r.mostly)}D)"
     )
+
+
+def _quoted(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"

@@ -43,7 +43,49 @@ def _(lake):
     return out
 
 
-@query("catalog_columns")
+# Columns and types each model is expected to have.
+LINE = "transaction_id bigint, customer_id bigint, product_id bigint"
+TYPES = {
+    ("raw", "transactions", "x_raw"): f"{LINE}, amount double, currency string, quantity int, timestamp timestamp_ntz",
+    ("staging", "stg_transactions", "x_stg"): f"{LINE}, amount decimal(18;2), currency string, quantity int, "
+    "transaction_timestamp timestamp_ntz, _loaded_at timestamp_ntz",
+    ("intermediate", "int_transactions_enriched", "x_enr"): f"{LINE}, amount decimal(18;2), currency string, "
+    "quantity int, transaction_timestamp timestamp_ntz, total_value decimal(18;2), transaction_hour int, "
+    "transaction_day_of_week int, is_high_value boolean, time_category string, _loaded_at timestamp_ntz",
+    ("intermediate", "int_daily_transactions", "x_daily"): "transaction_date date, total_transactions bigint, "
+    "total_amount decimal(28;2), avg_amount double, unique_customers bigint, unique_products bigint, "
+    "total_revenue decimal(28;2)",
+    ("marts", "mart_customer_analytics", "x_cust"): "customer_id bigint, total_transactions bigint, "
+    "total_spent decimal(28;2), avg_transaction_value double, first_transaction_date timestamp_ntz, "
+    "last_transaction_date timestamp_ntz, customer_lifetime_days int, unique_products_purchased bigint, "
+    "high_value_transaction_count bigint, total_units_purchased bigint",
+    ("marts", "mart_product_analytics", "x_prod"): "product_id bigint, total_transactions bigint, "
+    "total_units_sold bigint, total_revenue decimal(28;2), unique_customers bigint, avg_price_per_unit double, "
+    "first_sale_date timestamp_ntz, last_sale_date timestamp_ntz, high_value_transaction_count bigint",
+    ("marts", "mart_daily_summary", "x_summary"): "date date, total_transactions bigint, "
+    "total_revenue decimal(28;2), total_amount decimal(28;2), avg_transaction_value double, "
+    "unique_customers bigint, unique_products bigint",
+}
+PORTABLE = {
+    "bigint": "integer", "int": "integer", "double": "float", "decimal": "float", "boolean": "boolean",
+    "date": "timestamp", "timestamp_ntz": "timestamp", "string": "string",
+}
+
+
+def catalog_sql():
+    parts = []
+    for (schema, table, source), columns in TYPES.items():
+        for i, column in enumerate(columns.split(", ")):
+            name, dtype = column.replace(";", ",").split(" ")
+            parts.append(
+                f"SELECT '{schema}' AS schema_name, '{table}' AS table_name, {i + 1} AS position, "
+                f"'{name}' AS column_name, '{dtype}' AS data_type, '{PORTABLE[dtype.split('(')[0]]}' "
+                f"AS portable_type, COUNT(*) FILTER (WHERE \"{name}\" IS NULL) AS null_count FROM {source}"
+            )
+    return " UNION ALL ".join(parts)
+
+
+@query("catalog_columns", catalog_sql())
 def _(lake):
     """Column catalog with the null count of each column over the whole table."""
     catalog = schema_of_frames(_frames(lake), lake.spark)

@@ -37,23 +37,30 @@ def _(lake):
     return lake.spark.read.parquet(f"{root}/out")
 
 
-@query("stream_daily_revenue")
+@query(
+    "stream_daily_revenue",
+    """SELECT transaction_date, total_transactions, total_amount FROM x_daily
+        WHERE transaction_date + INTERVAL 1 DAY <= (SELECT MAX(transaction_timestamp) - INTERVAL 1 DAY FROM x_stg)""",
+)
 def _(lake):
+    """The days the watermark has closed; later ones are still open when the input ends."""
     root = new_workspace(lake.spark, "stream-revenue")
     staged = _staged(lake).withColumn(
         "transaction_timestamp", F.col("transaction_timestamp").cast("timestamp")
     )
     jobs.run_to_parquet(jobs.daily_revenue(staged), f"{root}/out", f"{root}/checkpoint")
-    return lake.spark.read.parquet(f"{root}/out")
+    closed = lake.spark.read.parquet(f"{root}/out")
+    return closed.select("transaction_date", "total_transactions", "total_amount")
 
 
-@query("stream_alert_dedup")
+@query("stream_alert_dedup", "SELECT DISTINCT dag_id, title FROM x_al0")
 def _(lake):
+    """The keys that got an alert out; the table is one file, hence one batch and one alert per key."""
     root = new_workspace(lake.spark, "stream-dedup")
     alerts = lake.alerts_of(_events(lake)).withColumn("created_at", F.col("created_at").cast("timestamp"))
     kept = jobs.deduplicated_alerts(alerts, ["dag_id", "title"])
     jobs.run_to_parquet(kept, f"{root}/out", f"{root}/checkpoint")
-    return lake.spark.read.parquet(f"{root}/out").select("dag_id", "title", "created_at")
+    return lake.spark.read.parquet(f"{root}/out").select("dag_id", "title")
 
 
 @query(

@@ -251,7 +251,7 @@ def test_metadata_quality_floor_and_status(spark):
     score = lambda n, errors=0: tuple(governance.metadata_quality(tables, columns, owners(n), errors).select("quality_score", "overall_status").first())
     assert score(5) == (95.0, "healthy") and score(5, 1) == (95.0, "warning") and score(5, 6) == (95.0, "critical")
     assert score(2) == (80.0, "healthy") and score(1) == (75.0, "warning")
-    many = tables.crossJoin(spark.range(60)).withColumn("table_name", F.concat("table_name", F.col("id").cast("string")))
+    many = spark.range(300).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("table_name"), F.lit("s").alias("schema_name"))
     assert governance.metadata_quality(many, columns, owners(5)).first()["quality_score"] == 0.0
 
 

@@ -10,7 +10,6 @@ SMALL = "/root/testdata/sf0.001"
 # Queries whose result is not a function of the tables alone, or not expressible in SQL.
 ROWS_ONLY = {
     "file_checksums", "layer_listing", "layer_size_summary", "layer_prefix_summary", "verify_layers",
-    "log_schema", "catalog_columns", "stream_daily_revenue", "stream_alert_dedup",
 }
 
 
