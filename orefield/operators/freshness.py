@@ -41,6 +41,22 @@ def source_freshness(ledger: DataFrame, as_of: str, max_hours: int = 24, layer="
     )
 
 
+class StaleError(Exception):
+    """A source is older than it may be."""
+
+
+def require_fresh(checked: DataFrame, shown: int = 5) -> None:
+    """Raise with the stalest sources of a freshness check; a source never loaded has no age."""
+    stale = checked.where(~F.col("is_fresh"))
+    rows = stale.orderBy(F.desc_nulls_first("staleness_hours"), "source_name").limit(shown).collect()
+    if rows:
+        def age(hours):
+            return "never loaded" if hours is None else f"{hours:.1f}h"
+
+        names = ", ".join(f"{r['source_name']} ({age(r['staleness_hours'])})" for r in rows)
+        raise StaleError(f"{stale.count()} stale sources: {names}")
+
+
 def freshness_state(df: DataFrame, column: str, as_of: str, warn_hours=24, error_hours=48) -> DataFrame:
     """pass / warn / error by the age of the newest row; an empty table is an error."""
     return (

@@ -1,12 +1,17 @@
 """Run ledger and schema history: append-only tables and the queries over them."""
 
-from pyspark.sql import DataFrame
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orefield.operators.latest import first_per_key
 
 # A run's states in the order they may follow each other.
 RUN_STATES = ["running", "success", "failed"]
+ERROR_LENGTH = 500
 
 
 def run_started(runs: DataFrame) -> DataFrame:
@@ -20,8 +25,36 @@ def run_finished(runs: DataFrame, ok, row_count, error, at) -> DataFrame:
     return runs.select(
         "run_id", "source_name", F.when(ok, "success").otherwise("failed").alias("status"),
         F.when(ok, row_count).cast("bigint").alias("row_count"),
-        F.when(~ok, F.substring(error, 1, 500)).alias("error_message"), at.alias("updated_at"),
+        F.when(~ok, F.substring(error, 1, ERROR_LENGTH)).alias("error_message"), at.alias("updated_at"),
+    )
+
+
+def append_state(
+    spark: SparkSession, path: str, run_id, source: str, status: str, row_count=None, error=None
+) -> None:
+    """One event of a run, stamped with the current time, appended to the ledger."""
+    row = spark.createDataFrame(
+        [(str(run_id), source, status, row_count, error and error[:ERROR_LENGTH])],
+        "run_id string, source_name string, status string, row_count bigint, error_message string",
     )
+    now = F.current_timestamp().cast("timestamp_ntz")
+    row.withColumn("updated_at", now).write.mode("append").parquet(path)
+
+
+def logged(spark: SparkSession, path: str, run_id, source: str, action: Callable):
+    """Run ``action`` between its 'running' and 'success' or 'failed' events.
+
+    The result's row_count (attribute or key) goes into the ledger; a failure is noted and raised.
+    """
+    append_state(spark, path, run_id, source, "running")
+    try:
+        result = action()
+    except Exception as e:
+        append_state(spark, path, run_id, source, "failed", error=str(e))
+        raise
+    rows = result["row_count"] if isinstance(result, dict) else getattr(result, "row_count", None)
+    append_state(spark, path, run_id, source, "success", rows)
+    return result
 
 
 def _null(dtype, name):
@@ -100,8 +133,6 @@ def schema_drift(history: DataFrame) -> DataFrame:
     Detections of one day are folded to the newest first, so the window holds at most one row per
     source and calendar day.
     """
-    from pyspark.sql import Window
-
     newest = F.max_by("column_count", F.struct("created_at", "id"))
     daily = (
         column_counts(history)

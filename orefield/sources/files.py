@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from orefield.sources.layers import layer_path, list_objects, parquet_key
+from orefield.sources.layers import layer_path, list_objects, parquet_key, stored_bytes
 from orefield.sources.schemas import describe_schema
 
 CORRUPT = "_corrupt_record"
@@ -26,6 +26,8 @@ class Ingested:
 
     uri: str
     row_count: int
+    file_size_bytes: int
+    checksum: str
     schema: list[dict] = field(default_factory=list)
 
 
@@ -68,14 +70,19 @@ def read_files(spark, path, kind, schema=None, lines=None) -> DataFrame:
     raise IngestionError(f"unsupported file type: {kind}")
 
 
-def write_counted(df: DataFrame, target: str, name: str = "ingest", **partition) -> dict:
-    """Write Parquet and count the rows in the same pass; extra metrics go in ``partition``."""
-    seen = Observation(name)
-    metrics = [F.count(F.lit(1)).alias("row_count")] + [v.alias(k) for k, v in partition.items()]
-    df.observe(seen, *metrics).write.mode("overwrite").parquet(target)
+def write_counted(df: DataFrame, target: str, **metrics) -> dict:
+    """Write Parquet and observe the row count, and any further metrics, in the same pass."""
+    seen = Observation()
+    named = [F.count(F.lit(1)).alias("row_count")] + [v.alias(k) for k, v in metrics.items()]
+    df.observe(seen, *named).write.mode("overwrite").parquet(target)
     return seen.get
 
 
+def content_hash(df: DataFrame) -> Column:
+    """Order-free checksum of all rows, cheap enough to be taken while they are written."""
+    return F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)"))
+
+
 def ingest_file(
     spark: SparkSession,
     path: str,
@@ -90,10 +97,16 @@ def ingest_file(
     target = layer_path(root, "bronze", parquet_key(key))
     try:
         df = read_files(spark, path, kind, schema, lines)
-        counted = write_counted(df, target)
+        counted = write_counted(df, target, checksum=content_hash(df))
     except PySparkException as e:
         raise IngestionError(f"{path}: {e}") from e
-    return Ingested(target, counted["row_count"], describe_schema(df.schema))
+    return Ingested(
+        target,
+        counted["row_count"],
+        stored_bytes(spark, target),
+        str(counted["checksum"] or 0),
+        describe_schema(df.schema),
+    )
 
 
 def batch_manifest(

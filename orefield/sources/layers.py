@@ -33,6 +33,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of the files below a path, from the file system's own summary."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(jvm_path).getLength()
+
+
 def list_objects(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """One row per file below ``root``; the content column is never selected, so no file is read."""
     files = (
@@ -116,6 +123,10 @@ def table_ready(df: DataFrame, min_rows: int = 1) -> bool:
     return df.limit(min_rows).count() >= min_rows
 
 
+def path_ready(spark: SparkSession, path: str, min_rows: int = 1) -> bool:
+    return path_exists(spark, path) and table_ready(spark.read.parquet(path), min_rows)
+
+
 def file_date_partition() -> tuple[Column, Column]:
     """Dataset name and date taken from a file name such as sales_20240131.parquet."""
     name = F.col("_metadata.file_name")

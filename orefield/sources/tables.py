@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from orefield.operators import watermarks
 from orefield.sources.files import write_counted
 from orefield.sources.layers import layer_path, path_exists
 
@@ -84,6 +85,27 @@ def extract_incremental(
     }
 
 
+def incremental_run(
+    df: DataFrame, root: str, key: str, source: str, column: str, marks_path: str
+) -> dict:
+    """Extract what is newer than the stored mark, then append the new mark.
+
+    The mark is written last: a run lost before that is repeated from the old mark onto the same
+    path, so nothing is missed and nothing is loaded twice.
+    """
+    spark = df.sparkSession
+    mark = None
+    if path_exists(spark, marks_path):
+        mark = watermarks.lookup(spark.read.parquet(marks_path), source, column)
+    done = extract_incremental(df, root, key, column, mark)
+    if done["row_count"]:
+        kind = df.schema[column].dataType.simpleString()
+        row = watermarks.watermark_row(spark, source, column, done["watermark"], kind, None)
+        now = F.current_timestamp().cast("timestamp_ntz")
+        row.withColumn("updated_at", now).write.mode("append").parquet(marks_path)
+    return done
+
+
 def extract_query(spark: SparkSession, query: str, root: str, key: str, args=None, name=None) -> dict:
     df = spark.sql(query, args=args) if args else spark.sql(query)
     uri, rows = extract_full(df, root, key)
@@ -107,9 +129,7 @@ def load_parquet(spark: SparkSession, path: str, target: str, mode: str = "repla
 
 
 def bulk_insert(df: DataFrame, target: str, mode: str = "append") -> int:
-    from pyspark.sql import Observation
-
-    seen = Observation("load")
+    seen = Observation()
     counted = df.observe(seen, F.count(F.lit(1)).alias("row_count"))
     writer = counted.write.mode(_save_mode(mode))
     if mode == "replace":

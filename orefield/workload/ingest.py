@@ -138,11 +138,10 @@ def _(lake):
     root = new_workspace(lake.spark, "delta")
     source = lake.table("events").select("event_id", "ts")
     early = source.where(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"))
-    rows, mark = [], None
-    for i, (run, df) in enumerate([("first", early), ("second", source), ("third", source)]):
-        done = tables.extract_incremental(df, root, f"events/run={i}", "ts", mark)
-        mark = done["watermark"]
-        rows.append((run, done["row_count"], mark[:10]))
+    rows = []
+    for run, df in [("first", early), ("second", source), ("third", source)]:
+        done = tables.incremental_run(df, root, f"events/{run}", "events", "ts", f"{root}/marks")
+        rows.append((run, done["row_count"], done["watermark"][:10]))
     return lake.spark.createDataFrame(rows, "run string, row_count bigint, watermark_day string")
 
 

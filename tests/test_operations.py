@@ -22,6 +22,9 @@ def test_freshness_limits(spark, ts):
     assert rows_of(one, "source_name", "staleness_hours", "is_fresh") == [
         ("a", 24.0, True), ("b", 25.0, False), ("c", None, False),
     ]
+    with pytest.raises(freshness.StaleError, match=r"2 stale sources: c \(never loaded\), b \(25.0h\)"):
+        freshness.require_fresh(one)
+    freshness.require_fresh(one.where("is_fresh"))
     marks = ts([("m", "ts", "2024-01-10 12:00:00")], "source_name string, watermark_column string, updated_at string", "updated_at")
     runs_ = ts(
         [("mart_x", "marts.x", True, "2024-01-10 06:00:00"), ("staging_y", "s.y", False, NOW)],

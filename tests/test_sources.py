@@ -2,6 +2,8 @@ import hashlib
 import json
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -28,6 +30,9 @@ def test_csv_lands_as_parquet_with_its_schema(spark, local, folder):
     path = local("people.csv", "id,name,score\n1,Ann,2.5\n2,Bob,\n")
     done = files.ingest_file(spark, path, folder, "people/people.csv")
     assert done.uri == f"{folder}/raw/people/people.parquet" and done.row_count == 2
+    assert done.file_size_bytes > 0
+    again = files.ingest_file(spark, path, folder, "people/again.csv")
+    assert again.checksum == done.checksum != "0"
     assert [(c["name"], c["type"]) for c in done.schema] == [
         ("id", "integer"), ("name", "string"), ("score", "float"),
     ]
@@ -170,11 +175,18 @@ def test_table_ready(spark):
     assert layers.table_ready(spark.range(5), 5) and not layers.table_ready(spark.range(4), 5)
 
 
-def test_file_name_dates(spark, folder):
-    spark.range(3).coalesce(1).write.parquet(f"{folder}/x")
+def test_path_ready(spark, folder):
+    assert not layers.path_ready(spark, f"{folder}/none")
+    spark.range(3).write.parquet(f"{folder}/t")
+    assert layers.path_ready(spark, f"{folder}/t", 3) and not layers.path_ready(spark, f"{folder}/t", 4)
+
+
+def test_file_name_dates(spark, tmp_path):
+    for name in ("sales_20240131", "sales_20240230", "other"):
+        pq.write_table(pa.table({"v": [1]}), tmp_path / f"{name}.parquet")
     name, day = layers.file_date_partition()
-    rows = spark.read.parquet(f"{folder}/x").select(name.alias("n"), day.alias("d"))
-    assert rows_of(rows) == [("", None)] * 3
+    rows = spark.read.parquet(str(tmp_path)).select(name.alias("n"), day.cast("string").alias("d"))
+    assert rows_of(rows) == [("", None), ("sales", "2024-01-31"), ("sales", None)]
 
 
 def test_jdbc_read_needs_bounds(spark):
@@ -198,6 +210,30 @@ def test_run_life_cycle(spark, ts):
     ]
 
 
+def test_logged_runs(spark, folder):
+    path = f"{folder}/ledger"
+
+    def fails():
+        raise files.IngestionError("y" * 900)
+
+    ledger.logged(spark, path, 1, "a", lambda: {"row_count": 4})
+    with pytest.raises(files.IngestionError):
+        ledger.logged(spark, path, 2, "a", fails)
+    got = ledger.current_runs(spark.read.parquet(path))
+    assert rows_of(got, "run_id", "status", "row_count", F.length("error_message")) == [
+        ("1", "success", 4, None), ("2", "failed", None, 500),
+    ]
+
+
+def test_marks_follow_the_extracts(spark, folder):
+    df = spark.range(20).withColumn("v", F.col("id"))
+    run = lambda rows, key: tables.incremental_run(rows, folder, key, "t", "id", f"{folder}/marks")
+    assert run(df.where("id < 10"), "a")["row_count"] == 10
+    assert run(df, "b")["row_count"] == 10
+    assert run(df, "c") == {"uri": None, "row_count": 0, "watermark": "19"}
+    assert spark.read.parquet(f"{folder}/marks").count() == 2
+
+
 def test_watermarks(spark):
     at = lambda d: f"2024-01-0{d} 00:00:00"
 
