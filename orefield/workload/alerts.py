@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from orefield.functions import alert_type_of_title
+from orefield.functions import alert_type_of_title, layer_of_suite
 from orefield.operators import alerts
 from orefield.workload.oracle_tables import ALERT_TYPE, hours, layer_case, mean, severity_case
 from orefield.workload.oracle_tables import EVENTS_NOW as SQL_NOW
@@ -54,8 +54,6 @@ def _(lake):
         FROM x_vr WHERE NOT success""",
 )
 def _(lake):
-    from orefield.functions import layer_of_suite
-
     layer = layer_of_suite(F.col("expectation_suite_name"))
     return lake.validations.where(~F.col("success")).select(
         "run_id",

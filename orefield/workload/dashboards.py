@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from orefield.functions import average
+from orefield.functions import average, layer_of_suite
 from orefield.operators import alerts, bi, freshness
 from orefield.workload.oracle_tables import EVENTS_NOW as SQL_NOW
 from orefield.workload.oracle_tables import hours, layer_case, mean
@@ -284,8 +284,6 @@ def _(lake):
         FROM x_vr GROUP BY 1, 2""",
 )
 def _(lake):
-    from orefield.functions import layer_of_suite
-
     rows = lake.validations.withColumn("layer", layer_of_suite(F.col("expectation_suite_name")))
     metrics = {"passed": F.count_if("success"), "failed": F.count_if(~F.col("success"))}
     return bi.bi_query(rows, metrics, ["layer"], time_col="execution_date", grain="P1D")

@@ -10,8 +10,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.functions import health_score, percent
-from orefield.operators.quality.suites import ASSETS
+from orefield.functions import alert_type_of_title, health_score, percent
+from orefield.operators.ledger import run_finished, run_started
+from orefield.operators.quality.suites import ASSETS, CATEGORIES
 from orefield.plans import customers, sales, transactions
 
 # Fixed moments that stand in for "now".
@@ -168,8 +169,6 @@ class Lake:
 
     @cached_property
     def raw_products(self) -> DataFrame:
-        from orefield.operators.quality.suites import CATEGORIES
-
         return self.part.select(
             F.concat(F.lit("PROD-"), F.col("p_partkey").cast("string")).alias("product_id"),
             F.col("p_name").alias("name"),
@@ -292,8 +291,6 @@ class Lake:
 
     @cached_property
     def run_events(self) -> DataFrame:
-        from orefield.operators.ledger import run_finished, run_started
-
         runs = self.ingestion.withColumns(
             {"run_id": F.col("id"), "started_at": F.col("created_at")}
         )
@@ -480,8 +477,6 @@ class Lake:
 
     @cached_property
     def alerts(self) -> DataFrame:
-        from orefield.functions import alert_type_of_title
-
         return self.alerts_of(self.events).withColumn(
             "alert_type", alert_type_of_title(F.col("title"))
         )

@@ -1,5 +1,4 @@
 import random
-from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
