@@ -12,7 +12,6 @@ SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # State of long streams lives on disk beside the executor, with checkpoints in shared storage.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -37,10 +36,12 @@ def build_session(app="orefield", master=None, shuffle_partitions=None, **conf):
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint directory.
 
-    Only where the session names none (unit tests) is a local folder made.
+    Only a local session that names none (unit tests) gets a folder of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
         root = tempfile.mkdtemp(prefix="orefield-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)

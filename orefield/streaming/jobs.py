@@ -119,9 +119,10 @@ def upsert_daily_mart(staged_path: str, target: str):
         rows = batch.withColumns(
             {"day": F.to_date("transaction_timestamp"), "batch_id": F.lit(batch_id).cast("bigint")}
         )
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "day", "batch_id"
-        ).parquet(staged_path)
+        # Gather each day into few files; AQE splits a day too big for one task.
+        rows.hint("rebalance", "day").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("day", "batch_id").parquet(staged_path)
         staged = spark.read.parquet(staged_path)
         touched = staged.where(F.col("batch_id") == batch_id).select("day").distinct()
         again = staged.join(touched, "day", "left_semi").drop("day", "batch_id")

@@ -1,5 +1,8 @@
 """The physical plans: what is pushed down, how joins and limits run."""
 
+import re
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,11 +62,31 @@ def test_daily_folders_are_pruned(spark, lake, folder):
     assert df.select("day").distinct().count() == 1
 
 
-@pytest.mark.parametrize("key", sorted(k for k in all_entries() if not any(k.startswith(w) for w in WRITING)))
-def test_no_python_rows_and_no_cross_joins(spark, key):
-    plan = plan_of(all_entries()[key](spark, SMALL))
-    for word in ("EvalPython", "PythonUDF", "CartesianProduct", "NestedLoopJoin", "MapInPandas"):
-        assert word not in plan, word
+@pytest.fixture(scope="module")
+def plans(spark):
+    keys = [k for k in sorted(all_entries()) if not any(k.startswith(w) for w in WRITING)]
+    with ThreadPoolExecutor(4) as pool:
+        found = pool.map(lambda k: plan_of(all_entries()[k](spark, SMALL)), keys)
+        return dict(zip(keys, found, strict=True))
+
+
+@pytest.mark.parametrize(
+    "word", ["EvalPython", "PythonUDF", "CartesianProduct", "NestedLoopJoin", "MapInPandas"]
+)
+def test_no_python_rows_and_no_cross_joins(plans, word):
+    assert [k for k, plan in plans.items() if word in plan] == []
+
+
+def unpartitioned(plan):
+    """Window lines read: Window [functions], [partition keys], [order], the keys being optional."""
+    lines = [x for x in plan.split("\n") if re.search(r"\bWindow \[", x)]
+    return any(re.search(r"\](, \[[^\[\]]*\])+$", x)[0].count(", [") < 2 for x in lines)
+
+
+def test_unpartitioned_windows_see_daily_rows_only(plans):
+    """The only queries whose window has no partition key, all over one row per day."""
+    alone = {k for k, p in plans.items() if unpartitioned(p)}
+    assert alone == {"running_total", "yoy_lag", "bi_health_score_delta"}
 
 
 def test_regional_join_does_not_broadcast_growing_tables(spark):
