@@ -13,8 +13,9 @@ from orefield.functions.labels import (
     severity_rank,
 )
 from orefield.functions.masking import mask_column
-from orefield.functions.numeric import average, percent, ratio, rounded_average
+from orefield.functions.numeric import average, percent, ratio, rounded_average, to_integer
 from orefield.functions.scoring import health_score, register_health_score
+from orefield.functions.text import title_case
 from orefield.functions.times import convert_timestamp, hours_between, seconds_between
 
 __all__ = [
@@ -40,4 +41,6 @@ __all__ = [
     "seconds_between",
     "severity_rank",
     "surrogate_key",
+    "title_case",
+    "to_integer",
 ]

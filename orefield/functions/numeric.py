@@ -1,7 +1,18 @@
 """Averages, ratios and percentages that do not depend on summation order."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def to_integer(df: DataFrame, column: str) -> Column:
+    """Cast to int, rounding fractions: halves to even for floats, away from zero for decimals."""
+    dtype, value = df.schema[column].dataType, F.col(column)
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        value = F.rint(value)
+    elif isinstance(dtype, T.DecimalType):
+        value = F.round(value, 0)
+    return value.cast("int")
 
 
 def average(column, decimals: int = 2) -> Column:

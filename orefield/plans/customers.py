@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orefield.functions import band, surrogate_key
+from orefield.functions import band, surrogate_key, title_case
 
 MONEY_SUM = "decimal(28,2)"
 # Fixed values
@@ -15,7 +15,7 @@ LOWEST_TIER = "Bronze"
 def stage_customers(raw: DataFrame, loaded_at: str) -> DataFrame:
     return raw.where(F.col("customer_id").isNotNull()).select(
         F.trim("customer_id").alias("customer_id"),
-        F.initcap(F.trim("full_name")).alias("full_name"),
+        title_case(F.trim("full_name")).alias("full_name"),
         F.lower(F.trim("email")).alias("email"),
         F.to_date("created_date").alias("created_date"),
         F.coalesce(F.lower("is_active").isin(TRUE_WORDS), F.lit(False)).alias("is_active"),
@@ -27,7 +27,7 @@ def stage_customers_with_email(raw: DataFrame) -> DataFrame:
     """The stricter variant: only rows whose email looks like an address."""
     return raw.where(F.col("email").isNotNull() & F.col("email").like("%@%.%")).select(
         F.trim("customer_id").alias("customer_id"),
-        F.initcap(F.trim("full_name")).alias("full_name"),
+        title_case(F.trim("full_name")).alias("full_name"),
         F.lower(F.trim("email")).alias("email"),
     )
 

@@ -7,7 +7,7 @@ needs are read and the staging filters are pushed into the file scan.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orefield.functions import average, convert_timestamp
+from orefield.functions import average, convert_timestamp, to_integer
 
 MONEY = "decimal(18,2)"
 MONEY_SUM = "decimal(28,2)"
@@ -23,7 +23,7 @@ def stage_transactions(raw: DataFrame, loaded_at: str) -> DataFrame:
         "product_id",
         F.col("amount").cast(MONEY).alias("amount"),
         F.upper(F.trim("currency")).alias("currency"),
-        F.col("quantity").cast("int").alias("quantity"),
+        to_integer(kept, "quantity").alias("quantity"),
         convert_timestamp(kept, "timestamp").alias("transaction_timestamp"),
         F.lit(loaded_at).cast("timestamp_ntz").alias("_loaded_at"),
     )

@@ -112,6 +112,23 @@ def test_title_rules_are_tried_in_order(spark):
     assert got == ["task_failure", "sla_miss", "data_freshness", "general"]
 
 
+def test_title_case(spark):
+    texts = ["o'neil-smith", "ANNA  maria", "é. 3rd-floor", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(fn.title_case(F.col("t"))).collect()]
+    assert got == ["O'Neil-Smith", "Anna  Maria", "É. 3rd-Floor", "", None]
+
+
+@pytest.mark.parametrize(
+    ("dtype", "expected"),
+    [("double", [4, 2, 4, -2]), ("decimal(9,1)", [4, 3, 4, -3]), ("int", [3, 2, 3, -2])],
+)
+def test_to_integer_rounds_fractions(spark, dtype, expected):
+    df = spark.createDataFrame([(3.7,), (2.5,), (3.5,), (-2.5,)], "v double")
+    df = df.select(F.col("v").cast(dtype).alias("v"))
+    assert [r[0] for r in df.select(fn.to_integer(df, "v")).collect()] == expected
+
+
 def test_masks(spark):
     df = spark.createDataFrame([("Ann-42", "a@b.c", "open")], "n string, e string, k string")
     row = df.select(*[fn.mask_column(c, t) for c, t in zip("nek", ["direct", "indirect", ""], strict=True)])
