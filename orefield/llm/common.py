@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from orefield.session import new_workspace
 
 #: Rows of one Arrow batch, unless the session sets its own: bounds what a Python worker holds of long texts.
 BATCH_ROWS = "512"
+#: Where this package lies: workers on this path need no shipped copy.
+HOME = str(Path(__file__).resolve().parents[2])
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,11 +23,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def id_and_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the key and the text, a null text as the empty one; other columns cannot clash."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def small_batches(spark: SparkSession) -> None:
+def prepare(spark: SparkSession) -> None:
+    """Small Arrow batches, and workers that find this package where it was not installed or shipped."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if HOME not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (*paths, HOME) if x)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name, None) is None:
         spark.conf.set(name, BATCH_ROWS)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orefield.llm import packing, simhash, tokens
+from orefield.llm import debruijn, packing, quality, secrets, simhash, tokens
 from orefield.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,39 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.packed_documents(read(spark, sf_dir, "documents"))
 
 
+@query()
+def op4_quality_rules(spark, sf_dir):
+    return quality.judged(read(spark, sf_dir, "documents")).drop("sig")
+
+
+OP5 = """
+WITH w AS (
+  SELECT doc_id, coalesce(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), x -> x <> ''), []) AS words FROM documents
+), k AS (
+  SELECT doc_id, i, array_to_string(words[i : i + 19], ' ') AS edge FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w)
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY edge ORDER BY doc_id, i) AS nth FROM k) WHERE nth > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + j AS at FROM later, range(20) AS r(j)
+), left_over AS (
+  SELECT doc_id, words, len(words) AS n, list(at) AS ats FROM w LEFT JOIN gone USING (doc_id) GROUP BY ALL
+), kept AS (
+  SELECT doc_id, n, list_transform(list_filter(list_zip(words, range(1, n + 1)), x -> NOT list_contains(ats, x[2])), x -> x[1]) AS kept FROM left_over
+)
+SELECT doc_id, n::BIGINT AS n_words, (n - len(kept))::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM kept
+"""
+
+
+@query(OP5)
+def op5_substring_dedup(spark, sf_dir):
+    return debruijn.without_repeats(read(spark, sf_dir, "documents"), text=False)
+
+
+@query()
+def op6_secret_scan(spark, sf_dir):
+    return secrets.scanned(read(spark, sf_dir, "documents"))
+
+
 @query()
 def op7_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
