@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orefield.llm import debruijn, packing, quality, secrets, simhash, tokens
+from orefield.llm import debruijn, packing, quality, secrets, simhash, tokens, toxicity
 from orefield.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,11 @@ def op7_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+@query()
+def op9_toxicity(spark, sf_dir):
+    return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query()
 def op10_token_counts(spark, sf_dir):
     return tokens.token_counts(read(spark, sf_dir, "documents"))
