@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orefield.llm import debruijn, extraction, packing, quality, secrets, simhash, tokens, toxicity
+from orefield.llm import debruijn, decontamination, extraction, packing, quality, secrets, simhash, tokens, toxicity
 from orefield.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def op1_best_fit_packing(spark, sf_dir):
     return packing.packed_documents(read(spark, sf_dir, "documents"))
 
 
+@query()
+def op2_benchmark_decontamination(spark, sf_dir):
+    return decontamination.passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op3_html_extraction(spark, sf_dir):
     return extraction.extracted(read(spark, sf_dir, "pages"))
