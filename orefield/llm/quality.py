@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orefield.llm.common import prepare
+from orefield.llm.common import prepare, stored
 
 #: White space between words, as characters and as a class of a pattern.
 BLANKS = " \t\n\x0b\f\r"
@@ -82,11 +82,16 @@ def line_key(line: Column) -> Column:
     return F.conv(F.substring(F.md5(plain), 1, 15), 16, 10).cast("long")
 
 
+def host(docs: DataFrame) -> Column:
+    own = F.coalesce(F.col("source"), F.lit("")) if "source" in docs.columns else F.lit("")
+    return own.alias("host")
+
+
 def line_rows(docs: DataFrame) -> DataFrame:
     """(host, doc_id, sig, at, line, context, n): every line with a word, and its words."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, BLANKS, "") != "")
     d = docs.select(
-        F.coalesce(F.col("source"), F.lit("")).alias("host"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")
+        host(docs), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")
     )
     d = d.select("host", "doc_id", F.xxhash64("text").alias("sig"), lines.alias("lines"))
     d = d.withColumn("keys", F.transform("lines", line_key))
@@ -106,42 +111,62 @@ def frequent_lines(rows: DataFrame) -> DataFrame:
     return common.join(hosts, "host").where(F.col("held") * 100 > F.col("documents") * LINE_PERCENT).select("host", "line")
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept and n_removed (words in removed lines), one row per row.
+def removals(docs: DataFrame) -> DataFrame:
+    """(d, s, n_removed, gone): per document and text, the words in removed lines and those lines (host, line)."""
+    rows = stored(line_rows(docs), "lines")
+    gone = rows.join(frequent_lines(rows), ["host", "line"]).distinct()
+    by_host = gone.groupBy(F.col("doc_id").alias("d"), F.col("sig").alias("s"), "host").agg(
+        F.sum("n").alias("n"), F.collect_set(F.struct("host", "line")).alias("lines")
+    )
+    # A text under two hosts (a repeated row) is judged by the stricter one.
+    return by_host.groupBy("d", "s").agg(F.max("n").alias("n_removed"), F.flatten(F.collect_list("lines")).alias("gone"))
 
-    A null or empty text has no words and fails the base rules; a null source is a host of its own.
-    Repeated rows get the same verdict each. An empty table gives no rows. A line is in or out for the
-    whole host, so ties do not arise; a line exactly at the limit stays.
-    """
+
+def verdicts(docs: DataFrame) -> DataFrame:
+    """doc_id, sig, the base counts, base_failed, kept, n_removed and the removed lines of every row."""
     prepare(docs.sparkSession)
-    rows = line_rows(docs)
-    gone = rows.join(frequent_lines(rows), ["host", "line"]).select("doc_id", "sig", "host", "at", "n").distinct()
-    gone = gone.groupBy(F.col("doc_id").alias("d"), F.col("sig").alias("s"), F.col("host").alias("h")).agg(F.sum("n").alias("n_removed"))
-    gone = gone.groupBy("d", "s").agg(F.max("n_removed").alias("n_removed"))
+    gone = removals(docs)
     found = measured(docs)
     found = found.join(gone, found["doc_id"].eqNullSafe(gone["d"]) & (found["sig"] == gone["s"]), "left")
+    found = found.withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     left = F.col("n_words") - F.col("n_removed")
     depleted = (left < MIN_WORDS) | (left * 100 < F.col("n_words") * KEPT_PERCENT)
-    return found.withColumn("n_removed", F.coalesce("n_removed", F.lit(0).cast("long"))).select(
+    return found.select(
         "doc_id", "sig", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "n_removed",
+        failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "n_removed", "gone",
     )
 
 
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept and n_removed (words in removed lines), one row per row.
+
+    A null or empty text has no words and fails the base rules; a null source is a host of its own.
+    Repeated rows get the same verdict each. An empty table gives no rows. A line is in or out for the
+    whole host, so ties do not arise; a line exactly at the limit stays.
+    """
+    return verdicts(docs).drop("sig", "gone")
+
+
 def cleaned(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns, without their removed lines; n_chars follows."""
-    verdicts = judged(docs).where("kept").select(F.col("doc_id").alias("_key"), F.col("sig").alias("_sig"), F.col("n_removed").alias("_gone")).distinct()
-    own = docs.withColumn("_sig", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    kept = own.join(verdicts, own["doc_id"].eqNullSafe(verdicts["_key"]) & (own["_sig"] == verdicts["_sig"]))
-    kept = kept.select(*[own[c] for c in docs.columns], own["_sig"], "_gone")
-    rows = line_rows(docs)
-    bad = rows.join(frequent_lines(rows), ["host", "line"]).groupBy(F.col("doc_id").alias("_key"), F.col("sig").alias("_sig2"), F.col("host").alias("_host")).agg(F.collect_set("line").alias("_bad"))
-    host = F.coalesce(F.col("source"), F.lit(""))
-    kept = kept.join(bad, kept["doc_id"].eqNullSafe(bad["_key"]) & (kept["_sig"] == bad["_sig2"]) & (host == bad["_host"]), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: (F.translate(x, BLANKS, "") == "") | ~F.array_contains("_bad", line_key(x))), "\n")
-    text = F.when(F.col("_bad").isNull(), F.col("text")).otherwise(left)
-    out = kept.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    # Stored, since a filter on them would be pushed down and repeat the measuring expressions.
+    found = stored(verdicts(docs), "verdicts").where("kept").select(F.col("doc_id").alias("d"), F.col("sig").alias("s"), "gone").distinct()
+    own = docs.select(
+        F.struct(*docs.columns).alias("r"), F.col("doc_id").alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("sig"), host(docs)
+    )
+    kept = own.join(found, own["key"].eqNullSafe(found["d"]) & (own["sig"] == found["s"]))
+    here = F.transform(F.filter("gone", lambda x: x["host"] == F.col("host")), lambda x: x["line"])
+    left = F.array_join(F.filter(F.split("r.text", "\n"), lambda x: (F.translate(x, BLANKS, "") == "") | ~F.array_contains("bad", line_key(x))), "\n")
+    kept = kept.withColumn("bad", here).withColumn(
+        "left", F.when(F.coalesce(F.size("bad"), F.lit(0)) < 1, F.col("r.text")).otherwise(left)
+    )
+
+    def column(c):
+        if c == "text":
+            return F.col("left").alias(c)
+        if c == "n_chars":
+            return F.char_length(F.coalesce("left", F.lit(""))).cast(docs.schema[c].dataType).alias(c)
+        return F.col("r")[c].alias(c)
+
+    return kept.select(*map(column, docs.columns))

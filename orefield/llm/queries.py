@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orefield.llm import debruijn, decontamination, extraction, packing, quality, secrets, simhash, tokens, toxicity
+from orefield.llm import debruijn, decontamination, extraction, packing, personal, quality, secrets, simhash, tokens, toxicity
 from orefield.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,11 @@ def op7_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), "component_id")
 
 
+@query()
+def op8_pii(spark, sf_dir):
+    return personal.found_in(read(spark, sf_dir, "documents"))
+
+
 @query()
 def op9_toxicity(spark, sf_dir):
     return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -18,8 +18,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from orefield.llm.common import components, id_and_text, stored
+from orefield.llm.common import components, id_and_text, prepare, stored
 
 BITS = 64
 #: Fingerprints of a tile, and rows that one group of tiles brings to a task.
@@ -194,5 +195,32 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     return own.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that come first in their component; repeated rows stay once."""
+    found = near_duplicates(docs)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "fp").agg(F.count("*").alias("n"))
+    first = stored(first, "first")
+    columns = docs.columns
+    own = docs.select(F.struct(*columns).alias("r"), F.col("doc_id").alias("key"))
+    if first.agg(F.max("n"), F.count("*") - F.countDistinct("doc_id")).first() in ((1, 0), (None, 0)):
+        first = first.select("doc_id")
+        return own.join(first, F.col("key").eqNullSafe(first["doc_id"]), "left_semi").select("r.*")
+    # Some doc_id repeats: its rows are told apart by their fingerprints, and equal ones stay once.
+    prepare(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            fps = np.array([fingerprint(x or "") for x in batch.column(columns.index("text")).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], [*columns, name])
+
+    name = max(columns, key=len) + "_fp"
+    schema = StructType([*docs.schema.fields, StructField(name, LongType())])
+    marked = docs.mapInArrow(run, schema)
+    marked = marked.select(F.struct(*columns).alias("r"), F.col("doc_id").alias("key"), F.col(name).alias("own"))
+    once = Window.partitionBy("key", "own").orderBy(F.xxhash64("r"))
+    marked = marked.withColumn("nth", F.row_number().over(once)).where("nth = 1")
+    return marked.join(first, F.col("key").eqNullSafe(first["doc_id"]) & (F.col("own") == first["fp"]), "left_semi").select("r.*")
+
+
 def hex16(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
