@@ -79,13 +79,15 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             ).distinct()
         state = found
         both = now.union(now.select("v", "u"))
-        least = both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Minima are stored, so that the joins meet two plain shuffles and may split a busy node.
+        least = stored(both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")), label)
+        least = least.withColumn("m", F.least("k", "m"))
         large = stored(
             both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v").distinct(),
             label,
         )
-        least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
+        least = stored(large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")), label)
         now = stored(
             large.join(least, F.col("u") == F.col("k"))
             .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))

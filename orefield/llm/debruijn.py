@@ -172,7 +172,8 @@ def branch_edges(found: DataFrame, size: int) -> DataFrame:
 def repeats(docs: DataFrame, places: Places, size: int) -> DataFrame:
     """(document, start, n): runs of windows that also start earlier. ``docs``: (document, text)."""
     own = paths(docs, size)
-    shared = own.groupBy("minimizer").count().where("count > 1").select("minimizer")
+    # Stored, so that the join below meets two plain shuffles and may split a busy minimizer.
+    shared = stored(own.groupBy("minimizer").count().where("count > 1").select("minimizer"), "shared")
     place = places.put(F.col("document"), F.col("start"))
     kept = stored(own.join(shared, "minimizer").select("minimizer", "content", "n", place.alias("place")), "paths")
     compact = stored(
@@ -189,7 +190,8 @@ def repeats(docs: DataFrame, places: Places, size: int) -> DataFrame:
     edges = branch_edges(docs.join(ends, "document").select("document", "text", "paths"), size)
     edges = stored(edges.select("minimizer", "edge", place.alias("place")), "edges")
     firsts = edges.groupBy("minimizer", "edge").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    later = edges.join(firsts.where("first < last"), ["minimizer", "edge"]).where("place > first")
+    firsts = stored(firsts.where("first < last").drop("last"), "firsts")
+    later = edges.join(firsts, ["minimizer", "edge"]).where("place > first")
     document, word = places.split("place")
     return copies.unionByName(later.select("place", F.lit(1).cast("long").alias("n"))).select(
         document.alias("document"), word.alias("start"), "n"

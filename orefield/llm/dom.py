@@ -122,6 +122,7 @@ class Tree(HTMLParser):
         if tag == "br":
             self.text(" ")
             return
+        self.fresh |= tag == "p"  # also one that closes nothing
         for i in range(len(self.stack) - 1, 0, -1):
             t, node = self.stack[i]
             if t == tag:
