@@ -38,7 +38,8 @@ FIELD_TITLES = {"dag": "dag_id", "task": "task_id", "execution_date": "execution
 FIELDS_TYPE = T.ArrayType(
     T.StructType().add("title", T.StringType()).add("value", T.StringType())
 )
-SUBJECT_LENGTH = 500
+#: Characters of a subject that a display shows; the stored row keeps the whole title.
+SUBJECT_SHOWN = 500
 
 
 def _field_key(field: Column) -> Column:
@@ -75,7 +76,7 @@ def alert_rows(alerts: DataFrame) -> DataFrame:
         "id",
         alert_type_of_title(F.col("title")).alias("alert_type"),
         F.lower("severity").alias("severity"),
-        F.substring("title", 1, SUBJECT_LENGTH).alias("subject"),
+        F.col("title").alias("subject"),
         "dag_id",
         "task_id",
         "execution_date",
@@ -84,6 +85,10 @@ def alert_rows(alerts: DataFrame) -> DataFrame:
     )
 
 
+def shown_subject(length: int = SUBJECT_SHOWN) -> Column:
+    return F.substring("subject", 1, length).alias("subject_shown")
+
+
 def suppress_below(alerts: DataFrame, minimum: str = "MEDIUM") -> DataFrame:
     """Every alert stays; those under the minimum severity are marked with the reason."""
     below = severity_rank(F.col("severity")) > severity_rank(F.lit(minimum))
@@ -137,6 +142,38 @@ def route(alerts: DataFrame, routes=None) -> DataFrame:
     )
 
 
+def alert_slices(alerts: DataFrame, keys: list[str], minutes: int = DEDUP_MINUTES) -> DataFrame:
+    """(keys, slice, first, last): what deduplication needs of each key and slice of ``minutes``.
+
+    Slices of parts of the alerts may be put together by ``merge_slices`` in any order.
+    """
+    micros = F.unix_micros(F.col("created_at").cast("timestamp"))
+    return alerts.groupBy(*keys, F.floor(micros / F.lit(minutes * 60_000_000)).alias("slice")).agg(
+        F.min(F.struct("created_at", "id")).alias("first"), F.max("created_at").alias("last")
+    )
+
+
+def merge_slices(slices: DataFrame, keys: list[str]) -> DataFrame:
+    return slices.groupBy(*keys, "slice").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def burst_starts(slices: DataFrame, keys: list[str], minutes: int = DEDUP_MINUTES) -> DataFrame:
+    """Of a slice only the first alert can go out, and only the last alert before it can hold it back."""
+    before = F.lag("last").over(Window.partitionBy(*keys).orderBy("slice"))
+    gap = F.timestamp_diff("MICROSECOND", F.col("_before"), F.col("first.created_at"))
+    return (
+        slices.withColumn("_before", before)
+        .where(F.col("_before").isNull() | (gap > minutes * 60_000_000))
+        .select(*keys, F.col("first.id").alias("id"), F.col("first.created_at").alias("created_at"))
+    )
+
+
+def may_go_out(alerts: DataFrame, excluded_dags: list[str] | None = None, drop_retries: bool = True) -> DataFrame:
+    excluded = EXCLUDED_DAGS if excluded_dags is None else excluded_dags
+    rows = alerts.where(~F.col("dag_id").isin(excluded))
+    return rows.where(~F.col("is_retry")) if drop_retries else rows
+
+
 def deduplicate(
     alerts: DataFrame,
     keys: list[str],
@@ -146,47 +183,40 @@ def deduplicate(
 ) -> DataFrame:
     """Alerts that go out: none of the same key within ``minutes`` before them.
 
-    Time is cut into slices of that length. Inside a slice only the first alert can go out, and
-    whether it does depends on the last alert of the slice before. So the rows are reduced to
-    (key, slice) -> first, last before the shuffle, and the window then sees one row per slice
-    however many alerts a noisy key raised.
+    The rows are reduced to (key, slice) before the shuffle, and the window then sees one row per
+    slice however many alerts a noisy key raised.
     """
-    excluded = EXCLUDED_DAGS if excluded_dags is None else excluded_dags
-    rows = alerts.where(~F.col("dag_id").isin(excluded))
-    if drop_retries:
-        rows = rows.where(~F.col("is_retry"))
-    width = minutes * 60
-    micros = F.unix_micros(F.col("created_at").cast("timestamp"))
-    slices = rows.groupBy(*keys, F.floor(micros / F.lit(width * 1_000_000)).alias("_slice")).agg(
-        F.min(F.struct("created_at", "id")).alias("_first"), F.max("created_at").alias("_last")
-    )
-    before = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice"))
-    gap = F.timestamp_diff("MICROSECOND", F.col("_before"), F.col("_first.created_at"))
-    return (
-        slices.withColumn("_before", before)
-        .where(F.col("_before").isNull() | (gap > width * 1_000_000))
-        .select(*keys, F.col("_first.id").alias("id"), F.col("_first.created_at").alias("created_at"))
+    rows = may_go_out(alerts, excluded_dags, drop_retries)
+    return burst_starts(alert_slices(rows, keys, minutes), keys, minutes)
+
+
+SEVERITIES = ("critical", "high", "medium", "low")
+
+
+def window_counts(alerts: DataFrame, minutes: int = WINDOW_MINUTES) -> DataFrame:
+    """(window_start, severity, alert_type, n): counts that may be summed over parts of the alerts."""
+    slot = F.window(F.col("created_at"), f"{minutes} minutes")
+    counts = alerts.groupBy(slot.alias("w"), "severity", "alert_type").agg(F.count("*").alias("n"))
+    return counts.select(F.col("w.start").alias("window_start"), "severity", "alert_type", "n")
+
+
+def summed_windows(counts: DataFrame, limit: int = MAX_ALERTS_PER_WINDOW) -> DataFrame:
+    """Totals per window, by severity and by type (type=count, in order of type); over ``limit`` one summary is sent."""
+    by_type = counts.groupBy("window_start", "alert_type").agg(
+        F.sum("n").alias("n"), *[F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("n"))), F.lit(0)).alias(s) for s in SEVERITIES]
     )
+    types = F.sort_array(F.collect_list(F.concat_ws("=", "alert_type", F.col("n").cast("string"))))
+    return by_type.groupBy("window_start").agg(
+        F.sum("n").alias("total_alerts"), *[F.sum(s).alias(f"{s}_count") for s in SEVERITIES],
+        F.count("alert_type").alias("alert_types"), F.array_join(types, ",").alias("alerts_by_type"),
+    ).withColumn("send_summary", F.col("total_alerts") > limit)
 
 
 def window_summary(
     alerts: DataFrame, minutes: int = WINDOW_MINUTES, limit: int = MAX_ALERTS_PER_WINDOW
 ) -> DataFrame:
     """Alert counts per window; more than ``limit`` are sent as one summary."""
-    slot = F.window(F.col("created_at"), f"{minutes} minutes")
-    counts = [
-        F.count_if(F.col("severity") == s).alias(f"{s}_count")
-        for s in ("critical", "high", "medium", "low")
-    ]
-    return (
-        alerts.groupBy(slot.alias("w"))
-        .agg(F.count("*").alias("total_alerts"), *counts, F.countDistinct("alert_type").alias("alert_types"))
-        .select(
-            F.col("w.start").alias("window_start"), "total_alerts", *[f"{s}_count" for s in
-            ("critical", "high", "medium", "low")], "alert_types",
-            (F.col("total_alerts") > limit).alias("send_summary"),
-        )
-    )
+    return summed_windows(window_counts(alerts, minutes), limit)
 
 
 def to_escalate(alerts: DataFrame, as_of: str) -> DataFrame:

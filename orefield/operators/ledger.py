@@ -11,7 +11,8 @@ from orefield.operators.latest import first_per_key
 
 # A run's states in the order they may follow each other.
 RUN_STATES = ["running", "success", "failed"]
-ERROR_LENGTH = 500
+#: Characters of an error that a display shows; the ledger keeps the whole text.
+ERROR_SHOWN = 500
 
 
 def run_started(runs: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def run_finished(runs: DataFrame, ok, row_count, error, at) -> DataFrame:
     return runs.select(
         "run_id", "source_name", F.when(ok, "success").otherwise("failed").alias("status"),
         F.when(ok, row_count).cast("bigint").alias("row_count"),
-        F.when(~ok, F.substring(error, 1, ERROR_LENGTH)).alias("error_message"), at.alias("updated_at"),
+        F.when(~ok, error).alias("error_message"), at.alias("updated_at"),
     )
 
 
@@ -34,7 +35,7 @@ def append_state(
 ) -> None:
     """One event of a run, stamped with the current time, appended to the ledger."""
     row = spark.createDataFrame(
-        [(str(run_id), source, status, row_count, error and error[:ERROR_LENGTH])],
+        [(str(run_id), source, status, row_count, error)],
         "run_id string, source_name string, status string, row_count bigint, error_message string",
     )
     now = F.current_timestamp().cast("timestamp_ntz")
@@ -57,6 +58,10 @@ def logged(spark: SparkSession, path: str, run_id, source: str, action: Callable
     return result
 
 
+def shown_error(length: int = ERROR_SHOWN):
+    return F.substring("error_message", 1, length).alias("error_message")
+
+
 def _null(dtype, name):
     return F.lit(None).cast(dtype).alias(name)
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
+from orefield.operators import ledger
 from orefield.sources.layers import layer_path, list_objects, parquet_key, stored_bytes
-from orefield.sources.schemas import describe_schema
+from orefield.sources.schemas import describe_schema, schema_change_row
 
 CORRUPT = "_corrupt_record"
 READERS = {"csv", "json"}
@@ -29,42 +32,83 @@ class Ingested:
     file_size_bytes: int
     checksum: str
     schema: list[dict] = field(default_factory=list)
+    bad_rows: int = 0
 
 
-def read_csv(spark: SparkSession, path, schema: StructType | None = None, **options) -> DataFrame:
-    """With a schema one pass; without one a first pass over all rows infers the types."""
-    reader = spark.read.option("header", True).options(**options)
-    if schema is not None:
-        return reader.schema(schema).csv(path)
-    return reader.option("inferSchema", True).csv(path)
+def file_heads(spark: SparkSession, path, pattern: str | None = None) -> DataFrame:
+    """(file, head): the first line with text of each file below ``path``; files without any are left out."""
+    reader = spark.read.option("recursiveFileLookup", "true")
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    lines = reader.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value")
+    return lines.where(F.trim("value") != "").groupBy("file").agg(F.min_by("value", "place").alias("head"))
+
+
+def json_form() -> Column:
+    """NDJSON if the first line is a whole object by itself, else one document in the whole file."""
+    head = F.trim("head")
+    whole = F.try_parse_json(head).isNotNull() & head.startswith("{")
+    return F.when(whole, "lines").otherwise("document")
+
+
+def _grouped(heads: DataFrame, by: Column) -> dict[str, list[str]]:
+    """The files of each form or header: as many entries as a listing of the folder."""
+    rows = heads.groupBy(by.alias("form")).agg(F.collect_list("file").alias("files")).collect()
+    return {r["form"]: sorted(r["files"]) for r in rows}
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def read_json(
-    spark: SparkSession, path, schema: StructType | None = None, lines: bool | None = None
+    spark: SparkSession, path, schema: StructType | None = None, lines: bool | None = None, pattern: str | None = None, extra=()
 ) -> DataFrame:
-    """NDJSON, a JSON array or a single object.
+    """NDJSON, JSON arrays or single objects, also side by side in one folder.
 
-    Without ``lines`` the form is told by the first non-blank character and whether the first
-    line is a whole value by itself. NDJSON stays splittable; an array or an object spread over
-    lines has to be parsed as one file per task.
+    Without ``lines`` the form of each file is told from its own first line, in one pass over the text.
+    NDJSON stays splittable; an array or an object spread over lines is parsed as one file per task.
     """
-    if lines is None:
-        lines = _is_json_lines(spark, path)
-    reader = spark.read.option("multiLine", not lines)
-    return (reader.schema(schema) if schema is not None else reader).json(path)
+    reader = spark.read.option("columnNameOfCorruptRecord", CORRUPT)
+    reader = reader.schema(schema) if schema is not None else reader
+    if lines is not None:
+        return reader.option("multiLine", not lines).json(path).select("*", *extra)
+    forms = _grouped(file_heads(spark, path, pattern), json_form())
+    if not forms:
+        raise IngestionError(f"empty JSON input: {path}")
+    return _union([reader.option("multiLine", form == "document").json(files).select("*", *extra) for form, files in sorted(forms.items())])
 
 
-def _is_json_lines(spark, path) -> bool:
-    head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    if not head:
-        raise IngestionError(f"empty JSON input: {path}")
-    first = head[0]["value"].strip()
-    return first.startswith("{") and first.endswith("}")
+def read_csv(spark: SparkSession, path, schema: StructType | None = None, pattern: str | None = None, extra=(), **options) -> DataFrame:
+    """CSV with a header. Without a schema a first pass over all rows infers the types.
 
+    A schema's columns are found by the names in each file's own header, in any order; a column the
+    header lacks is null, one the schema lacks is left out.
+    """
+    reader = spark.read.option("header", True).option("columnNameOfCorruptRecord", CORRUPT).options(**options)
+    if schema is None:
+        return reader.option("inferSchema", True).csv(path).select("*", *extra)
+    headers = _grouped(file_heads(spark, path, pattern), F.col("head"))
+    delimiter = options.get("sep", options.get("delimiter", ","))
+    wanted = {f.name: f for f in schema.fields}
+    parts = []
+    for header, files in sorted(headers.items()):
+        names = [n.strip().lstrip("\ufeff") for n in next(csv.reader([header], delimiter=delimiter))]
+        own = StructType([wanted.get(n, StructField(n, StringType())) for n in names])
+        own = own.add(wanted[CORRUPT]) if CORRUPT in wanted else own
+        rows = reader.schema(own).csv(files)
+        columns = [F.col(f"`{n}`") if n in own.names else F.lit(None).cast(f.dataType).alias(n) for n, f in wanted.items()]
+        parts.append(rows.select(*columns, *extra))
+    return _union(parts) if parts else reader.schema(schema).csv(path).select("*", *extra)
 
-def read_files(spark, path, kind, schema=None, lines=None) -> DataFrame:
+
+def read_files(spark, path, kind, schema=None, lines=None, **options) -> DataFrame:
     if kind == "csv":
-        return read_csv(spark, path, schema)
+        return read_csv(spark, path, schema, **options)
     if kind == "json":
         return read_json(spark, path, schema, lines)
     raise IngestionError(f"unsupported file type: {kind}")
@@ -78,9 +122,10 @@ def write_counted(df: DataFrame, target: str, **metrics) -> dict:
     return seen.get
 
 
-def content_hash(df: DataFrame) -> Column:
+def content_hash(columns: list[str], where: Column | None = None) -> Column:
     """Order-free checksum of all rows, cheap enough to be taken while they are written."""
-    return F.sum(F.xxhash64(*df.columns).cast("decimal(20,0)"))
+    own = F.xxhash64(*[F.col(f"`{c}`") for c in columns]).cast("decimal(20,0)")
+    return F.sum(own if where is None else F.when(where, own))
 
 
 def ingest_file(
@@ -91,71 +136,99 @@ def ingest_file(
     kind: str | None = None,
     schema: StructType | None = None,
     lines: bool | None = None,
+    on_bad: str = "fail",
+    **options,
 ) -> Ingested:
-    """Load one CSV or JSON dataset (a file or a folder of part files) into bronze."""
+    """Load one CSV or JSON dataset (a file or a folder of part files) into bronze.
+
+    Records that do not fit the schema make the load fail, with the target as it was before, or go to
+    a quarantine folder beside it with ``on_bad="quarantine"``; either way they are counted.
+    """
     kind = (kind or path.rsplit(".", 1)[-1]).lower()
     target = layer_path(root, "bronze", parquet_key(key))
     try:
-        df = read_files(spark, path, kind, schema, lines)
-        counted = write_counted(df, target, checksum=content_hash(df))
+        if schema is None:
+            found = read_files(spark, path, kind, None, lines, **options).schema
+            schema = StructType([f for f in found.fields if f.name != CORRUPT])
+        names = schema.names
+        rows = read_files(spark, path, kind, StructType(list(schema.fields)).add(CORRUPT, "string"), lines, **options)
+        good = F.col(CORRUPT).isNull()
+        held = f"{root.rstrip('/')}/_incoming/{uuid.uuid4().hex}"
+        counted = write_counted(rows, held, checksum=content_hash(names, good), good=F.count_if(good), bad=F.count_if(~good))
+        if counted["bad"] and on_bad == "fail":
+            raise IngestionError(f"{path}: {counted['bad']} malformed records")
+        landed = spark.read.schema(rows.schema).parquet(held)
+        landed.where(good).drop(CORRUPT).write.mode("overwrite").parquet(target)
+        if counted["bad"]:
+            landed.where(~good).select(CORRUPT).write.mode("overwrite").parquet(f"{target}.rejected")
     except PySparkException as e:
         raise IngestionError(f"{path}: {e}") from e
     return Ingested(
-        target,
-        counted["row_count"],
-        stored_bytes(spark, target),
-        str(counted["checksum"] or 0),
-        describe_schema(df.schema),
+        target, counted["good"], stored_bytes(spark, target), str(counted["checksum"] or 0), describe_schema(schema), counted["bad"]
     )
 
 
-def batch_manifest(
-    spark: SparkSession, folder: str, schema: StructType, pattern: str = "*"
+def ingest_logged(
+    spark: SparkSession, path: str, root: str, key: str, ledger_path: str, history_path: str, run_id, source: str, execution_date: str, **how
+) -> Ingested:
+    """``ingest_file`` between its ledger events; the schema of a good run goes into the history."""
+    done = ledger.logged(spark, ledger_path, run_id, source, lambda: ingest_file(spark, path, root, key, **how))
+    row = schema_change_row(spark, source, done.schema, execution_date, None)
+    row.withColumn("created_at", F.current_timestamp().cast("timestamp_ntz")).write.mode("append").parquet(history_path)
+    return done
+
+
+def ingest_batch(
+    spark: SparkSession, folder: str, root: str, key: str, schema: StructType, pattern: str = "*", **options
 ) -> DataFrame:
-    """Per-file outcome of a batch of CSV and JSON files, in one read per format.
+    """Load a batch of CSV and JSON files into bronze; returns the outcome of each file.
 
-    A file with rows that do not parse is reported with its error and the batch goes on; files of
-    other types are skipped. Nothing is listed or looped over on the driver.
+    (file, file_type, row_count, bad_rows, content_hash, status, error): a file with records that do
+    not fit, or without any content, fails and the batch goes on; a header without rows is a success.
+    The rows of good files are written below ``key``, one partition for each file. Other types are skipped.
     """
     with_corrupt = StructType(list(schema.fields)).add(CORRUPT, "string")
-    parts = []
+    name = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]+:/*", "/")
+    listed, parts = [], []
     for kind in sorted(READERS):
-        reader = (
-            spark.read.schema(with_corrupt)
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT)
-            .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", f"{pattern}.{kind}")
-        )
-        rows = reader.option("header", True).csv(folder) if kind == "csv" else reader.json(folder)
-        parts.append(
-            rows.select(
-                F.col("_metadata.file_name").alias("file"),
-                F.lit(kind).alias("file_type"),
-                F.xxhash64(*[F.col(f.name) for f in schema.fields]).alias("row_hash"),
-                F.col(CORRUPT).alias("corrupt"),
-            )
-        )
-    rows = parts[0].unionByName(parts[1])
-    parsed = F.col("corrupt").isNull()
-    return (
-        rows.groupBy("file", "file_type")
-        .agg(
-            # Counting the hash makes every column be parsed, which finds the malformed rows.
-            F.count(F.when(parsed, F.col("row_hash"))).alias("row_count"),
-            F.count_if(~parsed).alias("bad_rows"),
-            F.bit_xor(F.when(parsed, F.col("row_hash"))).alias("content_hash"),
-        )
-        .withColumn("status", F.when(F.col("bad_rows") > 0, "failed").otherwise("success"))
-        .withColumn(
-            "error",
-            F.when(
-                F.col("bad_rows") > 0,
-                F.format_string("%d malformed records", F.col("bad_rows")),
-            ),
-        )
-        .orderBy("file")
+        some = f"{pattern}.{kind}"
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", some).load(folder)
+        files = files.select(F.regexp_replace("path", "^[a-z0-9]+:/*", "/").alias("path"), F.lit(kind).alias("file_type"))
+        heads = file_heads(spark, folder, some).select(F.regexp_replace("file", "^[a-z0-9]+:/*", "/").alias("path"), F.lit(True).alias("content"))
+        listed.append(files.join(heads, "path", "left"))
+        extra = [name.alias("path")]
+        try:
+            if kind == "csv":
+                parts.append(read_csv(spark, folder, with_corrupt, some, extra, recursiveFileLookup="true", pathGlobFilter=some, **options))
+            else:
+                parts.append(read_json(spark, folder, with_corrupt, None, some, extra))
+        except IngestionError:
+            continue  # no JSON file with content
+    held = f"{root.rstrip('/')}/_incoming/{uuid.uuid4().hex}"
+    rows = _union(parts).withColumn(CORRUPT, F.col(CORRUPT))
+    rows.write.parquet(held)
+    rows = spark.read.schema(rows.schema).parquet(held)
+    good = F.col(CORRUPT).isNull()
+    counts = rows.groupBy("path").agg(
+        F.count_if(good).alias("row_count"), F.count_if(~good).alias("bad_rows"),
+        F.bit_xor(F.when(good, F.xxhash64(*[F.col(f"`{c}`") for c in schema.names]))).alias("content_hash"),
+    )
+    found = _union(listed).join(counts, "path", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("row_count", "bad_rows")})
+    error = F.when(F.col("content").isNull(), "empty file").when(F.col("bad_rows") > 0, F.format_string("%d malformed records", "bad_rows"))
+    manifest = found.select(
+        "path", F.element_at(F.split("path", "/"), -1).alias("file"), "file_type", "row_count", "bad_rows", "content_hash",
+        F.when(error.isNull(), "success").otherwise("failed").alias("status"), error.alias("error"),
+    )
+    kept = f"{root.rstrip('/')}/_manifests/{uuid.uuid4().hex}"
+    manifest.write.parquet(kept)
+    manifest = spark.read.schema(manifest.schema).parquet(kept)
+    sound = manifest.where("status = 'success' AND row_count > 0").select("path", F.col("file").alias("source_file"))
+    (
+        rows.where(good).join(sound, "path").drop("path", CORRUPT).hint("rebalance", "source_file")
+        .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("source_file")
+        .parquet(layer_path(root, "bronze", key))
     )
+    return manifest.drop("path").orderBy("file")
 
 
 def landed_json_pages(spark: SparkSession, path: str, items: str, schema: StructType) -> DataFrame:
@@ -170,6 +243,7 @@ def file_checksums(spark: SparkSession, path: str) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     return files.where(~name.startswith("_")).select(
         name.alias("file"),
+        F.element_at(F.split("path", "/"), -2).alias("folder"),
         F.col("length").alias("size_bytes"),
         F.md5("content").alias("md5"),
         F.sha2("content", 256).alias("sha256"),

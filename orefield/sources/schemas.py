@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CSV_SAMPLE_ROWS = 1000
-JSON_SAMPLE_ROWS = 100
-
 
 def portable_type(dtype: T.DataType) -> str:
     if isinstance(dtype, T.BooleanType):
@@ -38,8 +35,8 @@ def schema_json(columns: list[dict], row_count: int | None = None) -> str:
 def detect_schema(df: DataFrame, sample_rows: int | None = None) -> DataFrame:
     """One row per column: position, portable type, whether a null was seen, row counts.
 
-    Nulls are counted over all rows, or over a ``sample_rows`` sample when one is asked for;
-    ``row_count`` always counts the whole input.
+    Nulls are counted over all rows; only a caller that asks for ``sample_rows`` gets a preview of so
+    many, whose nullability is that of the preview. ``row_count`` always counts the whole input.
     """
     fields = df.schema.fields
     sample = df if sample_rows is None else df.limit(sample_rows)

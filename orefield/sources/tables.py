@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,21 +70,19 @@ def extract_full(df: DataFrame, root: str, key: str) -> tuple[str, int]:
 def extract_incremental(
     df: DataFrame, root: str, key: str, column: str, value: str | None
 ) -> dict:
-    """Write the delta; row count and new mark are observed by the write itself.
+    """Write the delta below ``key`` in a folder named after the mark it starts from.
 
-    ``uri`` is None and the mark unchanged when nothing is new. The caller saves the mark after
-    this returns, so a lost run is repeated onto the same path.
+    Row count and new mark are observed by the write itself. When nothing is new, nothing is written,
+    ``uri`` is None and the mark stays. The caller saves the mark after this returns, so a lost run is
+    repeated onto its own folder, and a later run with the same key never touches it.
     """
-    target = layer_path(root, "bronze", key)
-    seen = write_counted(
-        incremental_rows(df, column, value), target, mark=F.max(column).cast("string")
-    )
-    empty = seen["row_count"] == 0
-    return {
-        "uri": None if empty else target,
-        "row_count": seen["row_count"],
-        "watermark": value if empty else seen["mark"],
-    }
+    delta = incremental_rows(df, column, value)
+    if delta.isEmpty():
+        return {"uri": None, "row_count": 0, "watermark": value}
+    since = "start" if value is None else "".join(c if c.isalnum() else "-" for c in value)
+    target = f"{layer_path(root, 'bronze', key)}/since={since}"
+    seen = write_counted(delta, target, mark=F.max(column).cast("string"))
+    return {"uri": target, "row_count": seen["row_count"], "watermark": seen["mark"]}
 
 
 def incremental_run(
@@ -91,7 +91,7 @@ def incremental_run(
     """Extract what is newer than the stored mark, then append the new mark.
 
     The mark is written last: a run lost before that is repeated from the old mark onto the same
-    path, so nothing is missed and nothing is loaded twice.
+    folder, so nothing is missed and nothing is loaded twice; a run without new rows writes nothing.
     """
     spark = df.sparkSession
     mark = None
@@ -106,10 +106,16 @@ def incremental_run(
     return done
 
 
+def query_name(query: str) -> str:
+    """The default source name: the query's beginning, and a digest that tells equal beginnings apart."""
+    digest = hashlib.md5(query.encode()).hexdigest()[:12]
+    return f"custom_query:{query[:SOURCE_NAME_LENGTH]}#{digest}"
+
+
 def extract_query(spark: SparkSession, query: str, root: str, key: str, args=None, name=None) -> dict:
     df = spark.sql(query, args=args) if args else spark.sql(query)
     uri, rows = extract_full(df, root, key)
-    source = name or f"custom_query:{query[:SOURCE_NAME_LENGTH]}"
+    source = name or query_name(query)
     return {"uri": uri, "row_count": rows, "source_name": source}
 
 
@@ -155,16 +161,19 @@ def load_new_objects(
     """
     if path_exists(spark, ledger_path):
         objects = objects_to_load(objects, spark.read.parquet(ledger_path))
+    # Rows are gathered by object: few files each, and the hint lets AQE split a large object.
     (
-        objects.write.mode("overwrite")
+        objects.hint("rebalance", "object_key")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("object_key")
         .parquet(target)
     )
-    # Counting per partition folder reads row counts only, not the source a second time.
-    held = spark.read.parquet(target).groupBy("object_key").agg(F.count("*").alias("row_count"))
+    # Row counts come from the new folders' footers; what the ledger lists is not counted again.
+    held = spark.read.parquet(target)
     if path_exists(spark, ledger_path):
-        held = objects_to_load(held, spark.read.parquet(ledger_path))
+        held = objects_to_load(held.select("object_key"), spark.read.parquet(ledger_path))
+    held = held.groupBy("object_key").agg(F.count("*").alias("row_count"))
     held.withColumn("status", F.lit("success")).write.mode("append").parquet(ledger_path)
 
 
@@ -187,5 +196,6 @@ def write_daily_partitions(df: DataFrame, day, path: str, codec: str = "zstd") -
     )
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+def export_csv(df: DataFrame, path: str, **options) -> None:
+    """Quotes are doubled inside quoted text, so that any text comes back as it was."""
+    df.write.mode("overwrite").options(**{"header": True, "escape": '"', **options}).csv(path)

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from orefield.operators.alerts import DEDUP_MINUTES, MAX_ALERTS_PER_WINDOW, WINDOW_MINUTES
+from orefield.functions.numeric import ratio
+from orefield.operators import alerts
+from orefield.operators.alerts import DEDUP_MINUTES
 from orefield.operators.quality.rules import Rule
 from orefield.operators.quality.validation import mark_rows
 from orefield.plans.incremental import write_date_partitions
-from orefield.plans.transactions import daily_summary, daily_transactions
 
 FILES_PER_TRIGGER = 1000
 
@@ -56,77 +57,94 @@ def run_batches(stream: DataFrame, each, checkpoint: str, mode: str = "append")
     )
 
 
-def daily_revenue(stream: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Revenue per day; a day is emitted once the watermark has passed its end.
+def partial_batches(reduce, target: str):
+    """Batch writer that stores ``reduce(batch)`` in a folder of the batch, so a replay overwrites its own.
 
-    Rows later than ``lateness`` are dropped and distinct counts are approximate: a stream cannot
-    keep every id of an open window.
+    The partial results of all batches are put together when they are read: no row is ever too late,
+    and how the input was cut into batches does not matter.
     """
-    return (
-        stream.withWatermark("transaction_timestamp", lateness)
-        .groupBy(F.window("transaction_timestamp", "1 day").alias("w"))
-        .agg(
-            F.count("*").alias("total_transactions"),
-            F.sum("amount").cast("decimal(28,2)").alias("total_amount"),
-            F.approx_count_distinct("customer_id").alias("unique_customers"),
-        )
-        .select(F.to_date("w.start").alias("transaction_date"), "total_transactions",
-                "total_amount", "unique_customers")
-    )
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        reduce(batch).withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("batch_id").parquet(target)
 
-def deduplicated_alerts(
-    stream: DataFrame, keys: list[str], at: str = "created_at", minutes: int = DEDUP_MINUTES
-) -> DataFrame:
-    """One alert per key until ``minutes`` after it; state is dropped as the watermark moves on."""
-    return stream.withWatermark(at, f"{minutes} minutes").dropDuplicatesWithinWatermark(keys)
+    return write
 
 
-def alert_windows(
-    stream: DataFrame, minutes: int = WINDOW_MINUTES, limit: int = MAX_ALERTS_PER_WINDOW
-) -> DataFrame:
-    return (
-        stream.withWatermark("created_at", f"{minutes} minutes")
-        .groupBy(F.window("created_at", f"{minutes} minutes").alias("w"))
-        .agg(F.count("*").alias("total_alerts"))
-        .select(
-            F.col("w.start").alias("window_start"), "total_alerts",
-            (F.col("total_alerts") > limit).alias("send_summary"),
-        )
+def compacted(spark: SparkSession, partials: str, merge, target: str) -> str:
+    """The partial results so far as one dataset at ``target``; for a stream whose batches are many."""
+    merge(spark.read.parquet(partials).drop("batch_id")).write.mode("overwrite").parquet(target)
+    return target
+
+
+def revenue_parts(batch: DataFrame) -> DataFrame:
+    day = F.to_date("transaction_timestamp").alias("transaction_date")
+    return batch.groupBy(day, "customer_id").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+
+
+def daily_revenue(parts: DataFrame) -> DataFrame:
+    """Revenue per day from ``revenue_parts`` of any batches."""
+    by_customer = parts.groupBy("transaction_date", "customer_id").agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"))
+    return by_customer.groupBy("transaction_date").agg(
+        F.sum("n").alias("total_transactions"),
+        F.sum("amount").cast("decimal(28,2)").alias("total_amount"),
+        F.count("customer_id").alias("unique_customers"),
     )
 
 
-def append_batches(target: str):
-    """Batch writer for update-mode results: one folder per batch, so a replay overwrites."""
+def dedup_parts(keys: list[str], minutes: int = DEDUP_MINUTES):
+    """Reducer to what the ``minutes`` rule needs, see ``alerts.alert_slices``."""
+    return lambda batch: alerts.alert_slices(alerts.may_go_out(batch), keys, minutes)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch_id").parquet(target)
 
-    return write
+def deduplicated_alerts(parts: DataFrame, keys: list[str], minutes: int = DEDUP_MINUTES) -> DataFrame:
+    """The alerts that go out by the batch rule, from ``dedup_parts`` of any batches."""
+    return alerts.burst_starts(alerts.merge_slices(parts, keys), keys, minutes)
+
+
+MART_KEYS = ["day", "customer_id", "product_id"]
+
+
+def mart_parts(rows: DataFrame) -> DataFrame:
+    """Per day, customer and product: what the daily summary needs, summable over batches."""
+    revenue = (F.col("amount") * F.col("quantity")).cast("decimal(18,2)")
+    return rows.groupBy(F.to_date("transaction_timestamp").alias("day"), "customer_id", "product_id").agg(
+        F.count("*").alias("n"), F.count("amount").alias("priced"), F.sum("amount").alias("amount"), F.sum(revenue).alias("revenue")
+    )
+
+
+def mart_of_parts(parts: DataFrame) -> DataFrame:
+    """The daily summary; customers and products are counted over rows reduced to one per value."""
+    sums = [F.sum(c).alias(c) for c in ("n", "priced", "amount", "revenue")]
+    by_pair = parts.groupBy("day", "customer_id", "product_id").agg(*sums)
+    return by_pair.groupBy(F.col("day").alias("date")).agg(
+        F.sum("n").alias("total_transactions"),
+        F.sum("revenue").cast("decimal(28,2)").alias("total_revenue"),
+        F.sum("amount").cast("decimal(28,2)").alias("total_amount"),
+        ratio(F.sum("amount"), F.sum("priced")).alias("avg_transaction_value"),
+        F.countDistinct("customer_id").alias("unique_customers"),
+        F.countDistinct("product_id").alias("unique_products"),
+    )
 
 
 def upsert_daily_mart(staged_path: str, target: str):
-    """Batch writer that keeps staged rows and rewrites the mart's partitions of the touched days.
+    """Batch writer that keeps each batch's partial sums and rewrites the mart's touched days.
 
-    A day is always rebuilt from all its staged rows, so distinct counts stay exact and a replayed
-    batch leaves the same mart.
+    A day is rebuilt from the partial sums of its batches, never from its rows, so distinct counts
+    stay exact and a replayed batch leaves the same mart.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumns(
-            {"day": F.to_date("transaction_timestamp"), "batch_id": F.lit(batch_id).cast("bigint")}
-        )
+        parts = mart_parts(batch).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         # Gather each day into few files; AQE splits a day too big for one task.
-        rows.hint("rebalance", "day").write.mode("overwrite").option(
+        parts.hint("rebalance", "day").write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("day", "batch_id").parquet(staged_path)
         staged = spark.read.parquet(staged_path)
         touched = staged.where(F.col("batch_id") == batch_id).select("day").distinct()
-        again = staged.join(touched, "day", "left_semi").drop("day", "batch_id")
-        write_date_partitions(daily_summary(daily_transactions(again)), target)
+        write_date_partitions(mart_of_parts(staged.join(touched, "day", "left_semi")), target)
 
     return write
 

@@ -19,14 +19,18 @@ def _(lake):
 
 @query(
     "alert_metadata_map",
-    """SELECT id, alert_type, severity, substr(title, 1, 500) AS subject, dag_id, task_id,
+    """SELECT id, alert_type, severity, title || ' ' || repeat('é', CAST(id % 1000 AS INTEGER)) AS subject,
+        left(title || ' ' || repeat('é', CAST(id % 1000 AS INTEGER)), 500) AS subject_shown, dag_id, task_id,
         strftime(created_at, '%Y-%m-%d') AS execution_date,
         '{"try_number":"' || k || '","log_url":"http://log/' || user_id || '"}' AS metadata,
         created_at FROM x_al""",
 )
 def _(lake):
     """Field lists to columns plus a map, shown as JSON in field order."""
-    rows = alerts.alert_rows(lake.alerts_of(lake.events))
+    incoming = lake.alerts_of(lake.events)
+    # Titles up to 1,000 characters longer: stored whole, cut for display only.
+    longer = F.concat_ws(" ", "title", F.repeat(F.lit("é"), (F.col("id") % 1000).cast("int")))
+    rows = alerts.alert_rows(incoming.withColumn("title", longer)).select("*", alerts.shown_subject())
     pair = F.from_json("metadata", "map<string,string>")
     in_order = F.to_json(
         F.struct(pair["try_number"].alias("try_number"), pair["log_url"].alias("log_url"))
@@ -113,12 +117,16 @@ def severity_count(name):
     return f"COUNT(*) FILTER (WHERE severity = '{name}') AS {name}_count"
 
 
-@query(
-    "alert_window_summary",
-    f"""SELECT time_bucket(INTERVAL 5 MINUTE, created_at) AS window_start, COUNT(*) AS total_alerts,
+WINDOW_SQL = f"""WITH w AS (SELECT time_bucket(INTERVAL 5 MINUTE, created_at) AS window_start, * FROM x_al),
+        t AS (SELECT window_start, string_agg(alert_type || '=' || n, ',' ORDER BY alert_type || '=' || n) AS alerts_by_type
+            FROM (SELECT window_start, alert_type, COUNT(*) AS n FROM w GROUP BY 1, 2) GROUP BY 1)
+        SELECT window_start, COUNT(*) AS total_alerts,
         {", ".join(severity_count(s) for s in ("critical", "high", "medium", "low"))},
-        COUNT(DISTINCT alert_type) AS alert_types, COUNT(*) > 2 AS send_summary FROM x_al GROUP BY 1""",
-)
+        COUNT(DISTINCT alert_type) AS alert_types, any_value(alerts_by_type) AS alerts_by_type,
+        COUNT(*) > 2 AS send_summary FROM w JOIN t USING (window_start) GROUP BY 1"""
+
+
+@query("alert_window_summary", WINDOW_SQL)
 def _(lake):
     return alerts.window_summary(lake.alerts, limit=2)
 

@@ -16,7 +16,11 @@ from orefield.workload.registry import query
 from orefield.workload.tables import EVENTS_NOW
 
 ALL = "SELECT * FROM "
-ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+ORDER_COLUMNS = [
+    "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_seen", "o_orderpriority", "o_note",
+]
+# Quotes and line breaks inside quoted text.
+TEXT = {"multiLine": True, "escape": '"'}
 
 
 def sql_fingerprint(columns):
@@ -27,7 +31,7 @@ def sql_fingerprint(columns):
 
 def sql_manifest(source, condition="true"):
     return f"""SELECT '{source}' AS source_name, COUNT(*) AS row_count,
-        {sql_fingerprint(ORDER_COLUMNS)} AS fingerprint FROM orders WHERE {condition}"""
+        {sql_fingerprint(ORDER_COLUMNS)} AS fingerprint FROM x_ord WHERE {condition}"""
 
 
 def manifest(source, df, row_count=None):
@@ -38,7 +42,14 @@ def manifest(source, df, row_count=None):
 
 
 def _orders(lake):
-    return lake.orders.select(*ORDER_COLUMNS)
+    """Orders with money, a date, a time, and free text with quotes, line breaks and nulls."""
+    note = F.concat(F.lit('said "'), "o_orderpriority", F.lit('",\n then; é '), F.col("o_custkey").cast("string"))
+    return lake.orders.select(
+        "o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"),
+        F.to_date("o_orderdate").alias("o_orderdate"),
+        F.expr("o_orderdate + make_dt_interval(0, 0, 0, o_orderkey % 86400)").cast("timestamp_ntz").alias("o_seen"),
+        "o_orderpriority", F.when(F.col("o_orderkey") % 7 > 0, note).alias("o_note"),
+    )
 
 
 # -- files ---------------------------------------------------------------------------------------
@@ -48,9 +59,9 @@ def _orders(lake):
 def _(lake):
     """CSV part files -> bronze Parquet; the row count is the one observed by the load."""
     root = new_workspace(lake.spark, "csv")
-    _orders(lake).write.option("header", True).csv(f"{root}/in")
+    tables.export_csv(_orders(lake), f"{root}/in")
     schema = _orders(lake).schema
-    done = files.ingest_file(lake.spark, f"{root}/in", root, "orders/orders.csv", "csv", schema)
+    done = files.ingest_file(lake.spark, f"{root}/in", root, "orders/orders.csv", "csv", schema, **TEXT)
     return manifest("orders.csv", lake.spark.read.parquet(done.uri), done.row_count)
 
 
@@ -63,14 +74,18 @@ def _(lake):
     return manifest("orders.json", lake.spark.read.parquet(done.uri), done.row_count)
 
 
+PAGE_ROWS = 100
+
+
 @query("src_json_pages", sql_manifest("orders_api"))
 def _(lake):
-    """Landed API responses: pages of records in one JSON document each."""
+    """Landed API responses: pages of a bounded number of records in one JSON document each."""
     root = new_workspace(lake.spark, "pages")
     orders = _orders(lake)
-    pages = orders.groupBy(F.floor(F.col("o_orderkey") / 100).alias("page")).agg(
-        F.collect_list(F.struct(*ORDER_COLUMNS)).alias("items")
-    )
+    # Pages are cut inside each part, so that no key, null or repeated, can make a page grow.
+    place = F.monotonically_increasing_id()
+    parts = orders.withColumns({"part": F.spark_partition_id(), "page": F.floor(place.bitwiseAND((1 << 33) - 1) / PAGE_ROWS)})
+    pages = parts.groupBy("part", "page").agg(F.collect_list(F.struct(*ORDER_COLUMNS)).alias("items")).drop("part")
     pages.write.json(f"{root}/in")
     rows = files.landed_json_pages(lake.spark, f"{root}/in", "items", pages.schema)
     rows.write.parquet(layers.layer_path(root, "bronze", "orders_api.parquet"))
@@ -79,25 +94,66 @@ def _(lake):
     )
 
 
+def _batch_sql(where, name, kind, status="success", bad=0, error="NULL"):
+    return f"""SELECT '{name}' AS source, '{kind}' AS file_type, COUNT(*) AS row_count, {bad} AS bad_rows,
+        '{status}' AS status, {error} AS error, coalesce({sql_fingerprint(BATCH_COLUMNS)}, 0) AS fingerprint FROM x_ord WHERE {where}"""
+
+
+BATCH_COLUMNS = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
 @query(
     "src_batch_glob",
-    """SELECT file_type, CAST(COUNT(*) AS BIGINT) AS row_count, 'success' AS status FROM (
-        SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'csv' ELSE 'json' END AS file_type FROM orders)
-        GROUP BY 1""",
+    " UNION ALL ".join(
+        [
+            _batch_sql("o_orderkey % 4 = 0", "lines", "json"),
+            _batch_sql("o_orderkey % 4 = 1", "array", "json"),
+            _batch_sql("o_orderkey % 4 = 2", "turned", "csv"),
+            _batch_sql("false", "header", "csv"),
+            """SELECT 'broken', 'csv', (SELECT COUNT(*) FROM x_ord WHERE o_orderkey % 4 = 3), 1, 'failed', '1 malformed records', 0""",
+            """SELECT 'nothing', 'json', 0, 0, 'failed', 'empty file', 0""",
+        ]
+    ),
 )
 def _(lake):
-    """A folder of CSV, JSON and other files, routed by extension, summed up per type."""
-    root = new_workspace(lake.spark, "batch")
-    orders, even = _orders(lake), F.col("o_orderkey") % 2 == 0
-    orders.where(even).write.option("header", True).csv(f"{root}/a")
-    orders.where(~even).write.json(f"{root}/b")
-    orders.select(F.col("o_orderkey").cast("string")).write.text(f"{root}/c")
-    found = files.batch_manifest(lake.spark, root, orders.schema)
-    return found.groupBy("file_type").agg(
-        F.sum("row_count").alias("row_count"), F.max("status").alias("status")
+    """NDJSON, an array over several lines, CSV in another column order, a header alone, a broken and an empty file.
+
+    The outcome of each file, with the fingerprint of what its bronze partition holds.
+    """
+    root, spark = new_workspace(lake.spark, "batch"), lake.spark
+    orders, part = _orders(lake).select(BATCH_COLUMNS), F.col("o_orderkey") % 4
+    folder = f"{root}/in"
+    orders.where(part == 0).coalesce(1).write.json(f"{folder}/lines")
+    documents = orders.where(part == 1).select(F.to_json(F.struct("*")).alias("value"))
+    lines = documents.agg(F.concat(F.lit("[\n"), F.array_join(F.sort_array(F.collect_list("value")), ",\n"), F.lit("\n]")).alias("value"))
+    lines.write.option("lineSep", "\n").text(f"{folder}/array")
+    tables.export_csv(orders.where(part == 2).select(*reversed(BATCH_COLUMNS)).coalesce(1), f"{folder}/turned")
+    spark.createDataFrame([(",".join(BATCH_COLUMNS),)], "value string").coalesce(1).write.text(f"{folder}/header")
+    broken = orders.where(part == 3).select(F.concat_ws(",", *[F.col(c).cast("string") for c in BATCH_COLUMNS]).alias("value"))
+    first = spark.createDataFrame([(",".join(BATCH_COLUMNS),), ("1,2,3,4,5,6,7",)], "value string")
+    first.union(broken).coalesce(1).write.text(f"{folder}/broken")
+    spark.createDataFrame([("",)], "value string").coalesce(1).write.text(f"{folder}/nothing")
+    named = _named_copies(spark, folder, {"lines": "json", "array": "json", "turned": "csv", "header": "csv", "broken": "csv", "nothing": "json"})
+    found = files.ingest_batch(spark, named, root, "batch/orders", orders.schema)
+    held = spark.read.schema(orders.schema.add("source_file", "string")).parquet(layers.layer_path(root, "bronze", "batch/orders"))
+    prints = held.groupBy(F.col("source_file").alias("file")).agg(dataset_fingerprint(*BATCH_COLUMNS).alias("fingerprint"))
+    return found.join(prints, "file", "left").select(
+        F.split("file", r"\.")[0].alias("source"), "file_type", "row_count", F.col("bad_rows").cast("int").alias("bad_rows"), "status",
+        "error", F.coalesce("fingerprint", F.lit(0).cast("decimal(38,0)")).alias("fingerprint"),
     )
 
 
+def _named_copies(spark, folder, kinds):
+    """The part file of each folder under its own name and extension, as a feed would drop it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(conf)
+    for name, kind in kinds.items():
+        for part in fs.globStatus(path(f"{folder}/{name}/part-*")):
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, part.getPath(), fs, path(f"{folder}/batch/{name}.{kind}"), False, conf)
+    return f"{folder}/batch"
+
+
 # -- tables ----------------------------------------------------------------------------------------
 
 
@@ -120,7 +176,7 @@ def _(lake):
 
 @query(
     "incremental_extract_int",
-    "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey > 9999",
+    "SELECT * FROM x_ord WHERE o_orderkey > 9999",
 )
 def _(lake):
     return tables.incremental_rows(_orders(lake), "o_orderkey", "9999")
@@ -146,6 +202,52 @@ def _(lake):
     return lake.spark.createDataFrame(rows, "run string, row_count bigint, watermark_day string")
 
 
+@query(
+    "incremental_extract_rerun",
+    f"""SELECT 'events' AS source_name, COUNT(*) AS row_count, {sql_fingerprint(["event_id", "user_id", "props"])} AS fingerprint,
+        CAST(1 AS BIGINT) AS marks FROM events""",
+)
+def _(lake):
+    """The same key extracted twice: the second run finds nothing new, and bronze keeps all rows."""
+    root = new_workspace(lake.spark, "rerun")
+    source = lake.table("events")
+    for _ in range(2):
+        tables.incremental_run(source, root, "events", "events", "ts", f"{root}/marks")
+    columns = ["event_id", "user_id", "props"]
+    held = lake.spark.read.parquet(layers.layer_path(root, "bronze", "events"))
+    marks = lake.spark.read.parquet(f"{root}/marks").agg(F.count("*")).scalar()
+    return held.agg(F.count("*").alias("row_count"), dataset_fingerprint(*columns).alias("fingerprint")).select(
+        F.lit("events").alias("source_name"), "row_count", "fingerprint", marks.alias("marks")
+    )
+
+
+@query(
+    "ledger_of_runs",
+    """SELECT 'csv' AS source_name, 'success' AS status, COUNT(*) AS row_count, false AS has_error FROM orders
+        UNION ALL SELECT 'broken', 'failed', NULL, true
+        UNION ALL SELECT 'extract', 'success', COUNT(*), false FROM events
+        UNION ALL SELECT 'load', 'success', COUNT(*), false FROM orders""",
+)
+def _(lake):
+    """What the ledger holds after a good file, a broken one, an extract and a load."""
+    root, spark = new_workspace(lake.spark, "ledger"), lake.spark
+    log, history = f"{root}/ledger", f"{root}/schemas"
+    orders = _orders(lake)
+    tables.export_csv(orders, f"{root}/in")
+    how = {"kind": "csv", "schema": orders.schema, **TEXT}
+    done = files.ingest_logged(spark, f"{root}/in", root, "orders.csv", log, history, "r1", "csv", "2024-01-31", **how)
+    spark.createDataFrame([("o_orderkey,o_custkey",), ("x,y",)], "value string").coalesce(1).write.text(f"{root}/broken")
+    try:
+        files.ingest_logged(spark, f"{root}/broken", root, "broken.csv", log, history, "r2", "broken", "2024-01-31", **how)
+    except files.IngestionError:
+        pass  # in the ledger
+    events = lake.table("events")
+    ledger.logged(spark, log, "r3", "extract", lambda: tables.incremental_run(events, root, "events", "events", "ts", f"{root}/marks"))
+    ledger.logged(spark, log, "r4", "load", lambda: {"row_count": tables.load_parquet(spark, done.uri, f"{root}/warehouse/orders")})
+    runs = ledger.current_runs(spark.read.parquet(log))
+    return runs.select("source_name", "status", "row_count", F.col("error_message").isNotNull().alias("has_error"))
+
+
 @query(
     "param_sql",
     """SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice FROM orders
@@ -162,7 +264,7 @@ def _(lake):
 
 @query(
     "custom_query_extract",
-    """SELECT 'custom_query:' || substr('SELECT * FROM recent_orders', 1, 80) AS source_name,
+    """SELECT 'custom_query:SELECT * FROM recent_orders#' || left(md5('SELECT * FROM recent_orders'), 12) AS source_name,
         COUNT(*) AS row_count FROM x_orders o JOIN x_customers c ON o.customer_id = c.customer_id
         WHERE order_date >= DATE '1998-01-01'""",
 )
@@ -190,7 +292,7 @@ def _(lake):
 @query(
     "load_append",
     f"""SELECT 'orders' AS source_name, 2 * COUNT(*) AS row_count,
-        CAST(2 * {sql_fingerprint(ORDER_COLUMNS)} AS DECIMAL(38,0)) AS fingerprint FROM orders""",
+        CAST(2 * {sql_fingerprint(ORDER_COLUMNS)} AS DECIMAL(38,0)) AS fingerprint FROM x_ord""",
 )
 def _(lake):
     root = new_workspace(lake.spark, "load")
@@ -218,19 +320,23 @@ def _(lake):
     "dataset_fingerprint",
     f"""SELECT 'customer' AS dataset, COUNT(*) AS row_count,
             {sql_fingerprint(["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])} AS fingerprint FROM customer
-        UNION ALL SELECT 'orders', COUNT(*), {sql_fingerprint(ORDER_COLUMNS)} FROM orders
+        UNION ALL SELECT 'orders', COUNT(*), {sql_fingerprint(ORDER_COLUMNS)} FROM x_ord
         UNION ALL SELECT 'events', COUNT(*),
-            {sql_fingerprint(["event_id", "user_id", "event_type", "props"])} FROM events""",
+            {sql_fingerprint(["event_id", "user_id", "event_type", "CAST(value AS DECIMAL(18,2))",
+                              "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')", "props"])} FROM events""",
 )
 def _(lake):
+    events = lake.table("events").withColumns(
+        {"value": F.col("value").cast("decimal(18,2)"), "ts": F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")}
+    )
     wanted = {
-        "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
-        "orders": ORDER_COLUMNS,
-        "events": ["event_id", "user_id", "event_type", "props"],
+        "customer": (lake.table("customer"), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]),
+        "orders": (_orders(lake), ORDER_COLUMNS),
+        "events": (events, ["event_id", "user_id", "event_type", "value", "ts", "props"]),
     }
     out = None
-    for name, columns in wanted.items():
-        one = lake.table(name).agg(
+    for name, (df, columns) in wanted.items():
+        one = df.agg(
             F.count("*").alias("row_count"), dataset_fingerprint(*columns).alias("fingerprint")
         )
         one = one.select(F.lit(name).alias("dataset"), "row_count", "fingerprint")
@@ -238,12 +344,18 @@ def _(lake):
     return out
 
 
-@query("file_checksums")
+@query(
+    "file_checksums",
+    """WITH f AS (SELECT o_orderstatus, string_agg(o_orderkey, chr(10) ORDER BY o_orderkey) || chr(10) AS body FROM orders GROUP BY 1)
+        SELECT 'o_orderstatus=' || o_orderstatus AS folder, CAST(strlen(body) AS BIGINT) AS size_bytes, md5(body) AS md5, sha256(body) AS sha256 FROM f""",
+)
 def _(lake):
-    """md5 and sha256 of the part files of a written dataset."""
+    """md5 and sha256 of files whose bytes are known: the order keys of each status, in order."""
     root = new_workspace(lake.spark, "sums")
-    uri, _rows = tables.extract_full(_orders(lake), root, "orders.parquet")
-    return files.file_checksums(lake.spark, uri)
+    keys = lake.orders.select("o_orderstatus", F.col("o_orderkey").cast("string").alias("value"), "o_orderkey")
+    keys = keys.repartition("o_orderstatus").sortWithinPartitions("o_orderstatus", "o_orderkey").drop("o_orderkey")
+    keys.write.partitionBy("o_orderstatus").text(f"{root}/keys")
+    return files.file_checksums(lake.spark, f"{root}/keys").select("folder", "size_bytes", "md5", "sha256")
 
 
 @query(
@@ -270,7 +382,7 @@ def _(lake):
 def _(lake):
     root = new_workspace(lake.spark, "export")
     tables.export_csv(_orders(lake).where("o_orderstatus = 'F'"), f"{root}/csv")
-    back = files.read_csv(lake.spark, f"{root}/csv", _orders(lake).schema)
+    back = files.read_csv(lake.spark, f"{root}/csv", _orders(lake).schema, **TEXT)
     return manifest("orders", back)
 
 
@@ -319,18 +431,30 @@ def _(lake):
 
 
 def _three_layers(lake, label):
+    """Orders by status in bronze and silver, a daily report in gold."""
     root = new_workspace(lake.spark, label)
-    tables.extract_full(_orders(lake), root, "sales/orders")
-    layers.promote(lake.spark, root, "sales/orders", "bronze", "silver")
+    orders = _orders(lake).withColumn("status", F.col("o_orderstatus"))
+    orders.write.partitionBy("status").parquet(layers.layer_path(root, "bronze", "sales/orders"))
+    kept = lake.spark.read.parquet(layers.layer_path(root, "bronze", "sales/orders"))
+    kept.write.partitionBy("status").parquet(layers.layer_path(root, "silver", "sales/orders"))
     daily = sales.daily_orders(lake.stg_orders)
     daily.write.parquet(layers.layer_path(root, "gold", "reports/daily_orders"))
     return root
 
 
-@query("layer_listing")
+@query(
+    "layer_listing",
+    "SELECT 'sales/orders/status=' || o_orderstatus AS folder, COUNT(*) AS row_count, true AS has_objects FROM orders GROUP BY 1",
+)
 def _(lake):
+    """The folders of a layer below a prefix, from its listing, with the rows each one holds."""
     root = _three_layers(lake, "listing")
-    return layers.list_layer(lake.spark, root, "bronze", "sales/").select("object_key", "size_bytes")
+    listed = layers.list_layer(lake.spark, root, "bronze", "sales/").where(F.col("object_key").endswith(".parquet"))
+    folder = F.regexp_replace("object_key", "/[^/]*$", "")
+    listed = listed.groupBy(folder.alias("folder")).agg((F.count("*") > 0).alias("has_objects"))
+    held = lake.spark.read.parquet(layers.layer_path(root, "bronze", "sales/orders"))
+    held = held.groupBy(F.concat(F.lit("sales/orders/status="), "status").alias("folder")).agg(F.count("*").alias("row_count"))
+    return held.join(listed, "folder", "full").select("folder", "row_count", "has_objects")
 
 
 @query("promote_layer", sql_manifest("orders"))
@@ -340,23 +464,38 @@ def _(lake):
     return manifest("orders", lake.spark.read.parquet(path))
 
 
-@query("layer_size_summary")
+@query(
+    "layer_size_summary",
+    """SELECT layer, n <= COUNT(DISTINCT o_orderstatus) OR layer <> 'gold' AS has_objects, true AS has_bytes
+        FROM orders, (VALUES ('bronze', 1), ('silver', 1), ('gold', 1)) AS l(layer, n) GROUP BY layer, n""",
+)
 def _(lake):
+    """Every layer has objects, at least one for each folder written, and bytes."""
     root = _three_layers(lake, "sizes")
-    return layers.layer_sizes(layers.list_objects(lake.spark, root))
+    found = layers.layer_sizes(layers.list_objects(lake.spark, root))
+    folders = lake.orders.agg(F.countDistinct("o_orderstatus")).scalar()
+    least = F.when(F.col("layer") == "gold", F.lit(1)).otherwise(folders)
+    return found.select("layer", (F.col("object_count") >= least).alias("has_objects"), (F.col("total_bytes") > 0).alias("has_bytes"))
 
 
-@query("layer_prefix_summary")
+@query(
+    "layer_prefix_summary",
+    "SELECT * FROM (VALUES ('bronze', 'sales', true), ('silver', 'sales', true), ('gold', 'reports', true)) AS t(layer, prefix, has_objects)",
+)
 def _(lake):
     root = _three_layers(lake, "prefixes")
-    return layers.layer_prefixes(layers.list_objects(lake.spark, root))
+    found = layers.layer_prefixes(layers.list_objects(lake.spark, root))
+    return found.where("prefix <> ''").select("layer", "prefix", (F.col("object_count") > 0).alias("has_objects"))
 
 
-@query("verify_layers")
+@query(
+    "verify_layers",
+    "SELECT layer, COUNT(o_orderkey) > 0 AS verified FROM orders, (VALUES ('bronze'), ('silver'), ('gold')) AS l(layer) GROUP BY layer",
+)
 def _(lake):
     root = _three_layers(lake, "verify")
     keys = {"bronze": "sales/orders", "silver": "sales/orders", "gold": "reports/daily_orders"}
-    return layers.verify_layers(lake.spark, root, keys)
+    return layers.verify_layers(lake.spark, root, keys).select("layer", (F.col("object_count") > 0).alias("verified"))
 
 
 @query("table_ready", "SELECT 'orders' AS table_name, COUNT(*) >= 100 AS ready FROM orders")
@@ -368,42 +507,55 @@ def _(lake):
 # -- schemas ---------------------------------------------------------------------------------------
 
 
-def _schema_sql(source, columns, sample):
+def _schema_sql(source, columns):
     rows = "UNION ALL ".join(
         f"SELECT {i + 1} AS position, '{c}' AS column_name, '{t}' AS portable_type, "
         f"(SELECT bool_or({c} IS NULL) FROM {source}) AS nullable "
         for i, (c, t) in enumerate(columns)
     )
     size = f"(SELECT COUNT(*) FROM {source})"
-    shown = size if sample is None else f"least({sample}, {size})"
-    return f"SELECT *, {shown} AS sample_rows, {size} AS row_count FROM ({rows})"
+    return f"SELECT *, {size} AS sample_rows, {size} AS row_count FROM ({rows})"
 
 
-CUSTOMER_TYPES = [
-    ("customer_id", "string"), ("name", "string"), ("email", "string"), ("country", "string"),
+ORDER_TYPES = [
+    ("o_orderkey", "integer"), ("o_custkey", "integer"), ("o_orderstatus", "string"), ("o_totalprice", "float"),
+    ("o_orderdate", "timestamp"), ("o_seen", "timestamp"), ("o_orderpriority", "string"), ("o_note", "string"), ("late", "integer"),
 ]
-SCHEMA_EVENTS = [
-    ("event_id", "integer"), ("event_type", "string"), ("user_id", "integer"), ("value", "float"),
+EVENT_TYPES = [
+    ("event_id", "integer"), ("event_type", "string"), ("late", "string"), ("props", "string"), ("ts", "string"),
+    ("user_id", "integer"), ("value", "float"),
 ]
+LATE_SQL = "SELECT *, CASE WHEN {0} < (SELECT MAX({0}) FROM {1}) THEN {2} END AS late FROM {1}"
 
 
-@query("detect_schema_csv", _schema_sql("x_rawcust", CUSTOMER_TYPES, schemas.CSV_SAMPLE_ROWS))
+def _with_late(df, key, value):
+    """A column that is null in the last row only: any sample of the first rows would miss it."""
+    last = df.agg(F.max(key)).scalar()
+    return df.withColumn("late", F.when(F.col(key) < last, value)).orderBy(key)
+
+
+@query("detect_schema_csv", _schema_sql("(" + LATE_SQL.format("o_orderkey", "x_ord", "o_custkey") + ")", ORDER_TYPES))
 def _(lake):
     root = new_workspace(lake.spark, "schema-csv")
-    lake.raw_customers.select(*[c for c, _ in CUSTOMER_TYPES]).write.option("header", True).csv(root)
-    return schemas.detect_schema(files.read_csv(lake.spark, root), schemas.CSV_SAMPLE_ROWS)
+    tables.export_csv(_with_late(_orders(lake), "o_orderkey", F.col("o_custkey")), root)
+    return schemas.detect_schema(files.read_csv(lake.spark, root, **TEXT))
 
 
-@query("detect_schema_json", _schema_sql("events", SCHEMA_EVENTS, schemas.JSON_SAMPLE_ROWS))
+@query("detect_schema_json", _schema_sql("(" + LATE_SQL.format("event_id", "events", "event_type") + ")", EVENT_TYPES))
 def _(lake):
     root = new_workspace(lake.spark, "schema-json")
-    lake.table("events").select(*[c for c, _ in SCHEMA_EVENTS]).write.json(root)
-    return schemas.detect_schema(files.read_json(lake.spark, root), schemas.JSON_SAMPLE_ROWS)
+    _with_late(lake.table("events"), "event_id", F.col("event_type")).write.json(root)
+    return schemas.detect_schema(files.read_json(lake.spark, root))
+
+
+TABLE_TYPES = [
+    ("event_id", "integer"), ("ts", "timestamp"), ("user_id", "integer"), ("event_type", "string"), ("value", "float"), ("props", "string"),
+]
 
 
-@query("detect_schema_table", _schema_sql("events", SCHEMA_EVENTS, None))
+@query("detect_schema_table", _schema_sql("events", TABLE_TYPES))
 def _(lake):
-    return schemas.detect_schema(lake.table("events").select(*[c for c, _ in SCHEMA_EVENTS]))
+    return schemas.detect_schema(lake.table("events").select(*[c for c, _ in TABLE_TYPES]))
 
 
 @query(

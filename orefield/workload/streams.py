@@ -6,24 +6,42 @@ input is used up and returns what was written.
 
 from pyspark.sql import functions as F
 
+from orefield.functions.labels import alert_type_of_title
+from orefield.operators import alerts
 from orefield.operators.quality import suites
 from orefield.operators.quality.rules import rule
 from orefield.plans import transactions
 from orefield.session import new_workspace
 from orefield.streaming import jobs
+from orefield.workload.alerts import WINDOW_SQL
 from orefield.workload.registry import query
 from orefield.workload.tables import EVENTS_NOW
 
 
-def _events(lake):
-    """The events as a stream, with the adapters' k column."""
+FILES, FILES_PER_BATCH = 20, 6
+
+
+def _landed(lake, root):
+    """The events dealt by a hash over many files, so that every batch holds all days in no order."""
+    lake.table("events").repartition(FILES, "event_id").write.parquet(f"{root}/in")
+    return f"{root}/in"
+
+
+def _events(lake, root):
+    """The events as a stream of several batches, with the adapters' k column."""
     schema = lake.table("events").schema
-    stream = jobs.file_stream(lake.spark, lake.dir, schema, "events.parquet")
+    stream = jobs.file_stream(lake.spark, _landed(lake, root), schema, files_per_trigger=FILES_PER_BATCH)
     return stream.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
 
 
-def _staged(lake):
-    return transactions.stage_transactions(lake.transactions_of(_events(lake)), EVENTS_NOW)
+def _staged(lake, root):
+    return transactions.stage_transactions(lake.transactions_of(_events(lake, root)), EVENTS_NOW)
+
+
+def _alerts(lake, root):
+    """Alerts of the stream under the batch's column names."""
+    found = lake.alerts_of(_events(lake, root))
+    return found.withColumns({"alert_type": alert_type_of_title(F.col("title")), "severity": F.lower("severity")})
 
 
 @query(
@@ -32,62 +50,52 @@ def _staged(lake):
 )
 def _(lake):
     root = new_workspace(lake.spark, "stream-ingest")
+    stream = _events(lake, root).drop("k")
     for _ in range(2):  # the second run finds nothing new
-        jobs.run_to_parquet(_events(lake).drop("k"), f"{root}/out", f"{root}/checkpoint")
+        jobs.run_to_parquet(stream, f"{root}/out", f"{root}/checkpoint")
     return lake.spark.read.parquet(f"{root}/out")
 
 
-@query(
-    "stream_daily_revenue",
-    """SELECT transaction_date, total_transactions, total_amount FROM x_daily
-        WHERE transaction_date + INTERVAL 1 DAY <= (SELECT MAX(transaction_timestamp) - INTERVAL 1 DAY FROM x_stg)""",
-)
+@query("stream_daily_revenue", "SELECT transaction_date, total_transactions, total_amount, unique_customers FROM x_daily")
 def _(lake):
-    """The days the watermark has closed; later ones are still open when the input ends."""
+    """Partial sums of each batch, put together on reading: all days, late rows too."""
     root = new_workspace(lake.spark, "stream-revenue")
-    staged = _staged(lake).withColumn(
-        "transaction_timestamp", F.col("transaction_timestamp").cast("timestamp")
-    )
-    jobs.run_to_parquet(jobs.daily_revenue(staged), f"{root}/out", f"{root}/checkpoint")
-    closed = lake.spark.read.parquet(f"{root}/out")
-    return closed.select("transaction_date", "total_transactions", "total_amount")
+    write = jobs.partial_batches(jobs.revenue_parts, f"{root}/parts")
+    jobs.run_batches(_staged(lake, root), write, f"{root}/checkpoint")
+    return jobs.daily_revenue(lake.spark.read.parquet(f"{root}/parts"))
 
 
-@query("stream_alert_dedup", "SELECT DISTINCT dag_id, title FROM x_al0")
+@query(
+    "stream_alert_dedup",
+    """SELECT dag_id, alert_type, id, created_at FROM (SELECT *, lag(created_at) OVER
+            (PARTITION BY dag_id, alert_type ORDER BY created_at, id) AS before FROM x_al
+            WHERE dag_id NOT IN ('example_hello_world', 'example_monitoring') AND NOT is_retry)
+        WHERE before IS NULL OR created_at - before > INTERVAL 15 MINUTE""",
+)
 def _(lake):
-    """The keys that got an alert out; the table is one file, hence one batch and one alert per key."""
-    root = new_workspace(lake.spark, "stream-dedup")
-    alerts = lake.alerts_of(_events(lake)).withColumn("created_at", F.col("created_at").cast("timestamp"))
-    kept = jobs.deduplicated_alerts(alerts, ["dag_id", "title"])
-    jobs.run_to_parquet(kept, f"{root}/out", f"{root}/checkpoint")
-    return lake.spark.read.parquet(f"{root}/out").select("dag_id", "title")
+    """The 15-minute rule over all batches: the same alerts go out as from one batch of everything."""
+    root, keys = new_workspace(lake.spark, "stream-dedup"), ["dag_id", "alert_type"]
+    write = jobs.partial_batches(jobs.dedup_parts(keys), f"{root}/parts")
+    jobs.run_batches(_alerts(lake, root), write, f"{root}/checkpoint")
+    return jobs.deduplicated_alerts(lake.spark.read.parquet(f"{root}/parts"), keys)
 
 
-@query(
-    "stream_alert_summary",
-    """SELECT time_bucket(INTERVAL 5 MINUTE, created_at) AS window_start, COUNT(*) AS total_alerts,
-        COUNT(*) > 2 AS send_summary FROM x_al GROUP BY 1""",
-)
+@query("stream_alert_summary", WINDOW_SQL)
 def _(lake):
-    """Update mode: each batch writes the windows it changed, the last write of a window counts."""
     root = new_workspace(lake.spark, "stream-windows")
-    alerts = lake.alerts_of(_events(lake)).withColumn("created_at", F.col("created_at").cast("timestamp"))
-    windows = jobs.alert_windows(alerts, limit=2)
-    jobs.run_batches(windows, jobs.append_batches(f"{root}/out"), f"{root}/checkpoint", "update")
-    newest = F.max_by(F.struct("total_alerts", "send_summary"), F.col("batch_id"))
-    return (
-        lake.spark.read.parquet(f"{root}/out")
-        .groupBy(F.col("window_start").cast("timestamp_ntz").alias("window_start"))
-        .agg(newest.alias("w"))
-        .select("window_start", "w.*")
+    write = jobs.partial_batches(alerts.window_counts, f"{root}/parts")
+    jobs.run_batches(_alerts(lake, root), write, f"{root}/checkpoint")
+    parts = jobs.compacted(
+        lake.spark, f"{root}/parts", lambda p: p.groupBy("window_start", "severity", "alert_type").agg(F.sum("n").alias("n")), f"{root}/compact"
     )
+    return alerts.summed_windows(lake.spark.read.parquet(parts), limit=2)
 
 
 @query("stream_mart_upsert", "SELECT * FROM x_summary")
 def _(lake):
     root = new_workspace(lake.spark, "stream-mart")
     write = jobs.upsert_daily_mart(f"{root}/staged", f"{root}/mart")
-    jobs.run_batches(_staged(lake), write, f"{root}/checkpoint")
+    jobs.run_batches(_staged(lake, root), write, f"{root}/checkpoint")
     return lake.spark.read.parquet(f"{root}/mart").select(*lake.daily_summary.columns)
 
 
@@ -109,7 +117,7 @@ def _(lake):
         rule("between", "quantity", min=1),
         rule("in_set", "currency", values=suites.RAW_CURRENCIES),
     ]
-    raw = lake.transactions_of(_events(lake))
+    raw = lake.transactions_of(_events(lake, root))
     jobs.run_batches(raw, jobs.quality_gate(rules, f"{root}/out"), f"{root}/checkpoint")
     out = lake.spark.read.parquet(f"{root}/out")
     return out.select(
