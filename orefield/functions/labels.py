@@ -56,6 +56,9 @@ def alert_type_of_title(title: Column) -> Column:
     )
 
 
+# The limits and words of the status labels below.
+
+
 def freshness_color(hours: Column) -> Column:
     return first_match([(hours < 6, F.lit("green")), (hours < 24, F.lit("yellow"))], F.lit("red"))
 

@@ -127,17 +127,26 @@ def unacknowledged(alerts: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def route(alerts: DataFrame, routes=None) -> DataFrame:
-    """First matching dag pattern decides channels and severity, else the severity's own channels."""
+# Tag of a DAG -> channels, severity; the first tag of this list counts.
+TAG_ROUTES = [("critical", "slack,email", "CRITICAL"), ("production", "slack,email", "HIGH"), ("monitoring", "slack", "MEDIUM")]
+
+
+def route(alerts: DataFrame, routes=None, tags: str | None = None) -> DataFrame:
+    """First matching dag pattern decides channels and severity, else the severity's own channels.
+
+    With ``tags`` (a column with the DAG's tags) a known tag decides before the patterns.
+    """
     routes = ROUTES if routes is None else routes
     dag, severity = F.col("dag_id"), F.upper("severity")
+    tagged = [(F.array_contains(F.coalesce(tags, F.array().cast("array<string>")), t), c, s) for t, c, s in TAG_ROUTES] if tags else []
+    routes = tagged + [(dag.rlike(p), c, s) for p, c, s in routes]
     default = first_match(
         [(severity == s, F.lit(c)) for s, c in SEVERITY_CHANNELS.items()], F.lit("slack")
     )
     return alerts.withColumns(
         {
-            "channels": first_match([(dag.rlike(p), F.lit(c)) for p, c, _ in routes], default),
-            "routed_severity": first_match([(dag.rlike(p), F.lit(s)) for p, _, s in routes], severity),
+            "channels": first_match([(hit, F.lit(c)) for hit, c, _ in routes], default),
+            "routed_severity": first_match([(hit, F.lit(s)) for hit, _, s in routes], severity),
         }
     )
 
@@ -168,9 +177,13 @@ def burst_starts(slices: DataFrame, keys: list[str], minutes: int = DEDUP_MINUTE
     )
 
 
-def may_go_out(alerts: DataFrame, excluded_dags: list[str] | None = None, drop_retries: bool = True) -> DataFrame:
+def may_go_out(
+    alerts: DataFrame, excluded_dags: list[str] | None = None, drop_retries: bool = True, excluded_tasks: list[str] | None = None
+) -> DataFrame:
     excluded = EXCLUDED_DAGS if excluded_dags is None else excluded_dags
     rows = alerts.where(~F.col("dag_id").isin(excluded))
+    if excluded_tasks:
+        rows = rows.where(~F.coalesce(F.col("task_id").isin(excluded_tasks), F.lit(False)))
     return rows.where(~F.col("is_retry")) if drop_retries else rows
 
 

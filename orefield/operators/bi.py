@@ -71,31 +71,30 @@ def top(df: DataFrame, columns: list[str], by: str, tiebreak: str, n: int) -> Da
     return df.select(*columns).orderBy(F.desc(by), tiebreak).limit(n)
 
 
+def newest(df: DataFrame, column: str, n: int = 30) -> DataFrame:
+    """The last ``n`` time buckets of a trend, in order of time."""
+    return df.orderBy(F.desc(column)).limit(n).orderBy(column)
+
+
 def share_of_total(df: DataFrame, group: str, value: str, out: str = "share") -> DataFrame:
-    """Sum per group and its share; the total is a scalar subquery over the group sums."""
+    """Sum per group and its share of the total, which a window takes over the one row of each group."""
     sums = df.groupBy(group).agg(F.sum(value).cast("decimal(38,2)").alias(value))
-    total = sums.agg(F.sum(value).cast("decimal(38,2)")).scalar()
+    total = F.sum(value).over(Window.partitionBy()).cast("decimal(38,2)")
     return sums.withColumn(out, ratio(F.col(value), total))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
-    """Counts per equal-width bin between the minimum and maximum; the maximum is in the last bin."""
-    bounds = df.agg(
-        F.struct(
-            F.min(column).cast("double").alias("low"), F.max(column).cast("double").alias("high")
-        )
-    ).scalar()
-    x = F.col(column).cast("double")
-    width = F.col("b.high") - F.col("b.low")
-    position = F.floor((x - F.col("b.low")) * bins / F.nullif(width, F.lit(0.0)))
+    """Counts per equal-width bin between the minimum and maximum; the maximum is in the last bin.
+
+    Rows are counted per value first (days, amounts of a list: few), so one pass gives bounds and bins.
+    """
+    values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    every, x = Window.partitionBy(), F.col(column).cast("double")
+    values = values.withColumns({"low": F.min(x).over(every), "high": F.max(x).over(every)})
+    width = F.col("high") - F.col("low")
+    position = F.floor((x - F.col("low")) * bins / F.nullif(width, F.lit(0.0)))
     number = F.when(width > 0, F.least(position, F.lit(bins - 1))).otherwise(0).cast("int")
-    return (
-        df.where(F.col(column).isNotNull())
-        .select(column)
-        .withColumn("b", bounds)
-        .groupBy(number.alias("bin"))
-        .agg(F.count("*").alias("customers"))
-    )
+    return values.groupBy(number.alias("bin")).agg(F.sum("n").alias("customers"))
 
 
 def with_previous(daily: DataFrame, day: str, value: str, rows: int = 1) -> DataFrame:

@@ -121,8 +121,16 @@ def sweep(
     )
 
 
+def stale_sources(swept: DataFrame) -> DataFrame:
+    """Every stale source of every layer, one row each."""
+    return swept.where(~F.col("is_fresh")).select("layer", "source_name", "staleness_hours", "threshold_hours")
+
+
 def layer_summary(swept: DataFrame, hours: dict[str, int] | None = None, shown: int = 5) -> DataFrame:
-    """Totals per layer, layers without any source included, and the stalest few by name."""
+    """Totals per layer, layers without any source included, and for display the ``shown`` stalest by name.
+
+    ``stale`` counts all; ``stale_sources`` lists them.
+    """
     table = hours or SWEEP_HOURS
     layers = swept.sparkSession.createDataFrame(
         list(table.items()), "layer string, threshold_hours int"

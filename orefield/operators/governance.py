@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import date, timedelta
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefield.functions import mask_column
@@ -99,6 +101,22 @@ def retention_report(
     )
 
 
+def drop_expired(spark: SparkSession, path: str, as_of: str, layer: str, days: dict[str, int] | None = None) -> int:
+    """Remove the expired year= / month= / day= folders of a table; returns how many went.
+
+    The driver sees the table's listing only. Folders go one by one, so a run that is lost can be repeated.
+    """
+    keep = (days or RETENTION_DAYS)[layer]
+    cutoff = date.fromisoformat(as_of[:10]) - timedelta(days=keep)
+    held = spark.read.parquet(path).select("year", "month", "day").distinct().collect()
+    old = [r for r in held if date(r["year"], r["month"], r["day"]) < cutoff]
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in old:
+        fs.delete(hadoop(f"{path}/year={r['year']}/month={r['month']}/day={r['day']}"), True)
+    return len(old)
+
+
 def within_retention(df: DataFrame, as_of: str, layer: str, day: str) -> DataFrame:
     """Rows to keep; on a date-partitioned table the filter prunes whole partitions."""
     cutoff = F.date_sub(F.to_date(F.lit(as_of)), RETENTION_DAYS[layer])

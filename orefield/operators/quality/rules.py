@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orefield.functions import percent
 from orefield.sources.schemas import portable_type
@@ -105,7 +106,12 @@ def schema_rule_holds(df: DataFrame, r: Rule) -> bool:
         return not missing and not (extra and r.args.get("exact", True))
     if r.kind == "column_list":
         return list(r.args["columns"]) == df.columns
-    return r.column in df.columns and portable_type(df.schema[r.column].dataType) == r.args["type"]
+    if r.column not in df.columns:
+        return False
+    dtype = df.schema[r.column].dataType
+    if r.args["type"] == "timestamp":  # a date is no timestamp
+        return isinstance(dtype, (T.TimestampType, T.TimestampNTZType))
+    return portable_type(dtype) == r.args["type"]
 
 
 def _needed(r: Rule) -> list[str]:

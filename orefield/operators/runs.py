@@ -12,8 +12,7 @@ from orefield.operators.latest import first_per_key
 FAILURE_RATE_LIMIT = 10
 QUEUE_LIMIT = 100
 SLA_TARGET = 95
-RUNS_CHECKED = 10
-MISSES_SHOWN = 20
+WHOLE_DAG = "__dag__"
 HEARTBEAT_LIMIT_SECONDS = 300
 
 
@@ -89,7 +88,7 @@ def task_snapshot(tasks: DataFrame, misses: DataFrame, as_of: str) -> DataFrame:
         count((hour | queued_or_running) & (state == "running"), "running_tasks"),
         age.alias("heartbeat_age_seconds"),
     )
-    recent = misses.where(F.col("timestamp") >= since(as_of, 24)).limit(MISSES_SHOWN)
+    recent = misses.where(F.col("timestamp") >= since(as_of, 24))
     total = F.col("total_tasks_24h")
     return counted.withColumns(
         {
@@ -128,19 +127,26 @@ def dag_counts(dags: DataFrame) -> DataFrame:
     )
 
 
+def dag_runs_as_tasks(dag_runs: DataFrame) -> DataFrame:
+    """Runs of whole DAGs in the shape of task runs, under the key that stands for the whole DAG."""
+    return dag_runs.withColumn("task_id", F.lit(WHOLE_DAG))
+
+
 def checked_runs(
-    tasks: DataFrame, as_of: str, expected_minutes: float = 60, hours: int = 24, runs: int = RUNS_CHECKED
+    tasks: DataFrame, as_of: str, expected_minutes: float = 60, hours: int = 24, last_runs: int | None = None
 ) -> DataFrame:
-    """The last finished runs of each (dag, task) in the window with their SLA outcome."""
-    finished = started_within(tasks, as_of, hours).where(F.col("state").isin("success", "failed"))
-    last = first_per_key(
-        finished, ["dag_id", "task_id"], [F.desc("execution_date"), F.desc("run_id")], runs
-    )
+    """The finished runs of each (dag, task) in the window with their SLA outcome.
+
+    All of them count; ``last_runs`` is for a view of the newest few.
+    """
+    rows = started_within(tasks, as_of, hours).where(F.col("state").isin("success", "failed"))
+    if last_runs is not None:
+        rows = first_per_key(rows, ["dag_id", "task_id"], [F.desc("execution_date"), F.desc("run_id")], last_runs)
     seconds = seconds_between("end_date", "start_date")
     expected = F.lit(float(expected_minutes))
     met = F.col("duration_minutes") <= expected
     return (
-        last.withColumn("duration_minutes", seconds / F.lit(60.0))
+        rows.withColumn("duration_minutes", seconds / F.lit(60.0))
         .where(F.col("duration_minutes").isNotNull())
         .withColumn("sla_met", met)
         .withColumn(
@@ -150,10 +156,12 @@ def checked_runs(
     )
 
 
-def sla_check(tasks: DataFrame, as_of: str, expected_minutes: float = 60, hours: int = 24) -> DataFrame:
+def sla_check(
+    tasks: DataFrame, as_of: str, expected_minutes: float = 60, hours: int = 24, last_runs: int | None = None
+) -> DataFrame:
     met, total = F.count_if("sla_met"), F.count("*")
     return (
-        checked_runs(tasks, as_of, expected_minutes, hours)
+        checked_runs(tasks, as_of, expected_minutes, hours, last_runs)
         .groupBy("dag_id", "task_id")
         .agg(
             total.alias("runs_checked"),
@@ -165,7 +173,7 @@ def sla_check(tasks: DataFrame, as_of: str, expected_minutes: float = 60, hours:
 
 
 def sla_rows(tasks: DataFrame, as_of: str, expected_minutes: float = 60, hours: int = 24) -> DataFrame:
-    """Rows for the tracking table, one per (dag, task, execution day): the last run of the day."""
+    """Rows for the tracking table, one per (dag, task, execution day): the last run of the day, of all runs."""
     expected = F.make_dt_interval(mins=F.lit(int(expected_minutes)))
     rows = checked_runs(tasks, as_of, expected_minutes, hours).select(
         "dag_id",
@@ -181,14 +189,29 @@ def sla_rows(tasks: DataFrame, as_of: str, expected_minutes: float = 60, hours:
     return first_per_key(rows, ["dag_id", "task_id", "execution_date"], order).drop("run_id")
 
 
+TRACKING_KEYS = ["dag_id", "task_id", "execution_date"]
+
+
+def track_sla(current: DataFrame, changes: DataFrame) -> DataFrame:
+    """The tracking table after ``changes``: a known key takes the new outcome and keeps its expected completion."""
+    kept = current.select(*TRACKING_KEYS, F.col("expected_completion").alias("_expected"))
+    new = changes.join(kept, TRACKING_KEYS, "left").withColumn("expected_completion", F.coalesce("_expected", "expected_completion"))
+    rest = current.join(changes.select(*TRACKING_KEYS), TRACKING_KEYS, "left_anti")
+    return rest.unionByName(new.select(current.columns))
+
+
+def sla_time_used(tasks: DataFrame, as_of: str, expected_minutes: float) -> DataFrame:
+    """(dag, task, percent of the SLA that has passed) of the running tasks."""
+    age = seconds_between(F.lit(as_of).cast("timestamp_ntz"), "start_date") / F.lit(60.0)
+    return tasks.where(F.col("state") == "running").select(
+        "run_id", "dag_id", "task_id", percent(age, F.lit(float(expected_minutes))).alias("percent_used")
+    )
+
+
 def sla_platform(tasks: DataFrame, misses: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
-    """Share of completed tasks as a compliance estimate, and the recent misses (20 at most)."""
+    """Share of completed tasks as a compliance estimate, and the number of recent misses."""
     done = percent(_in_state("success"), F.count("*"), digits=None, empty=100)
-    shown = (
-        misses.where(F.col("timestamp") >= since(as_of, hours))
-        .limit(MISSES_SHOWN)
-        .agg(F.count("*"))
-    )
+    shown = misses.where(F.col("timestamp") >= since(as_of, hours)).agg(F.count("*"))
     return (
         started_within(tasks, as_of, hours)
         .agg(done.alias("exact"))

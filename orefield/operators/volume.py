@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ from orefield.functions import percent, rounded_average
 
 
 def _successes_since(ledger: DataFrame, as_of: str, days: int) -> DataFrame:
-    day = F.col("execution_date").try_cast("date")
-    first = F.date_sub(F.to_date(F.lit(as_of)), days)
-    return ledger.where((F.col("status") == "success") & (day >= first))
+    """ISO dates sort as text, so the bound is a text literal that the scan can use; the cast comes after."""
+    first = (date.fromisoformat(as_of[:10]) - timedelta(days=days)).isoformat()
+    rows = ledger.where((F.col("status") == "success") & (F.col("execution_date") >= F.lit(first)))
+    return rows.where(F.col("execution_date").try_cast("date").isNotNull())
 
 
 def _mean(column):

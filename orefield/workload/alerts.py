@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from orefield.functions import alert_type_of_title, layer_of_suite
-from orefield.operators import alerts
+from orefield.functions import alert_type_of_title, layer_of_suite, percent, seconds_between
+from orefield.operators import alerts, freshness, runs
 from orefield.workload.oracle_tables import ALERT_TYPE, hours, layer_case, mean, severity_case
 from orefield.workload.oracle_tables import EVENTS_NOW as SQL_NOW
 from orefield.workload.registry import query
@@ -102,6 +102,24 @@ def _(lake):
     return alerts.route(lake.alerts.select("id", "dag_id", "severity"))
 
 
+@query(
+    "alert_routing_tags",
+    """SELECT id, CASE WHEN id % 4 = 0 OR id % 6 = 0 THEN 'slack,email' WHEN id % 5 = 0 THEN 'slack'
+            WHEN dag_id IN ('sample_batch_ingestion', 'dbt_transform', 'data_quality_checks') OR severity IN ('critical', 'high')
+            THEN 'slack,email' ELSE 'slack' END AS channels,
+        CASE WHEN id % 4 = 0 THEN 'CRITICAL' WHEN id % 6 = 0 THEN 'HIGH' WHEN id % 5 = 0 THEN 'MEDIUM'
+            WHEN dag_id IN ('sample_batch_ingestion', 'dbt_transform') THEN 'HIGH'
+            WHEN dag_id = 'data_quality_checks' THEN 'CRITICAL' ELSE upper(severity) END AS routed_severity FROM x_al""",
+)
+def _(lake):
+    """A DAG's tags decide before its name: critical, then production, then monitoring."""
+    def tag(n, name):
+        return F.when(F.col("id") % n == 0, F.lit(name))
+
+    tags = F.array_compact(F.array(tag(5, "monitoring"), tag(6, "production"), tag(4, "critical"), F.lit("daily")))
+    return alerts.route(lake.alerts.withColumn("tags", tags), tags="tags").select("id", "channels", "routed_severity")
+
+
 @query(
     "alert_dedup",
     """SELECT dag_id, alert_type, id, created_at FROM (SELECT *, lag(created_at) OVER
@@ -149,9 +167,21 @@ def _(lake):
             UNION ALL SELECT 'health_min_score', CAST(metric_date AS VARCHAR), MIN(health_score)::DOUBLE, 'min'
                 FROM x_health GROUP BY 2
             UNION ALL SELECT 'max_queued_tasks', CAST(metric_date AS VARCHAR), SUM(queued_tasks)::DOUBLE, 'max'
-                FROM x_health GROUP BY 2),
-        t AS (SELECT *, CASE metric WHEN 'quality_min_success_percent' THEN 90.0::DOUBLE
-            WHEN 'health_min_score' THEN 70.0::DOUBLE ELSE 100.0::DOUBLE END AS threshold FROM m)
+                FROM x_health GROUP BY 2
+            UNION ALL SELECT 'freshness_' || layer || '_hours', source_name, staleness_hours::DOUBLE, 'max' FROM x_fstat
+            UNION ALL SELECT 'sla_completion_hours', CAST(run_id AS VARCHAR),
+                (epoch_us(end_date) - epoch_us(start_date)) / 1e6 / 60.0::DOUBLE / 60.0::DOUBLE, 'max' FROM x_ti WHERE state IN ('success', 'failed')
+            UNION ALL SELECT 'sla_alert_at_percent', CAST(run_id AS VARCHAR),
+                round(100.0::DOUBLE * ((epoch_us({SQL_NOW}) - epoch_us(start_date)) / 1e6 / 60.0::DOUBLE) / 240.0::DOUBLE, 2), 'max'
+                FROM x_ti WHERE state = 'running' AND start_date <= {SQL_NOW}
+            UNION ALL SELECT 'heartbeat_max_minutes', dag_id, floor((epoch_us({SQL_NOW}) - epoch_us(MAX(start_date))) / 1000000) / 60.0::DOUBLE, 'max'
+                FROM x_ti GROUP BY 2
+            UNION ALL SELECT 'task_failure_rate_percent', dag_id,
+                100.0::DOUBLE * COUNT(*) FILTER (WHERE state = 'failed')::DOUBLE / COUNT(*)::DOUBLE, 'max' FROM x_ti GROUP BY 2),
+        t AS (SELECT m.*, limits.threshold FROM m JOIN (VALUES ('quality_min_success_percent', 90.0::DOUBLE), ('health_min_score', 70.0::DOUBLE),
+            ('max_queued_tasks', 100.0::DOUBLE), ('freshness_raw_hours', 24.0::DOUBLE), ('freshness_staging_hours', 24.0::DOUBLE),
+            ('freshness_marts_hours', 48.0::DOUBLE), ('sla_completion_hours', 4.0::DOUBLE), ('sla_alert_at_percent', 80.0::DOUBLE),
+            ('heartbeat_max_minutes', 5.0::DOUBLE), ('task_failure_rate_percent', 10.0::DOUBLE)) AS limits(metric, threshold) USING (metric))
         SELECT *, CASE direction WHEN 'min' THEN value < threshold ELSE value > threshold END AS breached
         FROM t""",
 )
@@ -174,4 +204,22 @@ def _(lake):
         .unionByName(metric(scores, "health_min_score", "min"))
         .unionByName(metric(queued, "max_queued_tasks", "max"))
     )
+    stale = freshness.status_view(lake.freshness).select(
+        F.concat(F.lit("freshness_"), "layer", F.lit("_hours")).alias("metric"), F.col("source_name").alias("subject"),
+        F.col("staleness_hours").cast("double").alias("value"), F.lit("max").alias("direction"),
+    )
+    run, dag = F.col("run_id").cast("string").alias("subject"), F.col("dag_id").alias("subject")
+    finished = lake.tasks.where(F.col("state").isin("success", "failed"))
+    hours = finished.select(run, (seconds_between("end_date", "start_date") / F.lit(60.0) / F.lit(60.0)).alias("value"))
+    begun = lake.tasks.where(F.col("start_date") <= F.lit(EVENTS_NOW).cast("timestamp_ntz"))
+    limit = 60 * alerts.THRESHOLDS["sla_completion_hours"]
+    used = runs.sla_time_used(begun, EVENTS_NOW, limit).select(run, F.col("percent_used").alias("value"))
+    beats = freshness.heartbeat_age(lake.tasks, "dag_id", "start_date", EVENTS_NOW)
+    beats = beats.select(F.col("producer").alias("subject"), (F.col("age_seconds") / F.lit(60.0)).alias("value"))
+    failed = lake.tasks.groupBy(dag).agg(percent(F.count_if(F.col("state") == "failed"), F.count("*"), digits=None).alias("value"))
+    for name, df in [
+        ("sla_completion_hours", hours), ("sla_alert_at_percent", used), ("heartbeat_max_minutes", beats), ("task_failure_rate_percent", failed),
+    ]:
+        rows = rows.unionByName(metric(df, name, "max"))
+    rows = rows.unionByName(stale)
     return alerts.breaches(rows)

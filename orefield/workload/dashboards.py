@@ -266,15 +266,23 @@ def _(lake):
     "bi_task_trend",
     """SELECT metric_date, CAST(SUM(failed_tasks_24h) AS BIGINT) AS failed_tasks,
         CAST(SUM(successful_tasks_24h) AS BIGINT) AS successful_tasks FROM x_health GROUP BY 1
-        ORDER BY metric_date LIMIT 30""",
+        ORDER BY metric_date DESC LIMIT 30""",
 )
 def _(lake):
     metrics = {
         "failed_tasks": F.sum("failed_tasks_24h"), "successful_tasks": F.sum("successful_tasks_24h"),
     }
-    return bi.bi_query(
-        lake.health, metrics, time_col="metric_date", grain="P1D", order=[F.asc("metric_date")], limit=30
-    )
+    return bi.newest(bi.bi_query(lake.health, metrics, time_col="metric_date", grain="P1D"), "metric_date")
+
+
+@query(
+    "bi_order_trend",
+    """SELECT CAST(o_orderdate AS DATE) AS o_orderdate, COUNT(*) AS orders FROM orders GROUP BY 1
+        ORDER BY 1 DESC LIMIT 30""",
+)
+def _(lake):
+    """The same kind of trend over years of days: the newest thirty, in order of time."""
+    return bi.newest(bi.bi_query(lake.orders, {"orders": F.count("*")}, time_col="o_orderdate", grain="P1D"), "o_orderdate")
 
 
 @query(
@@ -292,13 +300,12 @@ def _(lake):
 @query(
     "bi_sla_trend",
     f"""SELECT metric_date, {mean("sla_compliance_percent")} AS sla_compliance, 95 AS target FROM x_health
-        GROUP BY 1 ORDER BY metric_date LIMIT 30""",
+        GROUP BY 1 ORDER BY metric_date DESC LIMIT 30""",
 )
 def _(lake):
     metrics = {"sla_compliance": average("sla_compliance_percent")}
-    return bi.bi_query(
-        lake.health, metrics, time_col="metric_date", grain="P1D", order=[F.asc("metric_date")], limit=30
-    ).withColumn("target", F.lit(95))
+    trend = bi.bi_query(lake.health, metrics, time_col="metric_date", grain="P1D")
+    return bi.newest(trend, "metric_date").withColumn("target", F.lit(95))
 
 
 @query(

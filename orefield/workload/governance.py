@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from orefield.operators import governance, lineage
+from orefield.session import new_workspace
 from orefield.sources.schemas import schema_of_frames
+from orefield.sources.tables import write_daily_partitions
 from orefield.workload.oracle_tables import ORDERS_NOW as SQL_ORDERS_NOW
 from orefield.workload.registry import query
 from orefield.workload.tables import ORDERS_NOW
@@ -21,6 +23,17 @@ def _frames(lake):
     }
 
 
+def _stored_frames(lake):
+    """The same with every model written once, as its catalog would find it: counts come from footers."""
+    root, out = new_workspace(lake.spark, "catalog"), {}
+    for (schema, table), df in _frames(lake).items():
+        if schema != "raw":
+            df.write.parquet(f"{root}/{schema}/{table}")
+            df = lake.spark.read.schema(df.schema).parquet(f"{root}/{schema}/{table}")
+        out[schema, table] = df
+    return out
+
+
 @query(
     "catalog_tables",
     """SELECT 'raw' AS schema_name, 'transactions' AS table_name, 7 AS column_count, COUNT(*) AS row_count
@@ -34,7 +47,7 @@ def _frames(lake):
 )
 def _(lake):
     out = None
-    for (schema, table), df in _frames(lake).items():
+    for (schema, table), df in _stored_frames(lake).items():
         one = df.agg(F.count("*").alias("row_count")).select(
             F.lit(schema).alias("schema_name"), F.lit(table).alias("table_name"),
             F.lit(len(df.columns)).alias("column_count"), "row_count",
@@ -88,9 +101,10 @@ def catalog_sql():
 @query("catalog_columns", catalog_sql())
 def _(lake):
     """Column catalog with the null count of each column over the whole table."""
-    catalog = schema_of_frames(_frames(lake), lake.spark)
+    frames = _stored_frames(lake)
+    catalog = schema_of_frames(frames, lake.spark)
     counted = None
-    for (schema, table), df in _frames(lake).items():
+    for (schema, table), df in frames.items():
         nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
         rows = nulls.select(
             F.explode(
@@ -108,16 +122,18 @@ def _(lake):
 
 @query(
     "lineage_edges_upsert",
-    """WITH p AS (SELECT 'orders_' || (o_orderkey % 50) AS source_name, 'cust_' || o_custkey AS target_name
-            FROM orders UNION SELECT 'seg_' || (o_custkey % 5), 'cust_' || o_custkey FROM orders)
+    """WITH p AS (SELECT o_custkey, 'orders_' || (o_orderkey % 50) AS source_name FROM orders
+            UNION SELECT o_custkey, 'seg_' || (o_custkey % 5) FROM orders),
+        e AS (SELECT source_name, 'cust_' || o_custkey AS target_name, o_custkey % 3 < 2 AS old, o_custkey % 3 > 0 AS new FROM p)
         SELECT 'dbt_node' AS source_type, source_name, 'dbt' AS source_schema, 'dbt_node' AS target_type,
         target_name, 'dbt' AS target_schema, 'dbt' AS transformation_type,
-        TIMESTAMP '2024-01-31 00:00:00' AS updated_at FROM p""",
+        if(new, TIMESTAMP '2024-01-31 00:00:00', TIMESTAMP '2024-01-01 00:00:00') AS updated_at FROM e""",
 )
 def _(lake):
-    """Edges of an older manifest updated by those of the current one."""
-    old = lineage.edges_from_manifest(lake.manifest.where(F.col("child") < "model.lake.cust_5"), "2024-01-01")
-    new = lineage.edges_from_manifest(lake.manifest, "2024-01-31")
+    """Edges of an older manifest and those of a newer one: a third in either alone, a third in both."""
+    third = F.substring_index("child", "_", -1).cast("bigint") % 3
+    old = lineage.edges_from_manifest(lake.manifest.where(third < 2), "2024-01-01")
+    new = lineage.edges_from_manifest(lake.manifest.where(third > 0), "2024-01-31")
     return lineage.upsert_edges(old, new)
 
 
@@ -251,3 +267,17 @@ def _(lake):
 def _(lake):
     kept = governance.within_retention(lake.stg_orders, ORDERS_NOW, "silver", "order_date")
     return kept.select("order_id", "order_date", "total_amount")
+
+
+@query(
+    "retention_removed",
+    """SELECT year(order_date)::INTEGER AS year, month(order_date)::INTEGER AS month, COUNT(*) AS orders
+        FROM x_orders WHERE order_date >= DATE '2001-08-02' - 90 GROUP BY 1, 2""",
+)
+def _(lake):
+    """What is left of a daily table once its expired folders are gone, read back from storage."""
+    path = f"{new_workspace(lake.spark, 'retention')}/orders"
+    write_daily_partitions(lake.stg_orders.select("order_id", "order_date"), "order_date", path)
+    governance.drop_expired(lake.spark, path, ORDERS_NOW, "silver")
+    held = lake.spark.read.schema("order_id bigint, order_date date, year int, month int, day int").parquet(path)
+    return held.groupBy("year", "month").agg(F.count("*").alias("orders"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from orefield.functions import dataset_fingerprint
 from orefield.operators import ledger, watermarks
 from orefield.plans import customers, sales
-from orefield.plans.snapshots import slowly_changing
+from orefield.plans.snapshots import apply_snapshot, slowly_changing
 from orefield.session import new_workspace
 from orefield.sources import files, layers, schemas, tables
 from orefield.workload.registry import query
@@ -143,14 +143,14 @@ def _(lake):
     )
 
 
-def _named_copies(spark, folder, kinds):
+def _named_copies(spark, folder, kinds, name_of=str):
     """The part file of each folder under its own name and extension, as a feed would drop it."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(conf)
     for name, kind in kinds.items():
         for part in fs.globStatus(path(f"{folder}/{name}/part-*")):
-            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, part.getPath(), fs, path(f"{folder}/batch/{name}.{kind}"), False, conf)
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, part.getPath(), fs, path(f"{folder}/batch/{name_of(name)}.{kind}"), False, conf)
     return f"{folder}/batch"
 
 
@@ -427,6 +427,49 @@ def _(lake):
     return slowly_changing(versions, ["customer_id"], ["tier"], "day", ["o_orderkey"])
 
 
+@query(
+    "scd2_apply",
+    """WITH v AS (SELECT o_custkey AS customer_id, CAST(o_orderdate AS DATE) AS day,
+            arg_max(o_orderpriority, o_orderkey) AS tier FROM orders WHERE o_orderdate < '1998-01-01' GROUP BY 1, 2),
+        c AS (SELECT *, lag(tier) OVER (PARTITION BY customer_id ORDER BY day) AS before FROM v),
+        s AS (SELECT customer_id, tier, day AS valid_from,
+            lead(day) OVER (PARTITION BY customer_id ORDER BY day) AS valid_to FROM c WHERE tier IS DISTINCT FROM before),
+        n AS (SELECT o_custkey AS customer_id, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS tier FROM orders
+            WHERE o_orderdate >= '1997-07-01' GROUP BY 1),
+        h AS (SELECT s.*, n.tier AS now FROM s LEFT JOIN n USING (customer_id))
+        SELECT customer_id, tier, valid_from,
+            coalesce(valid_to, CASE WHEN now <> tier THEN DATE '1999-01-01' END) AS valid_to,
+            valid_to IS NULL AND (now IS NULL OR now = tier) AS is_current FROM h
+        UNION ALL SELECT customer_id, n.tier, DATE '1999-01-01', NULL, true FROM n LEFT JOIN
+            (SELECT customer_id, tier FROM s WHERE valid_to IS NULL) o USING (customer_id) WHERE o.tier IS DISTINCT FROM n.tier""",
+)
+def _(lake):
+    """A history up to 1997 with a later snapshot folded in: ranges closed, opened and kept."""
+    rows = lake.orders.select(
+        F.col("o_custkey").alias("customer_id"), F.col("o_orderpriority").alias("tier"),
+        F.to_date("o_orderdate").alias("day"), "o_orderkey",
+    )
+    before = slowly_changing(rows.where("day < '1998-01-01'"), ["customer_id"], ["tier"], "day", ["o_orderkey"])
+    newest = rows.where("day >= '1997-07-01'").groupBy("customer_id").agg(F.max_by("tier", F.struct("day", "o_orderkey")).alias("tier"))
+    return apply_snapshot(before, newest, ["customer_id"], ["tier"], "1999-01-01")
+
+
+@query(
+    "file_date_partition",
+    """SELECT 'orders' AS dataset, make_date(year(o_orderdate), 1, 31) AS file_date, COUNT(*) AS orders FROM orders GROUP BY 1, 2""",
+)
+def _(lake):
+    """Files whose names carry a date, read as a dataset with that date."""
+    root, spark = new_workspace(lake.spark, "dated"), lake.spark
+    years = lake.orders.select("o_orderkey", F.year("o_orderdate").alias("year"))
+    years.repartition("year").write.partitionBy("year").parquet(f"{root}/by")
+    found = [r["year"] for r in spark.read.parquet(f"{root}/by").select("year").distinct().collect()]
+    folder = _named_copies(spark, f"{root}/by", {f"year={y}": "parquet" for y in found}, lambda n: f"orders_{n[5:]}0131")
+    name, day = layers.file_date_partition()
+    rows = spark.read.parquet(folder).select(name.alias("dataset"), day.alias("file_date"))
+    return rows.groupBy("dataset", "file_date").agg(F.count("*").alias("orders"))
+
+
 # -- layers ----------------------------------------------------------------------------------------
 
 

@@ -3,14 +3,15 @@
 from pyspark.sql import functions as F
 
 from orefield.functions import convert_timestamp
-from orefield.operators import freshness, governance
+from orefield.operators import freshness, governance, runs
 from orefield.operators.quality import history, suites, validation
 from orefield.operators.quality.rules import evaluate, repeated_values, rule
 from orefield.session import new_workspace
+from orefield.sources.layers import path_exists
 from orefield.workload.oracle_tables import EVENTS_NOW as SQL_NOW
 from orefield.workload.oracle_tables import hours, layer_case, mean, pct, rounded_mean
 from orefield.workload.registry import query
-from orefield.workload.tables import EVENTS_NOW
+from orefield.workload.tables import EVENTS_NOW, ORDERS_NOW
 
 EMAIL = suites.EMAIL.replace("'", "''")
 DAYS = "- INTERVAL 7 DAY"
@@ -211,13 +212,17 @@ def _(lake):
 @query(
     "dq_singular_tests",
     """SELECT 'amounts_positive' AS test_name, COUNT(*) FILTER (WHERE amount <= 0) AS failures FROM x_stg
-        UNION ALL SELECT 'timestamps_kept', COUNT(*) FILTER (WHERE "timestamp" IS NULL) FROM x_raw""",
+        UNION ALL SELECT 'timestamps_kept', COUNT(*) FILTER (WHERE product_id = 0) FROM x_raw""",
 )
 def _(lake):
     amounts = lake.stg.agg(F.count_if(F.col("amount") <= 0).alias("failures")).select(
         F.lit("amounts_positive").alias("test_name"), "failures"
     )
-    text = lake.raw_transactions.withColumn("as_text", F.col("timestamp").cast("string"))
+    # One product's timestamps are broken on purpose: exactly those must be found.
+    broken = F.concat(F.col("timestamp").cast("string"), F.lit("?"))
+    text = lake.raw_transactions.withColumn(
+        "as_text", F.when(F.col("product_id") == 0, broken).otherwise(F.col("timestamp").cast("string"))
+    )
     same = convert_timestamp(text, "as_text").eqNullSafe(F.col("timestamp"))
     kept = text.agg(F.count_if(~same).alias("failures")).select(
         F.lit("timestamps_kept").alias("test_name"), "failures"
@@ -260,16 +265,23 @@ def _(lake):
     "dq_ingestion_checks",
     """WITH c AS (SELECT 'named_sources' AS check_name, COUNT(*) FILTER (WHERE source_name IS NOT NULL)::DOUBLE
                 AS value FROM x_ing
-            UNION ALL SELECT 'runs_on_day', COUNT(*) FILTER (WHERE execution_date = '2001-08-01')::DOUBLE FROM x_ing
-            UNION ALL SELECT 'duplicate_ids', (COUNT(id) - COUNT(DISTINCT id))::DOUBLE FROM x_ing)
+            UNION ALL SELECT 'runs_on_day', COUNT(*) FILTER (WHERE execution_date = '2001-08-01' AND status = 'success')::DOUBLE FROM x_ing
+            UNION ALL SELECT 'duplicate_ids', (COUNT(id) - COUNT(DISTINCT id))::DOUBLE FROM x_ing
+            UNION ALL SELECT 'marks_of_24_hours', COUNT(*) FILTER (WHERE updated_at >= TIMESTAMP '2001-08-02' - INTERVAL 24 HOUR)::DOUBLE FROM x_wm
+            UNION ALL SELECT 'tables_exist', COUNT(*)::DOUBLE FROM information_schema.tables WHERE table_name IN ('orders', 'events'))
         SELECT check_name, value, value <> 0 AS passed FROM c""",
 )
 def _(lake):
     checks = lake.ingestion.agg(
         F.count_if(F.col("source_name").isNotNull()).alias("named_sources"),
-        F.count_if(F.col("execution_date") == "2001-08-01").alias("runs_on_day"),
+        F.count_if((F.col("execution_date") == "2001-08-01") & (F.col("status") == "success")).alias("runs_on_day"),
         (F.count("id") - F.count_distinct("id")).alias("duplicate_ids"),
     )
+    fresh = F.col("updated_at") >= runs.since(ORDERS_NOW, 24)
+    there = sum(path_exists(lake.spark, f"{lake.dir}/{t}.parquet") for t in ("orders", "events"))
+    checks = checks.withColumns(
+        {"marks_of_24_hours": lake.watermark_ledger.agg(F.count_if(fresh)).scalar(), "tables_exist": F.lit(there).cast("bigint")}
+    )
     return validation.run_scalar_checks(checks)
 
 
@@ -520,7 +532,12 @@ SUITE_KEYS = {
 def register_suite(key, suite):
     @query(key, suite_sql(suite))
     def _(lake):
-        df = assets(lake)[suites.ASSETS[suite]]
+        name = suites.ASSETS[suite]
+        df = assets(lake)[name]
+        if not name.startswith("raw."):  # a model is built once, and read again for each uniqueness rule
+            path = f"{new_workspace(lake.spark, 'asset')}/{name}"
+            df.write.parquet(path)
+            df = lake.spark.read.schema(df.schema).parquet(path)
         return validation.run_suite(validation.with_suite_names(df, suite), suite)
 
 

@@ -24,18 +24,8 @@ class Entry:
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         # Dates and hours are taken in UTC whatever the machine's zone.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return self.build(lake_of(spark, sf_dir))
-
-
-LAKES: dict[tuple, Lake] = {}
-
-
-def lake_of(spark: SparkSession, sf_dir: str) -> Lake:
-    """The folder's tables, opened once per application as a catalog would; plans only, no data."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
-    if key not in LAKES:
-        LAKES[key] = Lake(spark, sf_dir)
-    return LAKES[key]
+        # Opened anew each time: files that came since the last call are seen.
+        return self.build(Lake(spark, sf_dir))
 
 
 ENTRIES: dict[str, Entry] = {}
