@@ -6,7 +6,7 @@ import os
 from collections.abc import Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefield.session import new_workspace
@@ -49,6 +49,23 @@ def width(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
 
 
+def sampled(rows: DataFrame, key: Column, n: int) -> DataFrame:
+    """One row for each of the ``n`` keys with the least hash, of those that are not null.
+
+    Only hashes are compared: about twice as many as wanted leave the tasks, however many rows there
+    are, and the chosen ones, a bounded list, find their rows by a broadcast.
+    """
+    spark = rows.sparkSession
+    h = F.xxhash64(key)
+    keyed = rows.where(key.isNotNull())
+    total = keyed.count()
+    most = -(1 << 63) + int(min(1.0, 2 * n / max(1, total)) * ((1 << 64) - 1))
+    least = keyed.select(h.alias("h")).where(F.col("h") <= F.lit(min(most, (1 << 63) - 1))).distinct().orderBy("h").limit(n)
+    chosen = spark.createDataFrame([(r["h"],) for r in least.collect()], "h long")
+    found = keyed.select(F.struct(*rows.columns).alias("r"), h.alias("h")).join(F.broadcast(chosen), "h")
+    return found.dropDuplicates(["h"]).select("r.*")
+
+
 def by_bytes(sizes: list[int], most: int) -> Iterator[slice]:
     """Consecutive slices of about ``most`` bytes each; one larger item is a slice of its own."""
     start, held = 0, 0

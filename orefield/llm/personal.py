@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orefield.llm.common import id_and_text, prepare
+from orefield.llm.common import id_and_text, prepare, sampled
 
 # The kinds in their order and what their matches must look like.
 KINDS = ["email", "ip", "card", "phone"]
@@ -268,7 +268,8 @@ def learned(texts: list[str]) -> Field | None:
 def model_of(docs: DataFrame) -> Field | None:
     """The field of SAMPLE documents that hold a digit or an at sign, in order of a hash of the text."""
     some = docs.where(F.col("text").rlike("[0-9@]") & (F.char_length("text") <= SAMPLE_CHARS))
-    return learned(some.orderBy(F.xxhash64("text"), "text").limit(SAMPLE).select("text").toArrow().column(0).to_pylist())
+    texts = sampled(some.select("text"), F.col("text"), SAMPLE).toArrow().column(0).to_pylist()
+    return learned(sorted(texts))
 
 
 def listed(found) -> str:
