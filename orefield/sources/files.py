@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import fnmatch
+import re
 import uuid
 from dataclasses import dataclass, field
 
@@ -178,6 +180,17 @@ def ingest_logged(
     return done
 
 
+def _without_bytes(spark: SparkSession, folder: str, kind: str, pattern: str) -> list[tuple[str, str]]:
+    """(path, file type) of files of length 0, which Spark's readers skip; from the driver's listing."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found, out = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while found.hasNext():
+        status = found.next()
+        if status.getLen() == 0 and fnmatch.fnmatch(status.getPath().getName(), f"{pattern}.{kind}"):
+            out.append((re.sub("^[a-z0-9]+:/*", "/", status.getPath().toString()), kind))
+    return out
+
+
 def ingest_batch(
     spark: SparkSession, folder: str, root: str, key: str, schema: StructType, pattern: str = "*", **options
 ) -> DataFrame:
@@ -195,7 +208,8 @@ def ingest_batch(
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", some).load(folder)
         files = files.select(F.regexp_replace("path", "^[a-z0-9]+:/*", "/").alias("path"), F.lit(kind).alias("file_type"))
         heads = file_heads(spark, folder, some).select(F.regexp_replace("file", "^[a-z0-9]+:/*", "/").alias("path"), F.lit(True).alias("content"))
-        listed.append(files.join(heads, "path", "left"))
+        empty = spark.createDataFrame(_without_bytes(spark, folder, kind, pattern), "path string, file_type string")
+        listed.append(files.unionByName(empty).distinct().join(heads, "path", "left"))
         extra = [name.alias("path")]
         try:
             if kind == "csv":

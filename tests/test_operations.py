@@ -72,12 +72,37 @@ def test_sla_three_of_five(tasks):
     assert (delays["sla_met"], delays["delay_seconds"]) == (False, 3600)
 
 
-def test_only_the_last_ten_runs_count(tasks):
+def test_all_runs_of_the_window_count(tasks):
     rows = []
     for i in range(14):
         start = datetime(2024, 1, 10) + timedelta(minutes=i)
         rows.append((i, "d", "t", "success", str(start), str(start + timedelta(minutes=1 if i > 3 else 90))))
-    assert rows_of(runs.sla_check(tasks(rows), NOW)) == [("d", "t", 10, 10, 0, 100.0)]
+    assert rows_of(runs.sla_check(tasks(rows), NOW)) == [("d", "t", 14, 10, 4, 71.43)]
+    assert rows_of(runs.sla_check(tasks(rows), NOW, last_runs=10)) == [("d", "t", 10, 10, 0, 100.0)]
+
+
+def test_tracking_keeps_the_expected_completion(tasks, spark):
+    at = "2024-01-10 0{}:00:00"
+    rows = runs.sla_rows(tasks([(1, "d", "t", "success", at.format(1), at.format(3)), (2, "e", "t", "success", at.format(1), at.format(2))]), NOW)
+    old = rows.where("dag_id = 'd'").withColumns(
+        {"expected_completion": F.col("expected_completion") - F.expr("INTERVAL 5 MINUTES"), "sla_met": F.lit(True), "delay_seconds": F.lit(0)}
+    )
+    other = old.withColumn("dag_id", F.lit("gone"))
+    got = {r["dag_id"]: r for r in runs.track_sla(old.unionByName(other), rows).collect()}
+    assert set(got) == {"d", "e", "gone"} and not got["d"]["sla_met"] and got["d"]["delay_seconds"] == 3600
+    assert got["d"]["expected_completion"] == old.first()["expected_completion"] != rows.where("dag_id = 'd'").first()["expected_completion"]
+    assert got["e"]["sla_met"] and got["gone"]["sla_met"]
+
+
+def test_whole_dags_have_their_own_key(tasks):
+    at = "2024-01-10 0{}:00:00"
+    whole = runs.dag_runs_as_tasks(tasks([(1, "d", "x", "success", at.format(1), at.format(3))]).drop("task_id"))
+    assert rows_of(runs.sla_check(whole, NOW, 90)) == [("d", "__dag__", 1, 0, 1, 0.0)]
+
+
+def test_time_used_by_running_tasks(tasks):
+    rows = tasks([(1, "d", "t", "running", "2024-01-10 09:00:00", None), (2, "d", "t", "success", "2024-01-10 09:00:00", "2024-01-10 10:00:00")])
+    assert rows_of(runs.sla_time_used(rows, "2024-01-10 12:00:00", 240), "run_id", "percent_used") == [(1, 75.0)]
 
 
 def test_failure_rates_and_snapshot(tasks, spark, ts):
@@ -91,7 +116,7 @@ def test_failure_rates_and_snapshot(tasks, spark, ts):
     misses = ts([("2024-01-10 00:00:00",)] * 30, "timestamp string", "timestamp")
     snap = runs.task_snapshot(df, misses, NOW).first()
     assert (snap["failed_tasks_24h"], snap["running_tasks"], snap["queued_tasks"]) == (2, 1, 1)
-    assert (snap["sla_misses_24h"], snap["sla_compliance"], snap["heartbeat_age_seconds"]) == (20, 25.0, 1800)
+    assert (snap["sla_misses_24h"], snap["sla_compliance"], snap["heartbeat_age_seconds"]) == (30, 25.0, 1800)
     nothing = runs.task_snapshot(df.where("false"), misses, NOW).first()
     assert (nothing["failure_rate"], nothing["sla_compliance"]) == (0.0, 100.0)
 
@@ -162,10 +187,10 @@ def test_fields_with_a_repeated_title_keep_the_last(spark):
     assert got[1] == (None, None, {}) and got[2] == (None, None, None)
 
 
-def test_subject_is_cut(spark):
+def test_subject_is_cut_for_display_only(spark):
     df = spark.createDataFrame([(1, "SLA " + "x" * 900, "HIGH", "[]", None)], "id int, title string, severity string, fields string, created_at string")
-    row = alerts.alert_rows(df).first()
-    assert len(row["subject"]) == 500 and row["alert_type"] == "sla_miss" and row["severity"] == "high"
+    row = alerts.alert_rows(df).select("*", alerts.shown_subject()).first()
+    assert len(row["subject"]) == 904 and len(row["subject_shown"]) == 500 and row["alert_type"] == "sla_miss" and row["severity"] == "high"
 
 
 def test_routing_suppression_escalation(spark, ts):

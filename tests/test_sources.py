@@ -66,16 +66,63 @@ def test_empty_json_and_unknown_type_fail(spark, local, folder):
         files.ingest_file(spark, "/nowhere/a.csv", folder, "a.csv")
 
 
-def test_batch_goes_on_past_a_bad_file(spark, local, tmp_path):
+def test_batch_goes_on_past_a_bad_file(spark, local, folder, tmp_path):
     local("in/a.csv", "id,amount,note\n1,2.0,x\n2,3.0,y\n")
     local("in/b.json", '{"id": 3, "amount": 1.0, "note": "z"}\n')
     local("in/c.json", '{"id": 4, "amount": \n')
     local("in/d.txt", "skip me")
-    got = files.batch_manifest(spark, str(tmp_path / "in"), ITEM)
-    assert rows_of(got, "file", "file_type", "row_count", "status") == [
-        ("a.csv", "csv", 2, "success"), ("b.json", "json", 1, "success"), ("c.json", "json", 0, "failed"),
+    local("in/e.csv", "note,id,amount\n")
+    local("in/f.json", "")
+    local("in/sub/g.json", '[\n{"id": 7,\n "amount": 7.0}, {"id": 8, "amount": 8.0}]')
+    local("in/sub/h.csv", 'amount,note,id\n9.5,"a ""b"",\n c",9\n')
+    options = {"multiLine": True, "escape": '"'}
+    got = files.ingest_batch(spark, str(tmp_path / "in"), folder, "batch/items", ITEM, **options)
+    assert rows_of(got, "file", "row_count", "bad_rows", "status") == [
+        ("a.csv", 2, 0, "success"), ("b.json", 1, 0, "success"), ("c.json", 0, 1, "failed"), ("e.csv", 0, 0, "success"),
+        ("f.json", 0, 0, "failed"), ("g.json", 2, 0, "success"), ("h.csv", 1, 0, "success"),
     ]
-    assert files.batch_manifest(spark, str(tmp_path / "in"), ITEM, pattern="zzz*").count() == 0
+    held = spark.read.parquet(f"{folder}/raw/batch/items")
+    assert rows_of(held, "id", "amount", "note") == [
+        (1, 2.0, "x"), (2, 3.0, "y"), (3, 1.0, "z"), (7, 7.0, None), (8, 8.0, None), (9, 9.5, 'a "b",\n c'),
+    ]
+
+
+def test_each_json_file_has_its_own_form(spark, local, folder, tmp_path):
+    local("mix/a.json", '{"id": 1, "amount": 1.0}\n{"id": 2, "amount": 2.0}\n')
+    local("mix/b.json", '[{"id": 3, "amount": 3.0},\n {"id": 4, "amount": 4.0}]')
+    local("mix/c.json", '{\n"id": 5,\n"amount": 5.0}')
+    done = files.ingest_file(spark, str(tmp_path / "mix"), folder, "mix.json", "json", ITEM)
+    assert done.row_count == 5
+    assert rows_of(spark.read.parquet(done.uri), "id", "amount") == [(i, float(i)) for i in range(1, 6)]
+
+
+def test_csv_columns_go_by_name(spark, local, folder, tmp_path):
+    local("turned/a.csv", "note,amount,id\nx,1.5,1\n")
+    local("turned/b.csv", "id,extra,note\n2,zzz,y\n")
+    done = files.ingest_file(spark, str(tmp_path / "turned"), folder, "turned.csv", "csv", ITEM)
+    assert rows_of(spark.read.parquet(done.uri)) == [(1, 1.5, "x"), (2, None, "y")]
+
+
+@pytest.mark.parametrize("kind,text", [("csv", "id,amount,note\n1,2.0,x\nz,4,y\n5,6.0,7,8\n"), ("json", '{"id": 1}\n{"id": \n{"id": "q"}\n')])
+def test_bad_records_fail_or_are_set_aside(spark, local, folder, kind, text):
+    path = local(f"bad.{kind}", text)
+    files.ingest_file(spark, local(f"good.{kind}", "id,amount,note\n8,1.0,k\n" if kind == "csv" else '{"id": 8}'), folder, f"t.{kind}", schema=ITEM)
+    with pytest.raises(files.IngestionError, match="2 malformed"):
+        files.ingest_file(spark, path, folder, f"t.{kind}", schema=ITEM)
+    assert rows_of(spark.read.parquet(f"{folder}/raw/t.parquet"), "id") == [(8,)]  # as it was
+    done = files.ingest_file(spark, path, folder, f"t.{kind}", schema=ITEM, on_bad="quarantine")
+    assert (done.row_count, done.bad_rows) == (1, 2)
+    assert rows_of(spark.read.parquet(done.uri), "id") == [(1,)]
+    assert spark.read.parquet(f"{done.uri}.rejected").count() == 2
+
+
+def test_ingest_writes_its_ledger_and_schema(spark, local, folder):
+    log, history = f"{folder}/ledger", f"{folder}/schemas"
+    files.ingest_logged(spark, local("p.csv", "id,name\n1,a\n"), folder, "p.csv", log, history, 1, "p", "2024-01-01")
+    with pytest.raises(files.IngestionError):
+        files.ingest_logged(spark, local("q.json", "\n"), folder, "q.json", log, history, 2, "q", "2024-01-01")
+    assert rows_of(ledger.current_runs(spark.read.parquet(log)), "source_name", "status", "row_count") == [("p", "success", 1), ("q", "failed", None)]
+    assert rows_of(ledger.column_counts(spark.read.parquet(history)), "source_name", "column_count") == [("p", 2)]
 
 
 def test_checksums(spark, local, tmp_path):
@@ -129,6 +176,8 @@ def test_incremental_extract_moves_the_mark_only_for_new_rows(spark, folder):
     assert (second["row_count"], second["watermark"]) == (10, "19")
     third = tables.extract_incremental(df, folder, "run3", "id", second["watermark"])
     assert third == {"uri": None, "row_count": 0, "watermark": "19"}
+    again = tables.extract_incremental(df.where("id < 10"), folder, "run1", "id", "9")
+    assert again["uri"] is None and spark.read.parquet(first["uri"]).count() == 10
     # 9 < 10 as numbers though not as text
     assert tables.incremental_rows(df, "id", "9").count() == 10
 
@@ -136,7 +185,8 @@ def test_incremental_extract_moves_the_mark_only_for_new_rows(spark, folder):
 def test_custom_query_name_is_cut(spark, folder):
     query = "SELECT id, " + ", ".join(f"id AS c{i}" for i in range(30)) + " FROM range(3)"
     done = tables.extract_query(spark, query, folder, "q")
-    assert done["source_name"] == "custom_query:" + query[:80] and done["row_count"] == 3
+    assert done["source_name"].startswith("custom_query:" + query[:80] + "#") and done["row_count"] == 3
+    assert tables.query_name(query) != tables.query_name(query + " WHERE id > 1")
     named = tables.extract_query(spark, "SELECT id FROM range(9) WHERE id > :n", folder, "p", {"n": 4}, "mine")
     assert (named["source_name"], named["row_count"]) == ("mine", 4)
 
@@ -206,7 +256,7 @@ def test_run_life_cycle(spark, ts):
     finished = ledger.run_finished(done, F.col("ok"), F.lit(7), F.lit("x" * 900), F.col("ended_at"))
     got = ledger.current_runs(ledger.run_started(runs).unionByName(finished))
     assert rows_of(got, "run_id", "status", "row_count", F.length("error_message")) == [
-        (1, "success", 7, None), (2, "failed", None, 500), (3, "running", None, None),
+        (1, "success", 7, None), (2, "failed", None, 900), (3, "running", None, None),
     ]
 
 
@@ -221,7 +271,7 @@ def test_logged_runs(spark, folder):
         ledger.logged(spark, path, 2, "a", fails)
     got = ledger.current_runs(spark.read.parquet(path))
     assert rows_of(got, "run_id", "status", "row_count", F.length("error_message")) == [
-        ("1", "success", 4, None), ("2", "failed", None, 500),
+        ("1", "success", 4, None), ("2", "failed", None, 900),
     ]
 
 

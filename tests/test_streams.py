@@ -1,6 +1,8 @@
+import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from orefield.operators import alerts
 from orefield.operators.quality.rules import rule
 from orefield.plans import transactions
 from orefield.streaming import jobs
@@ -44,8 +46,9 @@ def test_mart_upsert_over_batches_and_replay(spark, lake, folder):
     mart = lambda: spark.read.parquet(f"{folder}/mart").select(*want.columns)
     assert rows_of(mart()) == rows_of(want)
     # a batch delivered again under its number changes nothing
-    kept = spark.read.parquet(f"{folder}/staged").where("batch_id = 1").drop("day", "batch_id")
-    write(spark.createDataFrame(kept.collect(), kept.schema), 1)
+    day = F.dayofmonth("timestamp")
+    second = lake.raw_transactions.where((day >= 10) & (day <= 20)).where(~((day <= 12) & (F.col("transaction_id") % 2 == 0)))
+    write(transactions.stage_transactions(second, EVENTS_NOW), 1)
     assert rows_of(mart()) == rows_of(want)
 
 
@@ -61,24 +64,41 @@ def test_gate_parts_rows(spark, lake, folder):
     assert out.where("passed = 'false' AND size(broken_rules) = 0").count() == 0
 
 
-def test_daily_revenue_emits_closed_days_only(spark, lake, folder):
-    arrive(lake, f"{folder}/in", 1, 31)
-    stream = staged(spark, lake, f"{folder}/in").withColumn(
-        "transaction_timestamp", F.col("transaction_timestamp").cast("timestamp")
-    )
-    jobs.run_to_parquet(jobs.daily_revenue(stream), f"{folder}/out", f"{folder}/check")
-    got = spark.read.parquet(f"{folder}/out").select("transaction_date", "total_transactions", "total_amount")
-    whole = lake.daily.select(*got.columns)
-    emitted, everything = set(rows_of(got)), set(rows_of(whole))
-    assert emitted < everything and len(everything) - len(emitted) <= 3
-
-
-def test_stream_dedup_keeps_one_per_key_inside_the_window(spark, folder):
-    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:05:00"), ("b", "2024-01-01 00:01:00")]
-    schema = "dag_id string, created_at timestamp"
-    spark.createDataFrame(rows, "dag_id string, created_at string").select(
-        "dag_id", F.col("created_at").cast("timestamp")
-    ).coalesce(1).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
-    jobs.run_to_parquet(jobs.deduplicated_alerts(stream, ["dag_id"]), f"{folder}/out", f"{folder}/check")
-    assert rows_of(spark.read.parquet(f"{folder}/out"), "dag_id") == [("a",), ("b",)]
+@pytest.fixture(params=[1, 3, 20])
+def batches(request, spark, lake, folder):
+    """The events as 20 files, newest days first in name and time, some files for each batch."""
+    day = F.dayofmonth("ts")
+    events = lake.table("events")
+    for i in range(20):
+        part = events.where(F.pmod(31 - day, F.lit(20)) == i)
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = jobs.file_stream(spark, f"{folder}/in", events.schema, files_per_trigger=request.param)
+    return stream.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+
+
+def test_revenue_holds_for_any_split(spark, lake, folder, batches):
+    rows = transactions.stage_transactions(lake.transactions_of(batches), EVENTS_NOW)
+    jobs.run_batches(rows, jobs.partial_batches(jobs.revenue_parts, f"{folder}/parts"), f"{folder}/check")
+    got = jobs.daily_revenue(spark.read.parquet(f"{folder}/parts"))
+    assert rows_of(got) == rows_of(lake.daily.select(*got.columns))
+
+
+def test_alerts_hold_for_any_split(spark, lake, folder, batches):
+    keys = ["dag_id", "title"]
+    found, whole = lake.alerts_of(batches), lake.alerts_of(lake.events)
+    jobs.run_batches(found, jobs.partial_batches(jobs.dedup_parts(keys), f"{folder}/slices"), f"{folder}/check")
+    got = jobs.deduplicated_alerts(spark.read.parquet(f"{folder}/slices"), keys)
+    want = alerts.deduplicate(whole, keys)
+    assert rows_of(got, "id") == rows_of(want, "id") and got.count() > whole.select(*keys).distinct().count()
+
+
+def test_a_replayed_batch_changes_nothing(spark, lake, folder):
+    write = jobs.partial_batches(alerts.window_counts, f"{folder}/parts")
+    rows = lake.alerts
+    for number, part in ((0, "id % 2 = 0"), (1, "id % 2 = 1"), (1, "id % 2 = 1")):
+        write(rows.where(part), number)
+    parts = spark.read.parquet(f"{folder}/parts")
+    assert rows_of(alerts.summed_windows(parts, 2)) == rows_of(alerts.window_summary(rows, limit=2))
+    merge = lambda p: p.groupBy("window_start", "severity", "alert_type").agg(F.sum("n").alias("n"))
+    small = spark.read.parquet(jobs.compacted(spark, f"{folder}/parts", merge, f"{folder}/small"))
+    assert rows_of(alerts.summed_windows(small, 2)) == rows_of(alerts.summed_windows(parts, 2))
