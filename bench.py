@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -67,7 +68,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = build_session(
         "bench", master=f"local[{cpus}]", shuffle_partitions=cpus,
-        **{"spark.driver.memory": "16g", "spark.log.level": "ERROR"},
+        **{"spark.driver.memory": "16g", "spark.log.level": "ERROR", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="orefield-bench-")},
     )
     spark.sparkContext.setLogLevel("ERROR")
     entries, taken = all_entries(), {}

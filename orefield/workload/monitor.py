@@ -1,5 +1,7 @@
 """Queries: freshness, SLA, volume, task runs, health."""
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from orefield.functions import health_score, register_health_score
@@ -220,10 +222,9 @@ def _(lake):
         *runs.TRACKING_KEYS, early.alias("expected_completion"), F.lit(None).cast("timestamp_ntz").alias("actual_completion"),
         F.lit(False).alias("sla_met"), F.lit(9).alias("delay_seconds"),
     )
-    retired = lake.spark.sql(
-        """SELECT 'retired' AS dag_id, 'task' AS task_id, DATE'2001-01-01' AS execution_date,
-            TIMESTAMP_NTZ'2001-01-01 01:00:00' AS expected_completion, TIMESTAMP_NTZ'2001-01-01 00:30:00' AS actual_completion,
-            true AS sla_met, 0 AS delay_seconds"""
+    day = datetime(2001, 1, 1)
+    retired = lake.spark.createDataFrame(
+        [("retired", "task", day.date(), day + timedelta(hours=1), day + timedelta(minutes=30), True, 0)], old.schema
     )
     return runs.track_sla(old.unionByName(retired), rows)
 
@@ -343,9 +344,7 @@ REPORT_SCORE = HEALTH_SCORE.format(
 )
 
 
-@query(
-    "health_report",
-    f"""WITH t AS (SELECT {state("failed")} AS failed_tasks_24h, {state("success")} AS successful_tasks_24h,
+HEALTH_SQL = f"""WITH t AS (SELECT {state("failed")} AS failed_tasks_24h, {state("success")} AS successful_tasks_24h,
             {pct(state("failed"), "COUNT(*)")} AS rate, {state("queued")} AS day_queued,
             round({pct(state("success"), "COUNT(*)")}, 2) AS sla_compliance_percent,
             {pct(state("success"), "COUNT(*)")} AS sla_exact FROM x_ti WHERE {DAY_BEFORE}),
@@ -377,9 +376,10 @@ REPORT_SCORE = HEALTH_SCORE.format(
         running_tasks, queued_tasks, sla_compliance_percent, sla_misses_24h, avg_data_freshness_hours,
         stale_sources_count, health_score, issues, health_score < 70 OR issues <> '' AS alert,
         CASE WHEN health_score < 70 OR issues <> '' THEN
-            CASE WHEN health_score < 50 THEN 'CRITICAL' ELSE 'HIGH' END END AS alert_severity FROM k""",
-)
-def _(lake):
+            CASE WHEN health_score < 50 THEN 'CRITICAL' ELSE 'HIGH' END END AS alert_severity FROM k"""
+
+
+def _report(lake):
     swept = _sweep(lake)
     stale = F.sum(F.col("staleness_hours").cast("decimal(18,2)")).cast("double")
     fresh = swept.agg(
@@ -396,6 +396,17 @@ def _(lake):
     )
 
 
+@query("health_report", HEALTH_SQL)
+def _(lake):
+    return _report(lake)
+
+
+@query("health_recorded", HEALTH_SQL)
+def _(lake):
+    """The snapshot appended to its history and read back."""
+    return health.append_metrics(_report(lake), f"{new_workspace(lake.spark, 'health')}/metrics")
+
+
 @query(
     "platform_health_summary",
     """WITH bands(low, high, health_status, health_color) AS (VALUES (90, 1000, 'HEALTHY', 'green'),

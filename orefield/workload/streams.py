@@ -18,7 +18,7 @@ from orefield.workload.registry import query
 from orefield.workload.tables import EVENTS_NOW
 
 
-FILES, FILES_PER_BATCH = 20, 6
+FILES, FILES_PER_BATCH = 20, 10
 
 
 def _landed(lake, root):

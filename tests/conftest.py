@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -15,7 +16,8 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", master="local[4]", shuffle_partitions=4)
+    shared = {"spark.checkpoint.dir": tempfile.mkdtemp(prefix="orefield-tests-")}
+    session = build_session("tests", master="local[4]", shuffle_partitions=4, **shared)
     session.sparkContext.setLogLevel("OFF")
     session.conf.set("spark.sql.maxMetadataStringLength", "10000")
     return session

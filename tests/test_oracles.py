@@ -1,11 +1,14 @@
 """Every registered query against its SQL, on the smallest data; and the driver contract."""
 
+import importlib
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from check_oracles import compare, connect
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from orefield.streaming import jobs
 from orefield.workload import all_entries
 
 SMALL = "/root/testdata/sf0.001"
@@ -45,3 +48,25 @@ def test_contract(spark):
     queries, sql = contract.queries(), contract.oracle_sql()
     assert set(all_entries()) - set(sql) == ROWS_ONLY and set(all_entries()) <= set(queries)
     assert contract.entry(spark).count() > 0
+
+
+BROKEN = {
+    "lineage_edges_upsert": ("orefield.operators.lineage", "upsert_edges", lambda old, new: new),
+    "sla_tracking": ("orefield.operators.runs", "track_sla", lambda old, new: new),
+    "stream_alert_dedup": ("orefield.streaming.jobs", "deduplicated_alerts", lambda parts, keys: parts.select(*keys, "first.id", "first.created_at")),
+    "stream_daily_revenue": ("orefield.streaming.jobs", "daily_revenue", lambda parts: REVENUE(parts.where("batch_id = 0"))),
+    "alert_metadata_map": ("orefield.operators.alerts", "shown_subject", lambda: F.col("subject").alias("subject_shown")),
+    "dq_singular_tests": ("orefield.workload.quality", "convert_timestamp", lambda df, column: F.col("timestamp")),
+    "retention_removed": ("orefield.operators.governance", "drop_expired", lambda *a: 0),
+    "scd2_apply": ("orefield.workload.ingest", "apply_snapshot", lambda current, *a: current),
+    "incremental_extract_rerun": ("orefield.sources.tables", "incremental_rows", lambda df, *a: df),
+    "bi_order_trend": ("orefield.operators.bi", "newest", lambda df, column: df.orderBy(column).limit(30)),
+}
+REVENUE = jobs.daily_revenue
+
+
+@pytest.mark.parametrize("key", sorted(BROKEN))
+def test_the_sql_finds_a_broken_operator(spark, monkeypatch, key):
+    module, name, broken = BROKEN[key]
+    monkeypatch.setattr(importlib.import_module(module), name, broken)
+    assert check(spark, connect(SMALL), all_entries()[key]) != []

@@ -6,6 +6,7 @@ usage: python tools/check_oracles.py [sf_dir] [key-or-prefix* ...]
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 import traceback
 from collections import Counter
@@ -82,7 +83,9 @@ def compare(df, con, sql):
 def main():
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
-    spark = build_session("check", master="local[8]", shuffle_partitions=8)
+    spark = build_session(
+        "check", master="local[8]", shuffle_partitions=8, **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="orefield-check-")}
+    )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad, n, rows_only = [], 0, 0
