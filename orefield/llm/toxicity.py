@@ -18,12 +18,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orefield.llm.common import id_and_text
+from orefield.llm.common import id_and_text, sampled
 
 POSITIVES, UNLABELLED = 3000, 9000
 #: Words of the model: in at least so many sampled documents, the most frequent first.
 MIN_DOCUMENTS, VOCABULARY = 5, 60_000
-STEPS, CHANCE, RELAXED = 200, 3.0, 0.1
+STEPS, CHANCE, RELAXED = 200, 2.5, 0.02
 PRIOR_RANGE = (0.01, 0.5)
 FOLDS = 5
 PUNCTUATION = bytes(c if c >= 128 or chr(c).isalnum() or c == 39 else 32 for c in range(256))
@@ -118,16 +118,15 @@ class Model:
         return sigmoid(Rows.of([features(x) for x in texts], self.vocabulary).times(self.weights) + self.bias)
 
 
-def sampled(docs: DataFrame, n: int) -> list[np.ndarray]:
-    """Features of the ``n`` documents with the least hash of their id."""
+def features_of(docs: DataFrame) -> list[np.ndarray]:
+    """Features of a bounded sample of documents."""
 
     def run(batches):
         for batch in batches:
             found = [features(x).view(np.int64).tolist() for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], ["f"])
 
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(n)
-    found = some.select("text").mapInArrow(run, "f array<long>").toArrow().column(0)
+    found = docs.select("text").mapInArrow(run, "f array<long>").toArrow().column(0)
     return [np.asarray(x.values).view(np.uint64) for x in found]
 
 
@@ -140,8 +139,10 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     prior = float(np.clip(seen[0], *PRIOR_RANGE))
     own = docs.where(~held_out() & (F.col("text") != ""))
     toxic = known.where("toxic = 1").select("doc_id").distinct()
-    positive = sampled(own.join(toxic, "doc_id"), POSITIVES)
-    unlabelled = sampled(own, UNLABELLED)
+    # Ids are joined first: the texts of the sample alone are read, and none is shuffled for it.
+    ids = sampled(own.select("doc_id").join(toxic, "doc_id"), F.col("doc_id"), POSITIVES)
+    positive = features_of(sampled(own.join(F.broadcast(ids), "doc_id"), F.col("doc_id"), POSITIVES))
+    unlabelled = features_of(sampled(own, F.col("doc_id"), UNLABELLED))
     words, counts = np.unique(np.concatenate([*positive, *unlabelled, np.zeros(0, np.uint64)]), return_counts=True)
     kept = np.argsort(-counts, kind="stable")[:VOCABULARY]
     vocabulary = np.sort(words[kept][counts[kept] >= MIN_DOCUMENTS])
