@@ -29,8 +29,11 @@ HEX_BITS, MIXED_BITS = 2.9, 3.6
 ALLOWED = r"(?i)example|sample|placeholder|x{6,}|^[a-z_/=+-]+$|^[0-9+/_=-]+$|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
 
 
-def parts(docs: DataFrame, kind: str, pattern: str, group: int) -> DataFrame:
-    """(row, kind, start, end, found): the matches of one pattern with code point positions."""
+def parts(docs: DataFrame, kind: str, pattern: str, group: int, judge=None) -> DataFrame:
+    """(row, kind, start, end, found): the matches of one pattern with code point positions.
+
+    ``judge`` turns the rows with their ``found`` text into what is kept of it, before any shuffle.
+    """
     t = F.col("text")
     d = docs.where(t.rlike(pattern)).select(
         "row",
@@ -39,6 +42,7 @@ def parts(docs: DataFrame, kind: str, pattern: str, group: int) -> DataFrame:
         F.regexp_extract_all(t, F.lit(pattern), F.lit(group)).alias("found"),
     )
     d = d.select("row", F.posexplode(F.arrays_zip("gap", "len", "found")).alias("at", "x")).select("row", "at", "x.*")
+    d = judge(d) if judge else d
     before = Window.partitionBy("row").orderBy("at")
     end = F.sum(F.col("gap") + F.coalesce("len", F.lit(0))).over(before)
     return d.withColumn("end", end).where("len IS NOT NULL").select(
@@ -93,12 +97,17 @@ def dense_runs(chars: str) -> Column:
     )
 
 
+def with_runs(found: DataFrame) -> DataFrame:
+    """The dense runs of each candidate that is not on the allow list, in place of its text."""
+    chars = F.when(~F.col("found").rlike(ALLOWED), F.filter(F.split("found", ""), lambda x: x != ""))
+    found = found.withColumn("chars", chars)
+    runs = F.when(F.size("chars") >= SPAN, dense_runs("chars"))
+    return found.withColumn("found", runs).drop("chars")
+
+
 def entropy_spans(docs: DataFrame) -> DataFrame:
-    """(row, kind, start, end) of the dense runs of all candidate strings not on the allow list."""
-    d = parts(docs, "entropy", CANDIDATE, 0).where(~F.col("found").rlike(ALLOWED))
-    d = d.select("row", "kind", "start", F.split("found", "").alias("chars"))
-    d = d.withColumn("chars", F.filter("chars", lambda x: x != "")).where(F.size("chars") >= SPAN)
-    d = d.withColumn("runs", dense_runs("chars")).select("row", "kind", "start", F.explode("runs").alias("r"))
+    """(row, kind, start, end) of the dense runs of all candidate strings."""
+    d = parts(docs, "entropy", CANDIDATE, 0, with_runs).select("row", "kind", "start", F.explode("found").alias("r"))
     return d.select("row", "kind", (F.col("start") + F.col("r.start")).alias("start"), (F.col("start") + F.col("r.end")).alias("end"))
 
 
