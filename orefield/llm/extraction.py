@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orefield.llm import dom
-from orefield.llm.common import prepare
+from orefield.llm.common import by_bytes, prepare, sampled
 
 #: Pages of the sample, and the longest page in it (characters).
 SAMPLE, SAMPLE_CHARS = 300, 20_000
 ROUNDS, DEPTH, RATE, BINS, LEAF = 40, 4, 0.3, 32, 12.0
+#: Characters of pages that are held as trees at once.
+BATCH_CHARS = 1 << 20
 #: Cost of taking a child out of main text, in log odds: a doubt alone does not tear an article.
 CHANGE = 1.0
 
@@ -141,9 +143,9 @@ def renamed(tree: dom.Tree, rng: random.Random) -> dom.Tree:
 
 
 def learned(pages: DataFrame) -> Forest | None:
-    """The model of a bounded sample: SAMPLE pages in order of a hash of url and html."""
+    """The model of a bounded sample: SAMPLE pages in order of a hash of the html."""
     short = pages.where(F.char_length("html").between(1, SAMPLE_CHARS))
-    rows = short.orderBy(F.xxhash64("url", "html")).limit(SAMPLE).select("html").toArrow().column(0).to_pylist()
+    rows = sorted(sampled(short.select("html"), F.col("html"), SAMPLE).toArrow().column(0).to_pylist())
     rng, texts = random.Random(7), []
     for html in rows:
         texts += ["".join(parts) for _, parts in dom.parsed(html).runs if len("".join(parts)) > 30][:5]
@@ -191,11 +193,14 @@ def decoded(tree: dom.Tree, odds: np.ndarray) -> np.ndarray:
     return state == 1
 
 
-def main_text(html: str, model: Forest | None) -> str:
-    tree = dom.parsed(html)
+def main_texts(pages: list[str], model: Forest | None) -> list[str]:
+    """The main text of each page; the nodes of all pages go through the trees together."""
+    trees = [dom.parsed(x) for x in pages]
     if model is None:  # nothing to learn from: what the elements say
-        return dom.blocks(tree, truth(tree) > 0)
-    return dom.blocks(tree, decoded(tree, model.odds(dom.table(tree))))
+        return [dom.blocks(t, truth(t) > 0) for t in trees]
+    odds = model.odds(np.concatenate([dom.table(t) for t in trees]))
+    ends = np.cumsum([len(t.nodes) for t in trees])
+    return [dom.blocks(t, decoded(t, odds[end - len(t.nodes) : end])) for t, end in zip(trees, ends, strict=True)]
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -212,7 +217,9 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(x, model) for x in batch.column(2).to_pylist()]
+            pages, texts = batch.column(2).to_pylist(), []
+            for some in by_bytes([len(x) for x in pages], BATCH_CHARS):
+                texts += main_texts(pages[some], model)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     found = own.mapInArrow(run, f"page_id {kind}, url string, text string")
