@@ -114,7 +114,8 @@ def frequent_lines(rows: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """(d, s, n_removed, gone): per document and text, the words in removed lines and those lines (host, line)."""
     rows = stored(line_rows(docs), "lines")
-    gone = rows.join(frequent_lines(rows), ["host", "line"]).distinct()
+    # Stored, so that the join is a broadcast of few lines, or one of two plain shuffles that may split a busy line.
+    gone = rows.join(stored(frequent_lines(rows), "frequent"), ["host", "line"]).distinct()
     by_host = gone.groupBy(F.col("doc_id").alias("d"), F.col("sig").alias("s"), "host").agg(
         F.sum("n").alias("n"), F.collect_set(F.struct("host", "line")).alias("lines")
     )
