@@ -1,10 +1,8 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Each line is normalised and hashed; for each host the documents that hold it are counted, and lines in
-more documents than the host's limit are removed. A document that keeps too little is rejected. So that
-copies of a document, which the near-duplicate step handles, do not turn its own lines into boilerplate,
-documents count once for each different context: a line's context is the least hash among the other
-lines of its document.
+more documents than the host's limit are removed. A document that keeps too little is rejected. Exact
+copies count as one document, among those that hold a line and among those of the host.
 """
 
 from __future__ import annotations
@@ -88,24 +86,22 @@ def host(docs: DataFrame) -> Column:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """(host, doc_id, sig, at, line, context, n): every line with a word, and its words."""
+    """(host, doc_id, sig, at, line, n): every line with a word, and its words."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, BLANKS, "") != "")
     d = docs.select(
         host(docs), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")
     )
     d = d.select("host", "doc_id", F.xxhash64("text").alias("sig"), lines.alias("lines"))
     d = d.withColumn("keys", F.transform("lines", line_key))
-    d = d.withColumn("two", F.slice(F.sort_array(F.array_distinct("keys")), 1, 2))
-    d = d.select("host", "doc_id", "sig", "two", F.posexplode(F.arrays_zip("lines", "keys")).alias("at", "x"))
-    context = F.when(F.get("two", F.lit(0)) == F.col("x.keys"), F.coalesce(F.get("two", F.lit(1)), F.lit(-1))).otherwise(F.get("two", F.lit(0)))
-    return d.select("host", "doc_id", "sig", "at", F.col("x.keys").alias("line"), context.alias("context"), F.size(words(F.col("x.lines"))).cast("long").alias("n"))
+    d = d.select("host", "doc_id", "sig", F.posexplode(F.arrays_zip("lines", "keys")).alias("at", "x"))
+    return d.select("host", "doc_id", "sig", "at", F.col("x.keys").alias("line"), F.size(words(F.col("x.lines"))).cast("long").alias("n"))
 
 
 def frequent_lines(rows: DataFrame) -> DataFrame:
     """(host, line) in more documents than the limit of the host."""
-    seen = rows.groupBy("host", "line", "context").agg(F.lit(1).alias("one"))
+    seen = rows.groupBy("host", "line", "sig").agg(F.lit(1).alias("one"))
     seen = seen.groupBy("host", "line").agg(F.count("*").alias("held"))
-    # Of a host's documents, copies count once as well.
+    # Of a host's documents, exact copies count once as well.
     hosts = rows.where("at = 0").select("host", "sig").distinct().groupBy("host").agg(F.count("*").alias("documents"))
     common = seen.where(F.col("held") > LINE_DOCUMENTS)
     return common.join(hosts, "host").where(F.col("held") * 100 > F.col("documents") * LINE_PERCENT).select("host", "line")

@@ -58,6 +58,16 @@ def test_copies_of_a_document_are_no_boilerplate(table):
     assert all(r.kept for r in found.values())
 
 
+def test_lines_of_a_shared_block_do_not_hide_each_other(table):
+    rng = random.Random(12)
+    block = "\n".join(f"part {i} of a notice that all pages of this host hold" for i in range(6))
+    texts = [prose(rng, 2) + "\n" + block for _ in range(200)]
+    rare = [(1000 + i, prose(rng, 2) + "\nthis line stands in just twenty documents of all") for i in range(20)]
+    found = {r.doc_id: r for r in quality.judged(table(texts + rare)).collect()}
+    assert all(found[i].n_removed == 6 * 12 for i in range(200))
+    assert all(found[k].n_removed == 0 for k, _ in rare)
+
+
 def test_rules_of_odd_rows(odd, none):
     rows = quality.judged(odd).collect()
     assert len(rows) == 10 and quality.judged(none).count() == 0 and quality.cleaned(none).count() == 0
