@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -194,14 +195,15 @@ def table(tree: Tree) -> np.ndarray:
     seen = 0.0
     at = len(FEATURES) - len(TAGS) - 17
     above = np.zeros((n, 17))
+    places, same = [0] * n, [1] * n
+    for x in nodes:
+        tags = Counter(c.tag for c in x.children)
+        for j, c in enumerate(x.children):
+            places[c.order], same[c.order] = j, tags[c.tag]
     for i, x in enumerate(nodes):
         p = x.parent
-        k = len(p.children) if p else 1
-        place = x.order if not p else p.children.index(x) if k < 50 else 0
-        alike = sum(c.tag == x.tag for c in p.children) if p and k < 50 else k
-        near = [0.0, 0.0]
-        if p and k < 50:
-            near = [sums[p.children[j].order, 0] if 0 <= j < k else 0.0 for j in (place - 1, place + 1)]
+        k, place, alike = len(p.children) if p else 1, places[i], same[i]
+        near = [sums[p.children[j].order, 0] if p and 0 <= j < k else 0.0 for j in (place - 1, place + 1)]
         up = p.order if p else 0
         if p:
             above[i] = above[up]

@@ -119,6 +119,18 @@ def test_main_text(spark):
     assert found[67].text == TEXT.format(79)
 
 
+def test_siblings_of_any_number_have_their_features():
+    at = {x: i for i, x in enumerate(dom.FEATURES)}
+    for n in (49, 50, 500):
+        tree = dom.parsed("<article>" + "".join(f"<h2>{'x' * (i + 1)}</h2>" if i % 7 == 3 else f"<p>{'x' * (i + 1)}</p>" for i in range(n)) + "</article>")
+        rows, heads = dom.table(tree), len(range(3, n, 7))
+        assert len(rows) == n + 2
+        for i, (x, row) in enumerate(zip(tree.nodes[2:], rows[2:], strict=True)):
+            assert row[at["siblings"]] == n and row[at["place among siblings"]] == i / n
+            assert row[at["same tag siblings"]] == (heads if x.tag == "h2" else n - heads) / n
+            assert (row[at["before"]], row[at["after"]]) == (i, i + 2 if i + 1 < n else 0)
+
+
 def test_pages_without_rows_or_telling_elements(spark):
     assert extraction.extracted(pages(spark, [])).count() == 0
     assert [r.text for r in extraction.extracted(pages(spark, ["<p>a</p>", None])).collect()] == ["", ""]
