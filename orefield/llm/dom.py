@@ -23,12 +23,19 @@ KEEPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 TAGS = (
     "article main section div p h1 h2 h3 li ul ol nav header footer aside form table td blockquote pre figure dd dl body html"
 ).split()
-#: Attribute tokens that speak for or against main text, by their beginning.
-GOOD = re.compile(r"^(article|content|entry|main|post|story|text|body|page|prose|lead|paragraph)")
-BAD = re.compile(
-    r"^(ad|ads|adv|advert|banner|breadcrumb|byline|comment|contact|cookie|consent|disqus|foot|footer|form|gdpr|head|header|hidden|"
-    r"legal|login|masthead|menu|meta|modal|nav|navigation|newsletter|notice|outbrain|overlay|pager|pagination|popup|promo|reader|recommend|"
-    r"related|reply|respons|search|share|sharing|shop|side|sidebar|signup|skip|social|sponsor|subscribe|tag|taboola|teaser|toolbar|tracking|widget)"
+#: Attribute tokens that speak for or against main text, as whole tokens: in singular and plural, and a few compounds.
+GOOD = frozenset(
+    "article articles content contents entry entries main post posts story stories text texts body page pages prose lead leads paragraph "
+    "paragraphs articlebody articlecontent articletext bodytext entrycontent maincontent maintext pagecontent postbody postcontent storybody".split()
+)
+BAD = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs byline bylines comment "
+    "comments commentform commentlist contact contacts cookie cookies consent disqus foot footer footers form forms gdpr head header headers "
+    "hidden legal login masthead menu menus menubar meta metadata modal modals nav navs navbar navigation newsletter newsletters notice notices "
+    "outbrain overlay overlays pager pagers pagination popup popups promo promos promotion promotions reader readers recommend recommended "
+    "recommendation recommendations related reply replies respond response responses search searchbar searchbox searchform share shares sharebar "
+    "sharing shop shops side sidebar sidebars signup skip skiplink skiplinks social sponsor sponsors sponsored subscribe subscription tag tags "
+    "tagcloud taboola teaser teasers toolbar toolbars tracking widget widgets".split()
 )
 TOKEN = re.compile(r"[A-Za-z]+")
 WORD = re.compile(r"\w+")
@@ -48,8 +55,8 @@ def attribute_tokens(attrs) -> tuple[int, int]:
     for name, value in attrs:
         if name in ("class", "id", "role", "itemprop", "aria-label") and value:
             for x in TOKEN.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value)):
-                good += bool(GOOD.match(x.lower()))
-                bad += bool(BAD.match(x.lower()))
+                good += x.lower() in GOOD
+                bad += x.lower() in BAD
     return good, bad
 
 

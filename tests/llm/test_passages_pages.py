@@ -119,6 +119,15 @@ def test_main_text(spark):
     assert found[67].text == TEXT.format(79)
 
 
+def test_tokens_speak_as_a_whole():
+    own = '<h1 class="headline">A</h1><h2 id="heading">B</h2><div class="address">C</div><p class="adventure formatted">D</p><ol class="footnotes"><li>E</ol>'
+    for page in (f"<article>{own}</article>", f'<main class="shareholders">{own}</main>'):
+        assert extraction.main_texts([page], None) == ["A\nB\nC\nD\nE"]
+    out = "".join(f'<div class="{x}">no</div>' for x in (*extraction.TOKENS, "share-tags", "siteFooter", "ads"))
+    assert extraction.main_texts([f"<article>{out}<p>yes</p></article>"], None) == ["yes"]
+    assert dom.attribute_tokens([("class", "article-body leaderboard mainstream"), ("id", "postContent")]) == (4, 0)
+
+
 def test_siblings_of_any_number_have_their_features():
     at = {x: i for i, x in enumerate(dom.FEATURES)}
     for n in (49, 50, 500):
