@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -159,6 +160,26 @@ class Words:
         return out
 
 
+def apart(spans) -> list[tuple[int, int]]:
+    """The spans in order, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def free_parts(a: int, b: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts from ``a`` to ``b`` outside of ``taken``, spans in order and apart."""
+    out, k = [], bisect_right(taken, a, key=lambda x: x[1])
+    while k < len(taken) and taken[k][0] < b:
+        out.append((a, taken[k][0]))
+        a, k = taken[k][1], k + 1
+    return [(x, y) for x, y in [*out, (a, b)] if x < y]
+
+
 @dataclass
 class Field:
     """Log potentials of features, neighbours and skip edges."""
@@ -197,27 +218,32 @@ class Field:
         return np.exp(b - np.logaddexp.reduce(b, 1, keepdims=True)) if n else b
 
     def more_spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Runs of words that are surely of one kind, hold a digit or an at sign, and touch no pattern match."""
+        """Runs of words that are surely of one kind and hold a digit or an at sign, cut at the pattern matches.
+
+        What is left of a word beside a match within it has to be sure as a word of its own.
+        """
         words = Words.of(text)
         if not words.spans:
             return []
         p = self.marginals(words)
         label = np.where(p.max(1) >= CERTAIN, p.argmax(1), 0)
-        taken = sorted((a, b) for _, a, b in base)
-        ends = np.maximum.accumulate([b for _, b in taken]) if taken else np.zeros(0, int)
+        taken = apart((a, b) for _, a, b in base)
         out, i = [], 0
         while i < len(label):
             j = i + 1
             while j < len(label) and label[j] == label[i] and words.joined[j]:
                 j += 1
             if label[i]:
-                a, b = words.spans[i][0], words.spans[j - 1][1]
-                a += len(text[a:b]) - len(text[a:b].lstrip(".,;:!?([{<\"'"))
-                b -= len(text[a:b]) - len(text[a:b].rstrip(".,;:!?)]}>\"'"))
-                k = int(np.searchsorted([x for x, _ in taken], b)) if taken else 0
-                free = k == 0 or ends[k - 1] <= a
-                if a < b and free and TELLING.search(text, a, b):
-                    out.append((int(label[i]) - 1, a, b))
+                for a, b in free_parts(words.spans[i][0], words.spans[j - 1][1], taken):
+                    whole = [s for s in words.spans[i:j] if a <= s[0] and s[1] <= b]
+                    first, last = (whole[0][0], whole[-1][1]) if whole else (b, b)
+                    for start, end in ((a, first), (last, b)):
+                        if TELLING.search(text, start, end):
+                            out += [(k, start + x, start + y) for k, x, y in self.more_spans(text[start:end], [])]
+                    first += len(text[first:last]) - len(text[first:last].lstrip(".,;:!?([{<\"'"))
+                    last -= len(text[first:last]) - len(text[first:last].rstrip(".,;:!?)]}>\"'"))
+                    if first < last and TELLING.search(text, first, last):
+                        out.append((int(label[i]) - 1, first, last))
             i = j
         return out
 

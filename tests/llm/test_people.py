@@ -64,6 +64,25 @@ def test_repeats_share_their_label(table):
     assert personal.spans_of("nothing to see here, 3 trees and 14 houses", field) == ([], [])
 
 
+def field_of(weights, skip=0.0):
+    """A field of the given weights, {(feature, label): weight}, and of ``skip`` for equal labels of repeats."""
+    w = np.zeros((personal.HASHED, personal.LABELS))
+    for (feature, label), x in weights.items():
+        w[personal.xxhash.xxh32_intdigest(feature) % personal.HASHED, label] = x
+    return personal.Field(w, np.zeros((5, 5)), skip * (2 * np.eye(5) - 1))
+
+
+def test_the_field_adds_spans_beside_matches():
+    field = field_of({("m@", 1): 9, ("m.@", 1): 9, ("m,.@", 1): 9, ("m,@", 1): 9, ("m()@", 1): 9, ("m.:", 2): 9})
+    one, two = (0, 0, 11), (0, 12, 25)
+    assert personal.spans_of("bob@localhost", field) == ([], [(0, 0, 13)])
+    for text in ("alice@x.com bob@localhost", "alice@x.com,bob@localhost", "alice@x.com\nbob@localhost"):
+        assert personal.spans_of(text, field) == ([one], [one, two]), text
+    between = "bob@localhost alice@x.com (carol@localhost)"
+    assert personal.spans_of(between, field)[1] == [(0, 0, 13), (0, 14, 25), (0, 27, 42)]
+    assert personal.spans_of("10.0.0.1:8080", field) == ([(1, 0, 8)], [(1, 0, 8)])
+
+
 def exact_marginals(field, words):
     from itertools import product
 
