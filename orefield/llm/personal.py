@@ -36,7 +36,12 @@ MASKS = {k: f"[{k.upper()}]" for k in KINDS}
 
 SAMPLE, SAMPLE_CHARS = 600, 20_000
 HASHED, STEPS, RATE, DECAY = 4096, 150, 1.0, 1e-3
-ROUNDS, DAMPING, CERTAIN = 8, 0.3, 0.95
+DAMPING, CERTAIN = 0.3, 0.95
+#: Messages that move by less are settled. An edge that has had so many turns more than the longest line or chain of
+#: repeats has words is in a loop that does not settle by itself: from then on it moves less by COOLING each turn.
+SETTLED, TURNS, COOLING = 1e-4, 100, 0.9
+#: Log odds of the label of a word under a pattern match.
+MATCHED = 9.0
 LABELS = len(KINDS) + 1  # 0 is no personal data
 WORD = re.compile(r"\S+")
 TELLING = re.compile(r"[0-9@]")
@@ -146,6 +151,14 @@ class Words:
                     last[k] = i
         return np.array(sorted(out), np.int64).reshape(-1, 2)
 
+    def longest(self, skips: np.ndarray) -> int:
+        """Words of the longest line, or of the longest chain of repeats if it has more."""
+        repeats = [1] * len(self.spans)
+        for i, j in skips.tolist():  # in order, so that i is complete
+            repeats[j] = max(repeats[j], repeats[i] + 1)
+        lines = np.diff(np.append(np.flatnonzero(~self.joined), len(self.spans)))
+        return max([*repeats, *lines.tolist()], default=0)
+
     def labels(self, found: list[tuple[int, int, int]]) -> np.ndarray:
         """The label of each word: the kind of a span that covers most of it."""
         out = np.zeros(len(self.spans), np.int64)
@@ -188,11 +201,17 @@ class Field:
     chain: np.ndarray
     skip: np.ndarray
 
-    def marginals(self, words: Words) -> np.ndarray:
-        """Label probabilities of each word, by loopy sum-product messages with damping."""
+    def marginals(self, words: Words, base: list[tuple[int, int, int]] = ()) -> np.ndarray:
+        """Label probabilities of each word, by loopy sum-product messages with damping.
+
+        The words under ``base`` have their kind as given. Messages go on where one that they depend on
+        has moved, until all are settled, so that evidence reaches repeats at any distance.
+        """
         n = len(words.spans)
         unary = self.weights[words.features()].sum(1)
         unary -= np.logaddexp.reduce(unary, 1, keepdims=True)
+        given = words.labels(base)
+        unary[given > 0] = MATCHED * (np.eye(LABELS)[given[given > 0]] - 1)
         right = np.flatnonzero(words.joined)
         skips = words.skips()
         left_ends = np.concatenate((right - 1, skips[:, 0]))
@@ -200,21 +219,25 @@ class Field:
         potentials = np.concatenate((np.repeat(self.chain[None], len(right), 0), np.repeat(self.skip[None], len(skips), 0)))
         ahead, back = np.zeros((len(left_ends), LABELS)), np.zeros((len(left_ends), LABELS))
 
-        def beliefs():
-            out = unary.copy()
-            np.add.at(out, right_ends, ahead)
-            np.add.at(out, left_ends, back)
-            return out
-
-        for _ in range(ROUNDS if len(left_ends) else 0):
-            b = beliefs()
-            to_right = np.logaddexp.reduce((b[left_ends] - back)[:, :, None] + potentials, 1)
-            to_left = np.logaddexp.reduce((b[right_ends] - ahead)[:, None, :] + potentials, 2)
+        most = TURNS + words.longest(skips)
+        b, turns, live = unary.copy(), np.zeros(len(left_ends)), np.arange(len(left_ends))
+        while len(live):
+            left, right = left_ends[live], right_ends[live]
+            to_right = np.logaddexp.reduce((b[left] - back[live])[:, :, None] + potentials[live], 1)
+            to_left = np.logaddexp.reduce((b[right] - ahead[live])[:, None, :] + potentials[live], 2)
             to_right -= np.logaddexp.reduce(to_right, 1, keepdims=True)
             to_left -= np.logaddexp.reduce(to_left, 1, keepdims=True)
-            ahead = DAMPING * ahead + (1 - DAMPING) * to_right
-            back = DAMPING * back + (1 - DAMPING) * to_left
-        b = beliefs() if n else unary
+            turns[live] += 1
+            step = (1 - DAMPING) * COOLING ** np.maximum(0, turns[live] - most)[:, None]
+            to_right, to_left = step * (to_right - ahead[live]), step * (to_left - back[live])
+            ahead[live] += to_right
+            back[live] += to_left
+            np.add.at(b, right, to_right)
+            np.add.at(b, left, to_left)
+            moved = np.zeros(n, bool)
+            moved[right[abs(to_right).max(1) > SETTLED]] = True
+            moved[left[abs(to_left).max(1) > SETTLED]] = True
+            live = np.flatnonzero(moved[left_ends] | moved[right_ends])
         return np.exp(b - np.logaddexp.reduce(b, 1, keepdims=True)) if n else b
 
     def more_spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -225,7 +248,7 @@ class Field:
         words = Words.of(text)
         if not words.spans:
             return []
-        p = self.marginals(words)
+        p = self.marginals(words, base)
         label = np.where(p.max(1) >= CERTAIN, p.argmax(1), 0)
         taken = apart((a, b) for _, a, b in base)
         out, i = [], 0

@@ -83,6 +83,27 @@ def test_the_field_adds_spans_beside_matches():
     assert personal.spans_of("10.0.0.1:8080", field) == ([(1, 0, 8)], [(1, 0, 8)])
 
 
+def test_evidence_reaches_far_repeats():
+    lines = "call 5550123456\n" + "5550123456\n" * 40
+    told = field_of({("ba", 4): 9}, skip=4.0).marginals(personal.Words.of(lines))
+    assert told[1, 4] > 0.99 and told[-1, 4] > 0.9
+    for gap in (0, 7, 40):  # a match is evidence as well, before or after its repeats
+        repeat = "\n".join(["1 222 5550123456"] * gap + ["+1 222 5550123456"] + ["1 222 5550123456"] * gap)
+        words, base = personal.Words.of(repeat), personal.base_spans(repeat)
+        p = field_of({}, skip=4.0).marginals(words, base)
+        at = [i for i, w in enumerate(words.texts) if w == "5550123456"]
+        assert len(at) == 2 * gap + 1 and p[at, 4].min() > 0.9
+
+
+def test_messages_end_in_loops():
+    rng = np.random.default_rng(6)
+    text = "\n".join(" ".join(f"{rng.integers(4)}" for _ in range(30)) for _ in range(20))
+    for scale in (1, 4, 9):
+        field = personal.Field(rng.normal(0, 1, (personal.HASHED, 5)), scale * rng.normal(0, 1, (5, 5)), scale * rng.normal(0, 1, (5, 5)))
+        p = field.marginals(personal.Words.of(text))
+        assert np.isfinite(p).all() and np.allclose(p.sum(1), 1)
+
+
 def exact_marginals(field, words):
     from itertools import product
 
