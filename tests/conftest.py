@@ -7,6 +7,7 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 sys.path.insert(0, str(ROOT / "tools"))
+sys.path.insert(0, str(ROOT / "tests"))
 
 from orefield.session import build_session, new_workspace  # noqa: E402
 from orefield.workload.tables import Lake  # noqa: E402
@@ -44,7 +45,3 @@ def ts(spark):
         return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
     return make
-
-
-def rows_of(df, *columns):
-    return sorted((tuple(r) for r in df.select(*(columns or df.columns)).collect()), key=repr)

@@ -2,7 +2,7 @@ import hashlib
 from datetime import datetime
 
 import pytest
-from conftest import rows_of
+from rows import rows_of
 from pyspark.sql import functions as F
 
 from orefield import functions as fn

@@ -3,7 +3,7 @@ from collections import defaultdict
 from datetime import date
 from decimal import Decimal
 
-from conftest import rows_of
+from rows import rows_of
 from pyspark.sql import functions as F
 
 from orefield.operators.latest import first_per_key, insert_absent, upsert

@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import rows_of
+from rows import rows_of
 from pyspark.sql import functions as F
 
 from orefield.operators.quality import history, suites, validation

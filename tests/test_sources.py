@@ -5,7 +5,7 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from conftest import rows_of
+from rows import rows_of
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows_of
+from rows import rows_of
 from pyspark.sql import functions as F
 
 from orefield.operators import alerts
