@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orefield.llm import debruijn, decontamination, extraction, packing, personal, quality, secrets, simhash, tokens, toxicity
+from orefield.llm import (
+    alignment, collocations, debruijn, decontamination, extraction, languages, packing, personal, quality, secrets, simhash, tokens, toxicity,
+)
 from orefield.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +168,51 @@ def op9_toxicity(spark, sf_dir):
 @query()
 def op10_token_counts(spark, sf_dir):
     return tokens.token_counts(read(spark, sf_dir, "documents"))
+
+
+OP11 = """
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), piece AS (
+  SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS body FROM d
+), w AS (
+  SELECT lang, list_filter(string_split_regex(body, '[\\x20\\x09]+'), lambda x: x <> '') AS words FROM piece
+), places AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w
+), f AS (
+  SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM places, range(1, 6) AS r(k) WHERE i + k - 1 <= len(words) GROUP BY 1, 2, 3
+), total AS (
+  SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY 1
+), c AS (
+  SELECT lang, k, phrase, string_split(phrase, ' ') AS words, f AS a FROM f WHERE k > 1 AND f >= 100
+), part AS (
+  SELECT lang, array_to_string(words[s : s + m - 1], ' ') AS phrase, max(a) AS most FROM c, range(1, 5) AS x(s), range(2, 5) AS y(m)
+  WHERE m < k AND s + m - 1 <= k GROUP BY 1, 2
+), cut AS (
+  SELECT c.lang, c.phrase, c.words, c.a, j, array_to_string(c.words[: j], ' ') AS first, array_to_string(c.words[j + 1 :], ' ') AS rest
+  FROM c LEFT JOIN part USING (lang, phrase), range(1, 5) AS t(j) WHERE j < k AND (most IS NULL OR 100 * most < 100 * a)
+), scored AS (
+  SELECT cut.lang, cut.phrase, cut.a, j, x.f AS l, y.f AS r, n, (1000::HUGEINT * cut.a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM cut JOIN f AS x ON x.lang = cut.lang AND x.phrase = cut.first JOIN f AS y ON y.lang = cut.lang AND y.phrase = cut.rest JOIN total ON total.lang = cut.lang
+), least AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+
+@query(OP11)
+def op11_phrase_collocations(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_language_id(spark, sf_dir):
+    return languages.predicted(read(spark, sf_dir, "documents"), languages.in_fold(4, 2))
+
+
+@query()
+def op13_tokenizer_alignment(spark, sf_dir):
+    return alignment.aligned(read(spark, sf_dir, "documents"))
