@@ -64,8 +64,8 @@ class Letters:
         a, b, c = gram >> 42, (gram >> 21) & 0x1FFFFF, gram & 0x1FFFFF
         return np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
 
-    def rows(self, grams: np.ndarray) -> np.ndarray:
-        """Where ``self.vectors`` holds these trigrams' vectors."""
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """These trigrams' vectors, one in each row."""
         if len(self.grams) + len(grams) > KEPT_GRAMS:
             self.grams.clear()
             self.filled = 0
@@ -79,7 +79,7 @@ class Letters:
                     self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
                 self.vectors[at] = self.vector(g)
             out[i] = at
-        return out
+        return self.vectors[out]
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct trigrams of letters (words with an edge on either side) and their numbers."""
@@ -106,7 +106,7 @@ class Letters:
         """The sum of the trigrams' vectors, a block at a time; whole numbers, exact in double."""
         out, step = np.zeros(self.dimensions), KEPT_GRAMS // 2
         for at in range(0, len(keys), step):
-            out += n[at : at + step].astype(np.float64) @ self.vectors[self.rows(keys[at : at + step])].astype(np.float64)
+            out += n[at : at + step].astype(np.float64) @ self.of(keys[at : at + step]).astype(np.float64)
         return out
 
 
@@ -173,7 +173,7 @@ def predicted(docs: DataFrame, held_out: Column, dimensions: int = DIMENSIONS, b
                     keys, n = letters.counts(text)
                     pred, score = NO_LANGUAGE, 0.0
                     if len(keys) and langs:
-                        vector = letters.bundled(keys, n) if len(keys) > KEPT_GRAMS // 2 else n.astype(np.float32) @ letters.vectors[letters.rows(keys)]
+                        vector = letters.bundled(keys, n) if len(keys) > KEPT_GRAMS // 2 else n.astype(np.float32) @ letters.of(keys)
                         near = unit @ (vector / max(np.linalg.norm(vector), 1e-9))
                         pred, score = langs[int(near.argmax())], float(np.clip(near.max(), 0, 1))
                     preds.append(pred)
