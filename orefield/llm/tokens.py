@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Callable
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,19 +40,25 @@ def load(vocabulary: str):
 
 
 class Remembered:
-    """``of(part)`` for many parts at once, computed by the library for parts not seen before."""
+    """What ``of`` makes of the library's encoding of a part, kept for parts that come again."""
 
     def __init__(self, vocabulary: str, prefix: str, of: Callable):
         self.tokenizer, self.prefix, self.of, self.kept = load(vocabulary), prefix, of, {}
 
-    def lookup(self, lists: list[list[str]]) -> Callable:
-        new = list(set().union(*lists).difference(self.kept))
-        found = self.tokenizer.encode_batch_fast([self.prefix + x for x in new], add_special_tokens=False)
-        fresh = {x: self.of(e) for x, e in zip(new, found, strict=True)}
-        if len(self.kept) < CACHE_PARTS:
-            self.kept.update((x, v) for x, v in fresh.items() if len(x) <= CACHE_CHARS)
-        kept = self.kept
-        return lambda part: kept[part] if part in kept else fresh[part]
+    def of_all(self, lists: list[list[str]]) -> list[list]:
+        """The value of each part of each list; parts not seen before go to the library in one call."""
+        known = self.kept.get
+        found = [list(map(known, x)) for x in lists]
+        short = [i for i, x in enumerate(found) if None in x]
+        if short:
+            new = list(set().union(*(lists[i] for i in short)).difference(self.kept))
+            encoded = self.tokenizer.encode_batch_fast([self.prefix + x for x in new], add_special_tokens=False)
+            fresh = {x: self.of(e) for x, e in zip(new, encoded, strict=True)}
+            for i in short:
+                found[i] = [fresh[x] if v is None else v for x, v in zip(lists[i], found[i], strict=True)]
+            if len(self.kept) < CACHE_PARTS:
+                self.kept.update((x, v) for x, v in fresh.items() if len(x) <= CACHE_CHARS)
+        return found
 
 
 @cache
@@ -59,7 +66,15 @@ def remembered(vocabulary: str, kind: str) -> Remembered:
     """One memory for each worker process; Spark reuses workers for many tasks."""
     if kind == "counts":
         return Remembered(vocabulary, " ", len)
-    return Remembered(vocabulary, "", lambda e: np.array(e.ids, "<u4").tobytes())
+    return Remembered(vocabulary, "", little_endian)
+
+
+def little_endian(encoding) -> bytes:
+    """Ids as unsigned 32-bit numbers, little-endian."""
+    own = array("I", encoding.ids)
+    if sys.byteorder != "little":
+        own.byteswap()
+    return own.tobytes()
 
 
 def counts(texts: list[str], vocabulary: str) -> list[int]:
@@ -67,17 +82,15 @@ def counts(texts: list[str], vocabulary: str) -> list[int]:
     memory = remembered(vocabulary, "counts")
     parts = [SAFE.split(x) for x in texts]
     heads = memory.tokenizer.encode_batch_fast([x[0] for x in parts], add_special_tokens=False)
-    rest = [x[1:] for x in parts]
-    size = memory.lookup(rest)
-    return [len(h) + sum(map(size, r)) for h, r in zip(heads, rest, strict=True)]
+    rest = memory.of_all([x[1:] for x in parts])
+    return [len(h) + sum(r) for h, r in zip(heads, rest, strict=True)]
 
 
 def ids(texts: list[str], vocabulary: str) -> list[bytes]:
     """Ids (little-endian unsigned 32 bit) of each text by the word vocabulary, which drops white space."""
     memory = remembered(vocabulary, "ids")
     parts = [x.replace("\n", " ").split(" ") for x in texts]
-    own = memory.lookup(parts)
-    return [b"".join(map(own, x)) for x in parts]
+    return list(map(b"".join, memory.of_all(parts)))
 
 
 def with_counts(docs: DataFrame, vocabulary: str, batch_bytes: int = 4 << 20) -> DataFrame:

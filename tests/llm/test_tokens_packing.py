@@ -92,17 +92,73 @@ def test_crossover_keeps_every_item_once():
 
 def test_islands_are_no_worse_than_their_guest():
     lengths = sorted([51, 49] * 20 + [26, 27, 23, 24] * 20, reverse=True)
-    alone, n, _ = packing.evolve(lengths, 100, [], 1)
-    again, m, _ = packing.evolve(lengths, 100, [alone], 2)
-    assert m <= n and -(-sum(lengths) // 100) <= m
+    alone, n, _, crossed = packing.evolve(lengths, 100, [], 1)
+    again, m, _, _ = packing.evolve(lengths, 100, [alone], 2)
+    assert crossed > 0 and m <= n and -(-sum(lengths) // 100) <= m
+
+
+def fewest(lengths, capacity):
+    """The least number of bins, by trying every place for each item."""
+    best = len(lengths)
+
+    def place(i, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if i == len(lengths):
+            best = len(fills)
+            return
+        for f in set(fills):
+            if f + lengths[i] <= capacity:
+                rest = list(fills)
+                rest.remove(f)
+                place(i + 1, [*rest, f + lengths[i]])
+        place(i + 1, [*fills, lengths[i]])
+
+    place(0, [])
+    return best
+
+
+def test_small_blocks_reach_the_optimum():
+    import random
+
+    rng = random.Random(11)
+    for case in range(60):
+        lengths = sorted((rng.choice([rng.randrange(1, 100), rng.randrange(30, 60)]) for _ in range(8)), reverse=True)
+        own, n, _, _ = packing.evolve(lengths, 100, [], case)
+        fills = {}
+        for i, b in enumerate(own):
+            fills[b] = fills.get(b, 0) + lengths[i]
+        assert max(fills.values()) <= 100 and len(fills) == n == fewest(lengths, 100), lengths
+
 
+def many(table, spark, parts):
+    rows = table([" ".join(["word"] * (1 + 7 * i % 50)) for i in range(300)])
+    return rows.repartition(parts, "text")
 
-def test_blocks_and_levels(table, monkeypatch):
+
+def test_blocks_and_levels(table, spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 40)
-    docs = table([" ".join(["word"] * (1 + 7 * i % 50)) for i in range(300)])
-    rows = packing.packed_documents(docs, capacity=64).collect()
-    assert len(rows) == len({(r.doc_id, r.piece) for r in rows}) == 300
-    fill = {}
-    for r in rows:
-        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
-    assert max(fill.values()) <= 64 and len(fill) <= math.ceil(sum(fill.values()) / 64) + 2
+    found = []
+    for parts in (3, 30):
+        rows = packing.packed_documents(many(table, spark, parts), capacity=64).collect()
+        assert len(rows) == len({(r.doc_id, r.piece) for r in rows}) == 300
+        fill = {}
+        for r in rows:
+            fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+        assert max(fill.values()) <= 64 and len(fill) <= math.ceil(sum(fill.values()) / 64) + 2
+        found.append(sorted(map(tuple, rows)))
+    assert found[0] == found[1]
+
+
+def test_islands_cross(table, spark):
+    from pyspark.sql import functions as F
+
+    items = packing.pieces(many(table, spark, 3), "word_bpe_49k.json", 64).withColumn("block", F.lit(0).cast("long"))
+    rows = packing.evolved_blocks(items, 64).collect()
+    assert len(rows) == packing.ISLANDS and all(r.crossed > 0 for r in rows)
+
+
+def test_copies_of_one_row_are_dealt_out(spark, table):
+    rows = packing.pieces(table([(7, "the same text")] * 400), "word_bpe_49k.json", 64)
+    assert rows.select("slot").distinct().count() >= 100
