@@ -154,7 +154,7 @@ def route(alerts: DataFrame, routes=None, tags: str | None = None) -> DataFrame:
 def alert_slices(alerts: DataFrame, keys: list[str], minutes: int = DEDUP_MINUTES) -> DataFrame:
     """(keys, slice, first, last): what deduplication needs of each key and slice of ``minutes``.
 
-    Slices of parts of the alerts may be put together by ``merge_slices`` in any order.
+    Slices of parts of the alerts may be put together by ``merged_bursts`` in any order.
     """
     micros = F.unix_micros(F.col("created_at").cast("timestamp"))
     return alerts.groupBy(*keys, F.floor(micros / F.lit(minutes * 60_000_000)).alias("slice")).agg(
@@ -162,8 +162,17 @@ def alert_slices(alerts: DataFrame, keys: list[str], minutes: int = DEDUP_MINUTE
     )
 
 
-def merge_slices(slices: DataFrame, keys: list[str]) -> DataFrame:
-    return slices.groupBy(*keys, "slice").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+def merged_bursts(parts: DataFrame, keys: list[str], minutes: int = DEDUP_MINUTES) -> DataFrame:
+    """(keys, first, last): bursts put together where an alert follows within ``minutes``.
+
+    ``parts`` are slices or bursts of parts of the alerts; merging them in any order gives the same.
+    """
+    order = Window.partitionBy(*keys).orderBy("first.created_at", "first.id")
+    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    gap = F.timestamp_diff("MICROSECOND", F.col("_before"), F.col("first.created_at"))
+    starts = F.when(F.col("_before").isNull() | (gap > minutes * 60_000_000), 1).otherwise(0)
+    numbered = parts.select(*keys, "first", "last").withColumn("_before", before).withColumn("_burst", F.sum(starts).over(order))
+    return numbered.groupBy(*keys, "_burst").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_burst")
 
 
 def burst_starts(slices: DataFrame, keys: list[str], minutes: int = DEDUP_MINUTES) -> DataFrame:

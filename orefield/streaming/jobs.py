@@ -7,16 +7,19 @@ the last one stopped.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from orefield.functions.numeric import ratio
 from orefield.operators import alerts
-from orefield.operators.alerts import DEDUP_MINUTES
+from orefield.operators.alerts import DEDUP_MINUTES, WINDOW_MINUTES
 from orefield.operators.quality.rules import Rule
 from orefield.operators.quality.validation import mark_rows
+from orefield.plans import mergeable
 from orefield.plans.incremental import write_date_partitions
+from orefield.streaming.runs import Closing, RunStore
 
 FILES_PER_TRIGGER = 1000
 
@@ -57,94 +60,91 @@ def run_batches(stream: DataFrame, each, checkpoint: str, mode: str = "append")
     )
 
 
-def partial_batches(reduce, target: str):
-    """Batch writer that stores ``reduce(batch)`` in a folder of the batch, so a replay overwrites its own.
-
-    The partial results of all batches are put together when they are read: no row is ever too late,
-    and how the input was cut into batches does not matter.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        reduce(batch).withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch_id").parquet(target)
-
-    return write
+def revenue_parts(batch: DataFrame) -> DataFrame:
+    """Per day: count, sum and customers of some rows, and the time of the latest."""
+    sums = {"n": F.count("*"), "amount": F.sum("amount").cast("decimal(28,2)")}
+    return mergeable.day_parts(batch, F.to_date("transaction_timestamp"), sums, ["customer_id"])
 
 
-def compacted(spark: SparkSession, partials: str, merge, target: str) -> str:
-    """The partial results so far as one dataset at ``target``; for a stream whose batches are many."""
-    merge(spark.read.parquet(partials).drop("batch_id")).write.mode("overwrite").parquet(target)
-    return target
+def revenue_closing(delay: timedelta) -> Closing:
+    """A day is final once the watermark has left it. The latest event of a row is taken as its day's begin."""
+    day_end = F.date_add("day", 1).cast("timestamp_ntz")
+    return Closing(F.col("day").cast("timestamp_ntz"), delay, lambda mark: day_end <= mark, lambda mark: day_end <= mark)
 
 
-def revenue_parts(batch: DataFrame) -> DataFrame:
-    day = F.to_date("transaction_timestamp").alias("transaction_date")
-    return batch.groupBy(day, "customer_id").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+def revenue_store(spark: SparkSession, root: str, delay: timedelta = timedelta(days=2), **how) -> RunStore:
+    return RunStore(spark, root, mergeable.merged_days, closing=revenue_closing(delay), **how)
 
 
 def daily_revenue(parts: DataFrame) -> DataFrame:
-    """Revenue per day from ``revenue_parts`` of any batches."""
-    by_customer = parts.groupBy("transaction_date", "customer_id").agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"))
-    return by_customer.groupBy("transaction_date").agg(
+    """Revenue per day from ``revenue_parts`` of any batches; without a day there is no watermark to wait for."""
+    return mergeable.merged_days(parts).groupBy(F.col("day").alias("transaction_date")).agg(
         F.sum("n").alias("total_transactions"),
         F.sum("amount").cast("decimal(28,2)").alias("total_amount"),
-        F.count("customer_id").alias("unique_customers"),
+        mergeable.distinct_of("customer_id").alias("unique_customers"),
     )
 
 
+def keep_in(store_of, reduce):
+    """Batch writer that keeps ``reduce(batch)`` in the run store that ``store_of(spark)`` opens."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store = store_of(batch.sparkSession)
+        store.add(batch_id, reduce(batch))
+        store.expire()
+
+    return write
+
+
 def dedup_parts(keys: list[str], minutes: int = DEDUP_MINUTES):
-    """Reducer to what the ``minutes`` rule needs, see ``alerts.alert_slices``."""
-    return lambda batch: alerts.alert_slices(alerts.may_go_out(batch), keys, minutes)
+    """Reducer to what the ``minutes`` rule needs: the bursts within each slice, as (keys, first, last)."""
+    return lambda batch: alerts.alert_slices(alerts.may_go_out(batch), keys, minutes).drop("slice")
 
 
-def deduplicated_alerts(parts: DataFrame, keys: list[str], minutes: int = DEDUP_MINUTES) -> DataFrame:
-    """The alerts that go out by the batch rule, from ``dedup_parts`` of any batches."""
-    return alerts.burst_starts(alerts.merge_slices(parts, keys), keys, minutes)
+def burst_closing(minutes: int = DEDUP_MINUTES, delay: timedelta = timedelta(hours=1)) -> Closing:
+    """A burst is final once no timely alert can be near enough to lengthen it: state is what is active."""
+    gap = F.make_dt_interval(mins=F.lit(minutes))
+    return Closing(F.col("last"), delay, lambda mark: F.col("first.created_at") < mark, lambda mark: F.col("last") + gap < mark)
 
 
-MART_KEYS = ["day", "customer_id", "product_id"]
+def burst_store(spark: SparkSession, root: str, keys: list[str], minutes: int = DEDUP_MINUTES, delay: timedelta = timedelta(hours=1), **how) -> RunStore:
+    merge = lambda parts: alerts.merged_bursts(parts, keys, minutes)
+    return RunStore(spark, root, merge, closing=burst_closing(minutes, delay), **how)
 
 
-def mart_parts(rows: DataFrame) -> DataFrame:
-    """Per day, customer and product: what the daily summary needs, summable over batches."""
-    revenue = (F.col("amount") * F.col("quantity")).cast("decimal(18,2)")
-    return rows.groupBy(F.to_date("transaction_timestamp").alias("day"), "customer_id", "product_id").agg(
-        F.count("*").alias("n"), F.count("amount").alias("priced"), F.sum("amount").alias("amount"), F.sum(revenue).alias("revenue")
-    )
+def deduplicated_alerts(bursts: DataFrame, keys: list[str]) -> DataFrame:
+    """The alerts that go out by the batch rule: the first of each merged burst."""
+    return bursts.select(*keys, F.col("first.id").alias("id"), F.col("first.created_at").alias("created_at"))
 
 
-def mart_of_parts(parts: DataFrame) -> DataFrame:
-    """The daily summary; customers and products are counted over rows reduced to one per value."""
-    sums = [F.sum(c).alias(c) for c in ("n", "priced", "amount", "revenue")]
-    by_pair = parts.groupBy("day", "customer_id", "product_id").agg(*sums)
-    return by_pair.groupBy(F.col("day").alias("date")).agg(
-        F.sum("n").alias("total_transactions"),
-        F.sum("revenue").cast("decimal(28,2)").alias("total_revenue"),
-        F.sum("amount").cast("decimal(28,2)").alias("total_amount"),
-        ratio(F.sum("amount"), F.sum("priced")).alias("avg_transaction_value"),
-        F.countDistinct("customer_id").alias("unique_customers"),
-        F.countDistinct("product_id").alias("unique_products"),
-    )
+def window_store(spark: SparkSession, root: str, minutes: int = WINDOW_MINUTES, delay: timedelta = timedelta(hours=1), **how) -> RunStore:
+    """Alert counts per window; a window is final once the watermark has passed its end."""
+    start = F.col("window_start").cast("timestamp_ntz")
+    passed = lambda mark: start + F.make_dt_interval(mins=F.lit(minutes)) <= mark
+    merge = lambda parts: parts.groupBy("window_start", "severity", "alert_type").agg(F.sum("n").alias("n"))
+    return RunStore(spark, root, merge, closing=Closing(start, delay, passed, passed), **how)
+
+
+def mart_store(spark: SparkSession, root: str, **how) -> RunStore:
+    return RunStore(spark, root, mergeable.merged_days, **how)
 
 
-def upsert_daily_mart(staged_path: str, target: str):
-    """Batch writer that keeps each batch's partial sums and rewrites the mart's touched days.
+def upsert_daily_mart(root: str, target: str, **how):
+    """Batch writer that keeps each batch's partial rows and rewrites the mart's touched days.
 
-    A day is rebuilt from the partial sums of its batches, never from its rows, so distinct counts
-    stay exact and a replayed batch leaves the same mart.
+    A day is rebuilt from merged partial rows (sums and bitmaps), never from its transactions: distinct
+    counts stay exact, a batch meets a bounded number of earlier runs, a replayed batch leaves the same mart.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        parts = mart_parts(batch).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        # Gather each day into few files; AQE splits a day too big for one task.
-        parts.hint("rebalance", "day").write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("day", "batch_id").parquet(staged_path)
-        staged = spark.read.parquet(staged_path)
-        touched = staged.where(F.col("batch_id") == batch_id).select("day").distinct()
-        write_date_partitions(mart_of_parts(staged.join(touched, "day", "left_semi")), target)
+        store = mart_store(batch.sparkSession, root, **how)
+        parts = mergeable.summary_parts(batch)
+        manifest = store.add(batch_id, parts)
+        # Days of the batch are found among its few partial rows.
+        own = store.own(batch_id)
+        touched = (parts if own is None else own).select("day").distinct()
+        write_date_partitions(mergeable.daily_summary(store.read(manifest=manifest).join(touched, "day", "left_semi")), target)
+        store.expire()
 
     return write
 

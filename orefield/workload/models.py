@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from orefield.functions import convert_timestamp, surrogate_key
 from orefield.operators import bi
-from orefield.plans import customers, incremental, sales, transactions, users
+from orefield.plans import customers, incremental, mergeable, sales, transactions, users
 from orefield.session import new_workspace
+from orefield.streaming.runs import RunStore
 from orefield.workload.oracle_tables import mean, rounded_mean
 from orefield.workload.registry import query
 from orefield.workload.tables import EVENTS_NOW
@@ -64,6 +65,18 @@ def _(lake):
     return lake.spark.read.parquet(path).select(*lake.daily_summary.columns)
 
 
+@query("daily_summary_late_merge", ALL + "x_summary")
+def _(lake):
+    """All days but for rows that come late, then those alone, merged into the days' sums and bitmaps."""
+    spark, root = lake.spark, new_workspace(lake.spark, "daily-merge")
+    staged = transactions.stage_transactions(lake.raw_transactions, EVENTS_NOW)
+    store = RunStore(spark, root, mergeable.merged_days)
+    late = F.coalesce(F.col("transaction_id") % 7 == 0, F.lit(False))
+    for number, rows in enumerate((staged.where(~late), staged.where(late))):
+        store.add(number, mergeable.summary_parts(rows))
+    return mergeable.daily_summary(store.read()).select(*lake.daily_summary.columns)
+
+
 @query(
     "convert_timestamp",
     f"""SELECT event_id, TIMESTAMP '1970-01-01' + to_seconds(CAST(floor(epoch_us(ts) / 1000000) AS BIGINT))

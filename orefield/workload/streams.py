@@ -58,11 +58,11 @@ def _(lake):
 
 @query("stream_daily_revenue", "SELECT transaction_date, total_transactions, total_amount, unique_customers FROM x_daily")
 def _(lake):
-    """Partial sums of each batch, put together on reading: all days, late rows too."""
-    root = new_workspace(lake.spark, "stream-revenue")
-    write = jobs.partial_batches(jobs.revenue_parts, f"{root}/parts")
+    """Open days by batches; days behind the watermark are closed, and late rows correct them."""
+    root, spark = new_workspace(lake.spark, "stream-revenue"), lake.spark
+    write = jobs.keep_in(lambda s: jobs.revenue_store(s, f"{root}/runs"), jobs.revenue_parts)
     jobs.run_batches(_staged(lake, root), write, f"{root}/checkpoint")
-    return jobs.daily_revenue(lake.spark.read.parquet(f"{root}/parts"))
+    return jobs.daily_revenue(jobs.revenue_store(spark, f"{root}/runs").read())
 
 
 @query(
@@ -75,20 +75,17 @@ def _(lake):
 def _(lake):
     """The 15-minute rule over all batches: the same alerts go out as from one batch of everything."""
     root, keys = new_workspace(lake.spark, "stream-dedup"), ["dag_id", "alert_type"]
-    write = jobs.partial_batches(jobs.dedup_parts(keys), f"{root}/parts")
+    write = jobs.keep_in(lambda s: jobs.burst_store(s, f"{root}/runs", keys), jobs.dedup_parts(keys))
     jobs.run_batches(_alerts(lake, root), write, f"{root}/checkpoint")
-    return jobs.deduplicated_alerts(lake.spark.read.parquet(f"{root}/parts"), keys)
+    return jobs.deduplicated_alerts(jobs.burst_store(lake.spark, f"{root}/runs", keys).read(), keys)
 
 
 @query("stream_alert_summary", WINDOW_SQL)
 def _(lake):
     root = new_workspace(lake.spark, "stream-windows")
-    write = jobs.partial_batches(alerts.window_counts, f"{root}/parts")
+    write = jobs.keep_in(lambda s: jobs.window_store(s, f"{root}/runs"), alerts.window_counts)
     jobs.run_batches(_alerts(lake, root), write, f"{root}/checkpoint")
-    parts = jobs.compacted(
-        lake.spark, f"{root}/parts", lambda p: p.groupBy("window_start", "severity", "alert_type").agg(F.sum("n").alias("n")), f"{root}/compact"
-    )
-    return alerts.summed_windows(lake.spark.read.parquet(parts), limit=2)
+    return alerts.summed_windows(jobs.window_store(lake.spark, f"{root}/runs").read(), limit=2)
 
 
 @query("stream_mart_upsert", "SELECT * FROM x_summary")

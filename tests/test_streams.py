@@ -1,11 +1,14 @@
+from decimal import Decimal
+
 import pytest
-from rows import rows_of
 from pyspark.sql import functions as F
+from rows import rows_of
 
 from orefield.operators import alerts
 from orefield.operators.quality.rules import rule
-from orefield.plans import transactions
+from orefield.plans import mergeable, transactions
 from orefield.streaming import jobs
+from orefield.streaming.runs import RunStore
 from orefield.workload.tables import EVENTS_NOW
 
 
@@ -77,28 +80,111 @@ def batches(request, spark, lake, folder):
 
 
 def test_revenue_holds_for_any_split(spark, lake, folder, batches):
+    """Files come newest day first, so most rows are late: closed days are corrected, state stays small."""
     rows = transactions.stage_transactions(lake.transactions_of(batches), EVENTS_NOW)
-    jobs.run_batches(rows, jobs.partial_batches(jobs.revenue_parts, f"{folder}/parts"), f"{folder}/check")
-    got = jobs.daily_revenue(spark.read.parquet(f"{folder}/parts"))
+    store = jobs.revenue_store(spark, f"{folder}/runs", fan=2)
+    jobs.run_batches(rows, jobs.keep_in(lambda s: jobs.revenue_store(s, f"{folder}/runs", fan=2), jobs.revenue_parts), f"{folder}/check")
+    got = jobs.daily_revenue(store.read())
     assert rows_of(got) == rows_of(lake.daily.select(*got.columns))
+    found = store.manifest()
+    assert sum(r["kind"] == "open" for r in found["runs"]) <= 2
+    if found["batch"] > 10:
+        last = lake.daily.agg(F.max("transaction_date")).first()[0]
+        days = {r["day"] for r in store.read("open").select("day").collect()}
+        assert found["late_rows"] > 0 and all((last - d).days <= 3 for d in days)
+
+
+def test_days_close_in_order(spark, folder):
+    """Days that come in order: open runs hold the last days only, closed ones each day once, late rows correct them."""
+    store = jobs.revenue_store(spark, folder, fan=2)
+    rows = lambda day, who: spark.createDataFrame([(f"2024-01-{day:02d} 10:00:00", who, 5)], "t string, customer_id long, amount int").select(
+        F.col("t").cast("timestamp_ntz").alias("transaction_timestamp"), "customer_id", F.col("amount").cast("decimal(18,2)").alias("amount"))
+    for i in range(24):
+        store.add(i, jobs.revenue_parts(rows(1 + i // 2, i % 2)))
+    open_days = {r["day"].day for r in store.read("open").collect()}
+    assert min(open_days) >= 9 and store.manifest()["late_rows"] == 0
+    closed = store.read("closed").where("what = 'sums'").select("day").collect()
+    assert len(closed) == len(set(closed)) and {r["day"].day for r in closed} >= set(range(1, 9))
+    store.add(24, jobs.revenue_parts(rows(1, 7).union(rows(1, 0))))
+    first = jobs.daily_revenue(store.read()).orderBy("transaction_date").first()
+    assert tuple(first)[1:] == (4, 20, 3) and store.manifest()["late_rows"] > 0
+    assert {r["day"].day for r in store.read("open").collect()} == open_days
+
+
+def test_many_batches_meet_few_runs(spark, folder):
+    """50 batches of the same days: runs are bounded, results exact, what is superseded goes."""
+    store = RunStore(spark, folder, mergeable.merged_days, fan=3)
+    one = lambda i: spark.createDataFrame([("2024-01-01 00:00:00", i % 7, i, 2.0, 3), ("2024-01-02 00:00:00", None, 40_000 * i, None, 3)],
+        "t string, customer_id long, product_id long, amount double, quantity int").select(
+        F.col("t").cast("timestamp_ntz").alias("transaction_timestamp"), "customer_id", "product_id", F.col("amount").cast("decimal(18,2)").alias("amount"), "quantity")
+    for i in range(50):
+        runs = store.add(i, mergeable.summary_parts(one(i)))["runs"]
+        assert len(runs) <= 2 * 4, i
+        store.expire()
+    got = rows_of(mergeable.daily_summary(store.read()).drop("date"))
+    assert set(got) == {(50, None, None, None, 0, 50), (50, Decimal("300.00"), Decimal("100.00"), 2.0, 7, 50)}
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/runs").count()
+    assert held < 60
+    # delivered again, or half done before: nothing changes
+    store.add(49, mergeable.summary_parts(one(49)))
+    assert rows_of(mergeable.daily_summary(store.read()).drop("date")) == got
+
+
+def test_a_failed_batch_starts_from_the_manifest_before(spark, folder, monkeypatch):
+    store = RunStore(spark, folder, mergeable.merged_days, fan=2)
+    rows = spark.createDataFrame([("2024-01-01 00:00:00", 1, 1, 2.0, 3)], "t string, customer_id long, product_id long, amount double, quantity int")
+    parts = mergeable.summary_parts(rows.withColumn("transaction_timestamp", F.col("t").cast("timestamp_ntz")).withColumn("amount", F.col("amount").cast("decimal(18,2)")))
+    store.add(0, parts)
+    publish = store._publish
+    monkeypatch.setattr(store, "_publish", lambda manifest: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        store.add(1, parts)
+    monkeypatch.setattr(store, "_publish", publish)
+    assert mergeable.daily_summary(store.read()).first()["total_transactions"] == 1
+    store.add(1, parts)
+    assert mergeable.daily_summary(store.read()).first()["total_transactions"] == 2
+
+
+def test_bitmaps_count_negative_and_far_ids(spark):
+    ids = [0, -1, 1, 32768, 32769, -32768, 10**12, None, 1]
+    rows = spark.createDataFrame([(f"2024-01-01 00:00:0{i}", x) for i, x in enumerate(ids)], "t string, c long").withColumn("day", F.lit("2024-01-01").cast("date"))
+    half = [mergeable.day_parts(rows.where(F.substring("t", 19, 1).cast("int") % 2 == k), F.col("day"), {"n": F.count("*")}, ["c"]) for k in (0, 1)]
+    merged = mergeable.merged_days(half[0].unionByName(half[1]))
+    assert merged.groupBy("day").agg(mergeable.distinct_of("c").alias("n")).first()["n"] == 7
 
 
 def test_alerts_hold_for_any_split(spark, lake, folder, batches):
     keys = ["dag_id", "title"]
     found, whole = lake.alerts_of(batches), lake.alerts_of(lake.events)
-    jobs.run_batches(found, jobs.partial_batches(jobs.dedup_parts(keys), f"{folder}/slices"), f"{folder}/check")
-    got = jobs.deduplicated_alerts(spark.read.parquet(f"{folder}/slices"), keys)
+    store = lambda s: jobs.burst_store(s, f"{folder}/runs", keys, fan=2)
+    jobs.run_batches(found, jobs.keep_in(store, jobs.dedup_parts(keys)), f"{folder}/check")
+    got = jobs.deduplicated_alerts(store(spark).read(), keys)
     want = alerts.deduplicate(whole, keys)
     assert rows_of(got, "id") == rows_of(want, "id") and got.count() > whole.select(*keys).distinct().count()
-
-
-def test_a_replayed_batch_changes_nothing(spark, lake, folder):
-    write = jobs.partial_batches(alerts.window_counts, f"{folder}/parts")
-    rows = lake.alerts
+    if store(spark).manifest()["batch"] > 10:
+        # What is open lies within the delay and the gap of the last alert, and is one burst for each key in each run.
+        last = whole.agg(F.max("created_at")).first()[0]
+        rows = store(spark).read("open").collect()
+        assert all((last - r["last"]).total_seconds() <= 3600 + 900 + 86400 for r in rows)
+
+
+def test_late_alert_joins_two_bursts(spark, folder):
+    keys = ["k"]
+    rows = lambda *at: spark.createDataFrame([("a", f"2024-01-{d:02d} {t}", i) for i, (d, t) in enumerate(at)], "k string, t string, id int").select(
+        "k", F.col("t").cast("timestamp_ntz").alias("created_at"), "id")
+    store = jobs.burst_store(spark, folder, keys, fan=2)
+    reduce = lambda r: alerts.alert_slices(r, keys).drop("slice")
+    store.add(0, reduce(rows((1, "10:00:00"), (1, "10:20:00"))))
+    store.add(1, reduce(rows((2, "10:00:00"))))
+    store.add(2, reduce(rows((3, "10:00:00"))))
+    assert store.read().count() == 4 and store.read("open").count() <= 2
+    store.add(3, reduce(rows((1, "10:10:00"))))
+    starts = rows_of(jobs.deduplicated_alerts(store.read(), keys), "created_at")
+    assert [str(x[0]) for x in sorted(starts)] == ["2024-01-01 10:00:00", "2024-01-02 10:00:00", "2024-01-03 10:00:00"]
+
+
+def test_windows_hold_for_replays(spark, lake, folder):
+    store, rows = jobs.window_store(spark, folder, fan=2), lake.alerts
     for number, part in ((0, "id % 2 = 0"), (1, "id % 2 = 1"), (1, "id % 2 = 1")):
-        write(rows.where(part), number)
-    parts = spark.read.parquet(f"{folder}/parts")
-    assert rows_of(alerts.summed_windows(parts, 2)) == rows_of(alerts.window_summary(rows, limit=2))
-    merge = lambda p: p.groupBy("window_start", "severity", "alert_type").agg(F.sum("n").alias("n"))
-    small = spark.read.parquet(jobs.compacted(spark, f"{folder}/parts", merge, f"{folder}/small"))
-    assert rows_of(alerts.summed_windows(small, 2)) == rows_of(alerts.summed_windows(parts, 2))
+        store.add(number, alerts.window_counts(rows.where(part)))
+    assert rows_of(alerts.summed_windows(store.read(), 2)) == rows_of(alerts.window_summary(rows, limit=2))
