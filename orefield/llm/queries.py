@@ -52,14 +52,12 @@ WITH d AS (
 ), covered AS (
   SELECT doc_id, count(DISTINCT i + j) AS n_repeat FROM again, range(5) AS r(j) GROUP BY 1
 ), keyed AS (
-  SELECT doc_id, host, lines,
+  SELECT doc_id, host, text, lines,
     list_transform(lines, lambda x: left(md5(lower(trim(regexp_replace(x, '[\\x20\\x09-\\x0D]+', ' ', 'g')))), 15)) AS keys FROM d
-), least AS (
-  SELECT *, list_sort(list_distinct(keys)) AS two FROM keyed
 ), line AS (
-  SELECT doc_id, host, two, unnest(lines) AS body, unnest(keys) AS k FROM least
+  SELECT doc_id, host, text, unnest(lines) AS body, unnest(keys) AS k FROM keyed
 ), seen AS (
-  SELECT host, k, count(DISTINCT CASE WHEN two[1] = k THEN coalesce(two[2], '-') ELSE two[1] END) AS held FROM line GROUP BY 1, 2
+  SELECT host, k, count(DISTINCT text) AS held FROM line GROUP BY 1, 2
 ), hosts AS (
   SELECT host, count(DISTINCT text) AS documents FROM d WHERE len(lines) > 0 GROUP BY 1
 ), common AS (
@@ -82,7 +80,7 @@ SELECT *, NOT base_failed AND n_words - n_removed >= 10 AND (n_words - n_removed
 
 @query(OP4)
 def op4_quality_rules(spark, sf_dir):
-    return quality.judged(read(spark, sf_dir, "documents")).drop("sig")
+    return quality.judged(read(spark, sf_dir, "documents"))
 
 
 OP5 = """
