@@ -53,8 +53,9 @@ def test_contract(spark):
 BROKEN = {
     "lineage_edges_upsert": ("orefield.operators.lineage", "upsert_edges", lambda old, new: new),
     "sla_tracking": ("orefield.operators.runs", "track_sla", lambda old, new: new),
-    "stream_alert_dedup": ("orefield.streaming.jobs", "deduplicated_alerts", lambda parts, keys: parts.select(*keys, "first.id", "first.created_at")),
-    "stream_daily_revenue": ("orefield.streaming.jobs", "daily_revenue", lambda parts: REVENUE(parts.where("batch_id = 0"))),
+    "stream_alert_dedup": ("orefield.operators.alerts", "merged_bursts", lambda parts, keys, minutes: parts.select(*keys, "first", "last")),
+    "stream_daily_revenue": ("orefield.streaming.jobs", "daily_revenue", lambda parts: REVENUE(parts.where("bucket = 0 AND dayofmonth(day) <> 5"))),
+    "daily_summary_late_merge": ("orefield.plans.mergeable", "merged_days", lambda parts: parts),
     "alert_metadata_map": ("orefield.operators.alerts", "shown_subject", lambda: F.col("subject").alias("subject_shown")),
     "dq_singular_tests": ("orefield.workload.quality", "convert_timestamp", lambda df, column: F.col("timestamp")),
     "retention_removed": ("orefield.operators.governance", "drop_expired", lambda *a: 0),
