@@ -17,6 +17,7 @@ Those counts come back to the tasks in blocks of A ids of bounded size, one bloc
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -57,23 +58,48 @@ class Pair:
         for entry, i in self.a.get_vocab(with_added_tokens=True).items():
             self.bytes_a[i] = bytes(alphabet[c] for c in entry) if all(c in alphabet for c in entry) else entry.encode()
         self.bytes_b = [self.piece(i) for i in range(self.size_b)]
-        self.length_a, self.length_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.length_a, self.length_b = (list(map(len, x)) for x in (self.bytes_a, self.bytes_b))
 
     def piece(self, i: int) -> bytes:
         entry = self.b.id_to_piece(i)
         return bytes([int(entry[3:5], 16)]) if self.b.is_byte(i) else entry.replace("▁", " ").encode()
 
     def encoded(self, runs: list[str]):
-        """(a ids, a ends, b ids, b ends) of a blank and each run, or None where its bytes are not all there."""
+        """(a ids, b ids) of a blank and each run, or None where its bytes are not all there."""
         found_a = self.a.encode_batch_fast([" " + x for x in runs], add_special_tokens=False)
         found_b = self.b.encode(runs, num_threads=1)
+        of_a, of_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
         for run, e, b in zip(runs, found_a, found_b, strict=True):
             a, whole = e.ids, b" " + run.encode()
-            if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
-                yield None
-                continue
-            a, b = np.array(a, np.int64), np.array(b, np.int64)
-            yield a, np.cumsum(self.length_a[a]), b, np.cumsum(self.length_b[b])
+            yield (a, b) if b"".join(map(of_a, a)) == whole == b"".join(map(of_b, b)) else None
+
+    def parted(self, tokens, low: int, high: int):
+        """Of the tokens that end in (low, high]: lists of a ids and of b ids up to each common end, and what is left behind."""
+        length_a, length_b = self.length_a, self.length_b
+        ids_a, ids_b = tokens
+        end_a = end_b = i = j = 0
+        groups, a, b = [], [], []
+        while True:
+            if end_a <= end_b:
+                if i == len(ids_a):
+                    break
+                x = ids_a[i]
+                i, end_a = i + 1, end_a + length_a[x]
+                if low < end_a <= high:
+                    a.append(x)
+            else:
+                if j == len(ids_b):
+                    break
+                x = ids_b[j]
+                j, end_b = j + 1, end_b + length_b[x]
+                if low < end_b <= high:
+                    b.append(x)
+            if end_a == end_b and low < end_a <= high:
+                groups.append((a, b))
+                a, b = [], []
+            elif min(end_a, end_b) > high:
+                break
+        return groups, (a, b)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -107,48 +133,55 @@ class Fragment:
 
 
 def summed(codes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    own, back = np.unique(codes, return_inverse=True)
-    out = np.zeros(len(own), np.int64)
-    np.add.at(out, back, times)
-    return own, out
-
-
-def links(a: list[int], b: list[int], size_b: int) -> tuple[np.ndarray, np.ndarray]:
-    """The id pairs of one group, each a with each b, and their numbers."""
-    (a, n), (b, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
-    return (a[:, None] * size_b + b[None, :]).ravel().astype(np.int64), (n[:, None] * m[None, :]).ravel().astype(np.int64)
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.add.reduceat(times[order], first) if len(codes) else times
+
+
+def linked_ids(groups: list, size_b: int) -> dict[int, int]:
+    """The id pairs of groups, in each every a with every b, and how often each comes."""
+    out: dict[int, int] = {}
+    for a, b in groups:
+        if len(a) * len(b) > 64:
+            a, b = Counter(a), Counter(b)
+            for x, n in a.items():
+                for y, m in b.items():
+                    out[x * size_b + y] = out.get(x * size_b + y, 0) + n * m
+        else:
+            for x in a:
+                for y in b:
+                    out[x * size_b + y] = out.get(x * size_b + y, 0) + 1
+    return out
 
 
-def written(a: list[int], b: list[int]) -> str:
-    return ",".join(map(str, a)) + "|" + ",".join(map(str, b))
+def written(groups: list) -> str:
+    return ";".join([",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups])
 
 
-def fragment(tokens, low: int, high: int, begun: bool, size_b: int) -> Fragment:
+def fragment(tokens, low: int, high: int, begun: bool, pair: Pair) -> Fragment:
     """The tokens of a run that end in (low, high]. ``begun``: low is a known common end."""
     if tokens is None:
         return Fragment(valid=False)
-    a, ends_a, b, ends_b = tokens
-    a, ends_a = a[k := (ends_a > low) & (ends_a <= high)], ends_a[k]
-    b, ends_b = b[k := (ends_b > low) & (ends_b <= high)], ends_b[k]
-    common = np.intersect1d(ends_a, ends_b)
-    cut_a, cut_b = np.searchsorted(ends_a, common, "right"), np.searchsorted(ends_b, common, "right")
-    parts_a, parts_b = [x.tolist() for x in np.split(a, cut_a)], [x.tolist() for x in np.split(b, cut_b)]
-    out = Fragment(open=not len(common) and not begun, tail_a=parts_a.pop(), tail_b=parts_b.pop())
-    if out.open:
-        return Fragment(head_a=out.tail_a, head_b=out.tail_b)
+    groups, (a, b) = pair.parted(tokens, low, high)
+    if not groups and not begun:
+        return Fragment(head_a=a, head_b=b)
+    out = Fragment(open=False, tail_a=a, tail_b=b)
     if not begun:
-        out.head_a, out.head_b = parts_a.pop(0), parts_b.pop(0)
-    return closed(out, parts_a, parts_b, size_b)
+        out.head_a, out.head_b = groups.pop(0)
+    return closed(out, groups, pair.size_b)
 
 
-def closed(out: Fragment, parts_a: list, parts_b: list, size_b: int) -> Fragment:
+def closed(out: Fragment, groups: list, size_b: int) -> Fragment:
     """``out`` with these groups behind its own."""
-    if parts_a:
-        found = [links(a, b, size_b) for a, b in zip(parts_a, parts_b, strict=True)]
-        out.codes, out.times = summed(np.concatenate([out.codes, *(x for x, _ in found)]), np.concatenate([out.times, *(x for _, x in found)]))
-        texts = [written(a, b) for a, b in zip(parts_a, parts_b, strict=True)]
-        out.groups = ";".join([out.groups, *texts] if out.groups else texts)
-        out.n_a, out.n_b, out.n_groups = out.n_a + sum(map(len, parts_a)), out.n_b + sum(map(len, parts_b)), out.n_groups + len(parts_a)
+    if groups:
+        found = linked_ids(groups, size_b)
+        codes, times = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+        out.codes, out.times = summed(np.concatenate([out.codes, codes]), np.concatenate([out.times, times]))
+        text = written(groups)
+        out.groups = f"{out.groups};{text}" if out.groups else text
+        out.n_a, out.n_b = out.n_a + sum(len(a) for a, _ in groups), out.n_b + sum(len(b) for _, b in groups)
+        out.n_groups += len(groups)
     return out
 
 
@@ -161,7 +194,7 @@ def composed(x: Fragment, y: Fragment, size_b: int) -> Fragment:
         return Fragment(**{**vars(x), "valid": valid, "tail_a": x.tail_a + y.head_a, "tail_b": x.tail_b + y.head_b})
     out = Fragment(**{**vars(x), "valid": valid, "tail_a": y.tail_a, "tail_b": y.tail_b})
     middle = x.tail_a + y.head_a
-    out = closed(out, [middle] if middle else [], [x.tail_b + y.head_b] if middle else [], size_b)
+    out = closed(out, [(middle, x.tail_b + y.head_b)] if middle else [], size_b)
     if y.n_groups:
         out.codes, out.times = summed(np.concatenate([out.codes, y.codes]), np.concatenate([out.times, y.times]))
         out.groups = f"{out.groups};{y.groups}" if out.groups else y.groups
@@ -170,48 +203,77 @@ def composed(x: Fragment, y: Fragment, size_b: int) -> Fragment:
 
 
 class Runs:
-    """Encoded runs of a worker; ``of`` puts whole runs together as one closed fragment."""
+    """Encoded runs of a worker; ``of`` puts whole runs together as one closed fragment.
 
-    def __init__(self, a: str, b: str):
-        self.pair, self.clear = Pair(a, b), self._clear
-        self._clear()
+    Runs are numbered; their groups are texts, their counts and linked pairs lie in common arrays.
+    """
 
-    def _clear(self):
-        self.at, self.held, self.numbers = {}, [], []
+    def __init__(self, a: str, b: str):
+        self.pair = Pair(a, b)
+        self.at: dict[str, int] = {}
+        self.texts: list[str] = []
+        #: For each run: tokens of A and of B, groups, where its pairs begin, how many there are, whether it is valid.
+        self.numbers = np.zeros((1024, 6), np.int64)
+        self.pairs = np.zeros((1024, 2), np.int64)
+        self.used, self.passing = 0, []
 
     def learn(self, lists: list[list[str]]) -> None:
-        """Encode, in one call, the runs that are not known yet."""
-        if len(self.at) > CACHE_PARTS:
-            self._clear()
+        """Encode, in one call, the runs that are not known yet. Long ones, and those that no longer fit, pass with ``forget``."""
         new = list(set().union(*lists).difference(self.at))
-        size = self.pair.size_b
-        for run, tokens in zip(new, self.pair.encoded(new), strict=True):
-            f = fragment(tokens, 0, 1 << 62, True, size)
-            self.at[run] = len(self.held)
-            self.held.append(f)
-            self.numbers.append((f.n_a, f.n_b, f.n_groups, len(f.codes), f.valid))
+        room = max(0, CACHE_PARTS - len(self.at))
+        kept = [x for x in new if len(x) <= CACHE_CHARS]
+        passing = [*(x for x in new if len(x) > CACHE_CHARS), *kept[room:]]
+        self._add(kept[:room])
+        self.mark = (len(self.texts), self.used)
+        self._add(passing)
+        self.passing = passing
+
+    def _add(self, runs: list[str]) -> None:
+        pair, size, codes, times, numbers, used = self.pair, self.pair.size_b, [], [], [], self.used
+        for run, tokens in zip(runs, pair.encoded(runs) if runs else (), strict=True):
+            self.at[run] = len(self.texts)
+            groups = pair.parted(tokens, 0, 1 << 62)[0] if tokens else []
+            found = linked_ids(groups, size)
+            codes += found
+            times += found.values()
+            self.texts.append(written(groups))
+            a, b = tokens or ((), ())
+            numbers.append((len(a), len(b), len(groups), used, len(found), tokens is not None))
+            used += len(found)
+        if runs:
+            self.numbers = self._put(self.numbers, len(self.texts) - len(runs), np.array(numbers, np.int64))
+            self.pairs = self._put(self.pairs, self.used, np.array([codes, times], np.int64).T)
+            self.used = used
+
+    @staticmethod
+    def _put(held: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
+        if at + len(new) > len(held):
+            held = np.concatenate([held, np.zeros((max(len(held), at + len(new) - len(held)), held.shape[1]), np.int64)])
+        held[at : at + len(new)] = new
+        return held
 
     def forget(self) -> None:
-        """Long runs are not kept."""
-        if self.at and any(len(x) > CACHE_CHARS for x in self.at):
-            kept = [(x, self.held[i], self.numbers[i]) for x, i in self.at.items() if len(x) <= CACHE_CHARS]
-            self.at = {x: i for i, (x, _, _) in enumerate(kept)}
-            self.held, self.numbers = [f for _, f, _ in kept], [n for _, _, n in kept]
+        for x in self.passing:
+            del self.at[x]
+        self.passing = []
+        n, self.used = self.mark
+        del self.texts[n:]
 
     def of(self, runs: list[str]) -> Fragment:
         if not runs:
             return Fragment(open=False)
         at = list(map(self.at.__getitem__, runs))
-        own, n = np.unique(at, return_counts=True)
-        numbers = np.array([self.numbers[i] for i in own], np.int64)
-        if not numbers[:, 4].all():
+        own, n = np.unique(np.array(at), return_counts=True)
+        numbers = self.numbers[own]
+        if not numbers[:, 5].all():
             return Fragment(open=False, valid=False)
-        codes = np.concatenate([self.held[i].codes for i in own])
-        times = np.concatenate([self.held[i].times for i in own]) * np.repeat(n, numbers[:, 3])
-        codes, times = summed(codes, times)
-        n_a, n_b, n_groups = (numbers[:, :3] * n[:, None]).sum(axis=0).tolist()
-        held = self.held
-        return Fragment(open=False, groups=";".join([held[i].groups for i in at]), n_a=n_a, n_b=n_b, n_groups=n_groups, codes=codes, times=times)
+        n_a, n_b, n_groups = (n @ numbers[:, :3]).tolist()
+        starts, sizes = numbers[:, 3], numbers[:, 4]
+        ends = np.cumsum(sizes)
+        places = np.arange(ends[-1]) + np.repeat(starts - ends + sizes, sizes)
+        codes, times = summed(self.pairs[places, 0], self.pairs[places, 1] * np.repeat(n, sizes))
+        groups = ";".join(map(self.texts.__getitem__, at))
+        return Fragment(open=False, groups=groups, n_a=n_a, n_b=n_b, n_groups=n_groups, codes=codes, times=times)
 
 
 @cache
@@ -244,11 +306,11 @@ def chunk_fragment(runs: Runs, text: str, skip: int, high: int) -> Fragment:
     own, before = list(parts), Fragment()
     if skip:
         stop = lengths[0] if len(parts) > 1 else high
-        before = fragment(next(runs.pair.encoded(own[:1])), skip, stop, False, size)
+        before = fragment(next(runs.pair.encoded(own[:1])), skip, stop, False, runs.pair)
         own = own[1:]
     behind = Fragment()
     if rest and own:
-        behind = fragment(next(runs.pair.encoded(own[-1:])), 0, lengths[-1] - rest, True, size)
+        behind = fragment(next(runs.pair.encoded(own[-1:])), 0, lengths[-1] - rest, True, runs.pair)
         own = own[:-1]
     runs.learn([own])
     middle = runs.of(own) if own or not skip else Fragment()
