@@ -10,6 +10,7 @@ from orefield.operators.latest import insert_absent, upsert
 from orefield.session import new_workspace
 
 REACHED = "root string, node string, hops int"
+WALK = "node string, next string"
 EDGE_KEYS = ["source_name", "source_schema", "target_name", "target_schema"]
 # Service names in qualified names, entity type per stored type.
 WAREHOUSE_SERVICE = "data-warehouse-postgres.airflow"
@@ -100,35 +101,35 @@ def reachable(
 ) -> DataFrame:
     """(root, node, hops) for every node reachable from each root, by the fewest hops.
 
-    Breadth first: each round joins only the newest frontier with the edges and drops what was
-    reached before, so cycles end and no pair is expanded twice. Every round is written out to
-    the shared folder and read back: the plan stays short and a lost executor costs one round.
+    Path doubling: round k knows what is reached in fewer than 2^k hops, and the pairs that a walk of
+    exactly 2^k edges joins. One join of the two reaches everything below 2^(k+1) hops, by the least sum,
+    one join of the pairs with themselves doubles the walks: a chain of n nodes takes log2(n) + 2 rounds.
+    A round that reaches nothing new is the last, so cycles end. Both results are written to the shared
+    folder and read back: the plan stays short and a lost executor costs one round.
     """
     spark = edges.sparkSession
     folder = new_workspace(spark, "lineage")
     near, far = ("target", "source") if upstream else ("source", "target")
-    links = edges.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct()
-    links.write.parquet(f"{folder}/links")
-    links = spark.read.schema("node string, next string").parquet(f"{folder}/links")
-    start = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hops"))
-    rounds, found = [], _written(start, f"{folder}/hop=0")
-    while found and (max_hops is None or len(rounds) < max_hops):
-        hop = len(rounds) + 1
-        seen = [_read(spark, f"{folder}/hop={i}") for i in range(hop)]
-        reached = seen[0]
-        for earlier in seen[1:]:
-            reached = reached.unionByName(earlier)
-        ahead = (
-            seen[-1]
-            .join(links, "node")
-            .select("root", F.col("next").alias("node"))
-            .distinct()
-            .join(reached.select("root", "node"), ["root", "node"], "left_anti")
-            .withColumn("hops", F.lit(hop))
-        )
-        path = f"{folder}/hop={hop}"
-        found = _written(ahead, path)
+    _written(edges.select(F.col(near).alias("node"), F.col(far).alias("next")).distinct(), f"{folder}/walk=0")
+    _written(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")), f"{folder}/round=0")
+    rounds, length = [], 1
+    while max_hops is None or length <= max_hops:
+        number = len(rounds)
+        walks = spark.read.schema(WALK).parquet(f"{folder}/walk={number}")
+        reached = _read(spark, f"{folder}/round=0", *rounds)
+        ahead = reached.join(walks, "node").groupBy("root", F.col("next").alias("node")).agg((F.min("hops") + length).alias("hops"))
+        ahead = ahead.join(reached.select("root", "node"), ["root", "node"], "left_anti")
+        if max_hops is not None:
+            ahead = ahead.where(F.col("hops") <= max_hops)
+        path = f"{folder}/round={number + 1}"
+        found = _written(ahead.select("root", "node", "hops"), path)
         rounds.append(path)
+        length *= 2
+        if not found or max_hops is not None and length > max_hops:
+            break
+        middle = walks.select(F.col("node").alias("start"), F.col("next").alias("node"))
+        if not _written(middle.join(walks, "node").select(F.col("start").alias("node"), "next").distinct(), f"{folder}/walk={number + 1}"):
+            break
     return _read(spark, *rounds) if rounds else spark.createDataFrame([], REACHED)
 
 

@@ -234,6 +234,34 @@ def test_reachability_ends_on_cycles_and_takes_fewest_hops(spark):
     assert rows_of(lineage.reachable(edges, up)) == []
 
 
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    """4,000 nodes in a row, with a way back and a short cut: 14 rounds at most, hops exact."""
+    n, written, rounds = 4000, lineage._written, []
+    monkeypatch.setattr(lineage, "_written", lambda rows, path: rounds.append(path) or written(rows, path))
+    chain = spark.range(n - 1).select(F.col("id").cast("string").alias("source"), (F.col("id") + 1).cast("string").alias("target"))
+    more = spark.createDataFrame([(str(n - 1), "0"), ("10", "2000")], "source string, target string")
+    found = lineage.reachable(chain.union(more), spark.createDataFrame([("0",)], "root string"))
+    want = {i: i if i < 2000 or i < 11 else 11 + i - 2000 for i in range(1, n)}
+    assert {int(r["node"]): r["hops"] for r in found.collect()} == want
+    assert sum("round=" in x for x in rounds) - 1 <= 14
+
+
+def test_doubling_equals_breadth_first(spark):
+    rng = random.Random(9)
+    for _ in range(3):
+        pairs = {(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(45)}
+        want = set()
+        for root in ("n0", "n1", "n2"):
+            seen, front, hops = {root}, {root}, 0
+            while front:
+                front, hops = {b for a, b in pairs if a in front} - seen, hops + 1
+                seen |= front
+                want |= {(root, x, hops) for x in front}
+        roots = spark.createDataFrame([("n0",), ("n1",), ("n2",)], "root string")
+        assert set(rows_of(lineage.reachable(edges_of(spark, *pairs), roots))) == want
+        assert set(rows_of(lineage.reachable(edges_of(spark, *pairs), roots, max_hops=3))) == {x for x in want if x[2] <= 3}
+
+
 def test_medallion_lineage(spark):
     edges = lineage.medallion_edges(spark)
     assert edges.count() == 10
