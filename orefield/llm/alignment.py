@@ -20,6 +20,7 @@ import hashlib
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orefield.llm.common import by_bytes, prepare, stored
-from orefield.llm.tokens import CACHE_CHARS, CACHE_PARTS, SAFE
+from orefield.llm.tokens import CACHE_CHARS, SAFE
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of a chunk; longer documents are dealt out over tasks.
@@ -36,6 +37,10 @@ CHUNK = 32 << 10
 FAN = 16
 #: Pairs of a broadcast block of counts, 16 bytes each; one A id's pairs are never parted.
 BLOCK_PAIRS = 2_000_000
+#: Runs that a worker keeps; a bound of memory, never of results.
+KEPT_RUNS = 150_000
+#: Links of a group beyond which they are counted by ids.
+LARGE = 4096
 NOTHING = np.zeros(0, np.int64)
 
 
@@ -59,6 +64,8 @@ class Pair:
             self.bytes_a[i] = bytes(alphabet[c] for c in entry) if all(c in alphabet for c in entry) else entry.encode()
         self.bytes_b = [self.piece(i) for i in range(self.size_b)]
         self.length_a, self.length_b = (list(map(len, x)) for x in (self.bytes_a, self.bytes_b))
+        #: For each id: itself and a comma, the bar behind a group's last a, the semicolon behind its last b.
+        self.marks = [f"{i}{mark}" for i in range(max(self.size_a, self.size_b)) for mark in ",|;"]
 
     def piece(self, i: int) -> bytes:
         entry = self.b.id_to_piece(i)
@@ -69,9 +76,13 @@ class Pair:
         found_a = self.a.encode_batch_fast([" " + x for x in runs], add_special_tokens=False)
         found_b = self.b.encode(runs, num_threads=1)
         of_a, of_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        for run, e, b in zip(runs, found_a, found_b, strict=True):
-            a, whole = e.ids, b" " + run.encode()
-            yield (a, b) if b"".join(map(of_a, a)) == whole == b"".join(map(of_b, b)) else None
+        found_a = [e.ids for e in found_a]
+        whole = b"".join([b" " + x.encode() for x in runs])
+        # As a rule all are whole; else each is looked at.
+        if b"".join(map(of_a, chain.from_iterable(found_a))) == whole == b"".join(map(of_b, chain.from_iterable(found_b))):
+            return list(zip(found_a, found_b, strict=True))
+        own = (b" " + x.encode() for x in runs)
+        return [(a, b) if b"".join(map(of_a, a)) == x == b"".join(map(of_b, b)) else None for x, a, b in zip(own, found_a, found_b, strict=True)]
 
     def parted(self, tokens, low: int, high: int):
         """Of the tokens that end in (low, high]: lists of a ids and of b ids up to each common end, and what is left behind."""
@@ -202,6 +213,46 @@ def composed(x: Fragment, y: Fragment, size_b: int) -> Fragment:
     return out
 
 
+def grouped(tokens: list, pair: Pair):
+    """All runs at once, as if their texts were one: counts (tokens of A, of B, groups, pairs), pairs, their numbers, texts.
+
+    Every run ends at a common end, so no group reaches from one run into the next.
+    """
+    n_a, n_b = (np.array([len(x[i]) for x in tokens], np.int64) for i in (0, 1))
+    a, b = (np.array(list(chain.from_iterable(x[i] for x in tokens)), np.int64) for i in (0, 1))
+    ends_a, ends_b = np.cumsum(np.array(pair.length_a)[a]), np.cumsum(np.array(pair.length_b)[b])
+    last_a, last_b = (np.isin(x, y, assume_unique=True) for x, y in ((ends_a, ends_b), (ends_b, ends_a)))
+    of_a, of_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    run_a = np.repeat(np.arange(len(tokens)), n_a)
+    run = run_a[last_a]
+    n = len(run)
+    size_a, size_b = np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n)
+    # Each a with each b of its group; large groups by the numbers of their ids.
+    large = size_a * size_b > LARGE
+    times_a = np.where(large, 0, size_b)[of_a]
+    total = np.cumsum(times_a)
+    place = np.arange(total[-1] if len(total) else 0) - np.repeat(total - times_a, times_a) + np.repeat((np.cumsum(size_b) - size_b)[of_a], times_a)
+    code = np.repeat(a, times_a) * pair.size_b + b[place]
+    span = pair.size_a * pair.size_b
+    keys, times = np.unique(np.repeat(run_a, times_a) * span + code, return_counts=True)
+    for g in np.flatnonzero(large).tolist():
+        found = linked_ids([(a[of_a == g].tolist(), b[of_b == g].tolist())], pair.size_b)
+        keys = np.concatenate([keys, run[g] * span + np.fromiter(found, np.int64, len(found))])
+        times = np.concatenate([times, np.fromiter(found.values(), np.int64, len(found))])
+    if large.any():
+        keys, times = summed(keys, times)
+    counts = np.column_stack([n_a, n_b, np.bincount(run, minlength=len(tokens)), np.bincount(keys // span, minlength=len(tokens))])
+    # Ids in the order of the digest: a group's a, then its b, each with the mark that follows.
+    order = np.empty(len(a) + len(b), np.int64)
+    marks = pair.marks
+    before_b = np.cumsum(size_b) - size_b
+    order[np.arange(len(a)) + before_b[of_a]] = a * 3 + last_a
+    order[np.arange(len(b)) + np.cumsum(size_a)[of_b]] = b * 3 + 2 * last_b
+    words, ends = list(map(marks.__getitem__, order.tolist())), np.cumsum(n_a + n_b).tolist()
+    texts = ["".join(words[i:j])[:-1] for i, j in zip([0, *ends], ends, strict=False)]
+    return counts, keys % span, times, texts
+
+
 class Runs:
     """Encoded runs of a worker; ``of`` puts whole runs together as one closed fragment.
 
@@ -220,7 +271,7 @@ class Runs:
     def learn(self, lists: list[list[str]]) -> None:
         """Encode, in one call, the runs that are not known yet. Long ones, and those that no longer fit, pass with ``forget``."""
         new = list(set().union(*lists).difference(self.at))
-        room = max(0, CACHE_PARTS - len(self.at))
+        room = max(0, KEPT_RUNS - len(self.at))
         kept = [x for x in new if len(x) <= CACHE_CHARS]
         passing = [*(x for x in new if len(x) > CACHE_CHARS), *kept[room:]]
         self._add(kept[:room])
@@ -229,21 +280,19 @@ class Runs:
         self.passing = passing
 
     def _add(self, runs: list[str]) -> None:
-        pair, size, codes, times, numbers, used = self.pair, self.pair.size_b, [], [], [], self.used
-        for run, tokens in zip(runs, pair.encoded(runs) if runs else (), strict=True):
-            self.at[run] = len(self.texts)
-            groups = pair.parted(tokens, 0, 1 << 62)[0] if tokens else []
-            found = linked_ids(groups, size)
-            codes += found
-            times += found.values()
-            self.texts.append(written(groups))
-            a, b = tokens or ((), ())
-            numbers.append((len(a), len(b), len(groups), used, len(found), tokens is not None))
-            used += len(found)
-        if runs:
-            self.numbers = self._put(self.numbers, len(self.texts) - len(runs), np.array(numbers, np.int64))
-            self.pairs = self._put(self.pairs, self.used, np.array([codes, times], np.int64).T)
-            self.used = used
+        if not runs:
+            return
+        pair, first = self.pair, len(self.texts)
+        tokens = pair.encoded(runs)
+        self.at.update(zip(runs, range(first, first + len(runs)), strict=True))
+        counts, codes, times, texts = grouped([x or ([], []) for x in tokens], pair)
+        valid = np.array([x is not None for x in tokens])
+        starts = self.used + np.cumsum(counts[:, 3]) - counts[:, 3]
+        numbers = np.column_stack([counts[:, :3], starts, counts[:, 3], valid])
+        self.texts += texts
+        self.numbers = self._put(self.numbers, first, numbers)
+        self.pairs = self._put(self.pairs, self.used, np.column_stack([codes, times]))
+        self.used += len(codes)
 
     @staticmethod
     def _put(held: np.ndarray, at: int, new: np.ndarray) -> np.ndarray:
@@ -306,11 +355,11 @@ def chunk_fragment(runs: Runs, text: str, skip: int, high: int) -> Fragment:
     own, before = list(parts), Fragment()
     if skip:
         stop = lengths[0] if len(parts) > 1 else high
-        before = fragment(next(runs.pair.encoded(own[:1])), skip, stop, False, runs.pair)
+        before = fragment(runs.pair.encoded(own[:1])[0], skip, stop, False, runs.pair)
         own = own[1:]
     behind = Fragment()
     if rest and own:
-        behind = fragment(next(runs.pair.encoded(own[-1:])), 0, lengths[-1] - rest, True, runs.pair)
+        behind = fragment(runs.pair.encoded(own[-1:])[0], 0, lengths[-1] - rest, True, runs.pair)
         own = own[:-1]
     runs.learn([own])
     middle = runs.of(own) if own or not skip else Fragment()
@@ -377,6 +426,7 @@ def long_documents(rows: DataFrame, kind: str, a: str, b: str, chunk: int) -> Da
     cut_schema, cut_arrow = schema_of(spark, f"doc_id {kind}, doc long, at long, text string, skip long, high long")
     part_schema, part_arrow = schema_of(spark, f"doc_id {kind}, doc long, at long, {PART}")
     done_schema, done_arrow = schema_of(spark, f"doc_id {kind}, {DONE}")
+    names, size_b = part_arrow.names[3:], runs_of(a, b).pair.size_b
 
     def cut(found):
         for batch in found:
@@ -391,28 +441,28 @@ def long_documents(rows: DataFrame, kind: str, a: str, b: str, chunk: int) -> Da
                 f = chunk_fragment(runs, r["text"], r["skip"], r["high"])
                 yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("doc_id", "doc", "at")} | packed(f)], part_arrow)
 
-    def join(table: pa.Table) -> pa.Table:
-        own, size = sorted(table.to_pylist(), key=lambda r: r["at"]), runs_of(a, b).pair.size_b
-        names = part_arrow.names[3:]
-        f = Fragment()
+    def joined(table: pa.Table) -> tuple[dict, Fragment]:
+        own, f = sorted(table.to_pylist(), key=lambda r: r["at"]), Fragment()
         for r in own:
-            f = composed(f, unpacked({k: r[k] for k in names}), size)
-        return pa.Table.from_pylist([{"doc_id": own[0]["doc_id"], "doc": own[0]["doc"], "at": own[0]["at"] // FAN} | packed(f)], part_arrow)
+            f = composed(f, unpacked({k: r[k] for k in names}), size_b)
+        return own[0], f
 
-    def finish(found):
-        size, names = runs_of(a, b).pair.size_b, part_arrow.names[3:]
-        for batch in found:
-            out = [{"doc_id": r["doc_id"]} | done(unpacked({k: r[k] for k in names}), size) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_pylist(out, done_arrow)
+    def join(table: pa.Table) -> pa.Table:
+        r, f = joined(table)
+        return pa.Table.from_pylist([{"doc_id": r["doc_id"], "doc": r["doc"], "at": r["at"] // FAN} | packed(f)], part_arrow)
+
+    def finish(table: pa.Table) -> pa.Table:
+        r, f = joined(table)
+        return pa.Table.from_pylist([{"doc_id": r["doc_id"]} | done(f, size_b)], done_arrow)
 
     numbered = rows.withColumn("doc", F.monotonically_increasing_id())
     dealt = stored(numbered.select("doc_id", "doc", "text").mapInArrow(cut, cut_schema), "chunks")
     most = dealt.agg(F.max("at")).first()[0]
     found = dealt.repartition(F.col("doc"), F.col("at")).mapInArrow(parts, part_schema)
-    while most:
+    while most and most >= FAN:
         found = found.groupBy("doc", F.expr(f"at div {FAN}")).applyInArrow(join, part_schema)
         most //= FAN
-    return found.mapInArrow(finish, done_schema)
+    return found.groupBy("doc").applyInArrow(finish, done_schema)
 
 
 def linked(docs: DataFrame, a: str, b: str, chunk: int = CHUNK, batch_bytes: int = 4 << 20) -> DataFrame:
