@@ -8,12 +8,15 @@ import re
 import uuid
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from orefield.operators import ledger
+from orefield.session import new_workspace
+from orefield.sources import json_arrays
 from orefield.sources.layers import layer_path, list_objects, parquet_key, stored_bytes
 from orefield.sources.schemas import describe_schema, schema_change_row
 
@@ -37,27 +40,54 @@ class Ingested:
     bad_rows: int = 0
 
 
-def file_heads(spark: SparkSession, path, pattern: str | None = None) -> DataFrame:
-    """(file, head): the first line with text of each file below ``path``; files without any are left out."""
+def text_lines(spark: SparkSession, path, pattern: str | None = None) -> DataFrame:
+    """(file, block, nth, value): every line of the files below ``path``, ordered by block and nth in its file."""
     reader = spark.read.option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
-    lines = reader.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), "value")
-    return lines.where(F.trim("value") != "").groupBy("file").agg(F.min_by("value", "place").alias("head"))
+    return reader.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("nth"), "value",
+    )
+
+
+def file_heads(spark: SparkSession, path, pattern: str | None = None) -> DataFrame:
+    """(file, head): the first line with text of each file below ``path``; files without any are left out."""
+    lines = text_lines(spark, path, pattern).where(F.trim("value") != "")
+    return lines.groupBy("file").agg(F.min_by("value", F.struct("block", "nth")).alias("head"))
+
 
+def json_forms(spark: SparkSession, path, pattern: str | None = None) -> DataFrame:
+    """(file, form): ``lines``, ``array`` or ``object`` (one document over lines), told from all lines of a file.
+
+    NDJSON is where most lines look like whole objects, so a broken record, the first one too, does not
+    make a file a document; else the first character decides.
+    """
+    line = F.trim("value")
+    whole = line.startswith("{") & line.endswith("}")
+    lines = text_lines(spark, path, pattern).where(line != "")
+    found = lines.groupBy("file").agg(F.count("*").alias("n"), F.count_if(whole).alias("whole"), F.min_by(F.substring(line, 1, 1), F.struct("block", "nth")).alias("first"))
+    form = F.when(F.col("whole") * 2 >= F.col("n"), "lines").when(F.col("first") == "[", "array").when(F.col("n") == 1, "lines").otherwise("object")
+    return found.select("file", form.alias("form"))
+
+
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    path = new_workspace(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def json_form() -> Column:
-    """NDJSON if the first line is a whole object by itself, else one document in the whole file."""
-    head = F.trim("head")
-    whole = F.try_parse_json(head).isNotNull() & head.startswith("{")
-    return F.when(whole, "lines").otherwise("document")
 
+def _groups(found: DataFrame, by: str) -> list:
+    """The forms or headers there are: as many as there are kinds of files, not files."""
+    return sorted(r[by] for r in found.select(by).distinct().collect())
 
-def _grouped(heads: DataFrame, by: Column) -> dict[str, list[str]]:
-    """The files of each form or header: as many entries as a listing of the folder."""
-    rows = heads.groupBy(by.alias("form")).agg(F.collect_list("file").alias("files")).collect()
-    return {r["form"]: sorted(r["files"]) for r in rows}
+
+def _of_files(rows: DataFrame, found: DataFrame, condition: Column, single: bool, extra) -> DataFrame:
+    """The rows of the files that ``found`` has under the condition; all of them, if there is one kind only."""
+    if single:
+        return rows.select("*", *extra)
+    own = rows.select("*", F.col("_metadata.file_path").alias("_file"), *extra)
+    return own.join(found.where(condition).select(F.col("file").alias("_file")), "_file", "left_semi").drop("_file")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -72,39 +102,58 @@ def read_json(
 ) -> DataFrame:
     """NDJSON, JSON arrays or single objects, also side by side in one folder.
 
-    Without ``lines`` the form of each file is told from its own first line, in one pass over the text.
-    NDJSON stays splittable; an array or an object spread over lines is parsed as one file per task.
+    Without ``lines`` the form of each file is told from the file, in one pass over the text. NDJSON is read by
+    splits; with a schema so are arrays over lines (see ``json_arrays``). A single object is one file per task.
     """
     reader = spark.read.option("columnNameOfCorruptRecord", CORRUPT)
     reader = reader.schema(schema) if schema is not None else reader
     if lines is not None:
         return reader.option("multiLine", not lines).json(path).select("*", *extra)
-    forms = _grouped(file_heads(spark, path, pattern), json_form())
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    found = _kept(json_forms(spark, path, pattern), "forms")
+    forms = _groups(found, "form")
     if not forms:
         raise IngestionError(f"empty JSON input: {path}")
-    return _union([reader.option("multiLine", form == "document").json(files).select("*", *extra) for form, files in sorted(forms.items())])
-
-
-def read_csv(spark: SparkSession, path, schema: StructType | None = None, pattern: str | None = None, extra=(), **options) -> DataFrame:
+    parts = []
+    for form in forms:
+        own, single = F.col("form") == form, len(forms) == 1
+        if form == "array" and schema is not None:
+            held = text_lines(spark, path, pattern)
+            held = held if single else held.join(found.where(own).select("file"), "file", "left_semi")
+            rows = json_arrays.parsed_records(json_arrays.cut_records(held), schema, CORRUPT)
+            parts.append(rows.withColumn("_metadata", F.struct(F.col("file").alias("file_path"))).select(*schema.names, *extra))
+        else:
+            parts.append(_of_files(reader.option("multiLine", form != "lines").json(path), found, own, single, extra))
+    return _union(parts)
+
+
+def read_csv(
+    spark: SparkSession, path, schema: StructType | None = None, pattern: str | None = None, extra=(), in_order: bool = False, **options
+) -> DataFrame:
     """CSV with a header. Without a schema a first pass over all rows infers the types.
 
     A schema's columns are found by the names in each file's own header, in any order; a column the
-    header lacks is null, one the schema lacks is left out.
+    header lacks is null, one the schema lacks is left out. That takes a pass for the headers; ``in_order``
+    reads at once, and fails where a header does not name the schema's columns in their order.
     """
     reader = spark.read.option("header", True).option("columnNameOfCorruptRecord", CORRUPT).options(**options)
     if schema is None:
         return reader.option("inferSchema", True).csv(path).select("*", *extra)
-    headers = _grouped(file_heads(spark, path, pattern), F.col("head"))
+    if in_order:
+        return reader.option("enforceSchema", False).schema(schema).csv(path).select("*", *extra)
+    found = _kept(file_heads(spark, path, pattern), "headers")
+    headers = _groups(found, "head")
     delimiter = options.get("sep", options.get("delimiter", ","))
     wanted = {f.name: f for f in schema.fields}
     parts = []
-    for header, files in sorted(headers.items()):
+    for header in headers:
         names = [n.strip().lstrip("\ufeff") for n in next(csv.reader([header], delimiter=delimiter))]
         own = StructType([wanted.get(n, StructField(n, StringType())) for n in names])
         own = own.add(wanted[CORRUPT]) if CORRUPT in wanted else own
-        rows = reader.schema(own).csv(files)
         columns = [F.col(f"`{n}`") if n in own.names else F.lit(None).cast(f.dataType).alias(n) for n, f in wanted.items()]
-        parts.append(rows.select(*columns, *extra))
+        rows = _of_files(reader.schema(own).csv(path), found, F.col("head") == header, len(headers) == 1, extra)
+        parts.append(rows.select(*columns, *rows.columns[len(own) :]))
     return _union(parts) if parts else reader.schema(schema).csv(path).select("*", *extra)
 
 
@@ -130,6 +179,31 @@ def content_hash(columns: list[str], where: Column | None = None) -> Column:
     return F.sum(own if where is None else F.when(where, own))
 
 
+def _landed(spark: SparkSession, path: str, root: str, kind: str, schema: StructType, lines: bool | None, options: dict):
+    """All records of ``path`` stored with their corrupt text: the counts, the place, the rows.
+
+    The usual forms are tried first, since they need no pass over the text beforehand: CSV whose headers
+    name the schema's columns in order, and NDJSON, which stands if no record is bad.
+    """
+    full, good = StructType(list(schema.fields)).add(CORRUPT, "string"), F.col(CORRUPT).isNull()
+
+    def write(rows: DataFrame):
+        held = f"{root.rstrip('/')}/_incoming/{uuid.uuid4().hex}"
+        return write_counted(rows, held, checksum=content_hash(schema.names, good), good=F.count_if(good), bad=F.count_if(~good)), held, rows
+
+    if kind == "csv":
+        try:
+            return write(read_csv(spark, path, full, in_order=True, **options))
+        except (PySparkException, Py4JJavaError) as e:  # a task's own error comes as it is
+            if "CSV header" not in str(e):
+                raise
+    if kind == "json" and lines is None:
+        done = write(read_json(spark, path, full, True))
+        if done[0]["good"] and not done[0]["bad"]:
+            return done
+    return write(read_files(spark, path, kind, full, lines, **options))
+
+
 def ingest_file(
     spark: SparkSession,
     path: str,
@@ -152,11 +226,8 @@ def ingest_file(
         if schema is None:
             found = read_files(spark, path, kind, None, lines, **options).schema
             schema = StructType([f for f in found.fields if f.name != CORRUPT])
-        names = schema.names
-        rows = read_files(spark, path, kind, StructType(list(schema.fields)).add(CORRUPT, "string"), lines, **options)
+        counted, held, rows = _landed(spark, path, root, kind, schema, lines, options)
         good = F.col(CORRUPT).isNull()
-        held = f"{root.rstrip('/')}/_incoming/{uuid.uuid4().hex}"
-        counted = write_counted(rows, held, checksum=content_hash(names, good), good=F.count_if(good), bad=F.count_if(~good))
         if counted["bad"] and on_bad == "fail":
             raise IngestionError(f"{path}: {counted['bad']} malformed records")
         landed = spark.read.schema(rows.schema).parquet(held)

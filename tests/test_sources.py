@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from orefield.operators import ledger, watermarks
-from orefield.sources import files, layers, schemas, tables
+from orefield.sources import files, json_arrays, layers, schemas, tables
 
 ITEM = StructType().add("id", "long").add("amount", "double").add("note", "string")
 
@@ -96,6 +96,49 @@ def test_each_json_file_has_its_own_form(spark, local, folder, tmp_path):
     assert rows_of(spark.read.parquet(done.uri), "id", "amount") == [(i, float(i)) for i in range(1, 6)]
 
 
+def test_a_broken_first_record_leaves_a_file_ndjson(spark, local, folder):
+    path = local("first.json", '[{"id": 1, "amount"\n' + "".join(f'{{"id": {i}, "amount": 1.5}}\n' for i in range(2, 30)))
+    done = files.ingest_file(spark, path, folder, "first.json", "json", ITEM, on_bad="quarantine")
+    assert (done.row_count, done.bad_rows) == (28, 1)
+
+
+ARRAYS = {
+    "pretty": '[\n  {\n    "id": 1,\n    "note": "a } ] [ { \\" , {"\n  },\n  {"id": 2, "note": "b\\\\"}\n  ,\n  {\n "id": 3 }, {"id": 4,\n"note": "x"}\n]\n',
+    "lines": '[{"id": 1, "note": "a } ] [ { \\" , {"},\n{"id": 2, "note": "b\\\\"},\n{"id": 3},{"id": 4, "note": "x"}]',
+    "one": '[{"id": 1, "note": "a } ] [ { \\" , {"}, {"id": 2, "note": "b\\\\"}, {"id": 3}, {"id": 4, "note": "x"}]',
+}
+
+
+@pytest.mark.parametrize("form", sorted(ARRAYS))
+def test_arrays_are_cut_into_records(spark, local, form):
+    """Brackets and escaped quotes in strings, records over lines, two on one line."""
+    lines = files.text_lines(spark, local(f"{form}.json", ARRAYS[form]))
+    rows = json_arrays.parsed_records(json_arrays.cut_records(lines), ITEM, "_corrupt_record")
+    assert rows_of(rows, "id", "note") == [(1, 'a } ] [ { " , {'), (2, "b\\"), (3, None), (4, "x")]
+
+
+def test_one_large_array_is_read_by_many_tasks(spark, local, folder):
+    """Splits of 2 kB: records cross their ends; a bad record is counted and its neighbours stay."""
+    body = ",\n".join(f'  {{\n    "id": {i},\n    "amount": {i}.5,\n    "note": "{"n" * (i % 90)} ]}}"\n  }}' for i in range(500))
+    path = local("large.json", "[\n" + body.replace('"id": 77,', '"id": "seventy",') + "\n]")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        assert files.text_lines(spark, path).rdd.getNumPartitions() > 10
+        done = files.ingest_file(spark, path, folder, "large.json", "json", ITEM, on_bad="quarantine")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert (done.row_count, done.bad_rows) == (499, 1)
+    want = sorted((i, i + 0.5, "n" * (i % 90) + " ]}") for i in range(500) if i != 77)
+    assert sorted(tuple(r) for r in spark.read.parquet(done.uri).select("id", "amount", "note").collect()) == want
+
+
+def test_an_array_cut_short_is_one_bad_record(spark, local, folder):
+    path = local("short.json", '[\n{"id": 1,\n"amount": 2.0},\n{"id": 2,\n')
+    done = files.ingest_file(spark, path, folder, "short.json", "json", ITEM, on_bad="quarantine")
+    assert (done.row_count, done.bad_rows) == (0, 1)
+
+
 def test_csv_columns_go_by_name(spark, local, folder, tmp_path):
     local("turned/a.csv", "note,amount,id\nx,1.5,1\n")
     local("turned/b.csv", "id,extra,note\n2,zzz,y\n")
