@@ -156,7 +156,8 @@ def evolve(lengths, capacity: int, guests, seed: int, population=POPULATION, gen
     def rank(x):
         return fitness(x[1], capacity)
 
-    crowd += [grown() for _ in range(population - len(crowd))]
+    if not any(len(x[0]) <= bound for x in crowd):
+        crowd += [grown() for _ in range(population - len(crowd))]
     for _ in range(generations):
         crowd.sort(key=rank, reverse=True)
         if len(crowd[0][0]) <= bound:

@@ -14,6 +14,7 @@ from array import array
 from collections.abc import Callable
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,28 +46,91 @@ class Remembered:
     def __init__(self, vocabulary: str, prefix: str, of: Callable):
         self.tokenizer, self.prefix, self.of, self.kept = load(vocabulary), prefix, of, {}
 
+    def encoded(self, parts: list[str]) -> dict:
+        found = self.tokenizer.encode_batch_fast([self.prefix + x for x in parts], add_special_tokens=False)
+        return dict(zip(parts, map(self.of, found), strict=True))
+
+    def fresh(self, parts: list[str]) -> dict:
+        """The values of parts that are not kept."""
+        return self.encoded(parts)
+
     def of_all(self, lists: list[list[str]]) -> list[list]:
-        """The value of each part of each list; parts not seen before go to the library in one call."""
-        known = self.kept.get
-        found = [list(map(known, x)) for x in lists]
-        short = [i for i, x in enumerate(found) if None in x]
-        if short:
-            new = list(set().union(*(lists[i] for i in short)).difference(self.kept))
-            encoded = self.tokenizer.encode_batch_fast([self.prefix + x for x in new], add_special_tokens=False)
-            fresh = {x: self.of(e) for x, e in zip(new, encoded, strict=True)}
-            for i in short:
-                found[i] = [fresh[x] if v is None else v for x, v in zip(lists[i], found[i], strict=True)]
-            if len(self.kept) < CACHE_PARTS:
-                self.kept.update((x, v) for x, v in fresh.items() if len(x) <= CACHE_CHARS)
+        """The value of each part of each list; parts not seen before go to the library together."""
+        kept = self.kept
+        new = list(set().union(*lists).difference(kept))
+        own = self.fresh(new) if new else {}
+        room = max(0, CACHE_PARTS - len(kept))
+        kept.update(own)
+        found = [list(map(kept.__getitem__, x)) for x in lists]
+        fit = 0
+        for x in own:
+            fit += len(x) <= CACHE_CHARS
+            if len(x) > CACHE_CHARS or fit > room:
+                del kept[x]
         return found
 
 
+class RememberedWords(Remembered):
+    """Ids by a vocabulary of words in small letters, whose last token of a word shows its end.
+
+    A part is put together from a core and an end mark, which the library parts as well; cores come in
+    fewer forms. Plain cores are one word each, so they are encoded as one text and parted at word ends.
+    """
+
+    def __init__(self, vocabulary: str):
+        super().__init__(vocabulary, "", little_endian)
+        entries = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(1 + max(entries.values()), bool)
+        self.ends[[i for x, i in entries.items() if x.endswith("</w>")]] = True
+        self.tails: dict = {}
+
+    def fresh(self, parts: list[str]) -> dict:
+        cut = list(map(core_and_tail, parts))
+        new = {core for core, _ in cut}.difference(self.kept)
+        plain = [x for x in new if PLAIN.fullmatch(x)]
+        out = self.encoded(list(new.difference(plain)))
+        out |= self.one_text(plain)
+        self.tails |= self.encoded(list({tail for _, tail in cut}.difference(self.tails)))
+        kept, tails = self.kept, self.tails
+        own = {x: (out[core] if core in out else kept[core]) + tails[tail] for x, (core, tail) in zip(parts, cut, strict=True)}
+        return out | own
+
+    def one_text(self, words: list[str]) -> dict:
+        if not words:
+            return {}
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            return self.encoded(words)
+        held = ids.tobytes()
+        return {x: held[i:j] for x, i, j in zip(words, [0, *ends], ends, strict=False)}
+
+
 @cache
 def remembered(vocabulary: str, kind: str) -> Remembered:
     """One memory for each worker process; Spark reuses workers for many tasks."""
     if kind == "counts":
         return Remembered(vocabulary, " ", len)
-    return Remembered(vocabulary, "", little_endian)
+    return RememberedWords(vocabulary)
+
+
+#: Marks that end words, which the word vocabulary's splitting parts from letters before them.
+TAILS = frozenset(",.;:!?")
+#: One word, whatever is done to case and composed letters.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+
+def core_and_tail(part: str) -> tuple[str, str]:
+    """A part in the word vocabulary, which knows small letters only: the first letter small, an end mark apart.
+
+    Only plain cases are taken apart: a mark behind a letter below U+0250, a first letter A-Z.
+    """
+    tail = ""
+    if len(part) > 1 and part[-1] in TAILS and part[-2] < "\u0250" and part[-2].isalpha():
+        part, tail = part[:-1], part[-1]
+    if part and "A" <= part[0] <= "Z":
+        part = part[0].lower() + part[1:]
+    return part, tail
 
 
 def little_endian(encoding) -> bytes:

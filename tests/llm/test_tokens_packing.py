@@ -26,6 +26,19 @@ def test_ids_equal_the_library():
     assert tokens.ids(AWKWARD, "word_bpe_49k.json") == want
 
 
+def test_cores_and_tails_are_encoded_as_the_whole():
+    import random
+
+    rng = random.Random(8)
+    own = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    letters = "aAbBzZéÉñÑßØøıſKÅÅşŞͅΣσς漢'’\u0301\u0345.,;:!?%-19 \n"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    texts += [f"{a}{b}{c}" for a in ("A", "Don't", "it's", "X1", "É", "a\u0301", "") for b in ",.;:!?" for c in ("", ".", " ,", "'s")]
+    want = [np.array(own.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert tokens.ids(texts, "word_bpe_49k.json") == want
+    assert tokens.ids(texts[::-1], "word_bpe_49k.json") == want[::-1]
+
+
 def test_full_memory_changes_nothing(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_PARTS", 3)
     tokens.remembered.cache_clear()
