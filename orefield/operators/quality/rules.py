@@ -1,8 +1,9 @@
 """Rules and their compilation to aggregate columns.
 
 A column rule contributes counters to a single ``agg`` over the table, so a suite costs one scan
-whatever its length. A uniqueness rule adds one grouped count over its own column: the map-side
-combine sends each value once per task, which also holds for a value that fills a third of a table.
+whatever its length. A uniqueness rule adds one grouped count over its own column, over hashes where
+values are wide: the map-side combine sends each value once per task, which also holds for a value that
+fills a third of a table.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from orefield.sources.schemas import portable_type
 CURRENCY_CODES = ["USD", "EUR", "GBP", "JPY", "CHF", "CAD", "AUD"]
 
 
+#: Types whose values may be much longer than a hash of them. Maps have no hash, and cannot be grouped either.
+WIDE = (T.StringType, T.BinaryType, T.StructType, T.ArrayType)
+
+
 @dataclass(frozen=True)
 class Rule:
     kind: str
@@ -137,8 +142,18 @@ def _counters(df: DataFrame, r: Rule, i: int) -> list[Column]:
 
 
 def repeated_values(df: DataFrame, column: str) -> DataFrame:
-    """Rows that share their value with another row: every member of a group counts."""
-    groups = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    """Rows that share their value with another row: every member of a group counts.
+
+    Wide values (text, binary, structs) are not shuffled whole: their 64-bit hashes are counted first, and
+    only values whose hash came twice are compared as they are. The join with those hashes is an inner
+    one, which AQE splits on a busy value.
+    """
+    own = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v"))
+    if isinstance(df.schema[column].dataType, WIDE):
+        hashed = own.withColumn("h", F.xxhash64("v"))
+        twice = hashed.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+        own = hashed.join(twice, "h").select("v")
+    groups = own.groupBy("v").agg(F.count("*").alias("n"))
     return groups.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("u"))
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from orefield.functions import convert_timestamp, surrogate_key
-from orefield.operators import bi
+from orefield.operators import bi, skew
 from orefield.plans import customers, incremental, mergeable, sales, transactions, users
 from orefield.session import new_workspace
 from orefield.streaming.runs import RunStore
@@ -322,6 +322,22 @@ def _(lake):
     return sales.regional_sales(lake.stg_sales)
 
 
+@query(
+    "heavy_customer_join",
+    """WITH o AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 7 <> 1 THEN o_custkey END AS c_custkey, o_totalprice FROM orders)
+        SELECT c_mktsegment, COUNT(*) AS orders, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS revenue,
+        CAST(SUM(CASE WHEN c_custkey = 1 THEN 1 ELSE 0 END) AS BIGINT) AS heavy FROM o LEFT JOIN customer USING (c_custkey) GROUP BY 1""",
+)
+def _(lake):
+    """Orders of which a third belong to one customer and some to none, with their customers."""
+    customer = F.when(F.col("o_orderkey") % 3 == 0, 1).when(F.col("o_orderkey") % 7 != 1, F.col("o_custkey"))
+    orders = lake.orders.select("o_orderkey", customer.alias("c_custkey"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    placed = skew.heavy_join(orders, lake.customer.select("c_custkey", "c_mktsegment"), "c_custkey", "left", spread=["o_orderkey"])
+    return placed.groupBy("c_mktsegment").agg(
+        F.count("*").alias("orders"), F.sum("price").cast("decimal(28,2)").alias("revenue"), F.count_if(F.col("c_custkey") == 1).alias("heavy")
+    )
+
+
 @query(
     "running_total",
     """SELECT "date", total_revenue, CAST(SUM(total_revenue) OVER (ORDER BY "date") AS DECIMAL(28,2))

@@ -5,7 +5,7 @@ import pytest
 from rows import rows_of
 from pyspark.sql import functions as F
 
-from orefield.operators import alerts, bi, freshness, governance, health, lineage, runs, volume
+from orefield.operators import alerts, bi, freshness, governance, health, lineage, runs, skew, volume
 
 NOW = "2024-01-10 12:00:00"
 START = datetime(2024, 1, 1)
@@ -322,3 +322,33 @@ def test_last_month_is_half_open(spark):
     df = spark.sql("SELECT explode(sequence(date'2024-01-01', date'2024-04-01')) AS d")
     row = bi.last_month(df, "d", "2024-03-31").agg(F.min("d").cast("string"), F.max("d").cast("string")).first()
     assert tuple(row) == ("2024-02-29", "2024-03-30")
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_heavy_keys_are_dealt_out(spark, how):
+    """A key with half the rows, a null key, keys on one side only: the rows of the plain join, none in one task."""
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 11 != 3, F.col("id") % 500).alias("k"), F.col("id").alias("v")
+    )
+    small = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w")).union(spark.createDataFrame([(7, 1)], "k long, w long"))
+    assert set(skew.heavy_keys(rows, "k", 0.2)) == {7}
+    found = skew.heavy_join(rows, small, "k", how, parts=8)
+    assert rows_of(found) == rows_of(rows.join(small, "k", how))
+    if how in ("inner", "left"):
+        before = {n: spark.conf.get(n) for n in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+        try:
+            for n, v in zip(before, ("false", "-1"), strict=True):
+                spark.conf.set(n, v)
+            sizes = [r["count"] for r in skew.heavy_join(rows, small, "k", how, parts=8).groupBy(F.spark_partition_id()).count().collect()]
+            plain = [r["count"] for r in rows.join(small, "k", how).groupBy(F.spark_partition_id()).count().collect()]
+        finally:
+            for n, v in before.items():
+                spark.conf.set(n, v)
+        assert max(sizes) < 0.6 * max(plain)
+
+
+def test_heavy_join_refuses_other_kinds(spark):
+    one = spark.range(3).withColumnRenamed("id", "k")
+    with pytest.raises(ValueError):
+        skew.heavy_join(one, one, "k", "full")
+    assert skew.heavy_join(one.where("k > 9"), one, "k").count() == 0

@@ -5,7 +5,7 @@ from rows import rows_of
 from pyspark.sql import functions as F
 
 from orefield.operators.quality import history, suites, validation
-from orefield.operators.quality.rules import evaluate, rule
+from orefield.operators.quality.rules import evaluate, repeated_values, rule
 
 
 def outcome(df, *rules):
@@ -170,3 +170,15 @@ def test_daily_metrics_mean_is_exact(spark):
     ).withColumn("success_percent", F.col("success_percent").cast("decimal(5,2)"))
     row = history.daily_metrics(df).first()
     assert (row["layer"], row["total_validations"], row["avg_success_percent"]) == ("raw", 4, 50.0)
+
+
+def test_wide_values_are_counted_by_hashes_first(spark):
+    """Text of 2 kB that is nearly unique: the exchange over all rows carries hashes, and counts are exact."""
+    text = F.rpad(F.concat(F.lit("v"), F.when(F.col("id") % 100 == 1, 5).otherwise(F.col("id")).cast("string")), 2000, "x")
+    rows = spark.range(3000).select(F.when(F.col("id") != 17, text).alias("t"), F.struct(F.col("id") % 2999).alias("s"))
+    for column, want in (("t", 31), ("s", 2)):
+        assert repeated_values(rows, column).first()["u"] == want
+    plan = repeated_values(rows, "t")._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert any("hashpartitioning(h" in x for x in exchanges)
+    assert repeated_values(rows.limit(0), "t").first()["u"] == 0
