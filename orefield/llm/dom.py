@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
@@ -69,13 +69,29 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", None)
-        self.nodes, self.stack, self.runs, self.silent, self.links = [self.root], [("html", self.root)], [], 0, 0
+        self.nodes, self.stack, self.runs, self.silent, self.links = [self.root], [], [], 0, 0
+        #: Places in the stack of each open tag, of blocks and of silent elements: what an end tag meets is found at once.
+        self.places, self.blocks, self.mute = defaultdict(list), [], []
+        self.push("html", self.root)
         self.fresh = True
 
+    def push(self, tag, node):
+        at = len(self.stack)
+        self.stack.append((tag, node))
+        self.places[tag].append(at)
+        if tag in BLOCKS:
+            self.blocks.append(at)
+        if node is None:
+            self.mute.append(at)
+
+    def last(self, tags) -> int:
+        """The innermost open element with one of these tags, not counting the root; 0 where there is none."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+
     def handle_starttag(self, tag, attrs):
         if self.silent:
             if tag in SILENT and tag not in VOID:
-                self.stack.append((tag, None))
+                self.push(tag, None)
                 self.silent += 1
             return
         if tag == "br":
@@ -85,45 +101,39 @@ class Tree(HTMLParser):
             self.fresh |= tag == "hr"
             return
         if tag in SILENT:
-            self.stack.append((tag, None))
+            self.push(tag, None)
             self.silent = 1
             return
-        if tag in ("html", "body") and any(t == tag for t, _ in self.stack):
+        if tag in ("html", "body") and self.places[tag]:
             return
         if tag in BLOCKS:
             self.implied(tag)
             node = Node(tag, self.stack[-1][1], *attribute_tokens(attrs))
             node.parent.children.append(node)
             self.nodes.append(node)
-            self.stack.append((tag, node))
+            self.push(tag, node)
             self.fresh = True
         else:
             self.links += tag == "a"
-            self.stack.append((tag, self.stack[-1][1]))
+            self.push(tag, self.stack[-1][1])
 
     def implied(self, tag):
         """Close what a new block ends: an open paragraph, and items of the same list."""
-        for i in range(len(self.stack) - 1, 0, -1):
-            t = self.stack[i][0]
-            if t == "p":
-                self.cut(i)
-                break
-            if t in BLOCKS:
-                break
-        ends = ENDS.get(tag)
-        if ends:
-            for i in range(len(self.stack) - 1, 0, -1):
-                if self.stack[i][0] in KEEPS[tag]:
-                    break
-                if self.stack[i][0] in ends:
-                    self.cut(i)
-                    break
+        inner = self.blocks[-1]
+        if self.stack[inner][0] == "p":
+            self.cut(inner)
+        if tag in ENDS and (open_ := self.last(ENDS[tag])) > self.last(KEEPS[tag]):
+            self.cut(open_)
 
     def cut(self, i):
         for tag, node in self.stack[i:]:
             self.links -= tag == "a"
             self.silent -= node is None and self.silent > 0
             self.fresh |= tag in BLOCKS
+            self.places[tag].pop()
+        for found in (self.blocks, self.mute):
+            while found and found[-1] >= i:
+                found.pop()
         del self.stack[i:]
 
     def handle_endtag(self, tag):
@@ -131,15 +141,13 @@ class Tree(HTMLParser):
             self.text(" ")
             return
         self.fresh |= tag == "p"  # also one that closes nothing
-        for i in range(len(self.stack) - 1, 0, -1):
-            t, node = self.stack[i]
-            if t == tag:
-                self.cut(i)
-                return
-            if self.silent and node is None and tag not in ("body", "html"):
-                return
-            if tag not in BLOCKS and t in BLOCKS:
-                return
+        at = self.last((tag,))
+        # An inline end tag does not reach out of its block, nor another one out of a silent element.
+        if not at or (tag not in BLOCKS and self.blocks[-1] > at):
+            return
+        if self.silent and tag not in ("body", "html") and self.mute and self.mute[-1] > at:
+            return
+        self.cut(at)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)

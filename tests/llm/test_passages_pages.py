@@ -196,3 +196,17 @@ def test_unclosed_and_nested_markup():
     assert dom.blocks(tree, [True] * len(tree.nodes)).split("\n") == ["a", "b cd", "e", "x", "y", "z", "p", "q", "r", "s"]
     deep = dom.parsed("<div>" * 3000 + "deep" + "</div>" * 3000)
     assert extraction.decoded(deep, np.ones(len(deep.nodes))).sum() >= 1
+
+
+def test_parse_is_linear_in_odd_tags():
+    """End tags that close nothing and unclosed elements, which an end tag must not walk through one by one."""
+    import time
+
+    def seconds(html):
+        start = time.process_time()
+        dom.parsed(html)
+        return time.process_time() - start
+
+    for odd in ("<span>x</i>", "<div><b>x</i></p>", "<p><i>x</b></li>", "<td></tr>x"):
+        small, large = min(seconds(odd * 5000) for _ in range(3)), seconds(odd * 50000)
+        assert large < 40 * small + 0.5, odd
