@@ -3,7 +3,8 @@
 Windows as long as an item are embedded by CGK random walks, which turn a small edit distance into a
 small Hamming distance; repeated samples of embedded coordinates are the keys of a locality-sensitive
 index over the items; candidates are verified by their exact edit distance. Walks and samples are
-repeated until simulated edits of the items themselves are found at the target recall.
+repeated until simulated edits of the items themselves are found at the target recall; for lengths where
+``WALKS`` walks do not reach it (long items, with many edits) every window that can match is verified.
 
 Only windows that can match are embedded: an item within k edits keeps one of its k + 1 segments
 whole, so a window without any such segment on its diagonal is out, and none that matches is lost.
@@ -93,11 +94,15 @@ def keys_of(x: np.ndarray, walk: int) -> np.ndarray:
 
 @dataclass
 class Class:
-    """The items of one length: their words as numbers, and their sorted keys of every walk."""
+    """The items of one length: their words as numbers, and their sorted keys of every walk.
+
+    ``reached`` is the share of simulated edits that the keys find; below the target they are not used.
+    """
 
     rows: np.ndarray
     owner: np.ndarray
     keys: list[tuple[np.ndarray, np.ndarray]]
+    reached: float = 1.0
 
     def add_walk(self) -> None:
         k = keys_of(self.rows, len(self.keys))
@@ -166,7 +171,7 @@ class Index:
         return index
 
     def repeat_walks(self, group: Class) -> None:
-        """Walks until items at their edit limit are found at the target recall."""
+        """Walks until items at their edit limit are found at the target recall, as far as ``WALKS`` go."""
         n = group.rows.shape[1]
         if not edit_limit(n):
             group.add_walk()
@@ -179,8 +184,10 @@ class Index:
             group.add_walk()
             pairs = group.candidates(tries)
             found = np.unique(pairs[pairs[:, 1] == truth[pairs[:, 0]], 0])
-            if len(found) >= RECALL * len(tries):
-                break
+            group.reached = len(found) / len(tries)
+            if group.reached >= RECALL:
+                return
+        group.keys.clear()
 
 
 def gram(x: np.ndarray, n: int) -> np.ndarray:
@@ -216,6 +223,7 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 def matches(index: Index, x: np.ndarray, owner: np.ndarray, first: np.ndarray, size: np.ndarray):
     """(text, item, start, end, edits) of the verified passages in texts laid end to end."""
     diagonals: dict[int, set] = {}
+    sure: dict[tuple[int, int], set] = {}
     for n, (keys, item, offset) in index.grams.items():
         m = len(x) - n + 1
         if m <= 0:
@@ -234,8 +242,32 @@ def matches(index: Index, x: np.ndarray, owner: np.ndarray, first: np.ndarray, s
                 text = owner[known[j]]
                 # Near the ends of a text the window is moved inside.
                 start = max(first[text], min(known[j] - offset[q], first[text] + size[text] - length))
-                diagonals.setdefault(length, set()).add(int(start))
+                if index.classes[length].keys:
+                    diagonals.setdefault(length, set()).add(int(start))
+                else:
+                    sure.setdefault((int(text), int(item[q])), set()).add(int(start))
     found: dict[tuple[int, int], tuple] = {}
+
+    def verify(t: int, i: int, low: int, high: int) -> None:
+        """The item in the text, for windows that begin from ``low`` to ``high``."""
+        item = index.items[i]
+        limit = edit_limit(len(item))
+        a, b = max(first[t], low - limit), min(first[t] + size[t], high + len(item) + limit)
+        edits, end = best_match(item, x[a:b])
+        if edits <= limit:
+            back, before = best_match(item[::-1], x[a : a + end][::-1])
+            start = int(a + end - before - first[t])
+            new = (edits, start, int(a + end - first[t]))
+            found[t, i] = min(new, found.get((t, i), new))
+
+    for (t, i), starts in sure.items():
+        low = high = None
+        for start in sorted(starts):
+            if low is not None and start - low > edit_limit(len(index.items[i])):
+                verify(t, i, low, high)
+                low = None
+            low, high = start if low is None else low, start
+        verify(t, i, low, high)
     for length, starts in diagonals.items():
         group = index.classes[length]
         at = np.array(sorted(starts))
@@ -246,16 +278,7 @@ def matches(index: Index, x: np.ndarray, owner: np.ndarray, first: np.ndarray, s
             last = (first + size)[text]
             windows = np.where(places < last[:, None], x[np.minimum(places, len(x) - 1)], 0)
             for w, row in group.candidates(windows).tolist():
-                limit, t = edit_limit(length), int(text[w])
-                a, b = max(first[t], part[w] - limit), min(last[w], part[w] + length + limit)
-                i = int(group.owner[row])
-                item = index.items[i]
-                edits, end = best_match(item, x[a:b])
-                if edits <= limit:
-                    back, before = best_match(item[::-1], x[a : a + end][::-1])
-                    start = int(a + end - before - first[t])
-                    new = (edits, start, int(a + end - first[t]))
-                    found[t, i] = min(new, found.get((t, i), new))
+                verify(int(text[w]), int(group.owner[row]), int(part[w]), int(part[w]))
     return [(t, i, start, end, edits) for (t, i), (edits, start, end) in sorted(found.items())]
 
 

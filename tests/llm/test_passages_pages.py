@@ -79,6 +79,27 @@ def test_items_in_several_blocks(spark, table, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in dc.passages(table(docs), bench).collect()} == {(i, i) for i in range(12)}
 
 
+def test_recall_for_every_length():
+    """Passages at the edit limit, in a text of 3,000 words; beyond the reach of the keys all windows are verified."""
+    rng = np.random.default_rng(12)
+    for n, least in ((15, 0.9), (100, 0.9), (400, 0.9), (1000, 1.0)):
+        items = [" ".join(f"w{v}" for v in rng.integers(0, 5000, n)) for _ in range(10)]
+        index = dc.Index.of(list(range(10)), items)
+        group = index.classes[n]
+        assert bool(group.keys) == (group.reached >= dc.RECALL) and (n > 100 or group.keys)
+        hits = 0
+        for i in range(10):
+            own = index.items[i].tolist()
+            for _ in range(dc.edit_limit(n)):
+                kind, at = rng.integers(3), int(rng.integers(len(own)))
+                own[at : at + (kind != 0)] = [] if kind == 1 else [0]
+            text = np.concatenate([np.zeros(800, np.int64), own, np.zeros(2000 - n, np.int64)])
+            rows = dc.matches(index, text, np.zeros(len(text), np.int64), np.array([0]), np.array([len(text)]))
+            hits += any(item == i and edits <= dc.edit_limit(n) for _, item, _, _, edits in rows)
+        least = least if group.keys else 1.0
+        assert hits >= least * 10, (n, hits, group.reached)
+
+
 def test_passages_of_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "the same words in the same order make the very same text")], "item_id long, text string")
     empty = bench.limit(0)
