@@ -23,6 +23,8 @@ from orefield.llm.common import by_bytes, id_and_text
 
 #: Parts that a worker remembers, by frequency of arrival; a bound of memory, never of results.
 CACHE_PARTS = 500_000
+#: The same for words in the word vocabulary, which take less room.
+CACHE_WORDS = 1_200_000
 #: Longer parts are not remembered.
 CACHE_CHARS = 64
 #: A single blank between two characters that are no white space: byte-level BPE puts it at the start
@@ -43,6 +45,9 @@ def load(vocabulary: str):
 class Remembered:
     """What ``of`` makes of the library's encoding of a part, kept for parts that come again."""
 
+    def most(self) -> int:
+        return CACHE_PARTS
+
     def __init__(self, vocabulary: str, prefix: str, of: Callable):
         self.tokenizer, self.prefix, self.of, self.kept = load(vocabulary), prefix, of, {}
 
@@ -59,7 +64,7 @@ class Remembered:
         kept = self.kept
         new = list(set().union(*lists).difference(kept))
         own = self.fresh(new) if new else {}
-        room = max(0, CACHE_PARTS - len(kept))
+        room = max(0, self.most() - len(kept))
         kept.update(own)
         found = [list(map(kept.__getitem__, x)) for x in lists]
         fit = 0
@@ -77,6 +82,9 @@ class RememberedWords(Remembered):
     fewer forms. Plain cores are one word each, so they are encoded as one text and parted at word ends.
     """
 
+    def most(self) -> int:
+        return CACHE_WORDS
+
     def __init__(self, vocabulary: str):
         super().__init__(vocabulary, "", little_endian)
         entries = self.tokenizer.get_vocab(with_added_tokens=True)
