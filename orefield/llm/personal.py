@@ -1,13 +1,14 @@
 """Personal data: patterns, and a skip-chain conditional random field that carries labels across a document.
 
-The field runs over the lines that hold a digit or an at sign. Its chain joins neighbouring words; its
+The field runs over the lines that hold a digit, an at sign, or the words at and dot as signs. Its chain joins neighbouring words; its
 skip edges join repeats of a word in the document, and words with the same digits or the same letters,
 one to the next, so that any number of repeats adds as many edges. Loopy sum-product messages spread
 the evidence: a number that the patterns accept in one place lifts its repeats elsewhere.
 
 The weights are fitted piece by piece (word features, chain, skip edges) on a bounded sample of
-documents whose labels are the pattern matches. In part of the sample's copies the telling characters
-are blanked, so that context and shape have to speak as well.
+documents whose labels are the pattern matches. The sample is read three times: as it is, with the telling
+characters blanked, and with its matches written as people hide them (``hidden``), so that context, shape and
+disguise have to speak as well. What the field adds has to be possible data of its kind (``possible``).
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MASKS = {k: f"[{k.upper()}]" for k in KINDS}
 
 SAMPLE, SAMPLE_CHARS = 600, 20_000
-HASHED, STEPS, RATE, DECAY = 4096, 150, 1.0, 1e-3
+HASHED, STEPS, RATE, DECAY = 4096, 150, 1.0, 1e-4
+#: Ways to hide a match; how much more a word of personal data may count than one without, in fitting.
+WAYS, MOST_WEIGHT = 4, 30.0
 DAMPING, CERTAIN = 0.3, 0.95
 #: Messages that move by less are settled. An edge that has had so many turns more than the longest line or chain of
 #: repeats has words is in a loop that does not settle by itself: from then on it moves less by COOLING each turn.
@@ -44,7 +47,24 @@ SETTLED, TURNS, COOLING = 1e-4, 100, 0.9
 MATCHED = 9.0
 LABELS = len(KINDS) + 1  # 0 is no personal data
 WORD = re.compile(r"\S+")
-TELLING = re.compile(r"[0-9@]")
+#: The words at and dot where they stand for signs: in brackets, or dot as a word.
+SIGN = r"[\[({<]\s*(?:at|dot|\.)\s*[\])}>]"
+TELLING = re.compile(rf"[0-9@]|{SIGN}|\sdot\s", re.IGNORECASE)
+BRACKETED = re.compile(SIGN, re.IGNORECASE)
+DOTTED = r"(?:\.|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\sdot\s)"
+# Ends of domains that make an at and a dot in plain words an address.
+ENDINGS = "com org net edu gov mil int info biz io co dev app me tv us uk de fr es it nl eu ch be ca au jp cn in br ru".replace(" ", "|")
+#: What an added span must look like; digits are counted besides.
+POSSIBLE = [
+    re.compile(rf"[\w.%+-]+(?:@[\w-]+(?:{DOTTED}[\w-]+)*|\s*[\[({{<]\s*at\s*[\])}}>]\s*[\w-]+(?:{DOTTED}[\w-]+)+|\sat\s[\w-]+(?:{DOTTED}[\w-]+)*{DOTTED}(?:{ENDINGS})\b)", re.IGNORECASE),
+    re.compile(rf"[0-9]+(?:(?:{DOTTED}|[,:])[0-9]+){{3}}(?::[0-9]+)?", re.IGNORECASE),
+    re.compile(r"[0-9](?:[\x20./_-]*[0-9])+"),
+    re.compile(r"\+?[(]?[0-9](?:[\x20()./_-]*[0-9])+"),
+]
+#: Other words of a run need this much; one has to be CERTAIN.
+LIKELY = 0.5
+#: The least probability of a span's own kind; what the kind must look like decides between kinds.
+LEAST = 0.02
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -97,7 +117,51 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def possible(kind: int, span: str) -> bool:
+    """Whether a span may be data of its kind, other marks of writing aside."""
+    if not POSSIBLE[kind].fullmatch(span):
+        return False
+    digits = digits_of(span)
+    if kind == 1:
+        parts = re.findall("[0-9]+", span)[:4]
+        return all(int(p.lstrip("0")[:4] or 0) <= 255 for p in parts)
+    if kind == 2:
+        return 16 <= len(digits) <= 19 and luhn(digits)
+    # Without a plus there are too many other numbers of eight or nine digits, dates among them.
+    return kind == 0 or (8 if span[0] == "+" else 10) <= len(digits) <= 15
+
+
+def hidden(text: str, found: list[tuple[int, int, int]], way: int = 0) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with its matches written otherwise, and where they are then: one of ``WAYS`` ways, from the ``way``-th on."""
+    out, spans, at, size = [], [], 0, 0
+    for a, b, k in sorted((a, b, k) for k, a, b in found):
+        if a < at:
+            continue
+        own, digits = text[a:b], digits_of(text[a:b])
+        fours = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        if k == 0:
+            local, _, domain = own.partition("@")
+            ways = [f"{local} at {domain.replace('.', ' dot ')}", f"{local} (at) {domain}", f"{local}[at]{domain.replace('.', '[dot]')}", f"{local}@{domain.split('.')[0]}"]
+        elif k == 1:
+            ways = [own.replace(".", x) for x in ("[.]", " dot ", "(.)")]
+        elif k == 2:
+            ways = [x.join(fours) for x in (".", "/", "_")]
+        else:
+            ways = [own[1:], digits, f"({digits[-10:-7]}) {digits[-7:-4]}-{digits[-4:]}", f"{digits[-10:-7]}.{digits[-7:-4]}.{digits[-4:]}"]
+            ways = [x for x in ways if x[:1].isdigit() or x[1:2].isdigit()]
+        new = ways[way % len(ways)]
+        out += [text[at:a], new]
+        size += a - at
+        spans.append((k, size, size + len(new)))
+        size, at = size + len(new), b
+    return "".join([*out, text[at:]]), sorted(spans)
+
+
 def shape(word: str) -> str:
+    plain = word.strip("[](){}<>").lower()
+    if plain in ("at", "dot"):
+        return f"<{plain}>"
+    word = BRACKETED.sub(lambda m: "@" if "a" in m[0].lower() else "[.]", word)
     x = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "9", word))
     return re.sub(r"(9{4})9+", r"\1+", x)[:24]
 
@@ -241,35 +305,47 @@ class Field:
         return np.exp(b - np.logaddexp.reduce(b, 1, keepdims=True)) if n else b
 
     def more_spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Runs of words that are surely of one kind and hold a digit or an at sign, cut at the pattern matches.
+        """Possible data in runs of words that are likely data, one of them surely; cut at the pattern matches.
 
-        What is left of a word beside a match within it has to be sure as a word of its own.
+        Where a run may be read in several ways, the likelier kind goes first. What is left of a word beside a
+        match within it has to be sure as a word of its own.
         """
         words = Words.of(text)
         if not words.spans:
             return []
         p = self.marginals(words, base)
-        label = np.where(p.max(1) >= CERTAIN, p.argmax(1), 0)
+        data = 1 - p[:, 0]
         taken = apart((a, b) for _, a, b in base)
         out, i = [], 0
-        while i < len(label):
+        while i < len(data):
             j = i + 1
-            while j < len(label) and label[j] == label[i] and words.joined[j]:
+            while j < len(data) and words.joined[j] and (data[j] >= LIKELY) == (data[i] >= LIKELY):
                 j += 1
-            if label[i]:
+            if data[i] >= LIKELY and data[i:j].max() >= CERTAIN:
                 for a, b in free_parts(words.spans[i][0], words.spans[j - 1][1], taken):
-                    whole = [s for s in words.spans[i:j] if a <= s[0] and s[1] <= b]
-                    first, last = (whole[0][0], whole[-1][1]) if whole else (b, b)
+                    whole = [k for k in range(i, j) if a <= words.spans[k][0] and words.spans[k][1] <= b]
+                    first, last = (words.spans[whole[0]][0], words.spans[whole[-1]][1]) if whole else (b, b)
                     for start, end in ((a, first), (last, b)):
                         if TELLING.search(text, start, end):
                             out += [(k, start + x, start + y) for k, x, y in self.more_spans(text[start:end], [])]
-                    first += len(text[first:last]) - len(text[first:last].lstrip(".,;:!?([{<\"'"))
-                    last -= len(text[first:last]) - len(text[first:last].rstrip(".,;:!?)]}>\"'"))
-                    if first < last and TELLING.search(text, first, last):
-                        out.append((int(label[i]) - 1, first, last))
+                    out += self.readings(text, words, p, whole, first, last)
             i = j
         return out
 
+    def readings(self, text: str, words: Words, p: np.ndarray, run: list[int], first: int, last: int) -> list[tuple[int, int, int]]:
+        """The likeliest possible spans from ``first`` to ``last`` that do not overlap, each with a sure word."""
+        found = []
+        for kind, pattern in enumerate(POSSIBLE):
+            for m in pattern.finditer(text, first, last):
+                held = [k for k in run if words.spans[k][0] < m.end() and m.start() < words.spans[k][1]]
+                if possible(kind, m[0]) and p[held, 0].min() <= 1 - CERTAIN and p[held, kind + 1].max() >= LEAST:
+                    found.append((-p[held, kind + 1].mean(), kind, *m.span()))
+        out: list[tuple[int, int, int]] = []
+        for _, kind, a, b in sorted(found):
+            if all(b <= x or y <= a for _, x, y in out):
+                out.append((kind, a, b))
+        return out
+
 
 def spans_of(text: str, field: Field | None) -> tuple[list, list]:
     """(base spans, all spans), each by kind, then start."""
@@ -282,10 +358,20 @@ def learned(texts: list[str]) -> Field | None:
     """The potentials of a sample of texts, labelled by the patterns."""
     features, labels, chain, skip = [], [], np.full((LABELS, LABELS), 0.5), np.full((LABELS, LABELS), 0.5)
     for text in texts:
+        base = base_spans(text)
+        for way in range(WAYS if base else 0):
+            other, moved = hidden(text, base, way)
+            disguised = Words.of(other)
+            if not disguised.spans:
+                continue
+            features.append(disguised.features())
+            labels.append(y := disguised.labels(moved))
+            at = np.flatnonzero(disguised.joined)
+            np.add.at(chain, (y[at - 1], y[at]), 1)
         words = Words.of(text)
         if not words.spans:
             continue
-        y = words.labels(base_spans(text))
+        y = words.labels(base)
         for hide in (False, True):
             features.append(words.features(hide))
             labels.append(y)
@@ -298,12 +384,16 @@ def learned(texts: list[str]) -> Field | None:
         return None
     x, y = np.concatenate(features), np.concatenate(labels)
     w, n, target = np.zeros((HASHED, LABELS)), len(y), np.eye(LABELS)[y]
-    seen = np.bincount(x.ravel(), minlength=HASHED) / n
+    # Personal data is rare: its kinds count as much as all other words, as far as the weight goes.
+    share = np.bincount(y, minlength=LABELS) / n
+    weight = np.minimum(MOST_WEIGHT, share[0] / np.maximum(share, 1e-9))[y]
+    weight /= weight.mean()
+    seen = np.bincount(x.ravel(), np.repeat(weight, x.shape[1]), HASHED) / n
     rate = RATE / (x.shape[1] * np.sqrt(seen + 1e-3))[:, None]
     for _ in range(STEPS):
         z = w[x].sum(1)
         p = np.exp(z - np.logaddexp.reduce(z, 1, keepdims=True))
-        g = np.column_stack([np.bincount(x.ravel(), np.repeat((p - target)[:, k], x.shape[1]), HASHED) for k in range(LABELS)]) / n
+        g = np.column_stack([np.bincount(x.ravel(), np.repeat((p - target)[:, k] * weight, x.shape[1]), HASHED) for k in range(LABELS)]) / n
         w -= rate * (g + DECAY * w)
 
     def lift(counts):

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from orefield.llm import personal, toxicity
 
@@ -83,6 +84,53 @@ def test_the_field_adds_spans_beside_matches():
     assert personal.spans_of("10.0.0.1:8080", field) == ([(1, 0, 8)], [(1, 0, 8)])
 
 
+def planted(rng, n):
+    """Prose with hidden data: (text, spans). The ways of hiding overlap with the ones trained on, the words do not."""
+    out = []
+    for _ in range(n):
+        name, host = "".join(rng.choices("klmnoprst", k=6)), "".join(rng.choices("abcdefg", k=5))
+        digits = [str(rng.randrange(10)) for _ in range(10)]
+        number = [str(rng.randrange(256)) for _ in range(4)]
+        card = "4" + "".join(str(rng.randrange(10)) for _ in range(14))
+        card += next(c for c in "0123456789" if personal.luhn(card + c))
+        kind, span = rng.choice([
+            (0, f"{name} at {host} dot com"), (0, f"{name} (at) {host}.org"), (0, f"{name}[at]{host}[dot]net"), (0, f"{name}.{number[0]}@{host}"),
+            (1, "[.]".join(number)), (1, " dot ".join(number)), (2, ".".join(card[i : i + 4] for i in (0, 4, 8, 12))), (2, "/".join(card[i : i + 4] for i in (0, 4, 8, 12))),
+            (3, f"1 ({''.join(digits[:3])}) {''.join(digits[3:6])}-{''.join(digits[6:])}"), (3, f"({''.join(digits[:3])}) {''.join(digits[3:6])}-{''.join(digits[6:])}"),
+        ])
+        words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(14)]
+        clean = [rng.choice(["3 trees", "version 2.14.7", "on 2024-01-15", "item 48213", "at the dot", "7 at once", "a4f9c2", "12,500 people", "look at it"]) for _ in range(2)]
+        text = " ".join([*words[:6], clean[0], *words[6:9]]) + ", "
+        out.append((f"{text}{span} " + " ".join([*words[9:], clean[1]]), (kind, len(text), len(text) + len(span))))
+    return out
+
+
+def test_hidden_data_is_found():
+    """Recall and precision of what the field adds; the base spans stay as they are."""
+    rng = random.Random(21)
+    docs = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if t and personal.TELLING.search(t)]
+    field = personal.learned(sorted(docs)[:600])
+    right = wrong = missed = 0
+    for text, span in planted(rng, 400):
+        base, every = personal.spans_of(text, field)
+        added = set(every) - set(base)
+        assert set(base) <= set(every)
+        if span in base:
+            continue
+        right, wrong, missed = right + (span in added), wrong + len(added - {span}), missed + (span not in added)
+    assert right / (right + missed) >= 0.9 and right / (right + wrong) >= 0.9, (right, wrong, missed)
+    found = [personal.spans_of(t, field) for t in docs]
+    assert sum(len(every) - len(base) for base, every in found) <= 0.1 * sum(len(base) for base, _ in found) + 5
+
+
+def test_hidden_texts_keep_their_spans():
+    text = "mail a.b@x.example.org, call +1 (743) 555-3824 or 4111 1111 1111 1111 from 10.0.0.1 now"
+    for way in range(personal.WAYS):
+        other, spans = personal.hidden(text, personal.base_spans(text), way)
+        assert [k for k, _, _ in spans] == [0, 1, 2, 3] and other.endswith(" now") and other != text
+        assert all(personal.possible(k, other[a:b]) for k, a, b in spans), [other[a:b] for _, a, b in spans]
+
+
 def test_evidence_reaches_far_repeats():
     lines = "call 5550123456\n" + "5550123456\n" * 40
     told = field_of({("ba", 4): 9}, skip=4.0).marginals(personal.Words.of(lines))
