@@ -54,5 +54,5 @@ def test_empty_tables(spark, none, folder):
 
 def test_every_operator_is_registered():
     names = {re.match(r"op\d+", n)[0] for n in contract.queries() if re.match(r"op\d+_", n)}
-    assert names == {f"op{n}" for n in range(1, 11)} and "pipeline" in contract.queries()
+    assert names == {f"op{n}" for n in range(1, 14)} and "pipeline" in contract.queries()
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
