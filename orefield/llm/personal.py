@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,15 +49,16 @@ LABELS = len(KINDS) + 1  # 0 is no personal data
 WORD = re.compile(r"\S+")
 #: The words at and dot where they stand for signs: in brackets, or dot as a word.
 SIGN = r"[\[({<]\s*(?:at|dot|\.)\s*[\])}>]"
-TELLING = re.compile(rf"[0-9@]|{SIGN}|\sdot\s", re.IGNORECASE)
+TELLING = re.compile(r"[0-9@]")
+DOT_WORD = re.compile(r"\sdot\s", re.IGNORECASE)
 BRACKETED = re.compile(SIGN, re.IGNORECASE)
 DOTTED = r"(?:\.|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\sdot\s)"
 # Ends of domains that make an at and a dot in plain words an address.
 ENDINGS = "com org net edu gov mil int info biz io co dev app me tv us uk de fr es it nl eu ch be ca au jp cn in br ru".replace(" ", "|")
 #: What an added span must look like; digits are counted besides.
 POSSIBLE = [
-    re.compile(rf"[\w.%+-]+(?:@[\w-]+(?:{DOTTED}[\w-]+)*|\s*[\[({{<]\s*at\s*[\])}}>]\s*[\w-]+(?:{DOTTED}[\w-]+)+|\sat\s[\w-]+(?:{DOTTED}[\w-]+)*{DOTTED}(?:{ENDINGS})\b)", re.IGNORECASE),
-    re.compile(rf"[0-9]+(?:(?:{DOTTED}|[,:])[0-9]+){{3}}(?::[0-9]+)?", re.IGNORECASE),
+    re.compile(rf"(?<![\w.%+-])[\w.%+-]++(?:@[\w-]+(?:{DOTTED}[\w-]+)*|\s*[\[({{<]\s*at\s*[\])}}>]\s*[\w-]+(?:{DOTTED}[\w-]+)+|\sat\s[\w-]+(?:{DOTTED}[\w-]+)*{DOTTED}(?:{ENDINGS})\b)", re.IGNORECASE),
+    re.compile(rf"(?<![0-9])[0-9]++(?:(?:{DOTTED}|[,:])[0-9]++){{3}}(?::[0-9]++)?", re.IGNORECASE),
     re.compile(r"[0-9](?:[\x20./_-]*[0-9])+"),
     re.compile(r"\+?[(]?[0-9](?:[\x20()./_-]*[0-9])+"),
 ]
@@ -117,6 +118,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def telling(text: str) -> bool:
+    """Whether a text or line may hold data: a digit, an at sign, or a word for a sign. Cheap looks come first."""
+    if TELLING.search(text):
+        return True
+    if any(x in text for x in ("dot", "Dot", "DOT")) and DOT_WORD.search(text):
+        return True
+    return any(x in text for x in "([{<") and bool(BRACKETED.search(text))
+
+
 def possible(kind: int, span: str) -> bool:
     """Whether a span may be data of its kind, other marks of writing aside."""
     if not POSSIBLE[kind].fullmatch(span):
@@ -158,10 +168,14 @@ def hidden(text: str, found: list[tuple[int, int, int]], way: int = 0) -> tuple[
 
 
 def shape(word: str) -> str:
-    plain = word.strip("[](){}<>").lower()
-    if plain in ("at", "dot"):
-        return f"<{plain}>"
-    word = BRACKETED.sub(lambda m: "@" if "a" in m[0].lower() else "[.]", word)
+    if word.isalpha() and len(word) > 3:
+        return "a"
+    if len(word) < 12:
+        plain = word.strip("[](){}<>").lower()
+        if plain in ("at", "dot"):
+            return f"<{plain}>"
+    if any(x in word for x in "([{<"):
+        word = BRACKETED.sub(lambda m: "@" if "a" in m[0].lower() else "[.]", word)
     x = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "9", word))
     return re.sub(r"(9{4})9+", r"\1+", x)[:24]
 
@@ -178,7 +192,7 @@ class Words:
     def of(cls, text: str) -> Words:
         spans, joined, at = [], [], 0
         for line in text.split("\n"):
-            if TELLING.search(line):
+            if telling(line):
                 found = [(at + m.start(), at + m.end()) for m in WORD.finditer(line)]
                 joined += [i > 0 for i in range(len(found))]
                 spans += found
@@ -257,6 +271,19 @@ def free_parts(a: int, b: int, taken: list[tuple[int, int]]) -> list[tuple[int,
     return [(x, y) for x, y in [*out, (a, b)] if x < y]
 
 
+def worth_asking(text: str, taken: list[tuple[int, int]]) -> bool:
+    """Whether some telling line holds possible data outside of ``taken``: else nothing could be added."""
+    at = 0
+    for line in text.split("\n"):
+        if telling(line):
+            for a, b in free_parts(at, at + len(line), taken):
+                part = text[a:b]
+                if any(possible(k, m[0]) for k, pattern in enumerate(POSSIBLE) for m in pattern.finditer(part)):
+                    return True
+        at += len(line) + 1
+    return False
+
+
 @dataclass
 class Field:
     """Log potentials of features, neighbours and skip edges."""
@@ -310,12 +337,12 @@ class Field:
         Where a run may be read in several ways, the likelier kind goes first. What is left of a word beside a
         match within it has to be sure as a word of its own.
         """
-        words = Words.of(text)
-        if not words.spans:
+        taken = apart((a, b) for _, a, b in base)
+        if not worth_asking(text, taken):
             return []
+        words = Words.of(text)
         p = self.marginals(words, base)
         data = 1 - p[:, 0]
-        taken = apart((a, b) for _, a, b in base)
         out, i = [], 0
         while i < len(data):
             j = i + 1
@@ -326,7 +353,7 @@ class Field:
                     whole = [k for k in range(i, j) if a <= words.spans[k][0] and words.spans[k][1] <= b]
                     first, last = (words.spans[whole[0]][0], words.spans[whole[-1]][1]) if whole else (b, b)
                     for start, end in ((a, first), (last, b)):
-                        if TELLING.search(text, start, end):
+                        if telling(text[start:end]):
                             out += [(k, start + x, start + y) for k, x, y in self.more_spans(text[start:end], [])]
                     out += self.readings(text, words, p, whole, first, last)
             i = j
@@ -334,15 +361,21 @@ class Field:
 
     def readings(self, text: str, words: Words, p: np.ndarray, run: list[int], first: int, last: int) -> list[tuple[int, int, int]]:
         """The likeliest possible spans from ``first`` to ``last`` that do not overlap, each with a sure word."""
-        found = []
+        found, starts = [], [words.spans[k][0] for k in run]
         for kind, pattern in enumerate(POSSIBLE):
             for m in pattern.finditer(text, first, last):
-                held = [k for k in run if words.spans[k][0] < m.end() and m.start() < words.spans[k][1]]
-                if possible(kind, m[0]) and p[held, 0].min() <= 1 - CERTAIN and p[held, kind + 1].max() >= LEAST:
-                    found.append((-p[held, kind + 1].mean(), kind, *m.span()))
+                if not possible(kind, m[0]):
+                    continue
+                low, high = max(0, bisect_right(starts, m.start()) - 1), bisect_left(starts, m.end())
+                held = p[run[low:high]]
+                if held[:, 0].min() <= 1 - CERTAIN and held[:, kind + 1].max() >= LEAST:
+                    found.append((-held[:, kind + 1].mean(), kind, *m.span()))
         out: list[tuple[int, int, int]] = []
+        taken: list[tuple[int, int]] = []
         for _, kind, a, b in sorted(found):
-            if all(b <= x or y <= a for _, x, y in out):
+            at = bisect_left(taken, (a, b))
+            if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+                taken.insert(at, (a, b))
                 out.append((kind, a, b))
         return out
 
@@ -350,7 +383,7 @@ class Field:
 def spans_of(text: str, field: Field | None) -> tuple[list, list]:
     """(base spans, all spans), each by kind, then start."""
     base = base_spans(text)
-    more = field.more_spans(text, base) if field and TELLING.search(text) else []
+    more = field.more_spans(text, base) if field and telling(text) else []
     return base, sorted(base + more)
 
 
@@ -359,8 +392,10 @@ def learned(texts: list[str]) -> Field | None:
     features, labels, chain, skip = [], [], np.full((LABELS, LABELS), 0.5), np.full((LABELS, LABELS), 0.5)
     for text in texts:
         base = base_spans(text)
-        for way in range(WAYS if base else 0):
-            other, moved = hidden(text, base, way)
+        # Disguises are learned from the lines with matches alone.
+        matched = "\n".join(line for line in text.split("\n") if base_spans(line)) if base else ""
+        for way in range(WAYS if matched else 0):
+            other, moved = hidden(matched, base_spans(matched), way)
             disguised = Words.of(other)
             if not disguised.spans:
                 continue

@@ -108,7 +108,7 @@ def planted(rng, n):
 def test_hidden_data_is_found():
     """Recall and precision of what the field adds; the base spans stay as they are."""
     rng = random.Random(21)
-    docs = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if t and personal.TELLING.search(t)]
+    docs = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if t and personal.telling(t)]
     field = personal.learned(sorted(docs)[:600])
     right = wrong = missed = 0
     for text, span in planted(rng, 400):
