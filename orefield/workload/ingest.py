@@ -11,7 +11,7 @@ from orefield.operators import ledger, watermarks
 from orefield.plans import customers, sales
 from orefield.plans.snapshots import apply_snapshot, slowly_changing
 from orefield.session import new_workspace
-from orefield.sources import files, layers, schemas, tables
+from orefield.sources import files, json_types, layers, schemas, tables
 from orefield.workload.registry import query
 from orefield.workload.tables import EVENTS_NOW
 
@@ -591,6 +591,62 @@ def _(lake):
     return schemas.detect_schema(files.read_json(lake.spark, root))
 
 
+# Twenty groups of files whose columns change type: numbers, text, objects; some records are broken.
+TYPES_SQL = """WITH r AS (SELECT event_id % 20 AS part, event_id % 97 = 0 AS bad, event_id // 20 % 2 AS half FROM events),
+    c AS (SELECT part, 'id' AS k, 'integer' AS t FROM r WHERE NOT bad
+        UNION ALL SELECT part, 'amount', CASE WHEN part < 5 THEN 'integer' WHEN part < 10 THEN 'float'
+            WHEN part < 15 OR half = 1 THEN 'string' ELSE 'integer' END FROM r WHERE NOT bad
+        UNION ALL SELECT part, 'props', CASE WHEN part % 2 = 0 THEN 'object integer' ELSE 'object string' END FROM r WHERE NOT bad
+        UNION ALL SELECT part, 'late', CASE WHEN half = 0 THEN 'null' ELSE 'string' END FROM r WHERE NOT bad AND part % 5 = 0),
+    g AS (SELECT part, k, COUNT(*) FILTER (t <> 'null') AS present, list_sort(list(DISTINCT t) FILTER (t <> 'null')) AS ts
+        FROM c GROUP BY GROUPING SETS ((part, k), (k))),
+    w AS (SELECT part, k, present, CASE WHEN coalesce(len(ts), 0) = 0 THEN 'null' WHEN len(ts) = 1 THEN ts[1]
+        WHEN ts = ['float', 'integer'] THEN 'float' WHEN ts[1] LIKE 'object%' THEN 'object mixed' ELSE 'mixed' END AS t FROM g)"""
+
+
+def _typed_files(lake):
+    """JSON lines of the events, in one folder for each of twenty groups."""
+    part, half = F.col("event_id") % 20, F.expr("event_id div 20 % 2")
+    number, quoted = F.col("user_id").cast("string"), F.concat(F.lit('"t'), F.col("user_id").cast("string"), F.lit('"'))
+    amount = (
+        F.when(part < 5, number).when(part < 10, F.concat(number, F.lit(".5"))).when((part < 15) | (half == 1), quoted).otherwise(number)
+    )
+    late = F.when(part % 5 > 0, "").when(half == 0, ', "late": null').otherwise(', "late": "y"')
+    inner = F.when(part % 2 == 0, number).otherwise(quoted)
+    line = F.concat(
+        F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "amount": '), amount, F.lit(', "props": {"p": '), inner, F.lit("}"), late, F.lit("}")
+    )
+    value = F.when(F.col("event_id") % 97 == 0, '{"id": ').otherwise(line)
+    root = new_workspace(lake.spark, "json-types")
+    lake.table("events").select(part.alias("part"), value.alias("value")).write.partitionBy("part").text(root)
+    lines = files.text_lines(lake.spark, root).select(F.regexp_extract("file", "part=([0-9]+)", 1).alias("file"), "value")
+    return json_types.type_counts(lines)
+
+
+@query(
+    "json_types_merged",
+    TYPES_SQL + """ SELECT k AS column_name, CASE WHEN t = 'mixed' THEN 'string' ELSE split_part(t, ' ', 1) END AS portable_type,
+        present, present < (SELECT COUNT(*) FROM r WHERE NOT bad) AS nullable FROM w WHERE part IS NULL""",
+)
+def _(lake):
+    """Columns of mixed JSON files with the type that holds all their values."""
+    return json_types.merged_types(_typed_files(lake)).drop("variant_type")
+
+
+@query(
+    "json_types_drift",
+    TYPES_SQL + """, d AS (SELECT o.part, COUNT(*) AS columns, COUNT(*) FILTER (o.t <> a.t AND o.t <> 'null') AS widened
+            FROM w o JOIN w a ON o.k = a.k AND a.part IS NULL WHERE o.part IS NOT NULL GROUP BY 1),
+        n AS (SELECT part, COUNT(*) AS records, COUNT(*) FILTER (bad) AS bad_rows FROM r GROUP BY 1),
+        m AS (SELECT *, (SELECT COUNT(*) FROM w WHERE part IS NULL) - coalesce(columns, 0) AS missing FROM n LEFT JOIN d USING (part))
+        SELECT CAST(part AS VARCHAR) AS file, records, bad_rows, coalesce(columns, 0) AS columns, missing, coalesce(widened, 0) AS widened,
+            missing > 0 OR coalesce(widened, 0) > 0 AS drifted FROM m""",
+)
+def _(lake):
+    """Columns that each group of JSON files lacks or has with a narrower type than all files together."""
+    return json_types.drift_by_file(_typed_files(lake))
+
+
 TABLE_TYPES = [
     ("event_id", "integer"), ("ts", "timestamp"), ("user_id", "integer"), ("event_type", "string"), ("value", "float"), ("props", "string"),
 ]
